@@ -186,6 +186,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows with a null id and rows without words are kept.  Repeated rows of a
     kept document collapse to one.
     """
-    gone = near_duplicates(docs, id_col, text_col, width, percent).where(~F.col("kept")).select(id_col).distinct()
-    kept = docs.join(gone, id_col, "left_anti")
-    return kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    gone = stored(near_duplicates(docs, id_col, text_col, width, percent).where(~F.col("kept")).select(id_col).distinct(), "gone")
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    repeated = stored(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "repeated")
+    if repeated.isEmpty():
+        return kept
+    first = kept.join(repeated, id_col, "left_semi").select(id_col, F.struct(F.xxhash64(text_col), F.struct(*docs.columns)).alias("row")).groupBy(id_col).agg(F.min("row").alias("row"))
+    return kept.join(repeated, id_col, "left_anti").select(*docs.columns).union(first.select("row.col2.*"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, minhash, sharding, warc
+from . import decontam, html_extract, line_dedup, minhash, quality_rules, rule_classifier, sharding, spm_dropout, warc
 from .scratch import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -25,6 +29,10 @@ def op3_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op4_line_block_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -37,7 +45,34 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("page").alias("page_id"), "payload_bytes", F.when(F.col("verified"), F.col("digest")).alias("payload_digest"), "record_type", "refers_to")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_minhash_near_dedup, op3_hash_tree_sharding, op5_line_dedup, op6_warc_archive)}
+def op7_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge_documents(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def op9_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = rule_classifier.train(docs, table(spark, sf_dir, "labels"), max_rows=20_000)
+    return rule_classifier.score_documents(docs, model, threshold=0.3)
+
+
+def op10_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm_dropout.round_trips(table(spark, sf_dir, "documents"), dropout=0.1, seed=1, variants=8)
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_simhash_decontamination,
+        op2_minhash_near_dedup,
+        op3_hash_tree_sharding,
+        op4_line_block_extraction,
+        op5_line_dedup,
+        op6_warc_archive,
+        op7_line_frequency_quality,
+        op9_rule_ensemble_quality,
+        op10_sentencepiece_dropout,
+    )
+}
 
 
 def _draw_sql(node: str) -> str:
@@ -68,9 +103,11 @@ def oracle_sql() -> dict[str, str]:
     ascii_lower = "translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return {
         "op3_hash_tree_sharding": f"""
-            WITH placed AS (SELECT doc_id, coalesce(strlen(text), 0) + 1 AS size, text,
+            WITH RECURSIVE bits(i, c, k) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+            crc_table AS (SELECT list(c ORDER BY i) AS crc_list FROM bits WHERE k = 8),
+            placed AS (SELECT doc_id, coalesce(strlen(text), 0) + 1 AS size, text,
                 CAST({_place_sql("", sharding.standard_tree(8))} AS INTEGER) AS shard,
-                CAST({_place_sql("", sharding.standard_tree(9))} AS INTEGER) AS grown_shard FROM documents)
+                CAST({_place_sql("", sharding.standard_tree(9))} AS INTEGER) AS grown_shard, crc_list FROM documents, crc_table)
             SELECT doc_id, size, {CRC32_SQL.format(text="coalesce(text, '')")} AS text_crc32, 'key' AS law, shard,
                 row_number() OVER (PARTITION BY shard ORDER BY doc_id, size) - 1 AS slot, grown_shard FROM placed""",
         "op5_line_dedup": f"""
@@ -87,5 +124,6 @@ def oracle_sql() -> dict[str, str]:
     }
 
 
-#: DuckDB has no crc32; op3's SQL leaves it out of reach, so that query is tested by brute force.
-CRC32_SQL = "NULL"
+#: CRC-32 of a text, byte by byte with a table that a recursive query builds.
+CRC32_SQL = """xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: CAST('0x' || b AS BIGINT))),
+                lambda c, b: xor(c >> 8, crc_list[1 + (xor(c, b) & 255)])), 4294967295)"""
