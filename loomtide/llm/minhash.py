@@ -9,9 +9,9 @@ confirmed on the full shingle sets.
 Texts with one and the same shingle set form a class, found by a 128-bit digest
 and its size with partial aggregation; only one representative of a class goes
 on, so copies cost nothing further.  In a bucket, each member is first compared
-with one leader that a hash draws per band.  What these stars leave in different components is
-then compared pairwise, blocks of members against blocks, until no bucket holds an uncompared pair
-of two components.
+with one leader, the member that shares most buckets.  What these stars leave in different components is
+then compared across components: pair by pair in small buckets, and in
+large ones by blocks of rows against blocks, which send back links only.
 """
 
 from __future__ import annotations
@@ -28,10 +28,14 @@ from .textkit import mix, shingle_sets
 PERMUTATIONS = 64
 BAND_ROWS = 4
 #: Of 128 one-bit samples of the slots, a pair at 0.8 differs in 12.8 (sigma 3.4).
-MAX_BIT_DISTANCE = 36
+MAX_BIT_DISTANCE = 32
 #: Sets below this size are not screened by bits: their slots depend on each other.
 SCREENED_SIZE = 24
 
+#: Open buckets up to this size are compared pair by pair; larger ones in blocks.
+SMALL_BUCKET = 32
+CROWD_BLOCK = 256
+
 SIGNATURE = "n_shingles long, d1 long, d2 long, s1 long, s2 long, bands array<long>"
 
 
@@ -132,6 +136,58 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return both.mapInArrow(_confirm_batches(percent), "u long, v long")
 
 
+def _block_links(percent: int):
+    def run(query: pa.Table, data: pa.Table) -> pa.Table:
+        sides = []
+        for t in (query, data):
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
+            sides.append((t.column("rep").to_numpy(), t.column("component").to_numpy(), np.array([len(x) for x in sets], np.int64), np.concatenate(sets or [np.zeros(0, np.uint64)])))
+        (qr, qc, qn, qh), (dr, dc, dn, dh) = sides
+        common = np.zeros((len(qr), len(dr)), np.float32)
+        both = np.intersect1d(qh, dh)
+        owners = [np.repeat(np.arange(len(n)), n) for n in (qn, dn)]
+        at = [np.searchsorted(both, h) for h in (qh, dh)]
+        held = [(k < len(both)) & (both[np.minimum(k, len(both) - 1)] == h) if len(both) else np.zeros(len(h), bool) for k, h in zip(at, (qh, dh), strict=True)]
+        for lo in range(0, len(both), 4096):
+            tables = []
+            for n, owner, k, ok in zip((qn, dn), owners, at, held, strict=True):
+                here = ok & (k >= lo) & (k < lo + 4096)
+                table = np.zeros((len(n), 4096), np.float32)
+                table[owner[here], k[here] - lo] = 1
+                tables.append(table)
+            common += tables[0] @ tables[1].T
+        linked = (100 * common >= percent * (qn[:, None] + dn[None, :] - common)) & (qc[:, None] != dc[None, :])
+        i, j = np.nonzero(linked)
+        # One link of a row to each other component is enough.
+        _, keep = np.unique(np.stack([qr[i], dc[j]]), axis=1, return_index=True)
+        i, j = i[keep], j[keep]
+        return pa.table({"u": pa.array(np.maximum(qr[i], dr[j])), "v": pa.array(np.minimum(qr[i], dr[j]))})
+
+    return run
+
+
+def _across_crowds(crowds: DataFrame, first: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between components in large buckets.
+
+    The members of the large buckets of one leader are a crowd.  Those that the leader's component
+    does not hold are the query set, compared with the whole crowd
+    in blocks of about ``CROWD_BLOCK`` rows, one group of two blocks at a time;
+    only links leave a group.
+    """
+    home = first.select(F.col("node").alias("lead"), F.col("component").alias("home"))
+    crowds = crowds.join(home, "lead", "left").withColumn("away", F.col("component") != F.coalesce("home", "lead"))
+    sizes = crowds.groupBy("lead").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / CROWD_BLOCK)).cast("int").alias("nd"), F.greatest(F.lit(1), F.ceil(F.count_if("away") / CROWD_BLOCK)).cast("int").alias("nq"))
+    need = crowds.select(F.col("rep").alias("id")).distinct()
+    sets = stored(texts.join(need, "id", "left_semi").mapInArrow(_set_batches(width), "id long, shingles binary").dropDuplicates(["id"]).withColumnRenamed("id", "rep"), "sets")
+    full = crowds.join(sizes, "lead").join(sets, "rep")
+    block = lambda n: F.pmod(F.xxhash64("rep"), n)
+    query = full.where("away").withColumns({"qb": block("nq"), "db": F.explode(F.sequence(F.lit(0), F.col("nd") - 1))})
+    pick = lambda df, side: df.select(*(F.col(c).cast("long").alias(f"{side}_{c}") for c in ("lead", "qb", "db")), "rep", "component", "shingles").toDF(*(f"{side}_{c}" for c in ("lead", "qb", "db")), "rep", "component", "shingles").groupBy(f"{side}_lead", f"{side}_qb", f"{side}_db")
+    fresh = full.select(*(F.col(c).alias(f"d_{c}") for c in full.columns)).select(*(F.col(f"d_{c}").alias(c) for c in full.columns))
+    data = fresh.withColumns({"db": block("nd"), "qb": F.explode(F.sequence(F.lit(0), F.col("nq") - 1))})
+    return pick(query, "q").cogroup(pick(data, "d")).applyInArrow(_block_links(percent), "u long, v long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
     """Groups of texts linked by ``100 * |A & B| >= percent * |A | B|`` over their shingle sets.
 
@@ -151,23 +207,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stored(keyed.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("class_id"), F.min(F.struct("id", "s1", "s2", "bands")).alias("r")).select("d1", "d2", "n_shingles", "class_id", "r.s1", "r.s2", "r.bands"), "classes")
     reps = classes.select(F.col("class_id").alias("rep"), F.col("n_shingles").alias("n"), "s1", "s2", F.posexplode("bands").alias("band", "key"))
     # Buckets of one member name no pair.
-    leads = reps.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("rep", "band").alias("draw"), "rep", "n", "s1", "s2")).alias("lead"), F.count("*").alias("m")).where("m > 1").select("band", "key", "lead.*")
-    members = stored(reps.join(leads.select("band", "key", F.col("rep").alias("lead"), F.col("n").alias("lead_n"), F.col("s1").alias("lead_s1"), F.col("s2").alias("lead_s2")), ["band", "key"]), "members")
+    sizes = reps.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
+    shared = stored(reps.join(sizes, ["band", "key"]), "shared")
+    # The member with most company leads: the original of a group shares more buckets than its copies do with each other.
+    company = shared.groupBy("rep").agg(F.sum("m").alias("company"))
+    leads = shared.join(company, "rep").groupBy("band", "key").agg(F.max(F.struct("company", (-F.col("rep")).alias("order"), "rep", "n", "s1", "s2")).alias("lead")).select("band", "key", "lead.*")
+    members = stored(shared.drop("m").join(leads.select("band", "key", F.col("rep").alias("lead"), F.col("n").alias("lead_n"), F.col("s1").alias("lead_s1"), F.col("s2").alias("lead_s2")), ["band", "key"]), "members")
     a = members.where("rep <> lead").select(F.struct("rep", "n", "s1", "s2").alias("a"), F.struct(F.col("lead").alias("rep"), F.col("lead_n").alias("n"), F.col("lead_s1").alias("s1"), F.col("lead_s2").alias("s2")).alias("b"))
     ordered = [F.greatest("a.rep", "b.rep").alias("u"), F.least("a.rep", "b.rep").alias("v")]
     stars = stored(a.where(_screen(percent)).select(*ordered).distinct(), "stars")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     links = stored(_confirmed(stars, texts, width, percent), "links")
     first = stored(connected_components(links), "first")
-    # Buckets that still hold two components: all their pairs across components.
-    placed = members.select("band", "key", "rep", "n", "s1", "s2").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    split = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "key")
-    open_ = stored(placed.join(split, ["band", "key"], "left_semi"), "open")
-    across = open_.alias("a").join(open_.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") > F.col("b.rep")) & (F.col("a.component") != F.col("b.component")) & _screen(percent))
+    # Buckets that still hold two components: what lies across components is compared.
+    placed = members.select("band", "key", "lead", "rep", "n", "s1", "s2").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    split = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low < high").select("band", "key", "m")
+    open_ = stored(placed.join(split, ["band", "key"]), "open")
+    small = open_.where(F.col("m") <= SMALL_BUCKET)
+    across = small.alias("a").join(small.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") > F.col("b.rep")) & (F.col("a.component") != F.col("b.component")) & _screen(percent))
     rest = stored(across.select(*ordered).distinct().join(stars, ["u", "v"], "left_anti"), "rest")
     more = links
     if not rest.isEmpty():
-        more = stored(links.union(_confirmed(rest, texts, width, percent)), "links")
+        more = stored(more.union(_confirmed(rest, texts, width, percent)), "links")
+    crowds = stored(open_.where(F.col("m") > SMALL_BUCKET).select("lead", "rep", "component").distinct(), "crowds")
+    if not crowds.isEmpty():
+        more = stored(more.union(_across_crowds(crowds, first, texts, width, percent)), "links")
     # Ids that several texts share are one document: tie the classes they are in.
     tied = keyed.join(classes.select("d1", "d2", "n_shingles", "class_id"), ["d1", "d2", "n_shingles"]).where("id <> class_id").select(F.col("id").alias("u"), F.col("class_id").alias("v"))
     multi = keyed.select("id", "d1", "d2", "n_shingles").distinct().groupBy("id").count().where("count > 1").select(F.col("id").alias("u"))
