@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, line_dedup, minhash, quality_rules, rule_classifier, sharding, spm_dropout, warc
+from . import decontam, html_extract, line_dedup, minhash, quality_rules, rule_classifier, sharding, spm_dropout, suffix_dedup, warc
 from .scratch import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,10 @@ def op7_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=50, with_bytes=False)
+
+
 def op9_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = rule_classifier.train(docs, table(spark, sf_dir, "labels"), max_rows=20_000)
@@ -69,6 +73,7 @@ QUERIES: dict[str, Query] = {
         op5_line_dedup,
         op6_warc_archive,
         op7_line_frequency_quality,
+        op8_suffix_dedup,
         op9_rule_ensemble_quality,
         op10_sentencepiece_dropout,
     )
