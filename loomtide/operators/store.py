@@ -9,12 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold_for_search
 
-#: Undated last, all-day before timed, then spoken order; the id makes it total.
-TASK_ORDER = [F.col("due_date").asc_nulls_last, F.col("due_minute_of_day").asc_nulls_first, F.col("sort_order").asc, F.col("id").asc]
-
-
 def task_order() -> list[Column]:
-    return [x() for x in TASK_ORDER]
+    """Undated last, all-day before timed, then spoken order; the id makes it total."""
+    return [F.col("due_date").asc_nulls_last(), F.col("due_minute_of_day").asc_nulls_first(), F.col("sort_order").asc(), F.col("id").asc()]
 
 
 def today_tasks(tasks: DataFrame, today: dt.date) -> DataFrame:
