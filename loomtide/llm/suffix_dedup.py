@@ -9,7 +9,9 @@ prefix.  The suffixes in between are merged from the names of the bytes on the l
 rank of the sample at the length that remains.
 
 Only samples whose gram several documents hold are sorted: any other window
-is found in one document alone.
+is found in one document alone.  A gram that more than ``CROWDED_GRAM`` rows hold does
+not go into one task: rows that see the same bytes around their sample collapse to the
+first of them, and the windows of what is left are counted by digest with partial aggregation.
 """
 
 from __future__ import annotations
@@ -18,13 +20,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import arrow_batches, stored
 from .textkit import blocks, mix, powers, utf8
 
 GRAM = 18
+#: Rows of one gram that a task sorts at most.
+CROWDED_GRAM = 8192
 
 
 def samples(data: np.ndarray, offsets: np.ndarray, length: int):
@@ -184,6 +188,27 @@ def _cut_batches(with_bytes: bool):
     return run
 
 
+def _crowded_spans(contexts: DataFrame, length: int) -> DataFrame:
+    """Spans (id, th, lo, hi) that repeat, of samples whose grams are crowded.
+
+    A row with the bytes, and the reach, of a row of smaller id repeats in all its windows.
+    The windows of the others are compared by digest; every table that a hot
+    key is joined with is stored first, so that skewed partitions are split.
+    """
+    left = length - GRAM
+    crowd = stored(contexts.drop("gram").withColumn("around", F.unhex(F.md5("context"))), "crowd")
+    same = ["around", "near", "far"]
+    heads = stored(crowd.groupBy(*same).agg(F.min("id").alias("head")), "heads")
+    marked = stored(crowd.join(heads, same).drop("around"), "marked")
+    whole = marked.where("id > head").select("id", "th", (F.col("place") - F.col("far")).alias("lo"), (F.col("place") - F.col("near") + length).alias("hi"))
+    rows = marked.where("id = head").select("id", "th", "place", "context", F.explode(F.sequence("near", "far")).alias("back"))
+    window = F.col("context").substr(F.lit(left + 1) - F.col("back"), F.lit(length))
+    windows = rows.select("id", "th", (F.col("place") - F.col("back")).alias("lo"), F.unhex(F.md5(window)).alias("key"))
+    least = stored(windows.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least"), "least")
+    hits = windows.join(least, "key").where("id > least").select("id", "th", "lo", (F.col("lo") + length).alias("hi"))
+    return whole.union(hits)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, with_bytes: bool = True) -> DataFrame:
     """Cut every byte covered by a ``length``-byte string that also starts in a document of smaller id.
 
@@ -204,18 +229,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = base.where(F.col("id").isNotNull() & (F.octet_length("text") >= length))
     digests = keyed.select("id", "th", F.xxhash64(F.lit(1), "text").alias("t2"), F.octet_length("text").alias("n"))
     firsts = digests.groupBy("th", "t2", "n").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    firsts = stored(firsts, "firsts")
     copies = stored(digests.join(firsts, ["th", "t2", "n"]).where("id > first").select("id", "th", F.col("n").cast("long").alias("n")).distinct(), "copies")
-    found = keyed.select("id", "text").mapInArrow(_sample_batches(length), "gram long, id long, place long")
-    holders = Window.partitionBy("gram")
-    shared = found.withColumns({"lo": F.min("id").over(holders), "hi": F.max("id").over(holders)}).where("lo < hi")
-    wanted = shared.groupBy("id").agg(F.collect_set("place").alias("places"))
+    found = stored(keyed.select("id", "text").mapInArrow(_sample_batches(length), "gram long, id long, place long"), "samples")
+    held = found.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("holders")).where("lo < hi")
+    held = stored(held.select("gram", (F.col("holders") > CROWDED_GRAM).alias("crowded")), "held")
+    place = lambda test, name: F.collect_set(F.when(test, F.col("place"))).alias(name)
+    wanted = found.join(held, "gram").groupBy("id").agg(place(~F.col("crowded"), "places"), place(F.col("crowded"), "crowd"))
     copied = copies.groupBy("id").agg(F.collect_set("th").alias("copied"))
     wanted = stored(wanted.join(copied, "id", "left"), "wanted")
     texts = keyed.select("id", "th", "text").join(wanted.hint("shuffle_hash"), "id").where(~F.coalesce(F.array_contains("copied", F.col("th")), F.lit(False)))
-    texts = stored(texts.select("id", "th", "text", "places"), "texts")
-    contexts = texts.select("id", "th", "text", "places").mapInArrow(_context_batches(length), "gram long, id long, th long, place long, near int, far int, context binary")
+    texts = stored(texts.select("id", "th", "text", "places", "crowd"), "texts")
+    around = lambda c: texts.where(F.size(c) > 0).select("id", "th", "text", c).mapInArrow(_context_batches(length), "gram long, id long, th long, place long, near int, far int, context binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
-    spans = contexts.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(parts))).groupBy("part").applyInArrow(lambda t: _repeat_groups(length)(t.drop(["part"])), "id long, th long, lo long, hi long")
+    spans = around("places").withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(parts))).groupBy("part").applyInArrow(lambda t: _repeat_groups(length)(t.drop(["part"])), "id long, th long, lo long, hi long")
+    if not held.where("crowded").isEmpty():
+        spans = spans.union(_crowded_spans(around("crowd"), length))
     cuts = stored(spans.groupBy("id", "th").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")), "cuts")
     # Only texts with a shared sample can lose a part; whole rows keep or lose all.
     schema = "id long, th long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes

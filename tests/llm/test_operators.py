@@ -77,7 +77,9 @@ def test_near_duplicates(docs, monkeypatch, small):
     assert got == groups_of(docs, 4)
 
 
-def test_suffix_dedup(docs):
+@pytest.mark.parametrize("crowded", [8192, 3])
+def test_suffix_dedup(docs, monkeypatch, crowded):
+    monkeypatch.setattr(suffix_dedup, "CROWDED_GRAM", crowded)
     first = {}
     rows = sorted((d, t.encode()) for d, t in pairs(docs).items())
     for d, b in rows:
