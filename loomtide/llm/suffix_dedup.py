@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import arrow_batches, stored
+from .scratch import arrow_batches, discard, stored
 from .textkit import blocks, mix, powers, utf8
 
 GRAM = 18
@@ -238,8 +238,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = found.join(held, "gram").groupBy("id").agg(place(~F.col("crowded"), "places"), place(F.col("crowded"), "crowd"))
     copied = copies.groupBy("id").agg(F.collect_set("th").alias("copied"))
     wanted = stored(wanted.join(copied, "id", "left"), "wanted")
+    discard(found)
     texts = keyed.select("id", "th", "text").join(wanted.hint("shuffle_hash"), "id").where(~F.coalesce(F.array_contains("copied", F.col("th")), F.lit(False)))
     texts = stored(texts.select("id", "th", "text", "places", "crowd"), "texts")
+    discard(wanted)
     around = lambda c: texts.where(F.size(c) > 0).select("id", "th", "text", c).mapInArrow(_context_batches(length), "gram long, id long, th long, place long, near int, far int, context binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
     spans = around("places").withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(parts))).groupBy("part").applyInArrow(lambda t: _repeat_groups(length)(t.drop(["part"])), "id long, th long, lo long, hi long")
