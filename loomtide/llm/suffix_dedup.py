@@ -9,9 +9,10 @@ prefix.  The suffixes in between are merged from the names of the bytes on the l
 rank of the sample at the length that remains.
 
 Only samples whose gram several documents hold are sorted: any other window
-is found in one document alone.  A gram that more than ``CROWDED_GRAM`` rows hold does
-not go into one task: rows that see the same bytes around their sample collapse to the
-first of them, and the windows of what is left are counted by digest with partial aggregation.
+is found in one document alone.  A gram with more than ``CROWDED_GRAM`` rows is salted over
+as many tasks as its rows need: in each, rows that see the same bytes around their sample
+collapse to the first of them, and the rows that are left of all its tasks are sorted
+together.  Where these are too many still, their windows are counted by digest with partial aggregation.
 """
 
 from __future__ import annotations
@@ -29,6 +30,12 @@ from .textkit import blocks, mix, powers, utf8
 GRAM = 18
 #: Rows of one gram that a task sorts at most.
 CROWDED_GRAM = 8192
+#: Rows of all grams that a task sorts, about.
+TASK_ROWS = 65_536
+#: A wanted sample is its place and, above these bits, the number of its gram's salts.
+PLACE_BITS = 32
+
+CONTEXT = "gram long, id long, th long, place long, near int, far int, context binary"
 
 
 def samples(data: np.ndarray, offsets: np.ndarray, length: int):
@@ -89,17 +96,21 @@ def _context_batches(length: int):
                 row = np.searchsorted(at, place, "right") - 1
                 lists = wanted.slice(first, last - first)
                 ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-                want = lists.flatten().to_numpy(zero_copy_only=False) + at[np.repeat(np.arange(last - first), np.diff(ends))]
-                keep = np.isin(place, want)
-                place, gram, lo, hi, row = place[keep], gram[keep], lo[keep], hi[keep], row[keep]
+                codes = lists.flatten().to_numpy(zero_copy_only=False)
+                want = (codes & ((1 << PLACE_BITS) - 1)) + at[np.repeat(np.arange(last - first), np.diff(ends))]
+                # Texts of one id share a list: what is no sample of this text is passed over.
+                which = np.searchsorted(place, want)
+                keep = np.append(place, -1)[which] == want
+                which, salts = which[keep], (codes[keep] >> PLACE_BITS).astype(np.int32)
+                place, gram, lo, hi, row = place[which], gram[which], lo[which], hi[which], row[which]
                 padded = np.concatenate([np.zeros(left, np.uint8), data, np.zeros(length, np.uint8)])
                 for k in range(0, len(place), 4096):
                     s = slice(k, k + 4096)
                     context = padded[place[s, None] + np.arange(left + length)]
                     rows = pa.array(row[s] + first)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(gram[s].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place[s] - at[row[s]]), pa.array((place[s] - hi[s]).astype(np.int32)), pa.array((place[s] - lo[s]).astype(np.int32)), pa.array([x.tobytes() for x in context], pa.binary())],
-                        names=["gram", "id", "th", "place", "near", "far", "context"],
+                        [pa.array(gram[s].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place[s] - at[row[s]]), pa.array((place[s] - hi[s]).astype(np.int32)), pa.array((place[s] - lo[s]).astype(np.int32)), pa.array([x.tobytes() for x in context], pa.binary()), pa.array(salts[s])],
+                        names=["gram", "id", "th", "place", "near", "far", "context", "salts"],
                     )
 
     return run
@@ -116,6 +127,39 @@ def _names(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _collapse(table: pa.Table, length: int) -> tuple[pa.Table, pa.Table]:
+    """Spans of the rows that repeat one of smaller id in all their windows, and the other rows."""
+    ids, th, place, near, far = (table.column(c).to_numpy() for c in ("id", "th", "place", "near", "far"))
+    reach = np.stack([near, far], axis=1).astype(np.int32).tobytes()
+    keys = np.array([c + reach[8 * i : 8 * i + 8] for i, c in enumerate(table.column("context").to_pylist())], f"V{2 * length - GRAM + 8}")
+    _, group = np.unique(keys, return_inverse=True)
+    least = np.full(group.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, ids)
+    hit = ids > least[group]
+    spans = pa.table({"id": ids[hit], "th": th[hit], "lo": place[hit] - far[hit], "hi": place[hit] - near[hit] + length})
+    return spans, table.filter(pa.array(~hit))
+
+
+def _deal_groups(length: int):
+    """Spans of the grams that are whole here; of salted ones, the spans and rows of ``_collapse``."""
+    sort = _repeat_groups(length)
+    names = ["id", "th", "lo", "hi", "gram", "place", "near", "far", "context"]
+
+    def full(table: pa.Table) -> pa.Table:
+        types = {"near": pa.int32(), "far": pa.int32(), "context": pa.binary()}
+        return pa.table({c: table.column(c) if c in table.column_names else pa.nulls(table.num_rows, types.get(c, pa.int64())) for c in names})
+
+    def run(table: pa.Table) -> pa.Table:
+        salted = table.column("salts").to_numpy() > 1
+        whole = table.filter(pa.array(~salted))
+        out = [full(sort(whole))] if whole.num_rows else []
+        if salted.any():
+            out += map(full, _collapse(table.filter(pa.array(salted)), length))
+        return pa.concat_tables(out)
+
+    return run
+
+
 def _repeat_groups(length: int):
     left = length - GRAM
     words = -(-length // 8)
@@ -189,7 +233,7 @@ def _cut_batches(with_bytes: bool):
 
 
 def _crowded_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """Spans (id, th, lo, hi) that repeat, of samples whose grams are crowded.
+    """Spans (id, th, lo, hi) that repeat, of samples whose grams stay crowded.
 
     A row with the bytes, and the reach, of a row of smaller id repeats in all its windows.
     The windows of the others are compared by digest; every table that a hot
@@ -233,20 +277,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = stored(digests.join(firsts, ["th", "t2", "n"]).where("id > first").select("id", "th", F.col("n").cast("long").alias("n")).distinct(), "copies")
     found = stored(keyed.select("id", "text").mapInArrow(_sample_batches(length), "gram long, id long, place long"), "samples")
     held = found.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("holders")).where("lo < hi")
-    held = stored(held.select("gram", (F.col("holders") > CROWDED_GRAM).alias("crowded")), "held")
-    place = lambda test, name: F.collect_set(F.when(test, F.col("place"))).alias(name)
-    wanted = found.join(held, "gram").groupBy("id").agg(place(~F.col("crowded"), "places"), place(F.col("crowded"), "crowd"))
+    held = stored(held.select("gram", F.ceil(F.col("holders") / CROWDED_GRAM).alias("salts"), "holders"), "held")
+    code = F.shiftleft("salts", PLACE_BITS).bitwiseOR(F.col("place"))
+    wanted = found.join(held.select("gram", "salts"), "gram").groupBy("id").agg(F.collect_set(code).alias("places"))
     copied = copies.groupBy("id").agg(F.collect_set("th").alias("copied"))
     wanted = stored(wanted.join(copied, "id", "left"), "wanted")
     discard(found)
     texts = keyed.select("id", "th", "text").join(wanted.hint("shuffle_hash"), "id").where(~F.coalesce(F.array_contains("copied", F.col("th")), F.lit(False)))
-    texts = stored(texts.select("id", "th", "text", "places", "crowd"), "texts")
+    texts = stored(texts.select("id", "th", "text", "places"), "texts")
     discard(wanted)
-    around = lambda c: texts.where(F.size(c) > 0).select("id", "th", "text", c).mapInArrow(_context_batches(length), "gram long, id long, th long, place long, near int, far int, context binary")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
-    spans = around("places").withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(parts))).groupBy("part").applyInArrow(lambda t: _repeat_groups(length)(t.drop(["part"])), "id long, th long, lo long, hi long")
-    if not held.where("crowded").isEmpty():
-        spans = spans.union(_crowded_spans(around("crowd"), length))
+    rows, most = held.agg(F.coalesce(F.sum("holders"), F.lit(0)), F.coalesce(F.max("salts"), F.lit(1))).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, -(-rows // TASK_ROWS))
+    salt = F.pmod(F.xxhash64("id", "place"), F.col("salts"))
+    around = texts.mapInArrow(_context_batches(length), f"{CONTEXT}, salts int").withColumn("part", F.pmod(F.xxhash64("gram", salt), F.lit(parts)))
+    span = "id long, th long, lo long, hi long"
+    spans = around.groupBy("part").applyInArrow(_deal_groups(length), f"{span}, gram long, place long, near int, far int, context binary")
+    if most > 1:
+        dealt = stored(spans, "dealt")
+        spans, left = dealt.where("context IS NULL"), dealt.where("context IS NOT NULL").select("gram", "id", "th", "place", "near", "far", "context")
+        crowded = stored(left.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED_GRAM).select("gram"), "crowded")
+        few = left.join(crowded, "gram", "left_anti").withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(parts)))
+        spans = spans.select("id", "th", "lo", "hi").union(few.groupBy("part").applyInArrow(lambda t: _repeat_groups(length)(t.drop(["part"])), span))
+        if not crowded.isEmpty():
+            spans = spans.union(_crowded_spans(left.join(crowded, "gram", "left_semi"), length))
     cuts = stored(spans.groupBy("id", "th").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")), "cuts")
     # Only texts with a shared sample can lose a part; whole rows keep or lose all.
     schema = "id long, th long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
