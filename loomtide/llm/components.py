@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import stored, stored_with
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -37,14 +37,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     another node are not returned.  Raises if it has not settled after
     ``max_rounds`` rounds (the rounds grow with the logarithm of the size).
     """
-    now = stored(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    before = now.agg(F.count("*"), mark).first()
-    if before[0] == 0:
+    state = (F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("mark"))
+    plain = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    now, before = stored_with(plain.distinct(), "edges", *state)
+    if before["n"] == 0:
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
-        now = stored(_small_star(_large_star(now)), "edges")
-        after = now.agg(F.count("*"), mark).first()
+        now, after = stored_with(_small_star(_large_star(now)), "edges", *state)
         if after == before:
             roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -41,6 +41,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_with(df: DataFrame, name: str, *aggregates: Column) -> tuple[DataFrame, dict]:
+    """``stored``, and named aggregates of its rows that the write gathers on the way."""
+    seen = Observation()
+    table = stored(df.observe(seen, *aggregates), name)
+    return table, seen.get
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``stored`` returned, once all that reads them is stored itself."""
     for table in tables:
