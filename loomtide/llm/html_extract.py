@@ -4,6 +4,7 @@ Markup is stripped to one line per block element.  The text lengths of lines are
 over a sliding window of lines; a surge is where the sum rises above a bound,
 a dive where it falls to nothing, and the text between them is kept.  Links and
 elements that are never part of an article have length 0 and no text of their own.
+An article or main element only adds weight to its lines.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from .scratch import arrow_batches
 
 WINDOW = 3
 SURGE = 86
+#: What a character of an article or main element counts in the sums.
+WEIGHT = 2
 
 # Fixed values of the HTML standard.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -27,13 +30,16 @@ RAW = frozenset("script style noscript template svg math iframe object textarea
 #: Elements that never hold the article.
 ASIDE = frozenset("nav footer aside form menu dialog head".split())
 #: Words of a class, id or role that mark what is no part of the article.
-MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|sidebar|side-bar|widget|menu|navbar|nav|navigation|breadcrumbs?|pagination|footer|related|recommend\w*|comments?|disqus|reply|respond|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
+WORDS = r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|sidebar|side-bar|widget|menu|navbar|nav|navigation|breadcrumbs?|pagination|footer|related|recommend\w*|comments?|disqus|reply|respond|complementary|contentinfo|search)(?:$|[\s_-])"
+MARKS = re.compile(rf"(?:^|[\s_-]){WORDS}", re.I)
+#: On an article element the mark begins a name: "comment-body", but not "has-comments".
+ARTICLE_MARKS = re.compile(rf"(?:^|\s){WORDS}", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
-def _marked(attributes: str) -> bool:
-    return bool(attributes) and any(MARKS.search(a or b or c) for a, b, c in NAMED.findall(attributes))
+def _marked(attributes: str, marks: re.Pattern = MARKS) -> bool:
+    return bool(attributes) and any(marks.search(a or b or c) for a, b, c in NAMED.findall(attributes))
 
 
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
@@ -102,7 +108,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
                 stack.pop()
             if name in BLOCKS:
                 outer = stack[-1] if stack else ("", False, False)
-                aside = name in ASIDE or (name == "header" and not outer[2]) or (name not in ("html", "body", "article", "main") and _marked(token[3]))
+                aside = name in ASIDE or (name == "header" and not outer[2]) or (name not in ("html", "body", "main") and _marked(token[3], ARTICLE_MARKS if name == "article" else MARKS))
                 stack.append((name, outer[1] or aside, outer[2] or name in ("article", "main")))
                 in_link = 0
         hidden = bool(stack) and stack[-1][1]
@@ -117,13 +123,12 @@ def main_lines(lines: list[tuple[str, int, bool]], window: int = WINDOW, surge:
     A stretch of lines begins where the sum of a window rises from nothing
     and ends where it falls back to nothing; it is kept if its sum surges
     above ``surge`` characters, or half of the largest sum where that is less.
-    On a page with an article element, only the article's lines have a length, links included, and each
-    stretch of them is kept.
+    Characters of an article or main element count ``WEIGHT`` times, and a
+    line of links in one stays where text of its stretch lies on both sides.
     """
-    framed = any(inside for _, _, inside in lines)
-    lengths = [(len(text) if inside else 0) if framed else n for text, n, inside in lines]
+    lengths = [n * WEIGHT if inside else n for _, n, inside in lines]
     sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
-    bound = 0 if framed else min(surge, max(sums, default=0) / 2)
+    bound = min(surge, max(sums, default=0) / 2)
     kept: list[str] = []
     rise = 0
     while rise < len(lines):
@@ -131,7 +136,8 @@ def main_lines(lines: list[tuple[str, int, bool]], window: int = WINDOW, surge:
         while dive < len(lines) and sums[dive] > 0:
             dive += 1
         if max(sums[rise:dive], default=0) > bound:
-            kept += [lines[k][0] for k in range(rise, dive) if lengths[k]]
+            full = [k for k in range(rise, dive) if lengths[k]]
+            kept += [lines[k][0] for k in range(full[0], full[-1] + 1) if lengths[k] or lines[k][2]]
         rise = dive + 1
     return kept
 
