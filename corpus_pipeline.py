@@ -32,7 +32,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every text, proved to decode to it."""
-    return spm_dropout.encode_documents(docs, dropout=0.1, seed=1, variants=8).select("doc_id", "text", "ids", F.size("ids").cast("long").alias("n_tokens"))
+    return spm_dropout.encode_documents(docs, dropout=0.1, seed=1).select("doc_id", "text", "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 
 STAGES = [

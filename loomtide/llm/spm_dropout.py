@@ -2,9 +2,10 @@
 
 The agenda of a chunk (blanks and the word after them) holds every adjacent pair whose
 union is a piece.  The best candidate, by score and then from the left, is merged, unless the keyed hash
-of (seed, variant, chunk, place, piece) skips it; a skipped candidate never comes back.  The chunks of a
-block are processed together, one merge of each chunk at a time; very long
-chunks use a heap, with the same result.
+of (seed, document, number of the chunk in it, chunk, place, piece) skips it; a skipped candidate never comes back.
+Each distinct chunk of a block is merged once without skips; every occurrence draws for the merges made
+there, and one that skips any of them is merged on its own.  The chunks are processed together,
+one merge of each chunk at a time; very long chunks use a heap, with the same result.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ SPACE = 0x2581
 ESCAPED = 0x110000  # stands for a U+2581 of the text itself, which only bytes can carry
 LONG_CHUNK = 48
 BLOCK = 2 << 20
+OWN_CHUNKS = 1 << 16  # chunks merged on their own at a time, so that their arrays stay in the cache
 _M64 = (1 << 64) - 1
 
 
@@ -79,9 +81,10 @@ def load_pieces(path: str = DEFAULT_MODEL) -> Pieces:
 class Coder:
     """Encodes and decodes blocks of rows."""
 
-    def __init__(self, pieces: Pieces, dropout: float, seed: int, variants: int):
+    def __init__(self, pieces: Pieces, dropout: float, seed: int, variants: int = 0):
+        """With ``variants`` over 0, draws tell only so many classes of document and chunk number apart; no query asks for that."""
         self.p, self.limit = pieces, int(dropout * 2**64)
-        self.seed, self.variants = np.uint64(seed & _M64), np.uint64(max(1, variants))
+        self.seed, self.variants = np.uint64(seed & _M64), np.uint64(max(0, variants))
         self.char_table = np.full(ESCAPED + 1, -1, np.int32)
         self.char_table[pieces.chars] = pieces.char_ids
         self._index()
@@ -120,23 +123,25 @@ class Coder:
             open_ = open_[~hit & (held >= 0)]
         return found
 
-    def _skipped(self, key: np.ndarray, left: np.ndarray, right: np.ndarray, merged: np.ndarray) -> np.ndarray:
-        where = (left.astype(np.uint64) * np.uint64(0x1F123BB5)) + (right.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)) + (merged.astype(np.uint64) << np.uint64(40))
-        return mix(key ^ mix(where)) < np.uint64(min(self.limit, _M64))
+    def _place(self, left: np.ndarray, right: np.ndarray, merged: np.ndarray) -> np.ndarray:
+        return mix((left.astype(np.uint64) * np.uint64(0x1F123BB5)) + (right.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)) + (merged.astype(np.uint64) << np.uint64(40)))
 
-    def _merge_all(self, sym: np.ndarray, owner: np.ndarray, pos: np.ndarray, keys: np.ndarray):
-        """Merge every chunk to its end; (symbols, owners) in order."""
-        done = []
+    def _skipped(self, key: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return mix(key ^ place) < np.uint64(min(self.limit, _M64))
+
+    def _merge_all(self, sym: np.ndarray, owner: np.ndarray, pos: np.ndarray, count: int, keys: np.ndarray | None = None):
+        """Merge each of ``count`` chunks to its end; symbols and owners in order, and owners and places of all merges.  No keys, no skips."""
+        done, made = [], []
         while len(sym):
             i = np.flatnonzero(owner[:-1] == owner[1:])
             pairs = sym[i].astype(np.int64) * self.p.n + sym[i + 1]
             pairs[(sym[i] < 0) | (sym[i + 1] < 0)] = -2
             k = self._lookup(pairs)
             i, k = i[k >= 0], k[k >= 0]
-            if self.limit and len(i):
-                stay = ~self._skipped(keys[owner[i]], pos[i], pos[i + 1], self.p.merged[k])
+            if keys is not None and len(i):
+                stay = ~self._skipped(keys[owner[i]], self._place(pos[i], pos[i + 1], self.p.merged[k]))
                 i, k = i[stay], k[stay]
-            going = np.zeros(len(keys), bool)
+            going = np.zeros(count, bool)
             going[owner[i]] = True
             ended = ~going[owner]
             if ended.any():
@@ -147,13 +152,18 @@ class Coder:
             first = np.concatenate([[0], np.flatnonzero(np.diff(owner[i])) + 1])
             best = np.minimum.reduceat(worth, first)
             chosen = worth == np.repeat(best, np.diff(np.concatenate([first, [len(i)]])))
+            if keys is None and self.limit:
+                at = i[chosen]
+                made.append((owner[at], self._place(pos[at], pos[at + 1], self.p.merged[k[chosen]])))
             sym[i[chosen]] = self.p.merged[k[chosen]]
             stay = ~ended
             stay[i[chosen] + 1] = False
             sym, owner, pos = sym[stay], owner[stay], pos[stay]
         owner, pos, sym = (np.concatenate([d[j] for d in done] or [np.zeros(0, np.int64)]) for j in range(3))
         order = np.argsort(owner.astype(np.int64) * (LONG_CHUNK + 1) + pos, kind="stable")
-        return sym[order], owner[order]
+        owners = np.concatenate([m[0] for m in made] or [np.zeros(0, np.int64)])
+        places = np.concatenate([m[1] for m in made] or [np.zeros(0, np.uint64)])
+        return sym[order], owner[order], owners, places
 
     def _merge_long(self, sym: np.ndarray, key: np.uint64) -> np.ndarray:
         sym, n = sym.tolist(), len(sym)
@@ -171,7 +181,7 @@ class Coder:
             k = self._lookup(pairs)
             ok = k >= 0
             if self.limit and ok.any():
-                ok[ok] = ~self._skipped(np.full(ok.sum(), key), a[ok], b[ok], self.p.merged[k[ok]])
+                ok[ok] = ~self._skipped(np.full(ok.sum(), key), self._place(a[ok], b[ok], self.p.merged[k[ok]]))
             for x, y, c in zip(a[ok].tolist(), b[ok].tolist(), k[ok].tolist(), strict=True):
                 heapq.heappush(agenda, (int(self.p.ranks[c]), x, y, sym[x], sym[y], int(self.p.merged[c])))
 
@@ -208,21 +218,20 @@ class Coder:
         ends = np.append(starts[1:], len(text))
         row = np.searchsorted(at, starts, "right") - 1
         nth = (np.arange(len(starts)) - np.searchsorted(starts, at[:-1])[row]).astype(np.uint64)
-        variant = mix(row_keys[row] + nth * np.uint64(0x9E3779B97F4A7C15)) % self.variants
-        key = mix(span_hashes(text, starts, ends) ^ mix(self.seed + variant * np.uint64(0xD1342543DE82EF95)))
-        uniq, first, back = np.unique(key, return_index=True, return_inverse=True)
-        length = ends[first] - starts[first]
-        short = length <= LONG_CHUNK
-        chosen, size = np.flatnonzero(short), length[short]
-        owner = np.repeat(chosen, size)
-        pos = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-        where = np.repeat(starts[first[chosen]], size) + pos
-        sym, owner = self._merge_all(ids[where], owner, pos, uniq)
+        draw = mix(row_keys[row] + nth * np.uint64(0x9E3779B97F4A7C15))
+        if self.variants:
+            draw %= self.variants
+        chunk = span_hashes(text, starts, ends)
+        key = mix(chunk ^ mix(self.seed + draw * np.uint64(0xD1342543DE82EF95)))
+        uniq, first, back = np.unique(chunk, return_index=True, return_inverse=True)
+        short = ends[first] - starts[first] <= LONG_CHUNK
+        chosen = np.flatnonzero(short)
+        sym, owner, merges, places = self._merge_all(*self._symbols(ids, starts, ends, first[chosen], chosen), len(uniq))
+        own = np.zeros(len(starts), bool)
+        if self.limit:
+            own = self._touched(key, back, merges, places, len(uniq)) | ~short[back]
         parts, owners = [sym], [owner]
-        for c in np.flatnonzero(~short):
-            out = self._merge_long(ids[starts[first[c]] : ends[first[c]]], uniq[c])
-            parts.append(out)
-            owners.append(np.full(len(out), c))
+        number = np.where(own, len(uniq) + np.cumsum(own) - 1, back)  # of the result that each occurrence takes
         alone_chunks = np.flatnonzero(alone[starts[first]])
         if len(alone_chunks):  # characters without a piece become bytes
             for c in alone_chunks:
@@ -232,15 +241,44 @@ class Coder:
                 owners.append(np.full(len(raw), c))
             known = parts[0] >= 0
             parts[0], owners[0] = parts[0][known], owners[0][known]
+        again = np.flatnonzero(own & short[back])
+        for k in range(0, len(again), OWN_CHUNKS):
+            some = again[k : k + OWN_CHUNKS]
+            sym, owner, _, _ = self._merge_all(*self._symbols(ids, starts, ends, some, np.arange(len(some))), len(some), key[some])
+            parts.append(sym)
+            owners.append(number[some][owner])
+        for c in np.flatnonzero(own & ~short[back]) if self.limit else first[~short]:
+            out = self._merge_long(ids[starts[c] : ends[c]], key[c])
+            parts.append(out)
+            owners.append(np.full(len(out), number[c]))
         sym, owner = np.concatenate(parts), np.concatenate(owners)
         order = np.argsort(owner, kind="stable")
-        sym, count = sym[order].astype(np.int32), np.bincount(owner, minlength=len(uniq))
+        sym, count = sym[order].astype(np.int32), np.bincount(owner, minlength=len(uniq) + int(own.sum()))
         begin = np.cumsum(count) - count
-        each = count[back]
-        flat = np.repeat(begin[back] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        each = count[number]
+        flat = np.repeat(begin[number] - (np.cumsum(each) - each), each) + np.arange(each.sum())
         total = np.concatenate([[0], np.cumsum(each)])
         return sym[flat], total[np.searchsorted(starts, at)]
 
+    @staticmethod
+    def _symbols(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: np.ndarray, names: np.ndarray):
+        """Symbols of the chunks ``which``, the name of the chunk of each, and its place there."""
+        size = (ends - starts)[which]
+        owner = np.repeat(names, size)
+        pos = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+        return ids[np.repeat(starts[which], size) + pos], owner, pos
+
+    def _touched(self, key: np.ndarray, back: np.ndarray, merges: np.ndarray, places: np.ndarray, count: int) -> np.ndarray:
+        """Whether each occurrence skips any of the merges that its chunk makes without skips."""
+        order = np.argsort(merges, kind="stable")
+        places, size = places[order], np.bincount(merges, minlength=count)
+        begin = np.cumsum(size) - size
+        out = np.zeros(len(back), bool)
+        for k in range(int(size.max(initial=0))):
+            at = np.flatnonzero((size[back] > k) & ~out)
+            out[at] = self._skipped(key[at], places[begin[back[at]] + k])
+        return out
+
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes of all rows and their offsets, from ids alone; the blank that encoding puts first is cut."""
         size = np.diff(self.p.ends)[ids]
@@ -264,9 +302,9 @@ def _row_keys(column) -> np.ndarray:
     return mix(column.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
 
 
-def _encode_batches(pieces: Pieces, dropout: float, seed: int, variants: int):
+def _encode_batches(pieces: Pieces, dropout: float, seed: int):
     def run(batches):
-        coder = Coder(pieces, dropout, seed, variants)
+        coder = Coder(pieces, dropout, seed)
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
             keys = _row_keys(batch.column(0))
@@ -282,11 +320,11 @@ def _encode_batches(pieces: Pieces, dropout: float, seed: int, variants: int):
     return run
 
 
-def _digest_batches(pieces: Pieces, dropout: float, seed: int, variants: int):
+def _digest_batches(pieces: Pieces, dropout: float, seed: int):
     import zlib
 
     def run(batches):
-        coder = Coder(pieces, dropout, seed, variants)
+        coder = Coder(pieces, dropout, seed)
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
             keys = _row_keys(batch.column(0))
@@ -308,7 +346,7 @@ def _digest_batches(pieces: Pieces, dropout: float, seed: int, variants: int):
 
 def _decode_batches(pieces: Pieces):
     def run(batches):
-        coder = Coder(pieces, 0.0, 0, 1)
+        coder = Coder(pieces, 0.0, 0)
         for batch in batches:
             lists = batch.column(1)
             if isinstance(lists, pa.ChunkedArray):
@@ -321,18 +359,17 @@ def _decode_batches(pieces: Pieces):
     return run
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL, dropout: float = 0.1, seed: int = 1, variants: int = 8) -> DataFrame:
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL, dropout: float = 0.1, seed: int = 1) -> DataFrame:
     """The id (long), the text (null as empty) and ``ids`` (array of int) of every row.
 
-    Draws depend on the seed, the chunk and one of ``variants`` variants, which
-    the id and the chunk's number in the text decide; with ``dropout`` 0 the segmentation is the model's own, but for a
+    Draws depend on the seed, the id, the chunk and its number in the text; with ``dropout`` 0 the segmentation is the model's own, but for a
     U+2581 in the text, which becomes bytes.  Whole texts are encoded; an empty text has no ids.
     Rows that repeat an id and text get equal ids.  Each block is decoded
     again and compared, and a difference raises an error.
     """
     arrow_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    out = plain.mapInArrow(_encode_batches(load_pieces(model), dropout, seed, variants), "id long, text string, ids array<int>")
+    out = plain.mapInArrow(_encode_batches(load_pieces(model), dropout, seed), "id long, text string, ids array<int>")
     return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "ids")
 
 
@@ -343,7 +380,7 @@ def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str =
     return plain.mapInArrow(_decode_batches(load_pieces(model)), "id long, text string").withColumnRenamed("id", id_col)
 
 
-def round_trips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL, dropout: float = 0.1, seed: int = 1, variants: int = 8) -> DataFrame:
+def round_trips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL, dropout: float = 0.1, seed: int = 1) -> DataFrame:
     """Encode and decode every text; digests of both, and whether the text came back.
 
     Returns the id, ``n_bytes`` and ``n_tokens`` (long), ``ids_crc32`` (of the ids as
@@ -352,4 +389,4 @@ def round_trips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     arrow_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     schema = "id long, n_bytes long, n_tokens long, ids_crc32 long, decoded_crc32 long, lossless boolean"
-    return plain.mapInArrow(_digest_batches(load_pieces(model), dropout, seed, variants), schema).withColumnRenamed("id", id_col)
+    return plain.mapInArrow(_digest_batches(load_pieces(model), dropout, seed), schema).withColumnRenamed("id", id_col)

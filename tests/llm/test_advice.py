@@ -1,6 +1,8 @@
 """Cases in which operators once did less than their whole job."""
 
-from loomtide.llm import html_extract
+import numpy as np
+
+from loomtide.llm import html_extract, spm_dropout
 
 
 def test_line_blocks_decide_beside_articles():
@@ -14,3 +16,27 @@ def test_line_blocks_decide_beside_articles():
     framed = "<article class=\"post has-comments\">" + divs.replace("<div>more", "<div><a href=3>Linked line</a></div><div>more") + "</article>"
     assert html_extract.main_text(f"<body>{framed}</body>") == want.replace("more", "Linked line\n\nmore", 1)
     assert html_extract.main_text("<main><p>x</p></main>" + "<div><a>l</a></div>" * 4 + f"<div>{body[0]}</div>") == body[0].strip()
+
+
+def test_each_occurrence_draws(spark, monkeypatch):
+    n = 20_000
+    rows = [(1, " ".join(["a"] * n)), (2, " ".join(["extraordinary"] * 2_000)), *((10 + k, "a") for k in range(n))]
+    got = {r.doc_id: r.ids for r in spm_dropout.encode_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert abs(len(got[1]) / n - 1.1) < 0.01  # one merge a word, and a tenth of them are skipped
+    assert abs(sum(len(got[10 + k]) for k in range(n)) / n - 1.1) < 0.01
+    pieces = spm_dropout.load_pieces()
+    words, word, size = set(), [], 0
+    for i in got[2]:
+        word.append(i)
+        size += int(pieces.ends[i + 1] - pieces.ends[i])
+        if size == len(" extraordinary"):
+            words.add(tuple(word))
+            word, size = [], 0
+    assert len(words) > 8
+
+    text = np.frombuffer("extraordinary words and words of an extraordinary kind ▁ 日本語 \x00 kind".encode("utf-32-le"), np.uint32)
+    points, ends, keys = np.tile(text, 40), np.arange(41) * len(text), spm_dropout.mix(np.arange(40, dtype=np.uint64))
+    together = spm_dropout.Coder(pieces, 0.1, 1).encode(points, ends, keys)
+    monkeypatch.setattr(spm_dropout, "LONG_CHUNK", 1)  # every occurrence by the heap, with its own draws
+    alone = spm_dropout.Coder(pieces, 0.1, 1).encode(points, ends, keys)
+    assert np.array_equal(together[0], alone[0]) and np.array_equal(together[1], alone[1])
