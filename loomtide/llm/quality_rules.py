@@ -89,8 +89,8 @@ def judge_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     host_col: str = "source",
-    max_share: float = 0.15,
-    min_documents: int = 20,
+    max_share: float = 0.05,
+    min_documents: int = 3,
     min_words_left: float = 0.5,
 ) -> DataFrame:
     """Statistics and verdict of every row.
@@ -100,7 +100,7 @@ def judge_documents(
     words in repeated 3-word windows), ``n_lost_words`` (words on lines that
     are removed) and ``kept``.  A line (A-Z lower-cased, blanks cut at its ends) is removed where
     more than ``max_share`` of its host's documents and more than ``min_documents`` of them
-    hold it; a document that keeps less than ``min_words_left`` of its words
+    hold it, so that small hosts lose their templates too; a document that keeps less than ``min_words_left`` of its words
     is depleted and rejected.
 
     A null text has no words and fails; a null host is a host of its own; rows that repeat an id

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from loomtide.llm import html_extract, spm_dropout
+from loomtide.llm import html_extract, quality_rules, spm_dropout
 
 
 def test_line_blocks_decide_beside_articles():
@@ -40,3 +40,20 @@ def test_each_occurrence_draws(spark, monkeypatch):
     monkeypatch.setattr(spm_dropout, "LONG_CHUNK", 1)  # every occurrence by the heap, with its own draws
     alone = spm_dropout.Coder(pieces, 0.1, 1).encode(points, ends, keys)
     assert np.array_equal(together[0], alone[0]) and np.array_equal(together[1], alone[1])
+
+
+def test_frequent_lines_of_small_hosts(spark):
+    def page(host, k, template):
+        return "\n".join([*([" ".join(f"{host} template {j}" for j in range(30))] if template else []), " ".join(f"{host}{k}-{j}" for j in range(60))])
+
+    rows = [(k, page("small", k, True), "small") for k in range(8)]
+    rows += [(10 + k, page("rare", k, k < 3), "rare") for k in range(8)]  # in too few documents
+    rows += [(100 + k, page("big", k, k < 20), "big") for k in range(200)]  # a tenth of the host
+    rows += [(300 + k, page("wide", k, k < 8), "wide") for k in range(200)]  # under a twentieth
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.n_lost_words, r.base_failed, r.kept) for r in quality_rules.judge_documents(table).collect()}
+    assert [got[k] for k in range(8)] == [(90, False, False)] * 8
+    assert [got[10 + k] for k in range(8)] == [(0, False, True)] * 8
+    assert [got[100 + k] for k in range(200)] == [(90, False, False)] * 20 + [(0, False, True)] * 180
+    assert [got[300 + k] for k in range(200)] == [(0, False, True)] * 200
+    assert {r.doc_id for r in quality_rules.keep_good_documents(table).collect()} == {k for k, v in got.items() if v[2]}
