@@ -1,35 +1,40 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-For every item of n words, the windows of n words of a document are compared
-with it by 64-bit SimHash of their weighted 5-word shingles.  Fingerprints are
-split into four blocks of 16 bits: within a distance of 20, one block is
-within 5, so the block index loses no fingerprint inside the radius.  What
-passes is confirmed by exact weighted Jaccard similarity of the shingle multisets.
-
-At a similarity of 0.8 fingerprints lie some 10 bits apart, so radius 20 is
-needed, and blocks alone pass a third of unrelated windows.  A lossless test
-therefore goes first: windows without any shingle of the item have similarity 0.
+For every item of n words, the windows of n words of a document are compared with it by 64-bit
+SimHash of their weighted 5-word shingles.  Item fingerprints form a multi-index: a table keyed by
+the item's size and each of eight 8-bit blocks, with one row for every value within 2 bits of the
+block.  Two fingerprints within ``RADIUS`` (23) have a block within 2 bits, as 8 * 3 > 23, so a join of the
+windows' blocks with that table finds every item within the radius and names the candidates.  They are
+then verified by the exact weighted Jaccard similarity of the shingle multisets.
+
+A window can only reach the threshold if enough of its shingles occur in some item, whichever; windows
+that fail this count get no fingerprint.  The count reads a bit table of all item shingles
+whose size is bounded; a false positive of it costs time and changes nothing.
+
+At a similarity of 0.8, fingerprints lie 9.7 bits apart on average (sigma 2.9), so the radius is 4.6 sigma away.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import arrow_batches
+from .scratch import arrow_batches, stored
 from .textkit import LOWER, blocks, mix, runs, span_hashes, utf8, window_hashes
 
 SHINGLE = 5
-RADIUS = 20
-BLOCK_BITS = 16
-#: Text of the items that one pass over the documents carries to the executors.
-ITEM_BLOCK_BYTES = 16 << 20
+RADIUS = 23
+BLOCK_BITS = 8
+#: Bits in which a block of the multi-index may differ.
+BLOCK_RADIUS = RADIUS // (64 // BLOCK_BITS)
+#: Bits of the largest table of item shingles (32 MB); what one bit table can't tell apart only costs time.
+MAX_TABLE_BITS = 1 << 28
+#: Windows whose votes are summed at a time.
+STRETCH = 8192
 
-FOUND = "id long, item_id long, similarity double, word_start long, n_window_words long, distance int"
+REGIONS = "id long, doc_row long, first long, shingles binary, windows array<struct<size:int,words:int,start:long,print:long>>"
 
 
 def _word_table() -> np.ndarray:
@@ -47,155 +52,217 @@ def plain_words(data: np.ndarray, offsets: np.ndarray):
     return span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
 
 
-def _bits(shingles: np.ndarray) -> np.ndarray:
-    return ((mix(shingles)[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.int32) * 2 - 1
-
-
-def _pack(votes: np.ndarray) -> np.ndarray:
-    return ((votes > 0).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=-1, dtype=np.uint64)
-
-
-def within_radius(fingerprints: np.ndarray, other: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """Indices within RADIUS of ``other`` and their distances, by blocks first."""
-    apart = fingerprints ^ other
-    n_blocks = 64 // BLOCK_BITS
-    parts = (apart[:, None] >> (np.arange(n_blocks, dtype=np.uint64) * np.uint64(BLOCK_BITS))) & np.uint64((1 << BLOCK_BITS) - 1)
-    near = np.flatnonzero((np.bitwise_count(parts) <= RADIUS // n_blocks).any(axis=1))
-    distance = np.bitwise_count(apart[near])
-    return near[distance <= RADIUS], distance[distance <= RADIUS]
-
-
-class _Items:
-    """Shingles and fingerprints of one block of items, grouped by shingle width."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        data, offsets = utf8(pa.array([t for _, t in items], pa.string()))
-        words, where = plain_words(data, offsets)
-        self.ids = [i for i, _ in items]
-        self.size = np.diff(where)
-        self.votes, self.sets = {}, {}
-        by_width: dict[int, list] = {}
-        for k, n in enumerate(self.size):
-            if n:
-                width = min(SHINGLE, int(n))
-                found = window_hashes(words[where[k] : where[k + 1]], width)
-                self.sets[k] = np.unique(found, return_counts=True)
-                self.votes[k] = _pack(_bits(found).sum(axis=0))
-                by_width.setdefault(width, []).append((self.sets[k][0], np.full(len(self.sets[k][0]), k)))
-        self.index = {}
-        for width, parts in by_width.items():
-            hashes, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(hashes, kind="stable")
-            seen = np.zeros(1 << 20, bool)
-            seen[hashes & np.uint64((1 << 20) - 1)] = True
-            self.index[width] = (hashes[order], owner[order], seen)
-
-    def hits(self, words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Shingles of the words; positions and items of those that an item has."""
-        hashes, owner, seen = self.index[width]
-        shingles = window_hashes(words, width)
-        at = np.flatnonzero(seen[shingles & np.uint64((1 << 20) - 1)])
-        lo, hi = np.searchsorted(hashes, shingles[at], "left"), np.searchsorted(hashes, shingles[at], "right")
-        count = hi - lo
-        flat = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(at) else np.zeros(0, np.int64)
-        return shingles, np.repeat(at, count), owner[flat]
-
-    def best(self, shingles: np.ndarray, width: int, n_words: int, item: int, at: np.ndarray):
-        """(similarity, start, words, distance) of the best window of the item's size, or None."""
-        n = min(int(self.size[item]), n_words)
-        span, top = n - width + 1, n_words - n
-        # Starts of windows that hold a hit, as a union of ranges.
-        edge = np.zeros(top + 2, np.int64)
-        np.add.at(edge, np.clip(at - span + 1, 0, top), 1)
-        np.add.at(edge, np.minimum(at, top) + 1, -1)
-        starts = np.flatnonzero(np.cumsum(edge)[: top + 1] > 0)
-        lo, hi = starts[0], starts[-1] + span
+def item_shingles(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all windows of ``width`` words, different for each width."""
+    return mix(window_hashes(words, width) ^ np.uint64(width))
+
+
+def fingerprints(shingles: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
+    """SimHash of the ``span`` shingles from each of the ascending ``starts``; memory is bounded by ``STRETCH`` and the span."""
+    out = np.zeros(len(starts), np.uint64)
+    bits = np.arange(64, dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        end = max(at + 1, int(np.searchsorted(starts, starts[at] + STRETCH)))
+        lo, hi = int(starts[at]), int(starts[end - 1]) + span
         sums = np.zeros((hi - lo + 1, 64), np.int32)
-        np.cumsum(_bits(shingles[lo:hi]), axis=0, out=sums[1:])
-        near, distance = within_radius(_pack(sums[starts - lo + span] - sums[starts - lo]), self.votes[item])
-        keys, counts = self.sets[item]
-        total, found = int(counts.sum()), None
-        for k in np.argsort(distance, kind="stable"):
-            s = int(starts[near[k]])
-            own, own_counts = np.unique(shingles[s : s + span], return_counts=True)
-            _, i, j = np.intersect1d(keys, own, assume_unique=True, return_indices=True)
-            common = int(np.minimum(counts[i], own_counts[j]).sum())
-            similarity = common / (total + span - common)
-            if found is None or (similarity, -s) > (found[0], -found[1]):
-                found = (similarity, s, n, int(distance[k]))
-            if similarity == 1.0:
-                break
-        return found
-
-
-def _search(items: list[tuple[int, str]], threshold: float):
+        for k in range(lo, hi, STRETCH):
+            part = shingles[k : min(k + STRETCH, hi)]
+            sums[k - lo + 1 : k - lo + 1 + len(part)] = ((mix(part)[:, None] >> bits) & np.uint64(1)).astype(np.int32) * 2 - 1
+        np.cumsum(sums, axis=0, out=sums)
+        rows = starts[at:end] - lo
+        out[at:end] = ((sums[rows + span] > sums[rows]).astype(np.uint64) << bits).sum(axis=1, dtype=np.uint64)
+        at = end
+    return out
+
+
+def least_common(size: int, span: int, threshold: float) -> int:
+    """Shingles that an item of ``size`` shingles and a window of ``span`` must share."""
+    return int(np.ceil(threshold * (size + span) / (1 + threshold) - 1e-6))
+
+
+def _item_batches(batches):
+    names = ["item_id", "size", "print", "total", "keys", "counts"]
+    for batch in batches:
+        data, offsets = utf8(batch.column(1))
+        out = []
+        for first, last in blocks(offsets):
+            words, where = plain_words(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+            for k in range(last - first):
+                own = words[where[k] : where[k + 1]]
+                if len(own):
+                    found = item_shingles(own, min(SHINGLE, len(own)))
+                    mark = fingerprints(found, np.zeros(1, np.int64), len(found))
+                    keys, counts = np.unique(found, return_counts=True)
+                    out.append((batch.column(0)[first + k].as_py(), len(own), int(mark.view(np.int64)[0]), len(found), keys.tobytes(), counts.astype(np.int32).tobytes()))
+        columns = list(zip(*out, strict=True)) or [()] * 6
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
+def _table_bits(batches):
+    """(word, bits) of the bit table, from rows of item keys and the table's size."""
+    for batch in batches:
+        for keys, size in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            at = np.frombuffer(keys.as_buffer(), np.uint64) & np.uint64(size - 1)
+            word, back = np.unique(at >> np.uint64(6), return_inverse=True)
+            bits = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(bits, back, np.uint64(1) << (at & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+
+def shingle_table(items: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit for each shingle of any item, by its hash, and the number of bits: ``MAX_TABLE_BITS`` at most, whatever the number of items.
+
+    Where few bits are set, their places are returned in place of the table.
+    """
+    n = items.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    size = 1 << 16
+    while size < 64 * n and size < MAX_TABLE_BITS:
+        size *= 2
+    words = items.select("keys", F.lit(size).alias("size")).mapInArrow(_table_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(size // 64, np.uint64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    places = np.flatnonzero(np.unpackbits(table.view(np.uint8), bitorder="little"))
+    return (places if len(places) < len(table) else table), size
+
+
+def _known(table: np.ndarray, size: int):
+    mask = np.uint64(size - 1)
+    if table.dtype != np.uint64:  # few set bits travel as places
+        bits = np.zeros(size // 64, np.uint64)
+        np.bitwise_or.at(bits, table >> 6, np.uint64(1) << (table & 63).astype(np.uint64))
+        table = bits
+    return lambda h: (table[((h & mask) >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) > 0
+
+
+def windows_of(words: np.ndarray, hits: dict[int, np.ndarray], sizes: np.ndarray, threshold: float):
+    """(width, item size, window words, starts) of the windows of one text that hold enough known shingles; hits are running counts."""
+    for size in sizes.tolist():
+        width, n = min(SHINGLE, size), min(size, len(words))
+        span = n - width + 1
+        if span <= 0:
+            continue
+        need = least_common(size - width + 1, span, threshold)
+        total = hits[width]
+        if span < need or total[-1] < need:
+            continue
+        starts = np.flatnonzero(total[span:] - total[: len(total) - span] >= need)
+        if len(starts):
+            yield width, size, n, starts
+
+
+def _region_batches(table: np.ndarray, table_size: int, sizes: np.ndarray, threshold: float):
     def run(batches):
-        known = _Items(items)
+        known = _known(table, table_size)
+        widths = sorted({min(SHINGLE, s) for s in sizes.tolist()})
+        names = ["id", "doc_row", "first", "shingles", "windows"]
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            ids, out = batch.column(0), []
-            for first, last in blocks(offsets):
-                words, where = plain_words(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
-                for width in known.index:
-                    shingles, at, item = known.hits(words, width)
-                    row = np.searchsorted(where, at, "right") - 1
-                    inside = at + width <= where[row + 1]
-                    order = np.lexsort((at[inside], item[inside], row[inside]))
-                    at, item, row = at[inside][order], item[inside][order], row[inside][order]
-                    cuts = np.flatnonzero((np.diff(row) != 0) | (np.diff(item) != 0)) + 1
-                    for group in np.split(np.arange(len(at)), cuts) if len(at) else ():
-                        r, k = int(row[group[0]]), int(item[group[0]])
-                        n_words = int(where[r + 1] - where[r])
-                        found = known.best(shingles[where[r] : where[r + 1] - width + 1], width, n_words, k, at[group] - where[r])
-                        if found and found[0] >= threshold:
-                            out.append((ids[first + r].as_py(), known.ids[k], *found))
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["id", "item_id", "similarity", "word_start", "n_window_words", "distance"])
+            data, offsets = utf8(batch.column(2))
+            for lo, hi in blocks(offsets):
+                words, where = plain_words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                marked = {}
+                for w in widths:
+                    found = item_shingles(words, w)
+                    total = np.zeros(len(words) + 1, np.int64)
+                    np.cumsum(known(found), out=total[1 : len(found) + 1])
+                    total[len(found) + 1 :] = total[len(found)]
+                    marked[w] = found, total
+                some = np.zeros(hi - lo, bool)
+                for _, total in marked.values():
+                    some |= total[where[1:]] > total[where[:-1]]
+                out = []
+                for k in np.flatnonzero(some):
+                    own = words[where[k] : where[k + 1]]
+                    hits = {w: total[where[k] : max(where[k], where[k + 1] - w + 1) + 1] for w, (_, total) in marked.items()}
+                    hits = {w: t - t[0] for w, t in hits.items()}
+                    by_width: dict[int, list] = {}
+                    for width, size, n, starts in windows_of(own, hits, sizes, threshold):
+                        by_width.setdefault(width, []).append((size, n, starts))
+                    for width, found in by_width.items():
+                        first = min(int(s[0]) for _, _, s in found)
+                        last = max(int(s[-1]) + n - width + 1 for _, n, s in found)
+                        shingles = marked[width][0][where[k] + first : where[k] + last]
+                        windows = []
+                        for size, n, starts in found:
+                            marks = fingerprints(shingles, starts - first, n - width + 1).view(np.int64)
+                            windows += [(size, n, s, m) for s, m in zip(starts.tolist(), marks.tolist(), strict=True)]
+                        out.append((batch.column(0)[lo + k].as_py(), batch.column(1)[lo + k].as_py(), first, shingles.tobytes(), windows))
+                if out:
+                    kind = pa.list_(pa.struct([("size", pa.int32()), ("words", pa.int32()), ("start", pa.int64()), ("print", pa.int64())]))
+                    columns = list(zip(*out, strict=True))
+                    lists = pa.array([[dict(zip(("size", "words", "start", "print"), w, strict=True)) for w in ws] for ws in columns[4]], kind)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=False)), lists], names=names)
 
     return run
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, limit: int = ITEM_BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most ``limit`` bytes of text (or one item)."""
-    block, size = [], 0
-    rows = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    for item, text in rows.toLocalIterator():
-        n = len(text.encode())
-        if block and size + n > limit:
-            yield block
-            block, size = [], 0
-        block.append((item, text))
-        size += n
-    if block:
-        yield block
+def _verify_batches(batches):
+    names = ["id", "doc_row", "item_id", "similarity", "word_start", "n_window_words", "distance"]
+    for batch in batches:
+        columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+        value = np.zeros(batch.num_rows)
+        for i in range(batch.num_rows):
+            own, own_counts = np.unique(np.frombuffer(columns["window"][i].as_buffer(), np.uint64), return_counts=True)
+            keys, counts = (np.frombuffer(columns[c][i].as_buffer(), t) for c, t in (("keys", np.uint64), ("counts", np.int32)))
+            _, a, b = np.intersect1d(keys, own, assume_unique=True, return_indices=True)
+            common = int(np.minimum(counts[a], own_counts[b]).sum())
+            value[i] = common / (int(counts.sum()) + int(own_counts.sum()) - common)
+        yield pa.RecordBatch.from_arrays([pa.array(value) if n == "similarity" else columns[n] for n in names], names=names)
+
+
+def _block_value():
+    """The bits of ``print`` in the block ``block``."""
+    return F.expr(f"shiftright(print, block * {BLOCK_BITS}) & {(1 << BLOCK_BITS) - 1}")
+
+
+def multi_index(items: DataFrame) -> DataFrame:
+    """Rows (size, block, value, item_id, print): every value within ``BLOCK_RADIUS`` bits of every block of every item."""
+    near = [v for v in range(1 << BLOCK_BITS) if bin(v).count("1") <= BLOCK_RADIUS]
+    each = items.select("size", "item_id", "print", F.explode(F.sequence(F.lit(0), F.lit(64 // BLOCK_BITS - 1))).alias("block"))
+    return each.withColumn("apart", F.explode(F.array(*(F.lit(v) for v in near)))).select("size", "block", _block_value().bitwiseXOR(F.col("apart")).alias("value"), "item_id", F.col("print").alias("item_print"))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds, each with its best window.
 
-    Returns the id and ``item_id`` (long), ``similarity`` (weighted Jaccard of the 5-word
-    shingles, at least ``threshold``), ``word_start`` and ``n_window_words``,
-    and the SimHash ``distance``; one row per row of ``docs`` and item.  Words are runs of
+    Returns the id (as ``doc_id`` where its own name is that of another result column), ``item_id`` (long), ``similarity`` (weighted Jaccard of the 5-word
+    shingles, at least ``threshold``), ``word_start`` and ``n_window_words`` (the first of the best windows),
+    and the SimHash ``distance``; one row per row of ``docs`` and item row.  Words are runs of
     letters, digits and non-ASCII characters, A-Z lower-cased.  Items of fewer than
     five words match as one shingle; a document shorter than the item is one
-    window.  Null or empty texts and items match nothing.
+    window.  Null or empty texts and items, and items without an id, match nothing; extra columns are ignored; empty tables give no rows.
 
-    The items travel to the tasks in blocks of bounded size, one pass over
-    the documents for each block, so a benchmark of any size is served.
+    Items, windows and candidates are tables; only the bit table of item shingles (at most 32 MB)
+    and the distinct item sizes reach the driver.  Item rows of one id are items of their own.
     """
-    arrow_batches(docs.sparkSession)
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = None
-    for block in item_blocks(items, item_id_col, item_text_col):
-        part = plain.mapInArrow(_search(block, threshold), FOUND)
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], FOUND)
-    return found.withColumnRenamed("id", id_col)
+    spark = docs.sparkSession
+    arrow_batches(spark)
+    named = items.where(F.col(item_id_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
+    known = stored(named.mapInArrow(_item_batches, "item_id long, size int, print long, total int, keys binary, counts binary").withColumn("item_row", F.monotonically_increasing_id()), "items")
+    sizes = np.array(sorted(r[0] for r in known.select("size").distinct().collect()), np.int64)
+    table, table_size = shingle_table(known)
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("doc_row"), F.col(text_col).cast("string").alias("text"))
+    regions = stored(plain.mapInArrow(_region_batches(table, table_size, sizes, threshold), REGIONS).withColumn("region", F.monotonically_increasing_id()), "regions")
+    probes = regions.select("region", F.explode("windows").alias("w")).select("region", "w.*")
+    probes = probes.select("*", F.explode(F.sequence(F.lit(0), F.lit(64 // BLOCK_BITS - 1))).alias("block"))
+    probes = probes.withColumn("value", _block_value())
+    index = stored(multi_index(known.select("size", "print", F.col("item_row").alias("item_id"))), "index")
+    distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
+    met = probes.join(index, ["size", "block", "value"]).withColumn("distance", distance).where(F.col("distance") <= RADIUS)
+    candidates = stored(met.select("region", "size", "words", "start", F.col("item_id").alias("item_row"), "distance").distinct(), "candidates")
+    span = F.col("words") - F.least(F.lit(SHINGLE), F.col("size")) + 1
+    window = F.substring(F.col("shingles"), ((F.col("start") - F.col("first")) * 8 + 1).cast("int"), (span * 8).cast("int"))
+    cut = candidates.join(regions.select("region", "id", "doc_row", "first", "shingles"), "region").select("id", "doc_row", F.col("start").alias("word_start"), F.col("words").alias("n_window_words"), "distance", "item_row", window.alias("window"))
+    pairs = cut.join(known.select("item_row", "keys", "counts"), "item_row").select("id", "doc_row", F.col("item_row").alias("item_id"), "word_start", F.col("n_window_words").cast("long").alias("n_window_words"), "distance", "window", "keys", "counts")
+    verified = pairs.mapInArrow(_verify_batches, "id long, doc_row long, item_id long, similarity double, word_start long, n_window_words long, distance int").where(F.col("similarity") >= threshold)
+    best = verified.groupBy("id", "doc_row", F.col("item_id").alias("item_row")).agg(F.max(F.struct("similarity", (-F.col("word_start")).alias("before"), "word_start", "n_window_words", "distance")).alias("b"))
+    out = "doc_id" if id_col.lower() in ("item_id", "similarity", "word_start", "n_window_words", "distance") else id_col
+    return best.join(known.select("item_row", "item_id"), "item_row").select(F.col("id").alias(out), "item_id", "b.similarity", "b.word_start", "b.n_window_words", "b.distance")
 
 
 def drop_leaking_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id has no leak; rows with a null id stay."""
-    leaks = find_leaks(docs, items, id_col, text_col, **options).where(F.col(id_col).isNotNull()).select(id_col).distinct()
-    return docs.join(leaks, id_col, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` whose id has no leak; rows with a null id stay, and all columns as they are."""
+    found = find_leaks(docs, items, id_col, text_col, **options)
+    leaks = stored(found.select(F.col(found.columns[0]).alias("leaking_id")).where("leaking_id IS NOT NULL").distinct(), "leaking")
+    return docs.join(leaks, docs[id_col].cast("long") == leaks["leaking_id"], "left_anti")

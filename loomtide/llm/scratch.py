@@ -11,9 +11,14 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; one of our own only where it is unset (as in tests)."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a local session (one machine, as in tests) gets a folder of its own, and a cluster an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="loomtide-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
