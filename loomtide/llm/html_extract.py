@@ -29,17 +29,35 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template svg math iframe object textarea title select button canvas audio video".split())
 #: Elements that never hold the article.
 ASIDE = frozenset("nav footer aside form menu dialog head".split())
-#: Words of a class, id or role that mark what is no part of the article.
-WORDS = r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|sidebar|side-bar|widget|menu|navbar|nav|navigation|breadcrumbs?|pagination|footer|related|recommend\w*|comments?|disqus|reply|respond|complementary|contentinfo|search)(?:$|[\s_-])"
-MARKS = re.compile(rf"(?:^|[\s_-]){WORDS}", re.I)
-#: On an article element the mark begins a name: "comment-body", but not "has-comments".
-ARTICLE_MARKS = re.compile(rf"(?:^|\s){WORDS}", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-
-
-def _marked(attributes: str, marks: re.Pattern = MARKS) -> bool:
-    return bool(attributes) and any(marks.search(a or b or c) for a, b, c in NAMED.findall(attributes))
+#: Names in a class, id or role that mark what is no part of the article.
+NAMES = frozenset(
+    "ad ads adbox adslot adunit adsbygoogle advert adverts advertisement advertising banner banners sponsor sponsored promo promotion cookie cookies consent notice gdpr popup modal newsletter "
+    "subscribe signup login share sharing social sidebar widget menu navbar nav navigation breadcrumb breadcrumbs pagination footer related recommended recommendations comment comments disqus "
+    "reply replies respond complementary contentinfo".split()
+)
+#: Whole names that mark a search form; a list of results is text.
+WHOLE_NAMES = frozenset("search searchbox search-box search-form searchform side-bar".split())
+#: A name that begins so says how the page is laid out, not what the element is.
+LAYOUT = frozenset("has no not with without is show hide".split())
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+)(?:>|\Z)",
+    re.S,
+)
+NAMED = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+
+
+def _marked(attributes: str, first_only: bool = False) -> bool:
+    """Whether a name in class, id or role, as a whole or by its first or last part, says that the element is no part of the article.
+
+    With ``first_only``, for article elements, the last part says nothing: "post-comments" may hold the post.
+    """
+    for values in NAMED.findall(attributes):
+        for name in "".join(values).lower().split():
+            parts = re.split(r"[-_]+", name.strip("-_"))
+            if name in WHOLE_NAMES or (parts[0] not in LAYOUT and (parts[0] in NAMES or (not first_only and parts[-1] in NAMES))):
+                return True
+    return False
 
 
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
@@ -54,6 +72,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
     stack: list[tuple[str, bool, bool]] = []  # name, hides its text, lies in the article
     hidden = article = False
     in_link = 0
+    unclosed: set[str] = set()  # raw elements that have no end tag any more
 
     def close_line() -> None:
         nonlocal linked
@@ -94,7 +113,10 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
                 if stack[k][0] in ("article", "main", "body") and name not in ("body", "html"):
                     break  # a stray end tag doesn't close the article
         elif name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at) if not token[3].rstrip().endswith("/") else None
+            alone = token[3].rstrip().endswith("/")
+            end = None if alone or name in unclosed else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            if not end and not alone:
+                unclosed.add(name)
             if end:
                 at = end.end()
             elif name in ("script", "style", "textarea", "title", "template"):
@@ -108,8 +130,9 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
                 stack.pop()
             if name in BLOCKS:
                 outer = stack[-1] if stack else ("", False, False)
-                aside = name in ASIDE or (name == "header" and not outer[2]) or (name not in ("html", "body", "main") and _marked(token[3], ARTICLE_MARKS if name == "article" else MARKS))
-                stack.append((name, outer[1] or aside, outer[2] or name in ("article", "main")))
+                aside = name in ASIDE or (name == "header" and not outer[2]) or (name not in ("html", "body", "main") and _marked(token[3], name == "article"))
+                # The main element holds the article whatever the names around it say.
+                stack.append((name, (outer[1] and name != "main") or aside, outer[2] or name in ("article", "main")))
                 in_link = 0
         hidden = bool(stack) and stack[-1][1]
         article = bool(stack) and stack[-1][2]
@@ -123,8 +146,8 @@ def main_lines(lines: list[tuple[str, int, bool]], window: int = WINDOW, surge:
     A stretch of lines begins where the sum of a window rises from nothing
     and ends where it falls back to nothing; it is kept if its sum surges
     above ``surge`` characters, or half of the largest sum where that is less.
-    Characters of an article or main element count ``WEIGHT`` times, and a
-    line of links in one stays where text of its stretch lies on both sides.
+    Characters of an article or main element count ``WEIGHT`` times.  A line
+    of links stays where text of its stretch lies on both sides.
     """
     lengths = [n * WEIGHT if inside else n for _, n, inside in lines]
     sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
@@ -137,7 +160,7 @@ def main_lines(lines: list[tuple[str, int, bool]], window: int = WINDOW, surge:
             dive += 1
         if max(sums[rise:dive], default=0) > bound:
             full = [k for k in range(rise, dive) if lengths[k]]
-            kept += [lines[k][0] for k in range(full[0], full[-1] + 1) if lengths[k] or lines[k][2]]
+            kept += [line[0] for line in lines[full[0] : full[-1] + 1]]
         rise = dive + 1
     return kept
 

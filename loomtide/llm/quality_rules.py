@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,6 +109,12 @@ def judge_documents(
     are counted as distinct (host, line, id) rows and then summed with
     partial aggregation, so a hot host or line is spread over all tasks.
     """
+    judged, _ = _judge(docs, id_col, text_col, host_col, max_share, min_documents, min_words_left)
+    return judged.select(F.col("id").alias(id_col), "text_hash", *STATISTICS, "base_failed", "n_lost_words", "kept")
+
+
+def _judge(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_share: float = 0.05, min_documents: int = 3, min_words_left: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Verdicts with host and line keys, and the removed (host, line) pairs."""
     spark = docs.sparkSession
     arrow_batches(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -119,16 +126,53 @@ def judge_documents(
     removed = stored(held.join(sizes, "host").where(F.col("holders") > max_share * F.col("documents")).select("host", "line"), "frequent")
     each = marked.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     lost = each.join(removed, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("lost"))
-    judged = marked.drop("lines", "line_words", "host").join(lost, "row", "left").withColumn("n_lost_words", F.coalesce("lost", F.lit(0)).cast("long"))
+    judged = marked.drop("line_words").join(lost, "row", "left").withColumn("n_lost_words", F.coalesce("lost", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.col("n_lost_words") >= min_words_left * F.col("n_words")
-    return judged.select(F.col("id").alias(id_col), F.col("th").alias("text_hash"), *STATISTICS, failed.alias("base_failed"), "n_lost_words", (~failed & left).alias("kept"))
+    return judged.select("id", "host", "lines", F.col("th").alias("text_hash"), *STATISTICS, failed.alias("base_failed"), "n_lost_words", (~failed & left).alias("kept")), removed
+
+
+def _without_lines(texts: pd.Series, keys: pd.Series) -> pd.Series:
+    out = []
+    for text, gone in zip(texts, keys, strict=True):
+        if text is not None and gone is not None:
+            data, offsets = utf8(pa.array([text]))
+            starts, ends, _ = word_bounds(data, offsets)
+            ls, le, _ = line_bounds(data, offsets)
+            first, last = np.searchsorted(starts, ls), np.searchsorted(starts, le)
+            full = np.flatnonzero(last > first)
+            found = span_hashes(LOWER[data], starts[first[full]], ends[last[full] - 1]).view(np.int64)
+            drop = set(full[np.isin(found, np.asarray(gone, np.int64))].tolist())
+            text = "\n".join(line for k, line in enumerate(text.split("\n")) if k not in drop)
+        out.append(text)
+    return pd.Series(out, dtype=object)
 
 
 def keep_good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
-    """The rows of ``docs`` that ``judge_documents`` keeps, unchanged; null ids are matched as such."""
-    verdicts = judge_documents(docs, id_col, text_col, host_col, **limits)
-    gone = stored(verdicts.where(~F.col("kept")).select(F.col(id_col).alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "rejected")
-    hashed = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    same = docs[id_col].cast("long").eqNullSafe(gone["gone_id"]) & (hashed == gone["gone_hash"])
-    return docs.join(gone, same, "left_anti")
+    """The rows of ``docs`` that ``judge_documents`` keeps, without the lines that are removed on their host.
+
+    Rows are told apart by id, text and host; repeated rows share a verdict, and null ids and hosts are
+    values of their own.  A kept text without removed lines is unchanged, a null text or one that fails
+    is no kept text, other columns stay as they are, and an empty table gives no rows.
+    """
+    judged, removed = _judge(docs, id_col, text_col, host_col, **limits)
+    each = judged.where("kept").select("id", "text_hash", "host", F.explode("lines").alias("line")).join(removed, ["host", "line"])
+    cut = each.groupBy("id", "text_hash", "host").agg(F.collect_set("line").alias("cut_lines"))
+    gone = judged.where("NOT kept").select("id", "text_hash", "host").distinct().withColumn("cut_lines", F.lit(None).cast("array<long>"))
+    changes = stored(gone.union(cut), "changes")
+    names = {c: _free(docs, c) for c in ("change_id", "change_hash", "change_host", "change_lines")}
+    marked = changes.select(*(F.col(a).alias(b) for a, b in zip(("id", "text_hash", "host", "cut_lines"), names.values(), strict=True)), F.lit(True).alias(_free(docs, "changed")))
+    cid, chash, chost, clines = names.values()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(cid)) & (F.xxhash64(text) == F.col(chash)) & (F.coalesce(F.col(host_col).cast("string"), F.lit("\0")) == F.col(chost))
+    joined = docs.join(marked, same, "left").where(F.col(_free(docs, "changed")).isNull() | F.col(clines).isNotNull())
+    rewrite = F.pandas_udf(_without_lines, "string")
+    new = rewrite(F.when(F.col(clines).isNotNull(), F.col(text_col)), F.col(clines))
+    return joined.select(*(F.when(F.col(clines).isNotNull(), new).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, or it with underscores until no column of ``docs`` has it."""
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name

@@ -112,7 +112,7 @@ def oracle_sql() -> dict[str, str]:
             crc_table AS (SELECT list(c ORDER BY i) AS crc_list FROM bits WHERE k = 8),
             placed AS (SELECT doc_id, coalesce(strlen(text), 0) + 1 AS size, text,
                 CAST({_place_sql("", sharding.standard_tree(8))} AS INTEGER) AS shard,
-                CAST({_place_sql("", sharding.standard_tree(9))} AS INTEGER) AS grown_shard, crc_list FROM documents, crc_table)
+                CASE WHEN {_draw_sql("/tree8")} / 8 <= {_draw_sql("/added/rack0/8")} THEN CAST({_place_sql("", sharding.standard_tree(8))} AS INTEGER) ELSE 8 END AS grown_shard, crc_list FROM documents, crc_table)
             SELECT doc_id, size, {CRC32_SQL.format(text="coalesce(text, '')")} AS text_crc32, 'key' AS law, shard,
                 row_number() OVER (PARTITION BY shard ORDER BY doc_id, size) - 1 AS slot, grown_shard FROM placed""",
         "op5_line_dedup": f"""

@@ -15,19 +15,15 @@ from .scratch import stored
 
 #: A tree is {region: {rack: {shard: weight}}}; names are strings, shards ints.
 Tree = dict[str, dict[str, dict[int, float]]]
+#: Shards of the tree that other counts grow from or shrink from.
+BASE = 8
 
 
-def standard_tree(shards: int, base: int = 8, fanout: int = 2) -> Tree:
-    """``base`` shards in regions of ``fanout`` racks of ``fanout`` shards; each further shard is a region of its own.
-
-    A new region only takes keys into itself, so a count raised beyond
-    ``base`` by one moves keys into the new shard alone.
-    """
+def standard_tree(shards: int, fanout: int = 2) -> Tree:
+    """``shards`` shards of weight 1, in regions of ``fanout`` racks of ``fanout`` shards."""
     tree: Tree = {}
-    for s in range(min(shards, base)):
+    for s in range(shards):
         tree.setdefault(f"region{s // fanout**2}", {}).setdefault(f"rack{s // fanout % fanout}", {})[s] = 1.0
-    for s in range(base, shards):
-        tree[f"added{s}"] = {"rack0": {s: 1.0}}
     return tree
 
 
@@ -68,11 +64,30 @@ def place(key: Column, tree: Tree) -> Column:
     return level("", tree)
 
 
+def place_among(key: Column, shards: int, base: int = BASE) -> Column:
+    """The shard of a key among ``shards`` of weight 1; one more shard only takes keys into itself, at every count.
+
+    The standard tree of ``base`` shards decides first.  Each shard beyond it draws against the
+    whole tree that was there before, and takes the keys that it wins.  Of fewer shards, the keys of
+    those that are missing descend anew, from the last shard to the first missing one, through the tree of the shards before it.
+    The cost grows with the distance of ``shards`` from ``base``.
+    """
+    if shards < 1:
+        raise ValueError("no shards")
+    key = F.coalesce(key.cast("string"), F.lit(""))
+    out = place(key, standard_tree(base))
+    for s in range(base, shards):
+        out = _choice(key, [(f"/tree{s}", float(s), out), (f"/added/rack0/{s}", 1.0, F.lit(s).cast("int"))])
+    for s in range(base - 1, shards - 1, -1):
+        out = F.when(out == s, place(F.concat(key, F.lit(f"|without{s}")), standard_tree(s))).otherwise(out)
+    return out
+
+
 def _weight(node) -> float:
     return sum(_weight(x) for x in node.values()) if isinstance(node, dict) else float(node)
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", tree: Tree | None = None, grown: Tree | None = None) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", tree: Tree | None = None, grown: Tree | None = None, base: int = BASE) -> DataFrame:
     """Place every row; number the rows of each shard from 0 without gaps, in order of id.
 
     Returns id (long), ``size`` (UTF-8 bytes plus 1; a null text has none),
@@ -80,21 +95,20 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     ``slot`` and ``grown_shard`` (the place after one more shard).  The id and
     the tree alone decide the shard, so rows of one id share one; a null id
     is a key of its own.  Ties of id are numbered by size, checksum and row.
-    Extra columns are ignored; an empty table gives no rows.
+    Extra columns are ignored; an empty table gives no rows.  Trees of the caller's own replace the
+    standard one; a changed weight there moves keys only into or out of its subtree.
 
     Slots come from a range repartition by (shard, id, ..., row), which
     splits even a repeated id, and from offsets of one row per partition and shard.
     """
     text = F.col(text_col).cast("string")
     key = F.col(id_col).cast("long")
-    tree = tree or standard_tree(shards)
-    grown = grown or standard_tree(shards + 1)
     rows = docs.select(
         key.alias("id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc"),
-        place(key, tree).alias("shard"),
-        place(key, grown).alias("grown"),
+        (place(key, tree) if tree else place_among(key, shards, base)).alias("shard"),
+        (place(key, grown) if grown else place_among(key, shards + 1, base)).alias("grown"),
         F.monotonically_increasing_id().alias("row"),
     )
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
