@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored, stored_with
+from .scratch import discard, stored_with
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -43,7 +43,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     if before["n"] == 0:
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
-        now, after = stored_with(_small_star(_large_star(now)), "edges", *state)
+        last = now
+        now, after = stored_with(_small_star(_large_star(last)), "edges", *state)
+        discard(last)
         if after == before:
             roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots).distinct()

@@ -33,7 +33,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``\\n`` in their order.  A null or empty text is one empty line and
     becomes the empty text.  Rows that repeat an id are one document;
     rows with a null id are returned unchanged and count for no other row.
-    Other columns are passed on as they are.
+    Other columns are passed on as they are; columns of ``docs`` named ``n_lines`` or ``n_dropped`` give way to the new ones.
 
     Keys are compared by 128 bits of hash.  Per key, distinct documents are
     counted after a partial aggregation, so a line in a third of all
@@ -56,5 +56,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = rows.join(found.hint("shuffle_hash"), [rid, rth], "left")
     split = F.split(text, "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(rdrops)), lambda p: F.element_at(split, p + 1))
-    whole = [F.when(F.col(rdrops).isNull(), F.when(F.col(id_col).isNull(), F.col(text_col)).otherwise(text)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    whole = [F.when(F.col(rdrops).isNull(), F.when(F.col(id_col).isNull(), F.col(text_col)).otherwise(text)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     return joined.select(*whole, (F.size(split)).cast("long").alias("n_lines"), F.coalesce(F.size(rdrops), F.lit(0)).cast("long").alias("n_dropped"))

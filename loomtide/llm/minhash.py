@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import arrow_batches, stored
+from .scratch import arrow_batches, discard, stored
 from .textkit import mix, shingle_sets
 
 PERMUTATIONS = 64
@@ -32,9 +32,8 @@ MAX_BIT_DISTANCE = 32
 #: Sets below this size are not screened by bits: their slots depend on each other.
 SCREENED_SIZE = 24
 
-#: Open buckets up to this size are compared pair by pair; larger ones in blocks.
+#: Open buckets up to this size are compared pair by pair; the members of larger ones by their rarest shingles.
 SMALL_BUCKET = 32
-CROWD_BLOCK = 256
 
 SIGNATURE = "n_shingles long, d1 long, d2 long, s1 long, s2 long, bands array<long>"
 
@@ -71,8 +70,7 @@ def _signature_batches(width: int):
                 if not len(found):
                     continue
                 slots = min_max(found, multipliers, offsets)
-                out[i, 0] = mix(found).sum(dtype=np.uint64)
-                out[i, 1] = np.bitwise_xor.reduce(mix(found ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+                out[i, :2] = _digest(found)
                 low = (mix(slots) & np.uint64(1)) * np.tile(bits, 2)
                 out[i, 2:] = low.reshape(2, 64).sum(axis=1, dtype=np.uint64)
                 bands[i] = mix((slots.reshape(n_bands, BAND_ROWS) * weights).sum(axis=1, dtype=np.uint64))
@@ -93,17 +91,33 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
     return plain.mapInArrow(_signature_batches(width), f"id long, {SIGNATURE}")
 
 
+def _digest(found: np.ndarray) -> tuple[int, int]:
+    return mix(found).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(found ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+
+
 def _set_batches(width: int):
+    """Rows (rep, text, d1, d2) to the sets of the texts that have the digest."""
+
     def run(batches):
         for batch in batches:
-            sets = [b""] * batch.num_rows
+            reps, d1, d2 = (batch.column(k).to_numpy() for k in (0, 2, 3))
+            keep, sets = [], []
             for i, found in shingle_sets(batch.column(1), width):
-                sets[i] = found.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+                if len(found) and tuple(x.view(np.int64) for x in _digest(found)) == (d1[i], d2[i]):
+                    keep.append(i)
+                    sets.append(found.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(reps[keep], pa.int64()), pa.array(sets, pa.binary())], names=["rep", "shingles"])
 
     return run
 
 
+def _shingle_rows(batches):
+    for batch in batches:
+        for k in range(batch.num_rows):
+            found = np.frombuffer(batch.column(1)[k].as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), batch.column(0)[k].as_py())), pa.array(found)], names=["rep", "h"])
+
+
 def _confirm_batches(percent: int):
     def run(batches):
         for batch in batches:
@@ -125,67 +139,47 @@ def _screen(percent: int):
     return sizes & ((F.least("a.n", "b.n") < SCREENED_SIZE) | (apart <= MAX_BIT_DISTANCE))
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the threshold."""
-    spark = pairs.sparkSession
-    need = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = stored(texts.join(need, "id", "left_semi").mapInArrow(_set_batches(width), "id long, shingles binary").dropDuplicates(["id"]), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("su")), "u")
-    both = both.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv")), "v").select("u", "v", "su", "sv")
-    arrow_batches(spark, 256)
-    return both.mapInArrow(_confirm_batches(percent), "u long, v long")
+def _sets(reps: DataFrame, classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """The shingle sets of representatives, from a row with the class's id whose text has the class's digest."""
+    need = reps.distinct().join(classes.select("rep", F.col("class_id").alias("id"), "d1", "d2"), "rep")
+    found = texts.join(need, "id").select("rep", "text", "d1", "d2").mapInArrow(_set_batches(width), "rep long, shingles binary")
+    return stored(found.dropDuplicates(["rep"]), "sets")
 
 
-def _block_links(percent: int):
-    def run(query: pa.Table, data: pa.Table) -> pa.Table:
-        sides = []
-        for t in (query, data):
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
-            sides.append((t.column("rep").to_numpy(), t.column("component").to_numpy(), np.array([len(x) for x in sets], np.int64), np.concatenate(sets or [np.zeros(0, np.uint64)])))
-        (qr, qc, qn, qh), (dr, dc, dn, dh) = sides
-        common = np.zeros((len(qr), len(dr)), np.float32)
-        both = np.intersect1d(qh, dh)
-        owners = [np.repeat(np.arange(len(n)), n) for n in (qn, dn)]
-        at = [np.searchsorted(both, h) for h in (qh, dh)]
-        held = [(k < len(both)) & (both[np.minimum(k, len(both) - 1)] == h) if len(both) else np.zeros(len(h), bool) for k, h in zip(at, (qh, dh), strict=True)]
-        for lo in range(0, len(both), 4096):
-            tables = []
-            for n, owner, k, ok in zip((qn, dn), owners, at, held, strict=True):
-                here = ok & (k >= lo) & (k < lo + 4096)
-                table = np.zeros((len(n), 4096), np.float32)
-                table[owner[here], k[here] - lo] = 1
-                tables.append(table)
-            common += tables[0] @ tables[1].T
-        linked = (100 * common >= percent * (qn[:, None] + dn[None, :] - common)) & (qc[:, None] != dc[None, :])
-        i, j = np.nonzero(linked)
-        # One link of a row to each other component is enough.
-        _, keep = np.unique(np.stack([qr[i], dc[j]]), axis=1, return_index=True)
-        i, j = i[keep], j[keep]
-        return pa.table({"u": pa.array(np.maximum(qr[i], dr[j])), "v": pa.array(np.minimum(qr[i], dr[j]))})
-
-    return run
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose full sets reach the threshold."""
+    both = pairs.join(sets.select(F.col("rep").alias("u"), F.col("shingles").alias("su")), "u")
+    both = both.join(sets.select(F.col("rep").alias("v"), F.col("shingles").alias("sv")), "v").select("u", "v", "su", "sv")
+    return both.mapInArrow(_confirm_batches(percent), "u long, v long")
 
 
-def _across_crowds(crowds: DataFrame, first: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between components in large buckets.
+def _across_crowds(crowds: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) across components, among the members of large buckets, that may reach the threshold; none that does is missing.
 
-    The members of the large buckets of one leader are a crowd.  Those that the leader's component
-    does not hold are the query set, compared with the whole crowd
-    in blocks of about ``CROWD_BLOCK`` rows, one group of two blocks at a time;
-    only links leave a group.
+    Shingles are ordered from the rarest.  Sets of a <= b shingles at the threshold t share at least
+    t / (1 + t) * (a + b) of them, at least 2t / (1 + t) * a and t * b; so a shingle among the first
+    a - 2t / (1 + t) * a + 1 of the one and the first b - t * b + 1 of the other is common, and what follows the first common one bounds the rest.
+    Members of the component of their leader are not compared with each other.
     """
     home = first.select(F.col("node").alias("lead"), F.col("component").alias("home"))
-    crowds = crowds.join(home, "lead", "left").withColumn("away", F.col("component") != F.coalesce("home", "lead"))
-    sizes = crowds.groupBy("lead").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / CROWD_BLOCK)).cast("int").alias("nd"), F.greatest(F.lit(1), F.ceil(F.count_if("away") / CROWD_BLOCK)).cast("int").alias("nq"))
-    need = crowds.select(F.col("rep").alias("id")).distinct()
-    sets = stored(texts.join(need, "id", "left_semi").mapInArrow(_set_batches(width), "id long, shingles binary").dropDuplicates(["id"]).withColumnRenamed("id", "rep"), "sets")
-    full = crowds.join(sizes, "lead").join(sets, "rep")
-    block = lambda n: F.pmod(F.xxhash64("rep"), n)
-    query = full.where("away").withColumns({"qb": block("nq"), "db": F.explode(F.sequence(F.lit(0), F.col("nd") - 1))})
-    pick = lambda df, side: df.select(*(F.col(c).cast("long").alias(f"{side}_{c}") for c in ("lead", "qb", "db")), "rep", "component", "shingles").toDF(*(f"{side}_{c}" for c in ("lead", "qb", "db")), "rep", "component", "shingles").groupBy(f"{side}_lead", f"{side}_qb", f"{side}_db")
-    fresh = full.select(*(F.col(c).alias(f"d_{c}") for c in full.columns)).select(*(F.col(f"d_{c}").alias(c) for c in full.columns))
-    data = fresh.withColumns({"db": block("nd"), "qb": F.explode(F.sequence(F.lit(0), F.col("nq") - 1))})
-    return pick(query, "q").cogroup(pick(data, "d")).applyInArrow(_block_links(percent), "u long, v long").distinct()
+    away = F.max(F.col("component") != F.coalesce("home", "lead"))
+    members = stored(crowds.join(home, "lead", "left").groupBy("rep", "component", "n").agg(away.alias("away")), "members")
+    rows = stored(sets.mapInArrow(_shingle_rows, "rep long, h long"), "rows")
+    counts = rows.groupBy("h").agg(F.count("*").alias("held")).where("held > 1")
+    common = rows.join(counts, "h").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("held", "h"))).alias("common"))
+    # Shingles of one member come first and meet nothing: only their number counts.
+    ranked = members.join(common, "rep").withColumn("alone", F.col("n") - F.size("common"))
+    long = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("long") + 1
+    short = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)).cast("long") + 1
+    entries = ranked.select("rep", "component", "away", "n", short.alias("short"), "alone", F.posexplode(F.slice("common", 1, F.greatest(F.lit(0), long - F.col("alone")).cast("int"))).alias("k", "x"))
+    entries = stored(entries.select("rep", "component", "away", "n", "short", (F.col("alone") + F.col("k") + 1).alias("pos"), F.col("x.h").alias("h")), "entries")
+    a, b = entries.where("pos <= short").alias("a"), entries.alias("b")
+    ordered = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.rep") < F.col("b.rep")))
+    sizes = 100 * F.col("a.n") >= percent * F.col("b.n")
+    rest = (100 + percent) * (1 + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))) >= percent * (F.col("a.n") + F.col("b.n"))
+    apart = (F.col("a.component") != F.col("b.component")) & (F.col("a.away") | F.col("b.away"))
+    met = a.join(b, (F.col("a.h") == F.col("b.h")) & ordered & sizes & rest & apart)
+    return met.select(F.greatest("a.rep", "b.rep").alias("u"), F.least("a.rep", "b.rep").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
@@ -204,8 +198,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marked = stored(signatures(docs, id_col, text_col, width), "signatures")
     keyed = marked.where("id IS NOT NULL AND n_shingles > 0")
-    classes = stored(keyed.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("class_id"), F.min(F.struct("id", "s1", "s2", "bands")).alias("r")).select("d1", "d2", "n_shingles", "class_id", "r.s1", "r.s2", "r.bands"), "classes")
-    reps = classes.select(F.col("class_id").alias("rep"), F.col("n_shingles").alias("n"), "s1", "s2", F.posexplode("bands").alias("band", "key"))
+    classes = keyed.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("class_id"), F.min(F.struct("id", "s1", "s2", "bands")).alias("r"))
+    # Two classes may have one id as their least: a number of its own names each representative.
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("rep"), "d1", "d2", "n_shingles", "class_id", "r.s1", "r.s2", "r.bands"), "classes")
+    reps = classes.select("rep", F.col("n_shingles").alias("n"), "s1", "s2", F.posexplode("bands").alias("band", "key"))
     # Buckets of one member name no pair.
     sizes = reps.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
     shared = stored(reps.join(sizes, ["band", "key"]), "shared")
@@ -213,31 +209,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     company = shared.groupBy("rep").agg(F.sum("m").alias("company"))
     leads = shared.join(company, "rep").groupBy("band", "key").agg(F.max(F.struct("company", (-F.col("rep")).alias("order"), "rep", "n", "s1", "s2")).alias("lead")).select("band", "key", "lead.*")
     members = stored(shared.drop("m").join(leads.select("band", "key", F.col("rep").alias("lead"), F.col("n").alias("lead_n"), F.col("s1").alias("lead_s1"), F.col("s2").alias("lead_s2")), ["band", "key"]), "members")
+    discard(shared)
     a = members.where("rep <> lead").select(F.struct("rep", "n", "s1", "s2").alias("a"), F.struct(F.col("lead").alias("rep"), F.col("lead_n").alias("n"), F.col("lead_s1").alias("s1"), F.col("lead_s2").alias("s2")).alias("b"))
     ordered = [F.greatest("a.rep", "b.rep").alias("u"), F.least("a.rep", "b.rep").alias("v")]
     stars = stored(a.where(_screen(percent)).select(*ordered).distinct(), "stars")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    links = stored(_confirmed(stars, texts, width, percent), "links")
+    ends = lambda pairs: pairs.select(F.explode(F.array("u", "v")).alias("rep"))
+    links = stored(_confirmed(stars, _sets(ends(stars), classes, texts, width), percent), "links")
     first = stored(connected_components(links), "first")
     # Buckets that still hold two components: what lies across components is compared.
     placed = members.select("band", "key", "lead", "rep", "n", "s1", "s2").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     split = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low < high").select("band", "key", "m")
     open_ = stored(placed.join(split, ["band", "key"]), "open")
+    discard(members)
     small = open_.where(F.col("m") <= SMALL_BUCKET)
     across = small.alias("a").join(small.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") > F.col("b.rep")) & (F.col("a.component") != F.col("b.component")) & _screen(percent))
-    rest = stored(across.select(*ordered).distinct().join(stars, ["u", "v"], "left_anti"), "rest")
+    rest = across.select(*ordered)
+    crowds = stored(open_.where(F.col("m") > SMALL_BUCKET).select("lead", "rep", "component", "n").distinct(), "crowds")
+    if not crowds.isEmpty():
+        rest = rest.union(_across_crowds(crowds, first, _sets(crowds.select("rep"), classes, texts, width), percent))
+    rest = stored(rest.distinct().join(stars, ["u", "v"], "left_anti"), "rest")
     more = links
     if not rest.isEmpty():
-        more = stored(more.union(_confirmed(rest, texts, width, percent)), "links")
-    crowds = stored(open_.where(F.col("m") > SMALL_BUCKET).select("lead", "rep", "component").distinct(), "crowds")
-    if not crowds.isEmpty():
-        more = stored(more.union(_across_crowds(crowds, first, texts, width, percent)), "links")
+        more = stored(links.union(_confirmed(rest, _sets(ends(rest), classes, texts, width), percent)), "links")
     # Ids that several texts share are one document: tie the classes they are in.
-    tied = keyed.join(classes.select("d1", "d2", "n_shingles", "class_id"), ["d1", "d2", "n_shingles"]).where("id <> class_id").select(F.col("id").alias("u"), F.col("class_id").alias("v"))
-    multi = keyed.select("id", "d1", "d2", "n_shingles").distinct().groupBy("id").count().where("count > 1").select(F.col("id").alias("u"))
-    groups = stored(connected_components(more.union(tied.join(multi, "u", "left_semi"))), "groups")
-    n_links = more.select(F.explode(F.array("u", "v")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    heads = classes.select("d1", "d2", "n_shingles", "class_id").join(groups.withColumnRenamed("node", "class_id"), "class_id", "left").join(n_links, "class_id", "left")
+    several = keyed.select("id", "d1", "d2", "n_shingles").distinct()
+    multi = several.groupBy("id").count().where("count > 1").select("id")
+    tied = several.join(multi, "id", "left_semi").join(classes.select("rep", "d1", "d2", "n_shingles"), ["d1", "d2", "n_shingles"]).select("id", "rep")
+    tied = tied.join(tied.groupBy("id").agg(F.min("rep").alias("v")), "id").select(F.col("rep").alias("u"), "v")
+    groups = stored(connected_components(more.union(tied)), "groups")
+    n_links = more.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    grouped = stored(groups.select(F.col("node").alias("rep"), F.col("component").alias("root")).join(classes.select("rep", "class_id"), "rep"), "grouped")
+    least = grouped.groupBy("root").agg(F.min("class_id").alias("component"))
+    named = grouped.join(least, "root").select("rep", "component")
+    heads = classes.select("rep", "d1", "d2", "n_shingles", "class_id").join(named, "rep", "left").join(n_links, "rep", "left")
     heads = stored(heads.select("d1", "d2", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "heads")
     joined = marked.select("id", "n_shingles", "d1", "d2").join(heads, ["d1", "d2", "n_shingles"], "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))

@@ -72,7 +72,6 @@ def groups_of(docs, width):
 @pytest.mark.parametrize("small", [32, 2])
 def test_near_duplicates(docs, monkeypatch, small):
     monkeypatch.setattr(minhash, "SMALL_BUCKET", small)
-    monkeypatch.setattr(minhash, "CROWD_BLOCK", 8)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()}
     assert got == groups_of(docs, 4)
 
