@@ -51,17 +51,22 @@ def exact_date(year: Column, month: Column, day: Column) -> Column:
     return F.try_to_date(F.format_string("%04d-%02d-%02d", year.cast("int"), month.cast("int"), day.cast("int")), "yyyy-MM-dd")
 
 
-def day_of_month_on_or_after(today: Column, day: Column, months: int = 24) -> Column:
-    """The first date with this day of the month, today or later, within ``months`` months."""
+def day_of_month_on_or_after(today: Column, day: Column) -> Column:
+    """The first date with this day of the month (1 to 31), today or later; no two months in a row are too short for it."""
     first = F.trunc(today, "month")
-    dates = F.transform(F.sequence(F.lit(0), F.lit(months)), lambda k: F.when(day <= F.day(F.last_day(F.add_months(first, k))), F.date_add(F.add_months(first, k), (day - 1).cast("int"))))
-    return F.get(F.filter(dates, lambda d: d >= today), F.lit(0))
+
+    def of_month(k: int) -> Column:
+        start = F.add_months(first, k)
+        return F.when(day.between(1, F.day(F.last_day(start))), F.date_add(start, (day - 1).cast("int")))
+
+    this = of_month(0)
+    return F.coalesce(F.when(this >= today, this), of_month(1), of_month(2))
 
 
 def yearless_date(today: Column, month: Column, day: Column, years: int = 8) -> Column:
     """The first such date, today or later, within ``years`` years (for 29 February)."""
     dates = F.transform(F.sequence(F.lit(0), F.lit(years)), lambda k: exact_date(F.year(today) + k, month, day))
-    return F.get(F.filter(dates, lambda d: d >= today), F.lit(0))
+    return F.array_min(F.filter(dates, lambda d: d >= today))
 
 
 def full_year(year: Column) -> Column:

@@ -1,14 +1,17 @@
-"""Dates and times in English phrases, as JVM regex columns.
+"""Dates and times in English phrases, by sequences of word classes.
 
-Each rule gives at most one match, a struct of its span and meaning; the first by (start, longest, rule
-number) wins.  Offsets are in characters of the phrase, and ``now`` is an argument.
+A phrase is cut into tokens.  The lexicon gives every token a class, one letter, and a number, so a
+phrase becomes a string of letters, and a rule is a short pattern over that string: ``JW`` is "on Friday".  The first
+rule that fits at the first place wins; its value is computed from the numbers of its tokens.
+Everything is a column expression, and ``now`` is an argument.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import civil
@@ -16,214 +19,371 @@ from .text import fold_temporal_case
 
 # Words of the grammar.
 WEEKDAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
-SHORT_WEEKDAYS = {"mon": 1, "tue": 2, "tues": 2, "wed": 3, "thu": 4, "thur": 4, "thurs": 4, "fri": 5, "sat": 6, "sun": 7}
+SHORT_WEEKDAYS = {"mon": 1, "tue": 2, "tues": 2, "wed": 3, "weds": 3, "thu": 4, "thur": 4, "thurs": 4, "fri": 5, "sat": 6, "sun": 7}
 MONTHS = "january february march april may june july august september october november december".split()
-NUMBERS = "one two three four five six seven eight nine ten eleven twelve".split()
-MORE_NUMBERS = {"fifteen": 15, "twenty": 20, "thirty": 30, "forty": 40, "a": 1, "an": 1, "a couple of": 2, "a few": 3}
-ORDINALS = (
-    "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth "
-    "seventeenth eighteenth nineteenth twentieth twenty-first twenty-second twenty-third twenty-fourth twenty-fifth twenty-sixth "
-    "twenty-seventh twenty-eighth twenty-ninth thirtieth thirty-first"
-).split()
-
-_WEEKDAY_NUMBERS = {w: i for i, w in enumerate(WEEKDAYS, 1)} | SHORT_WEEKDAYS
-_MONTH_NUMBERS = {w: i for i, w in enumerate(MONTHS, 1)} | {w[:3]: i for i, w in enumerate(MONTHS, 1)} | {"sept": 9}
-_COUNTS = {w: i for i, w in enumerate(NUMBERS, 1)} | MORE_NUMBERS
-_ORDINAL_NUMBERS = {w: i for i, w in enumerate(ORDINALS, 1)} | {w.replace("-", " "): i for i, w in enumerate(ORDINALS, 1)}
-
-_any = lambda words: "|".join(sorted(words, key=len, reverse=True))
-PART = "morning|afternoon|evening|night"
-_IN = r"\b(?:in|after)\s+(?:(?:about|around|like|maybe|approximately|roughly|another|just)\s+)?"
-_COUNT = rf"{_any(_COUNTS)}|\d{{1,4}}"
-_ON = r"(?:(?:on|by|for|due|until|before)\s+)?"
-_MONTH = rf"(?:{_any(_MONTH_NUMBERS)})\b\.?"
-_ORD = _any(_ORDINAL_NUMBERS)
-
-DATE_STRUCT = "struct<start:int,neg:int,rule:int,stop:int,date:date,minute:int,low:boolean>"
-TIME_STRUCT = "struct<start:int,neg:int,rule:int,stop:int,minute:int>"
-Groups = Callable[[int], Column]
-
-
-def _look(word: Column, table: dict[str, int]) -> Column:
-    return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), F.regexp_replace(word, r"\s+", " "))
-
-
-def _number(word: Column) -> Column:
-    return F.coalesce(word.try_cast("int"), _look(word, _COUNTS))
-
-
-def _part_minute(part: Column) -> Column:
-    return _look(part, civil.PART_MINUTES)
-
-
-def date_rules(today: Column, minute_now: Column) -> list[tuple[str, Callable[[Groups], tuple]]]:
-    """(pattern, groups -> (date, implied minute, low confidence)) in rule order."""
-    none, day = F.lit(None).cast("int"), lambda n: F.date_add(today, n)
-
-    def plain(n: int, group: int | None = None):
-        return lambda g: (day(n), _part_minute(g(group)) if group else none, False)
-
-    def weekday(g: Groups):
-        lead, target = F.regexp_replace(g(1), r"\s+", " "), _look(g(2), _WEEKDAY_NUMBERS)
-        date = F.when(lead == "next", civil.next_week_weekday(today, target)).when(lead.isin("last", "past"), civil.last_weekday(today, target)).otherwise(civil.forward_weekday(today, target, lead.isin("this", "this coming")))
-        return date, _part_minute(g(3)), False
-
-    def span(g: Groups):
-        n, unit = _number(g(1)), F.substring(g(2), 1, 2)
-        minutes = minute_now + n * F.when(unit.isin("ho", "hr"), 60).otherwise(1)
-        exact = unit.isin("mi", "ho", "hr")
-        date = F.when(exact, F.date_add(today, F.floor(minutes / 1440).cast("int"))).when(unit == "da", F.date_add(today, n)).when(unit == "we", F.date_add(today, n * 7)).when(unit == "mo", F.add_months(today, n)).otherwise(F.add_months(today, n * 12))
-        return F.when(n.between(1, 999), date), F.when(exact, F.pmod(minutes, F.lit(1440))), False
-
-    def later(minutes: Callable[[Groups], Column]):
-        def build(g: Groups):
-            total = minute_now + minutes(g)
-            return F.date_add(today, F.floor(total / 1440).cast("int")), F.pmod(total, F.lit(1440)).cast("int"), False
-
-        return build
-
-    def month_day(month: int, dom: int, year: int | None, words: bool = False):
-        def build(g: Groups):
-            m = _look(F.replace(g(month), F.lit("."), F.lit("")), _MONTH_NUMBERS)
-            d = _look(g(dom), _ORDINAL_NUMBERS) if words else g(dom).try_cast("int")
-            y = g(year).try_cast("int") if year else none
-            return F.when(y.isNull(), civil.yearless_date(today, m, d)).otherwise(civil.exact_date(civil.full_year(y), m, d)), none, False
-
-        return build
-
-    def slash(g: Groups):
-        m, d, y = (g(k).try_cast("int") for k in (1, 2, 3))
-        return F.when(y.isNull(), civil.yearless_date(today, m, d)).otherwise(civil.exact_date(civil.full_year(y), m, d)), none, False
-
-    def month_alone(g: Groups):
-        m = _look(g(1), _MONTH_NUMBERS)
-        first = civil.yearless_date(F.trunc(today, "month"), m, F.lit(1))
-        return F.when(F.month(today) == m, today).otherwise(first), none, True
-
-    nth = lambda g: (civil.day_of_month_on_or_after(today, g(1).try_cast("int")), none, False)
-    nth_word = lambda g: (civil.day_of_month_on_or_after(today, _look(g(1), _ORDINAL_NUMBERS)), none, False)
-    month_end = lambda g: (F.last_day(F.add_months(F.trunc(today, "month"), F.when(g(1) != "", 1).otherwise(0))), none, False)
-    weekend = lambda g: (F.when(g(1) == "next", civil.next_week_weekday(today, F.lit(6))).otherwise(civil.forward_weekday(today, F.lit(6), True)), none, True)
-    of_next_week = lambda g: (civil.next_week_weekday(today, _look(F.concat(g(1), g(3)), _WEEKDAY_NUMBERS)), _part_minute(F.concat(g(2), g(4))), False)
-    full = "|".join(WEEKDAYS)
-    return [
-        (r"\b(?:the\s+)?day\s+after\s+tomorrow\b", plain(2)),
-        (r"\b(?:the\s+)?day\s+before\s+yesterday\b", plain(-2)),
-        (rf"\btomorrow(?:\s+({PART}))?\b", plain(1, 1)),
-        (rf"\b(?:later\s+)?today(?:\s+({PART}))?\b", plain(0, 1)),
-        (r"\btonight\b", lambda g: (day(0), F.lit(1200), False)),
-        (r"\blast\s+night\b", lambda g: (day(-1), F.lit(1200), False)),
-        (rf"\byesterday(?:\s+({PART}))?\b", plain(-1, 1)),
-        (rf"\bthis\s+({PART})\b", plain(0, 1)),
-        (rf"\b(?:(on|by|for|this\s+coming|this|next|last|past|coming|upcoming)\s+)({_any(_WEEKDAY_NUMBERS)})\b(?:\s+({PART}))?", weekday),
-        (rf"\b()({full})\b(?:\s+({PART}))?", weekday),
-        (r"\b(?:on\s+)?(this\s+coming|this|next|the|coming)\s+weekend\b", weekend),
-        (rf"\bnext\s+week,?\s+(?:on\s+)?({full})\b(?:\s+({PART}))?|\b(?:on\s+)?({full})(?:\s+({PART}))?\s+(?:of\s+)?next\s+week\b", of_next_week),
-        (r"\bnext\s+week\b", lambda g: (civil.next_week_weekday(today, F.lit(1)), none, True)),
-        (r"\b(?:the\s+)?(?:end|last\s+day)\s+of\s+(?:the\s+|this\s+)?(next\s+)?month\b", month_end),
-        (r"\bnext\s+month\b", lambda g: (F.add_months(F.trunc(today, "month"), 1), none, True)),
-        (rf"{_IN}({_COUNT})\s+(minutes?|mins?|hours?|hrs?|days?|weeks?|months?|years?)\b(?!\s+of\b)", span),
-        (rf"{_IN}(?:a\s+)?half[\s-]+(?:an?[\s-]+)?hour\b", later(lambda g: F.lit(30))),
-        (rf"{_IN}({_COUNT})\s+(?:hours?|hrs?)[\s-]+and[\s-]+a[\s-]+half\b", later(lambda g: _number(g(1)) * 60 + 30)),
-        (rf"{_IN}({_COUNT})[\s-]+and[\s-]+a[\s-]+half[\s-]+(?:hours?|hrs?)\b", later(lambda g: _number(g(1)) * 60 + 30)),
-        (rf"{_IN}(\d{{1,2}}[.,]\d{{1,2}})\s+(?:hours?|hrs?)\b", later(lambda g: F.round(F.replace(g(1), F.lit(","), F.lit(".")).try_cast("double") * 60).cast("int"))),
-        (r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b", lambda g: (civil.exact_date(*(g(k).try_cast("int") for k in (1, 2, 3))), none, False)),
-        (r"\b(\d{1,2})/(\d{1,2})(?:/(\d{2,4}))?\b", slash),
-        (rf"\b{_ON}({_MONTH})\s+(?:the\s+)?(\d{{1,2}})(?:st|nd|rd|th)?\b(?:,?\s+(\d{{4}})\b)?(?!\s*[:.]\d)", month_day(1, 2, 3)),
-        (rf"\b{_ON}(?:the\s+)?(\d{{1,2}})(?:st|nd|rd|th)?\s+(?:of\s+)?({_MONTH})(?:,?\s+(\d{{4}})\b)?", month_day(2, 1, 3)),
-        (rf"\b{_ON}(?:the\s+)?({_ORD})\s+of\s+({_MONTH})", month_day(2, 1, None, words=True)),
-        (rf"\b(?:on|by|due|for|(?<=day,\s)|(?<=day\s))\s*({_MONTH})\s+(?:the\s+)?({_ORD})\b", month_day(1, 2, None, words=True)),
-        (r"\b(?:(?:on|by|for|until|before)\s+)?the\s+(\d{1,2})(?:st|nd|rd|th)\b(?!\s+(?:floor|edition|time|anniversary|birthday|place|grade|century|street|avenue)\b)", nth),
-        (r"\b(?:on|by|due|until|before)\s+(\d{1,2})(?:st|nd|rd|th)\b", nth),
-        (rf"\b(?:on|by|for|until|before)\s+the\s+({_ORD})\b(?!\s+(?:floor|edition|time|of)\b)", nth_word),
-        (rf"\b(?:in|on|by|next|this|until|before)\s+({'|'.join(MONTHS)})\b(?!\s+(?:the\s+)?\d)", month_alone),
-    ]
-
-
-def time_rules() -> list[tuple[str, Callable[[Groups], Column]]]:
-    """(pattern, groups -> minute of day) in rule order."""
-    m = r"(a\.?m\b\.?|p\.?m\b\.?)"
-    words = {w: i for i, w in enumerate(NUMBERS, 1)}
-    halves = {"fifteen": 15, "thirty": 30, "forty five": 45, "forty-five": 45}
-    hour = lambda g, k: F.coalesce(g(k).try_cast("int"), _look(g(k), words))
-    rest = lambda g, k: F.coalesce(g(k).try_cast("int"), _look(g(k), halves), F.lit(0))
-    pm = lambda g, k: F.substring(g(k), 1, 1) == "p"
-    fits = lambda h, x, out, top=24: F.when((h < top) & (x < 60), out)
+NUMBERS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+ORDINALS = "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth twentieth".split()
+#: Month names that are words of other meanings too.
+DOUBTFUL_MONTHS = {"march", "may", "august"}
+#: Nouns that make an ordinal, or a part of the day before them, no date.
+COUNTED = "edition floor place row try attempt version chapter section page item anniversary person lesson lessons class period lecture grade round stage level street avenue lane entrance gate door block building house shift term semester course episode season part step draft question task".split()
+#: Things people do in the evening.
+EVENING_EVENTS = "dinner concert drinks party movie cinema theatre theater opera gig show supper date nightclub bar pub"
+
+
+def _lexicon() -> dict[str, str]:
+    """Word -> class letter and number."""
+    out: dict[str, str] = {}
+
+    def put(letter: str, words: str | list[str], number: int | str = "") -> None:
+        for w in words.split() if isinstance(words, str) else words:
+            out[w] = f"{letter}{number}"
+
+    for i, w in enumerate(WEEKDAYS, 1):
+        put("W", [w, f"{w}s"], i)
+    for w, i in SHORT_WEEKDAYS.items():
+        put("w", w, i)
+    for i, w in enumerate(MONTHS, 1):
+        put("m", w[:3], i)
+        put("m" if w in DOUBTFUL_MONTHS else "M", w, i)
+    put("m", "sept", 9)
+    for i, w in enumerate(NUMBERS, 1):
+        put("N", w, i)
+    put("N", "couple", 2)
+    put("N", "few", 3)
+    for w, i in (("twenty", 20), ("thirty", 30), ("forty", 40), ("fifty", 50)):
+        put("5", w, i)
+        for k, unit in enumerate(ORDINALS[:9], 1):
+            put("O", f"{w}-{unit}", i + k)
+    for i, w in enumerate(ORDINALS, 1):
+        put("O", w, i)
+    put("O", "thirtieth", 30)
+    put("e", "a an", 1)
+    for w in ("morning", "afternoon", "evening"):
+        put("P", w, civil.PART_MINUTES[w])
+    put("8", "night", civil.PART_MINUTES["night"])
+    for w in ("noon", "midday", "midnight"):
+        put("K", w, civil.PART_MINUTES[w])
+    put("H", "half", 30)
+    put("Q", "quarter", 15)
+    for words, n in (("minutes minute min mins minute's minutes'", 1), ("hours hour hr hrs hour's hours'", 60), ("days day's days'", 1440), ("weeks week's weeks'", 10080), ("months month's", 43200), ("years year year's", 525600)):
+        put("U", words, n)
+    put("y", "day", 1440)
+    put("u", "week", 10080)
+    put("r", "month", 43200)
+    for letter, words in {
+        "D": "today", "R": "tomorrow", "Y": "yesterday", "G": "tonight", "X": "next", "L": "last previous", "S": "this", "C": "coming upcoming", "E": "the", "F": "of", "I": "in", "A": "at @",
+        "B": "by before until till til", "J": "on", "V": "around about like approximately roughly maybe another just exactly", "Z": "after", "p": "past", "6": "to", "g": "from since", "b": "between",
+        "c": "and", "k": "o'clock oclock", "h": "weekend weekends", "j": "for due starting", "T": "time", "l": "or", "s": "later sooner earlier less more so", "1": "end", "3": "every each", "4": COUNTED,
+        "~": "ok okay well oh please also anyway yeah yes then", ",": ",", ".": ". ; : ! ?",
+    }.items():
+        put(letter, words)
+    put("a", "am a.m a.m.", 0)
+    put("a", "pm p.m p.m.", 720)
+    return out
+
+
+TOKEN = (
+    r"(\s*(?:\d{4}-\d{1,2}-\d{1,2}\b|\d{1,2}/\d{1,2}(?:/\d{2,4})?\b|\d{1,2}:\d{2}\b|\d{1,3}\.\d{1,2}(?![\d.])|\d+(?:st|nd|rd|th)\b|\d+"
+    r"|(?i:[ap]\.\s?m\b\.?)|[\p{L}\p{M}]+(?:['-][\p{L}\p{M}]+)*'?|\S))"
+)
+
+
+def tokens(text: Column) -> Column:
+    """The tokens of a text, each with the blanks before it; joined they give the text."""
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1))
+
+
+def words(found: Column) -> Column:
+    return F.transform(found, lambda t: fold_temporal_case(F.trim(t)))
+
+
+def codes(found: Column) -> Column:
+    """Class letter and number of each word."""
+    known = F.create_map(*(F.lit(x) for kv in _lexicon().items() for x in kv))
+    part = lambda w, k: F.split_part(w, F.lit(":"), F.lit(k)).try_cast("int")
+    point = lambda w, k: F.rpad(F.split_part(w, F.lit("."), F.lit(k)), k, "0").try_cast("int")
+
+    def code(w: Column) -> Column:
+        number = (
+            F.when(w.rlike(r"^\d{1,2}$"), F.concat(F.lit("d"), w))
+            .when(w.rlike(r"^\d{3,4}$"), F.concat(F.lit("q"), w))
+            .when(w.rlike(r"^([01]?\d|2[0-3]):[0-5]\d$"), F.concat(F.lit("t"), (part(w, 1) * 60 + part(w, 2)).cast("string")))
+            .when(w.rlike(r"^([01]?\d|2[0-3])\.[0-5]\d?$"), F.concat(F.lit("f"), (F.split_part(w, F.lit("."), F.lit(1)).try_cast("int") * 60 + point(w, 2)).cast("string")))
+            .when(w.rlike(r"^\d{1,2}(?:st|nd|rd|th)$"), F.concat(F.lit("o"), F.regexp_extract(w, r"^(\d+)", 1)))
+            .when(w.rlike(r"^\d{4}-"), F.lit("i")).when(w.contains("/"), F.lit("x")).otherwise(F.lit("n"))
+        )
+        return F.coalesce(F.try_element_at(known, w), F.when(w.rlike(r"^\d"), number).otherwise(F.lit("_")))
+
+    return F.transform(found, code)
+
+
+def classes(coded: Column) -> Column:
+    return F.array_join(F.transform(coded, lambda c: F.substring(c, 1, 1)), "")
+
+
+def numbers(coded: Column) -> Column:
+    return F.transform(coded, lambda c: F.substring(c, 2, 10).try_cast("int"))
+
+
+@dataclass
+class Match:
+    """A stretch of classes, and the numbers and words of its tokens."""
+
+    m: Column
+    v: Column
+    w: Column
+
+    def at(self, letters: str) -> Column:
+        """The number of the first token of these classes, or null."""
+        return F.get(self.v, F.regexp_instr(self.m, F.lit(f"[{letters}]")) - 1)
+
+    def has(self, letters: str) -> Column:
+        return self.m.rlike(f"[{letters}]")
+
+    def word(self, letters: str) -> Column:
+        return F.get(self.w, F.regexp_instr(self.m, F.lit(f"[{letters}]")) - 1)
+
+    def ordinal(self) -> Column:
+        """The day of month that is named: 5, 5th, fifth, twenty fifth."""
+        return F.coalesce(self.at("od"), self.at("O") + F.coalesce(self.at("5"), F.lit(0)))
+
+
+_LEAD = "(?:3|[JBj]E?)?"
+_WHICH = "(?:SC|EC|[SCXLp])?"
+_PART = "[P8]?"
+_AMOUNT = "(?:e?NF?|5N?|e|d|q)"
+_IN = "[IZ]V?"
+_DAY = "(?:o|d|5?O)"
+_NO_COUNT = "(?![4yurUT])"
+_ENDS = "(?=$|[.,ABIZVgc])"
+
+
+def _date_atoms(x: Match) -> dict[str, Column]:
+    """What the tokens of a date say."""
+    return {
+        "target": x.at("Ww"), "part": x.at("P8"), "month": x.at("Mm"), "dom": x.ordinal(), "year": x.at("q"), "unit": x.at("Uyur"),
+        "amount": F.coalesce(x.at("dq"), F.coalesce(x.at("5"), F.lit(0)) + x.at("N"), x.at("5"), x.at("e")), "hours": F.coalesce(x.at("d"), x.at("N"), F.lit(1)), "point": x.word("f"), "slash": x.word("x"), "iso": x.word("i"),
+    }
+
+
+def _date_values(m: Column, today: Column) -> dict[str, Column]:
+    """Dates that the atoms name, whichever rule fits."""
+    c = F.col
+    first = F.trunc(today, "month")
+    # A weekday and a day of the month: the month, this one or the next, in which they agree.
+    of_month = lambda k: F.date_add(F.add_months(first, k), c("dom") - 1)
+    agreed = lambda k: F.when((c("dom") <= F.day(F.last_day(F.add_months(first, k)))) & (civil.iso_weekday(of_month(k)) == c("target")), of_month(k))
+    slash = lambda k: F.split_part("slash", F.lit("/"), F.lit(k)).try_cast("int")
+    month, dom, year = F.coalesce("month", slash(1)), F.coalesce("dom", slash(2)), F.coalesce("year", slash(3))
+    return {
+        "named": F.when(month.isNull(), None).when(year.isNull(), civil.yearless_date(today, month, dom)).otherwise(civil.exact_date(civil.full_year(year), month, dom)),
+        "nth": civil.day_of_month_on_or_after(today, c("dom")),
+        "fits": F.coalesce(F.when(agreed(0) >= today, agreed(0)), agreed(1)),
+        "weekday": F.when(m.contains("X"), civil.next_week_weekday(today, c("target"))).when(m.rlike("[Lp]"), civil.last_weekday(today, c("target"))).otherwise(civil.forward_weekday(today, c("target"), m.contains("S"))),
+        "minutes": F.when(m.contains("f"), F.round(c("point").try_cast("double") * 60).cast("int")).when(m.contains("H"), F.when(m.rlike("^[IZ]V?(?:HeU|eHU)"), 30).otherwise(c("hours") * 60 + 30)).otherwise(c("amount") * c("unit")).cast("long"),
+        "days": F.when(c("unit") == 1440, F.date_add(today, c("amount"))).when(c("unit") == 10080, F.date_add(today, c("amount") * 7)).when(c("unit") == 43200, F.add_months(today, c("amount"))).when(c("unit") == 525600, F.add_months(today, c("amount") * 12)),
+    }
 
-    def meridiem(h: int, x: int | None, k: int):
-        return lambda g: fits(hour(g, h), rest(g, x) if x else F.lit(0), civil.hour_with_meridiem(hour(g, h), pm(g, k)) * 60 + (rest(g, x) if x else 0), 13)
 
-    def part(h: int, x: int, k: int):
-        return lambda g: fits(hour(g, h), rest(g, x), civil.hour_in_part(hour(g, h), g(k)) * 60 + rest(g, x))
+def date_rules(m: Column, today: Column, minute_now: Column) -> list[tuple[str, str, Column, Column | None, bool]]:
+    """(name, pattern, date, implied minute, low confidence) of each rule; what is longer at one place comes first.
 
-    def clock(h: int, x: int | None = None):
-        zero = lambda g: g(h).rlike(r"^0\d")
-        return lambda g: fits(hour(g, h), rest(g, x) if x else F.lit(0), civil.hour_without_meridiem(hour(g, h), zero(g)) * 60 + (rest(g, x) if x else 0))
-
-    def relative(g: Groups):
-        step = F.when(g(1) == "quarter", 15).when(g(1) == "half", 30).otherwise(F.coalesce(g(1).try_cast("int"), _look(g(1), _COUNTS)))
-        h = F.when(g(4) != "", civil.hour_with_meridiem(hour(g, 3), pm(g, 4))).otherwise(civil.hour_without_meridiem(hour(g, 3)))
-        return F.pmod(h * 60 + F.when(g(2).isin("to", "before"), -step).otherwise(step), F.lit(1440))
-
-    def between(g: Groups):
-        return F.when(g(3) != "", civil.hour_with_meridiem(hour(g, 1), pm(g, 3))).otherwise(civil.hour_without_meridiem(hour(g, 1))) * 60
-
-    h, w, x = r"(\d{1,2})", f"({'|'.join(NUMBERS)})", r"(?::(\d{2}))?"
-    spoken = r"(?:\s+(fifteen|thirty|forty[\s-]five))?"
-    in_part = rf"\s+(?:in\s+the\s+|at\s+)({PART})\b"
-    end = r"(?![\d:/%]|\s*(?:percent|dollars|people|kg|km|minutes|hours|days|st|nd|rd|th)\b)"
+    Values are made of the columns of ``_date_atoms`` and ``_date_values``.
+    """
+    c = F.col
+    day = lambda n: F.date_add(today, n)
+    part, first = c("part"), F.trunc(today, "month")
+    next_week = lambda target: civil.next_week_weekday(today, target)
+    soon, at = day(F.floor((minute_now + c("minutes")) / 1440).cast("int")), F.pmod(minute_now + c("minutes"), F.lit(1440)).cast("int")
+    weekend = F.when(m.contains("X"), next_week(F.lit(6))).otherwise(civil.forward_weekday(today, F.lit(6), True))
+    alone = F.when(F.month(today) == c("month"), today).otherwise(F.make_date(F.year(today) + F.when(c("month") < F.month(today), 1).otherwise(0), c("month"), F.lit(1)))
     return [
-        (rf"\bbetween\s+(\d{{1,2}}|{'|'.join(NUMBERS)})\s+and\s+(\d{{1,2}}|{'|'.join(NUMBERS)})\b(?:\s*{m})?", between),
-        (rf"\b(?:in\s+the\s+|at\s+)({PART})\s+(?:at|around|about)\s+(\d{{1,2}}|{'|'.join(NUMBERS)})\b{x}", lambda g: fits(hour(g, 2), rest(g, 3), civil.hour_in_part(hour(g, 2), g(1)) * 60 + rest(g, 3))),
-        (rf"\b(?:at\s+)?{h}{x}{in_part}", part(1, 2, 3)),
-        (rf"\b(?:at\s+|by\s+|around\s+)?{h}(?:[:.](\d{{2}}))?\s*{m}", meridiem(1, 2, 3)),
-        (rf"\b(\d{{1,2}})(\d{{2}})\s*{m}", meridiem(1, 2, 3)),
-        (rf"\b(?:at\s+)?(quarter|half|five|ten|twenty|\d{{1,2}})\s+(past|after|to|before)\s+(\d{{1,2}}|{'|'.join(NUMBERS)})\b(?:\s*{m})?", relative),
-        (r"\b(?:at\s+)?(\d{1,2}):(\d{2})\b", clock(1, 2)),
-        (r"(?<![$€£\d.])\b(?:at|by|around|until)\s+(\d{1,2})\.(\d{2})\b", clock(1, 2)),
-        (r"\bat\s+([01]\d|2[0-3])([0-5]\d)\b", lambda g: g(1).try_cast("int") * 60 + g(2).try_cast("int")),
-        (rf"\b(?:at\s+)?(\d{{1,2}}|{'|'.join(NUMBERS)})\s+o'?clock\b", clock(1)),
-        (r"\b(?:at\s+)?(?:12|twelve)\s+(noon|midnight|midday)\b", lambda g: _part_minute(g(1))),
-        (rf"\b(?:at|around)\s+{h}\b{end}", clock(1)),
-        (rf"\b(?:by|before|until|till)\s+{h}\b(?=\s*(?:[,.;!?]|$|\s(?:on|today|tomorrow|and|to)\b))", clock(1)),
-        (rf"\bat\s+{w}{spoken}(?:\s*{m})?\b", lambda g: F.when(g(3) != "", civil.hour_with_meridiem(hour(g, 1), pm(g, 3))).otherwise(civil.hour_without_meridiem(hour(g, 1))) * 60 + rest(g, 2)),
-        (r"\b(?:at\s+)?(noon|midday|midnight)\b", lambda g: _part_minute(g(1))),
-        (rf"\b(?:in\s+the\s+|at\s+)?({PART})\b(?!\s+(?:shift|class|routine|market|club|school))", lambda g: _part_minute(g(1))),
+        ("weekday_month_day", f"{_LEAD}{_WHICH}[Ww]{_PART},?[JE]*[Mm]E?{_DAY}(?:,?q)?", c("named"), part, False),
+        ("weekday_day_month", f"{_LEAD}{_WHICH}[Ww]{_PART},?[JE]*{_DAY}F?[Mm](?:,?q)?", c("named"), part, False),
+        ("weekday_nth", f"{_LEAD}{_WHICH}W,?J?E?(?:o|5?O{_ENDS}){_NO_COUNT}", F.coalesce("fits", "nth"), None, False),
+        ("next_week_weekday", f"{_LEAD}(?:Xu,?[JI]?W{_PART}|W{_PART}F?Xu)", next_week(c("target")), part, False),
+        ("weekday", f"(?:{_LEAD}{_WHICH}W|(?:[JBjIAgV]{_WHICH}|SC|[SCXLp])w){_PART}", c("weekday"), part, False),
+        ("after_tomorrow", "[JBj]?E?yZR", day(2), None, False),
+        ("before_yesterday", "E?yBY", day(-2), None, False),
+        ("tomorrow", f"[JBj]?R{_PART}", day(1), part, False),
+        ("today", f"[JBj]?s?D{_PART}", day(0), part, False),
+        ("tonight", "[Bj]?G", day(0), F.lit(1200), False),
+        ("last_night", "L8", day(-1), F.lit(1200), False),
+        ("yesterday", f"[g]?Y{_PART}", day(-1), part, False),
+        ("this_part", "S[P8]", day(0), part, False),
+        ("weekend", "[JBjA]?(?:SC|EC|[ESXC])h", weekend, None, True),
+        ("month_end", "[JBjA]?E?(?:1|Ly)F[ESX]?r", F.last_day(F.add_months(first, F.when(m.contains("X"), 1).otherwise(0))), None, False),
+        ("next_week", "[JBj]?Xu", next_week(F.lit(1)), None, True),
+        ("next_month", "[JBjI]?Xr", F.add_months(first, 1), None, True),
+        ("half_hour", f"{_IN}(?:HeU|eHU)", soon, at, False),
+        ("hour_and_half", f"{_IN}(?:eUceH|[Nd]ceHU)T?", soon, at, False),
+        ("decimal_hours", f"{_IN}fU", soon, at, False),
+        ("in_amount", f"{_IN}{_AMOUNT}[Uyur]T?(?:ls)?", F.when(c("amount").between(1, 999), F.coalesce("days", soon)), F.when(c("days").isNull(), at), False),
+        ("iso", "[JBj]?i", F.try_to_date("iso", "yyyy-M-d"), None, False),
+        ("slash", "[JBj]?x", c("named"), None, False),
+        ("month_day", f"{_LEAD}[Mm]E?{_DAY}(?:,?q)?", c("named"), None, False),
+        ("day_month", f"{_LEAD}E?{_DAY}F?[Mm](?:,?q)?", c("named"), None, False),
+        ("the_nth", f"{_LEAD}Eo{_NO_COUNT}", c("nth"), None, False),
+        ("on_nth", f"[JBj]o{_NO_COUNT}", c("nth"), None, False),
+        ("on_the_nth_word", f"[JBj]E5?O{_NO_COUNT}", c("nth"), None, False),
+        ("month", "[IJBjXS][Mm]", alone, None, True),
     ]
 
 
-def _match(phrase: Column, pattern: str) -> tuple[Column, Column, Groups]:
-    start = F.regexp_instr(phrase, F.lit(pattern)) - 1
-    found = F.regexp_substr(phrase, F.lit(pattern))
-    return start, F.length(found), lambda k: F.regexp_extract(phrase, pattern, k)
-
-
-def first_date(phrase: Column, today: Column, minute_now: Column) -> Column:
-    """The first date of a folded phrase, or null: start, stop, date, implied minute, low confidence."""
-    found = []
-    for i, (pattern, build) in enumerate(date_rules(today, minute_now)):
-        start, size, groups = _match(phrase, pattern)
-        date, minute, low = build(groups)
-        hit = F.struct(start.cast("int").alias("start"), (-size).cast("int").alias("neg"), F.lit(i).alias("rule"), (start + size).cast("int").alias("stop"), date.alias("date"), minute.cast("int").alias("minute"), F.lit(low).alias("low"))
-        found.append(F.when((start >= 0) & date.isNotNull(), hit).otherwise(F.lit(None).cast(DATE_STRUCT)))
-    return F.array_min(F.array_compact(F.array(*found)))
-
-
-def first_time(phrase: Column) -> Column:
-    """The first time of day of a folded phrase, or null: start, stop, minute."""
-    found = []
-    for i, (pattern, build) in enumerate(time_rules()):
-        start, size, groups = _match(phrase, pattern)
-        minute = build(groups)
-        hit = F.struct(start.cast("int").alias("start"), (-size).cast("int").alias("neg"), F.lit(i).alias("rule"), (start + size).cast("int").alias("stop"), minute.cast("int").alias("minute"))
-        found.append(F.when((start >= 0) & minute.isNotNull(), hit).otherwise(F.lit(None).cast(TIME_STRUCT)))
-    return F.array_min(F.array_compact(F.array(*found)))
-
-
-def blank_span(text: Column, start: Column, stop: Column) -> Column:
-    """The text with a span replaced by as many blanks."""
-    return F.when(start.isNull(), text).otherwise(F.concat(F.substring(text, F.lit(1), start), F.repeat(F.lit(" "), stop - start), F.substring(text, stop + 1, F.length(text))))
+_CLOCK = "(?:t|f|d|N(?:5N?|N)?)"
+_AT = "(?:[ABJg]V?|V)?"
+_IN_PART = "(?:IE[P8]|A8)"
+_THEN = "(?=$|[.,#cIJA])"
+
+
+def _clock_atoms(x: Match) -> dict[str, Column]:
+    """What the tokens of a time say: minutes of the clock words as written, the meridiem, the part of the day, and the last number."""
+    place = F.regexp_instr(x.m, F.lit("[tfdNq]"))
+    token, after = F.substring(x.m, place, F.lit(1)), F.substring(x.m, place + 1, F.lit(2))
+    number = F.get(x.v, place - 1)
+    more = F.when((token == "N") & after.rlike("^5N"), F.get(x.v, place) + F.get(x.v, place + 1)).when((token == "N") & after.rlike("^[5N]"), F.get(x.v, place)).otherwise(0)
+    return {
+        "total": F.when(token.isin("t", "f"), number).when(token == "q", F.floor(number / 100) * 60 + number % 100).otherwise(number * 60 + more).cast("int"),
+        "zero": F.coalesce(x.word("tfq").startswith("0"), F.lit(False)), "meridiem": x.at("a"), "own_part": x.at("P8"), "named": x.at("K"), "number": x.at("dqN"),
+        "last": F.get(x.v, F.length(F.regexp_extract(x.m, "^(.*[dN])", 1)) - 1), "shift": F.coalesce(x.at("QH"), x.at("d"), F.coalesce(x.at("5"), F.lit(0)) + F.coalesce(x.at("N"), F.lit(0))),
+    }
+
+
+def _clock_values(m: Column) -> dict[str, Column]:
+    """The hour that a clock means: ``hour`` of the clock words, or of the last number in "quarter past three"."""
+    c = F.col
+    part = F.coalesce("own_part", "said")
+    name = F.when(part == 540, "morning").when(part == 840, "afternoon").when(part == 1080, "evening").when(part == 1200, "night")
+    far = m.rlike("[p6ZB][dN](?:a|IE[P8]|A8)?$") & m.rlike("[QHdN5U][p6ZB]")
+    written = F.when(far, c("last")).otherwise(F.floor(c("total") / 60)).cast("int")
+    late = c("evening") & written.between(7, 10) & ~c("zero")
+    meant = F.when(c("meridiem").isNotNull(), civil.hour_with_meridiem(written, c("meridiem") == 720)).when(name.isNotNull(), civil.hour_in_part(written, name)).when(late, written + 12).otherwise(civil.hour_without_meridiem(written, c("zero")))
+    return {"written": written, "meant": meant.cast("int")}
+
+
+def time_rules(m: Column) -> list[tuple[str, str, Column]]:
+    """(name, pattern, minute of day) of each rule, of which the first that fits counts; values are made of the columns of ``_clock_atoms`` and ``_clock_values``."""
+    c = F.col
+    clock = F.when(c("written") < 24, c("meant") * 60 + c("total") % 60)
+    half_day = F.when(c("written") <= 12, clock)
+    # "between 11 and 1 pm" begins in the morning.
+    begin = F.when(c("meridiem").isNotNull() & (c("last") < c("written")) & (c("written") < 12), c("total")).otherwise(clock)
+    apart = F.pmod(c("meant") * 60 + F.when(m.rlike("[pZ]"), c("shift")).otherwise(-c("shift")), F.lit(1440))
+    return [
+        ("between", "b(?:t|d|N)c(?:t|d|N)a?(?:IE[P8])?", begin),
+        ("part_clock", f"{_IN_PART},?[AVB]+{_CLOCK}a?", clock),
+        ("clock_part", f"{_AT}{_CLOCK}{_IN_PART}", clock),
+        ("apart", f"(?:(?:[AB]V?)?(?:e?Q|H)|[AB]V?(?:d|N|5N?)U?)[p6ZB][dN](?:a|{_IN_PART})?", F.when(c("last") <= 12, apart)),
+        ("meridiem", f"{_AT}{_CLOCK}a", half_day),
+        ("compact", "(?:[AB]V?)?qa", F.when(c("number") % 100 < 60, half_day)),
+        ("number_noon", "(?:[AB]V?)?[dN]K", F.when(c("written") == 12, c("named"))),
+        ("oclock", "(?:[AB]V?)?[dN]k", clock),
+        ("colon", "[ABVg]*t", clock),
+        ("point", "(?:[ABVg]+|(?<=#))f", clock),
+        ("military", "AV?q", F.when((c("number") < 2400) & (c("number") % 100 < 60), c("total"))),
+        ("at_hour", "AV?d(?!U)", clock),
+        ("at_word", "AV?N(?:5N?|N)?(?!U)", clock),
+        ("by_hour", f"BV?(?:d|N){_THEN}", clock),
+        ("by_first", "(?<=^|[~c,.l])BV?(?:d|N)(?!U)", clock),
+        ("noon", "(?:[ABI]E?V?)?K", c("named")),
+        ("part", "(?:IE[P8]|A8|(?<=#)[P8])(?!4)", c("own_part")),
+    ]
 
 
-def fold(text: Column) -> Column:
-    return fold_temporal_case(text)
+def _first_rule(m: Column, rules: list, value) -> Column:
+    out = None
+    for rule in rules:
+        test, x = m.rlike(f"^(?:{re.sub(r'[(][?]<=[^)]*[)]', '', rule[1])})$"), value(rule)
+        out = F.when(test, x) if out is None else out.when(test, x)
+    return out
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Columns that are computed once: a generator keeps the optimizer from copying large expressions to each use."""
+    packed = F.struct(*(c.alias(n) for n, c in columns.items()))
+    return df.select("*", F.explode(F.array(packed)).alias("__x")).select("*", *(F.col(f"__x.{n}").alias(n) for n in columns)).drop("__x")
+
+
+def _locate(df: DataFrame, line: Column, rules: list) -> DataFrame:
+    """``df`` with ``start``, ``m``, ``v``, ``w``: the first stretch of ``line`` that any rule fits, its classes, numbers and words."""
+    any_ = F.lit("|".join(f"(?:{r[1]})" for r in rules))
+    df = _once(df, start=F.regexp_instr(line, any_), m=F.coalesce(F.regexp_substr(line, any_), F.lit("")))
+    cut = lambda a: F.slice(a, F.greatest("start", F.lit(1)), F.length("m"))
+    return _once(df, v=cut(F.col("numbers")), w=cut(F.col("words")))
+
+
+def read_when(df: DataFrame, text_col: str, now_col: str) -> DataFrame:
+    """``df`` with the tokens, first date and first time of a text.
+
+    Adds ``tokens``, ``line`` (classes), ``date_start``, ``date_size``, ``date_rule``, ``date``, ``date_part`` (minute that the date implies),
+    ``low`` (low confidence), ``exact`` (counted in minutes or hours), ``time_start``, ``time_size``, ``time_rule``, ``time_minute``.
+    The time is looked for outside the date.
+    """
+    kept = df.columns
+    today, minute_now = F.to_date(now_col), F.hour(now_col) * 60 + F.minute(now_col)
+    df = _once(df, tokens=tokens(F.col(text_col)))
+    df = _once(df, words=words(F.col("tokens")))
+    df = _once(df, coded=codes(F.col("words")))
+    df = _once(df, line=classes(F.col("coded")), numbers=numbers(F.col("coded"))).drop("coded")
+    m = F.col("m")
+    rules = date_rules(m, today, minute_now)
+    df = _locate(df, F.col("line"), rules)
+    df = _once(df, **_date_atoms(Match(m, F.col("v"), F.col("w"))))
+    df = _once(df, **_date_values(m, today))
+    value = lambda r: F.struct(F.lit(r[0]).alias("rule"), r[2].cast("date").alias("date"), (r[3] if r[3] is not None else F.lit(None)).cast("int").alias("part"), F.lit(r[4]).alias("low"))
+    df = _once(df, d=F.when(m != "", _first_rule(m, rules, value)))
+    known = F.col("d.date").isNotNull()
+    exact = known & F.col("d.rule").isin("half_hour", "hour_and_half", "decimal_hours", "in_amount") & F.col("d.part").isNotNull()
+    found = {"date_start": F.when(known, F.col("start")), "date_size": F.when(known, F.length("m")), "date_rule": F.when(known, F.col("d.rule")), "date": F.col("d.date"), "date_part": F.when(known, F.col("d.part")), "low": F.coalesce(known & F.col("d.low"), F.lit(False)), "exact": F.coalesce(exact, F.lit(False))}
+    df = df.select(*kept, "tokens", "line", "words", "numbers", *(c.alias(n) for n, c in found.items()))
+    hidden = F.when(F.col("date_start").isNull(), F.col("line")).otherwise(F.concat(F.substring(F.col("line"), F.lit(1), F.col("date_start") - 1), F.repeat(F.lit("#"), F.col("date_size")), F.substring(F.col("line"), F.col("date_start") + F.col("date_size"), F.lit(10_000))))
+    rules = time_rules(m)
+    df = _locate(df, hidden, rules)
+    df = _once(df, **_clock_atoms(Match(m, F.col("v"), F.col("w"))), said=F.when(~F.col("exact"), F.col("date_part")), evening=F.lower(text_col).rlike(rf"\b(?:{'|'.join(EVENING_EVENTS.split())})\b"))
+    df = _once(df, **_clock_values(m))
+    df = _once(df, t=F.when(m != "", _first_rule(m, rules, lambda r: F.struct(F.lit(r[0]).alias("rule"), r[2].cast("int").alias("minute")))))
+    known = F.col("t.minute").isNotNull() & ~F.col("exact")
+    return df.select(*kept, "tokens", "line", *found, *(F.when(known, c).alias(n) for n, c in (("time_start", F.col("start")), ("time_size", F.length("m")), ("time_rule", F.col("t.rule")), ("time_minute", F.col("t.minute")))))
+
+
+def small_hours(date: Column, minute: Column, said: Column) -> Column:
+    """Tonight at 2 is the next day's 02:00."""
+    return F.when((said == 1200) & (minute < 300), F.date_add(date, 1)).otherwise(date)
+
+
+def rolled(date: Column, minute: Column, today: Column, minute_now: Column) -> Column:
+    """The date; without one, a time that is over today is tomorrow's."""
+    return F.coalesce(date, F.when(minute.isNotNull(), F.date_add(today, F.when(minute <= minute_now, 1).otherwise(0))))
+
+
+def is_over(date: Column, minute: Column, today: Column, minute_now: Column) -> Column:
+    """A past day, or today at an earlier minute."""
+    return (date < today) | ((date == today) & F.coalesce(minute < minute_now, F.lit(False)))
+
+
+def cut_spans(found: Column, *spans: tuple[Column, Column]) -> Column:
+    """The text of the tokens outside the spans (first token from 1, and length; null for none)."""
+
+    def keep(_: Column, i: Column) -> Column:
+        out = F.lit(True)
+        for start, size in spans:
+            out = out & ~F.coalesce((i + 1 >= start) & (i + 1 < start + size), F.lit(False))
+        return out
+
+    return F.array_join(F.filter(found, keep), "")
+
+
+def parse_when(df: DataFrame, text_col: str = "text", now_col: str = "now") -> DataFrame:
+    """``df`` with ``date``, ``minute``, ``rest`` (the text without them), ``confidence`` and the rules that fitted.
+
+    The first date and the first time outside it are combined: the clock is read in the part of the day that is
+    said with the date, small hours of a night belong to the next day, and a bare time that is over rolls to tomorrow.
+    """
+    today, minute_now = F.to_date(now_col), F.hour(now_col) * 60 + F.minute(now_col)
+    out = read_when(df, text_col, now_col)
+    minute = F.coalesce("time_minute", "date_part")
+    said = F.when(F.col("time_minute").isNotNull(), F.col("date_part"))
+    out = out.withColumns({"minute": minute, "date": rolled(small_hours(F.col("date"), minute, said), minute, today, minute_now)})
+    rest = cut_spans(F.col("tokens"), (F.col("date_start"), F.col("date_size")), (F.col("time_start"), F.col("time_size")))
+    return out.withColumns({"rest": F.trim(rest), "confidence": F.when(F.col("low"), "low").otherwise("high")}).drop("tokens", "line", "date_start", "date_size", "date_part", "low", "exact", "time_start", "time_size", "time_minute")

@@ -1,59 +1,149 @@
-"""Notes to dated tasks: clauses, dates, times and titles as column expressions."""
+"""Notes to dated tasks: clauses as rows, dates by word classes, and what clauses take from each other by windows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import notes as spoken
 from ..functions import when
-from ..functions.text import normalise_title, strip_non_speech
+from ..functions.text import normalise_title
 
 MAX_TASKS = 20
-# Verbs that begin a task after a bare "and" or a comma.
-VERBS = (
-    "add arrange ask attend back bake book bring buy call cancel change charge check choose clean collect come complete confirm cook create deliver "
-    "discuss do download draft draw drive drop email feed fill find finish fix fly follow get give go have help install invite iron join learn leave "
-    "look mail make meet message move open order organize pack paint pay pick plan play post practice prepare print read remind remove renew repair "
-    "reply reserve return review ring run schedule see sell send set shop sign start stop study submit take talk teach tell text tidy train travel "
-    "try turn update upload visit wake walk wash watch water wrap write"
-).split()
-_VERB = "|".join(VERBS)
-SPLIT = rf"(?i)(?<=[.!?;])\s+|\s*,?\s+\b(?:and\s+then|then|after\s+that|also|plus)\b,?\s+|,?\s+\band\s+(?=(?:i\s+(?:need|have|want|must)|{_VERB})\b)|,\s+(?=(?:{_VERB})\b)"
-FILLER = r"(?i)^(?:\s|[,.;:!?-]|\b(?:ok|okay|so|well|um+|uh+|please|and|then|also|hey|hi|hello|today's|remind\s+me(?:\s+(?:to|about|that))?|don't\s+forget(?:\s+to)?|remember\s+to|make\s+sure\s+to|i\s+(?:need|have|want|would\s+like|got|must|should|will|am\s+going|plan)(?:\s+to)?|i'(?:ll|m\s+going\s+to|ve\s+got\s+to|d\s+like\s+to)|we\s+(?:need|have|should|must)(?:\s+to)?|let's|need\s+to|can\s+you|could\s+you|to)\b)+"
-NON_TASK = r"(?i)^\W*(?:thanks?(?:\s+you)?|that's\s+(?:it|all)|hello|hi|hey|ok(?:ay)?|bye|i\s+have\s+(?:some|a\s+few|\w+)\s+(?:tasks|things)(?:\s+(?:to\s+do|for\s+\w+))?)?\W*$"
-
-
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """A column that is computed once: a generator keeps the optimizer from copying its large expression to each use."""
-    return df.withColumn(name, F.explode(F.array(value)))
-
-
-def extract_tasks(notes: DataFrame, now_col: str = "now", note_col: str = "note") -> DataFrame:
+MAX_NOTE = 20_000
+RESULT = ["position", "title", "date", "minute", "has_reminder", "confidence"]
+
+
+def note_clauses(notes: DataFrame, note_col: str = "note") -> DataFrame:
+    """One row per clause of a note: the note's columns, ``note_row``, ``position``, ``joint``, ``clause`` and ``sentence``.
+
+    A null or empty note has no clause.  ``note_row`` tells rows apart, so repeated notes stay apart.
+    """
+    text = spoken.corrected(spoken.normalise(F.col(note_col).cast("string")))
+    rows = notes.withColumn("note_row", F.monotonically_increasing_id()).where(F.length(F.trim(note_col)) > 0)
+    rows = rows.select("*", F.explode(F.array(spoken.clauses(text))).alias("parts")).select(*rows.columns, F.posexplode("parts").alias("position", "part")).select(*rows.columns, "position", "part.joint", F.col("part.text").alias("clause"))
+    order = Window.partitionBy("note_row").orderBy("position")
+    return rows.withColumn("sentence", F.sum(F.when(F.col("joint") == ".", 1).otherwise(0)).over(order))
+
+
+def clause_kind(clause: Column, rest: Column, dated: Column, over: Column) -> Column:
+    """What a clause is, by the first test that holds; its dates are cut from ``rest``, ``dated`` says that it has any, and ``over`` that they have passed."""
+    def test(x: Column) -> Column:
+        text, bare, dated, over = F.lower(x["clause"]), F.lower(x["rest"]), x["dated"], x["over"]
+        alone = bare.rlike(r"^\W*(?:(?:and|so|then|or|on|at|by|in|the|of|it's)\b\W*){0,12}$")
+        return (
+            F.when(alone & dated, "when")
+            .when(bare.rlike(spoken.PREAMBLE), "preamble")
+            .when(bare.rlike(spoken.SMALL_TALK), "small talk")
+            .when(text.rlike(spoken.DAY_BEFORE), "day before")
+            .when(bare.rlike(spoken.REMIND_ONLY), "remind")
+            .when(bare.rlike(spoken.BOTH) & dated, "both")
+            .when(text.rlike(spoken.DONE) & (over | ~dated | text.rlike(spoken.ALREADY)), "done")
+            .when(text.rlike(spoken.DONE_BEFORE) & over, "done")
+            .when(text.rlike(spoken.QUESTION) & ~dated, "question")
+            .when(text.rlike(spoken.ELABORATION) & dated, "elaboration")
+            .when(text.rlike(spoken.ABOUT_OTHERS), "others")
+            .when(text.rlike(spoken.STATE), "state")
+            .when(text.rlike(spoken.NARRATION), "narration")
+            .otherwise("task")
+        )
+
+    return F.get(F.transform(F.array(F.struct(clause.alias("clause"), rest.alias("rest"), dated.alias("dated"), over.alias("over"))), test), F.lit(0))
+
+
+def extract_tasks(notes: DataFrame, now_col: str = "now", note_col: str = "note", max_tasks: int = MAX_TASKS) -> DataFrame:
     """Rows of the input's columns with ``position``, ``title``, ``date``, ``minute``, ``has_reminder``, ``confidence``.
 
-    ``now`` is a TIMESTAMP_NTZ column.  A note is cut into clauses; each clause
-    gives a title without its date and time.  A clause without a day takes
-    that of the clause before it in the same note; a bare time already over moves to tomorrow.
-    Null, empty and small-talk notes give no row; at most 20 tasks come from a note.
+    ``now`` is a TIMESTAMP_NTZ column.  A note is repaired and cut into clauses; each task clause gives a title without its date and time.
+    What it does not say itself comes from the clauses before it in this order: a phrase of time that stands alone
+    before it, what somebody else's plan says, the day that leads its sentence, the day that a preamble names.  A vague time takes
+    nothing.  Reminders and details of time without a task of their own fill what the task before them lacks.  A bare time already over
+    moves to tomorrow; a task of a past day is dropped.
+
+    Null, empty and small-talk notes give no row; at most ``max_tasks`` tasks come from a note, in spoken order, and a task
+    said twice counts once.  Columns of the input that are named as results give way to them.
+    Everything runs as joins-free column expressions and windows over the clauses of one note.
+    """
+    keep = [c for c in notes.columns if c.lower() not in RESULT]
+    base = notes.select(F.struct(*keep).alias("source"), F.col(now_col).cast("timestamp_ntz").alias("now"), F.substring(F.col(note_col).cast("string"), 1, MAX_NOTE).alias("note"))
+    rows = note_clauses(base, "note")
+    rows = when.read_when(rows, "clause", "now")
+    today, minute_now = F.to_date("now"), F.hour("now") * 60 + F.minute("now")
+    minute = F.coalesce("time_minute", "date_part")
+    said = F.when(F.col("time_minute").isNotNull() & ~F.col("exact"), F.col("date_part"))
+    rest = when.cut_spans(F.col("tokens"), (F.col("date_start"), F.col("date_size")), (F.col("time_start"), F.col("time_size")))
+    first = F.least(F.coalesce("date_start", "time_start"), F.coalesce("time_start", "date_start"))
+    leads = first.isNotNull() & F.substring(F.col("line"), F.lit(1), first - 1).rlike(r"^[~cls,.O3]*$")
+    rows = when._once(rows, own_minute=minute, own_date=when.small_hours(F.col("date"), minute, said), rest=rest, leads=F.coalesce(leads, F.lit(False)))
+    dated = F.col("own_date").isNotNull() | F.col("own_minute").isNotNull()
+    over = F.coalesce(when.is_over(F.col("own_date"), F.col("own_minute"), today, minute_now), F.lit(False))
+    rows = when._once(rows, kind=clause_kind(F.col("clause"), F.trim("rest"), dated, over), vague=F.lower("clause").rlike(spoken.VAGUE), asked=F.lower("clause").rlike(r"\bremind\b|\bdon't\s+(?:let\s+me\s+)?forget\b"), raw=spoken.clean_title(F.col("rest")), verb=spoken.first_verb(F.trim("rest")), gap=~spoken.opens_with_verb(F.trim("rest")) & F.col("leads"))
+    order = Window.partitionBy("note_row").orderBy("position")
+    run = Window.partitionBy("note_row", "sentence").orderBy("position")
+    before, after = run.rowsBetween(Window.unboundedPreceding, -1), run.rowsBetween(1, Window.unboundedFollowing)
+    # A time that no task follows belongs to the task before it.
+    follows = F.lead("kind").over(order)
+    rows = rows.withColumn("kind", F.when((F.col("kind") == "when") & ~F.coalesce(follows, F.lit("")).isin("task", "when"), "elaboration").otherwise(F.col("kind")))
+    kind, task = F.col("kind"), F.col("kind") == "task"
+    # A date that leads its clause holds for the clauses after it; a counted one ("in 20 minutes") does not.
+    spreads = (task & F.col("leads") & ~F.col("exact") & F.col("own_date").isNotNull()) | (kind.isin("when", "others", "state") & F.col("own_date").isNotNull())
+    anchor = F.when(spreads, F.col("own_date")).when(kind == "day before", None)
+    pair = F.struct("own_date", "own_minute")
+    stated = F.coalesce(F.lag(F.when(kind == "when", pair)).over(order), F.lag(F.when(kind.isin("others", "state"), pair)).over(run))
+    rows = rows.select(
+        "*",
+        F.last(anchor, ignorenulls=True).over(before).alias("run_date"),
+        F.last(F.when(kind == "preamble", F.col("own_date")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("header_date"),
+        stated.alias("stated"),
+        F.first(F.when(kind == "both", F.col("own_date")), ignorenulls=True).over(after).alias("both_date"),
+        # A clause that gives its date or a reminder to the task right before it.
+        F.lead(F.when(kind.isin("remind", "elaboration", "day before"), F.struct("kind", "own_date", "own_minute"))).over(order).alias("added"),
+        F.last(F.when(task & (F.col("verb") != ""), F.col("verb")), ignorenulls=True).over(before).alias("run_verb"),
+    )
+    time_only = F.col("own_date").isNull() & F.col("own_minute").isNotNull()
+    nothing = F.col("own_date").isNull() & F.col("own_minute").isNull()
+    said_date = F.coalesce("run_date", "header_date")
+    fits = F.coalesce(when.is_over(said_date, F.col("own_minute"), today, minute_now), F.lit(False))
+    carried = F.col("joint").isin("and", "then", ",", "..", "so")
+    date = (
+        F.when(F.col("own_date").isNotNull(), F.col("own_date"))
+        .when(F.col("vague"), None)
+        .when(nothing & F.col("stated").isNotNull(), F.coalesce("stated.own_date", when.rolled(F.lit(None).cast("date"), F.col("stated.own_minute"), today, minute_now)))
+        .when(time_only & F.col("stated.own_date").isNotNull(), F.col("stated.own_date"))
+        .when(time_only & ~fits, said_date)
+        .when(nothing & carried & F.col("run_date").isNotNull(), F.col("run_date"))
+        .when(nothing, F.coalesce("both_date", "header_date"))
+    )
+    minute = F.coalesce("own_minute", F.when(nothing & ~F.col("vague"), F.col("stated.own_minute")))
+    rows = when._once(rows, t_date=date, t_minute=minute)
+    fill_date = F.coalesce("t_date", F.when(F.col("added.kind") != "day before", F.col("added.own_date")))
+    fill_minute = F.coalesce("t_minute", F.when((F.col("added.kind") != "day before") & (F.col("t_date").isNull() | F.col("added.own_date").isNull() | (F.col("t_date") == F.col("added.own_date"))), F.col("added.own_minute")))
+    # The day before counts where it is not over yet.
+    earlier = F.coalesce(F.col("added.kind").eqNullSafe("day before") & (F.col("t_date") > today), F.lit(False))
+    final_date = F.when(earlier, F.date_sub("t_date", 1)).otherwise(when.rolled(fill_date, fill_minute, today, minute_now))
+    final_minute = F.when(earlier, F.coalesce("added.own_minute", "t_minute")).otherwise(fill_minute)
+    # "on the 1st pay the rent, on the 2nd the gas bill": the verb is said once.
+    gapped = F.col("gap") & F.col("run_verb").isNotNull() & F.col("joint").isin(",", "and", "then") & F.col("rest").rlike(r"^[\s,]*(?:the|my|our|his|her)\s") & ~F.lower("rest").rlike(rf"\b(?:{'|'.join(spoken.EVENTS)})\b")
+    title = F.when(gapped, F.concat(F.upper(F.substring("run_verb", 1, 1)), F.substring(F.col("run_verb"), F.lit(2), F.lit(99)), F.lit(" "), F.lower(F.substring("raw", 1, 1)), F.substring(F.col("raw"), F.lit(2), F.lit(10_000)))).otherwise(F.col("raw"))
+    out = when._once(rows.where(task), title=normalise_title(title), d=final_date, m=final_minute)
+    # A past day: dropped, unless it is the clock that is over today.
+    out = out.where((F.length("title") > 1) & (F.col("d").isNull() | (F.col("d") >= today)))
+    same = Window.partitionBy("note_row", F.lower("title"), "d", "m").orderBy("position")
+    out = out.withColumn("copy", F.row_number().over(same)).where("copy = 1").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max_tasks)
+    reminder = F.col("m").isNotNull() | F.col("asked") | F.col("added.kind").isin("remind", "day before")
+    return out.select("source.*", F.col("nth").cast("int").alias("position"), "title", F.col("d").alias("date"), F.col("m").cast("int").alias("minute"), F.coalesce(reminder, F.lit(False)).alias("has_reminder"), F.when(F.col("low") & F.col("own_date").isNotNull(), "low").otherwise("high").alias("confidence"))
+
+
+def drafts(notes: DataFrame, now_col: str = "now", note_col: str = "note") -> DataFrame:
+    """``extract_tasks``, and one row that holds the whole note for each note without a task; notes without text give none.
+
+    ``low_confidence_date`` marks dates that are a guess.
     """
-    keep = notes.columns
-    clauses = F.split(strip_non_speech(F.col(note_col)), SPLIT)
-    rows = notes.where(F.col(note_col).isNotNull()).withColumn("clauses", F.filter(clauses, lambda c: ~c.rlike(NON_TASK) & (F.length(F.trim(c)) > 0)))
-    rows = rows.select(*keep, F.posexplode(F.slice("clauses", 1, MAX_TASKS)).alias("position", "clause"))
-    today, minute_now = F.to_date(now_col), F.hour(now_col) * 60 + F.minute(now_col)
-    rows = _once(rows, "folded", when.fold(F.col("clause")))
-    rows = _once(rows, "d", when.first_date(F.col("folded"), today, minute_now))
-    rows = _once(rows, "undated", when.blank_span(F.col("folded"), F.col("d.start"), F.col("d.stop")))
-    rows = _once(rows, "t", when.first_time(F.col("undated")))
-    # Cut the later span first, so that offsets stay right.
-    title = when.blank_span(when.blank_span(F.col("clause"), F.col("d.start"), F.col("d.stop")), F.col("t.start"), F.col("t.stop"))
-    title = F.regexp_replace(title, r"(?i)\s+(?:on|at|by|for|in|and|the|to)?\s*[,.;:!?\s]*$", "")
-    title = F.regexp_replace(F.regexp_replace(title, FILLER, ""), r"^[\s,.;:!?-]+|[\s,.;:!?-]+$", "")
-    title = normalise_title(title)
-    rows = rows.withColumn("title", F.concat(F.upper(F.substring(title, 1, 1)), F.substring(title, F.lit(2), F.length(title))))
-    rows = rows.where(F.length("title") > 0)
-    minute = F.coalesce("t.minute", "d.minute")
-    same_note = Window.partitionBy(*keep).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    spoken = F.last("d.date", ignorenulls=True).over(same_note)
-    rolled = F.when(minute.isNotNull(), F.date_add(today, F.when(minute <= minute_now, 1).otherwise(0)))
-    return rows.select(*keep, "position", "title", F.coalesce("d.date", spoken, rolled).alias("date"), minute.alias("minute"), (minute.isNotNull() | F.col("clause").rlike(r"(?i)\bremind")).alias("has_reminder"), F.when(F.coalesce("d.low", F.lit(False)), "low").otherwise("high").alias("confidence"))
+    keep = [c for c in notes.columns if c.lower() not in RESULT]
+    marked = notes.select(*keep, F.monotonically_increasing_id().alias("draft_row"))
+    found = extract_tasks(marked, now_col, note_col)
+    whole = normalise_title(F.col(note_col).cast("string"))
+    empty = marked.join(found.select("draft_row").distinct(), "draft_row", "left_anti").where(F.length(whole) > 0)
+    kept = empty.select(*keep, F.lit(1).alias("position"), whole.alias("title"), F.lit(None).cast("date").alias("date"), F.lit(None).cast("int").alias("minute"), F.lit(False).alias("has_reminder"), F.lit("high").alias("confidence"))
+    both = found.select(*keep, *RESULT).unionByName(kept)
+    return both.withColumn("low_confidence_date", (F.col("confidence") == "low") & F.col("date").isNotNull())

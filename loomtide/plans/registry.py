@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import civil, text
 from ..operators import extract, groups, reminders, scoring, store
+from . import language
 from .views import BY_DAY_SQL, EVENTS_TODAY, LABEL_SQL, NOW, ORDER_SQL, TASKS_SQL, TODAY, completions, table, tasks, usage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,3 +214,7 @@ def settings_reset(spark, sf_dir):
 def capture_batches(spark, sf_dir):
     """Rows of one capture share its id."""
     return table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 1000).alias("id")).agg(F.count("*").alias("n"))
+
+
+QUERIES |= language.QUERIES
+SQL |= language.SQL
