@@ -10,28 +10,37 @@ from loomtide.llm.scratch import stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality_rules.keep_good_documents(docs)
+    """Documents that the quality rules reject go, and lines that are removed on their host go from the others; ``n_chars`` follows the text.
+
+    Null and empty texts are rejected, repeated rows share a verdict, null ids and hosts are values of their own, and an empty table stays empty.
+    """
+    return quality_rules.keep_good_documents(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that several documents share stay in the first of them; ``n_chars`` follows the text."""
+    """Lines that several documents share stay in the first of them; ``n_chars`` follows the text.
+
+    A null text becomes the empty one; rows with a null id are unchanged; repeated rows are one document.
+    """
     cut = line_dedup.dedup_lines(docs).select(*docs.columns)
     return cut.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, 0.8) stays."""
+    """One document of each group of near copies (five words, 0.8) stays.
+
+    Rows without words or with a null id stay; repeated rows collapse to one.
+    """
     return minhash.drop_near_duplicates(docs, width=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; rows with a null id or text stay, and an empty benchmark drops nothing."""
     return decontam.drop_leaking_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text, proved to decode to it."""
+    """The ids of every text, proved to decode to it; a null text is the empty one, which has no ids."""
     return spm_dropout.encode_documents(docs, dropout=0.1, seed=1).select("doc_id", "text", "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 
@@ -43,7 +52,7 @@ STAGES = [
     ("SentencePiece encoding", encoding),
 ]
 
-#: SQL can't express the SimHash and encoding stages; tests/llm compares them with brute force.
+#: SQL can't express the SimHash and encoding stages; tests/llm/test_pipeline.py compares the run with plain Python.
 ORACLE_SQL = None
 
 

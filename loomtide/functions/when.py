@@ -123,7 +123,7 @@ def classes(coded: Column) -> Column:
 
 
 def numbers(coded: Column) -> Column:
-    return F.transform(coded, lambda c: F.substring(c, 2, 10).try_cast("int"))
+    return F.transform(coded, lambda c: F.when(F.length(c) > 1, F.substring(c, 2, 10).cast("int")))
 
 
 @dataclass
@@ -300,9 +300,12 @@ def _first_rule(m: Column, rules: list, value) -> Column:
 
 
 def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Columns that are computed once: a generator keeps the optimizer from copying large expressions to each use."""
+    """Columns that are computed once: a generator keeps the optimizer from copying large expressions to each use.
+
+    They are evaluated in a lambda: generated code for them would be a method too large for the JVM to compile.
+    """
     packed = F.struct(*(c.alias(n) for n, c in columns.items()))
-    return df.select("*", F.explode(F.array(packed)).alias("__x")).select("*", *(F.col(f"__x.{n}").alias(n) for n in columns)).drop("__x")
+    return df.select("*", F.explode(F.transform(F.array(F.lit(0)), lambda _: packed)).alias("__x")).select("*", *(F.col(f"__x.{n}").alias(n) for n in columns)).drop("__x")
 
 
 def _locate(df: DataFrame, line: Column, rules: list) -> DataFrame:
