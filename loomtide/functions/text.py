@@ -25,7 +25,7 @@ def fold_for_search(text: Column) -> Column:
     out = F.translate(F.regexp_replace(F.lower(text), "[\\u0300-\\u036F%_\\\\]", ""), _FROM, _TO)
     for letter, pair in WIDE_LETTERS.items():
         out = F.replace(out, F.lit(letter), F.lit(pair))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    return F.trim(F.regexp_replace(out, r"[\s\x{A0}]+", " "))
 
 
 def normalise_title(text: Column, units: int = 200) -> Column:
@@ -61,9 +61,14 @@ def content_words(text: Column) -> Column:
 
 def title_similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of the content words; 1 if both have none."""
-    x, y = content_words(a), content_words(b)
-    union = F.size(F.array_union(x, y))
-    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / F.when(union == 0, 1).otherwise(union))
+    return set_similarity(content_words(a), content_words(b))
+
+
+def set_similarity(x: Column, y: Column) -> Column:
+    """Jaccard similarity of two arrays without repeats; 1 if both are empty."""
+    common = F.size(F.array_intersect(x, y))
+    union = F.size(x) + F.size(y) - common
+    return F.when(union == 0, 1.0).otherwise(common / F.when(union == 0, 1).otherwise(union))
 
 
 def word_edits(reference: Column, hypothesis: Column) -> Column:
@@ -82,6 +87,28 @@ def word_error_rate(reference: Column, hypothesis: Column) -> Column:
     return F.when(n == 0, F.when(F.size(hypothesis) == 0, 0.0).otherwise(1.0)).otherwise(word_edits(reference, hypothesis) / F.when(n == 0, 1).otherwise(n))
 
 
+# Number words that a transcript may write as digits.
+NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve".split()
+
+
+def wer_tokens(text: Column) -> Column:
+    """Words for counting errors: lower case without punctuation, numbers as digits, full hours without minutes, and "p.m." as "pm"."""
+    out = F.lower(F.translate(text, "‘’", "''"))
+    for pattern, to in ((r"\b([ap])\.?\s?m\b\.?", "$1m"), (r"(\d)(?=[ap]m\b)", "$1 "), (r"\b(\d{1,2}):00\b", "$1"), *((rf"\b{w}\b", str(i)) for i, w in enumerate(NUMBER_WORDS)), (r"[^a-z0-9':\s]+", " ")):
+        out = F.regexp_replace(out, pattern, to)
+    return F.filter(F.split(out, r"\s+"), lambda w: w != "")
+
+
+def word_before(text: Column, at: Column) -> Column:
+    """The word that ends before an offset (from 0), or empty."""
+    return F.regexp_extract(F.substring(text, F.lit(1), at), r"([A-Za-z0-9'\x{80}-\x{10FFFF}]+)[^A-Za-z0-9'\x{80}-\x{10FFFF}]*$", 1)
+
+
+def word_after(text: Column, at: Column) -> Column:
+    """The word that begins at or after an offset (from 0), or empty."""
+    return F.regexp_extract(F.substring(text, at + 1, F.length(text)), r"^[^A-Za-z0-9'\x{80}-\x{10FFFF}]*([A-Za-z0-9'\x{80}-\x{10FFFF}]+)", 1)
+
+
 def encode_payload(task_id: Column) -> Column:
     return F.to_json(F.struct(task_id.alias("taskId")))
 

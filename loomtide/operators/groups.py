@@ -32,15 +32,31 @@ def week_histogram(by_day: DataFrame, today: dt.date, days: int = 7) -> DataFram
     return window.join(by_day, ["owner", "day"], "left").select("owner", "day", F.coalesce("n_done", F.lit(0)).alias("n_done"))
 
 
-def streaks(by_day: DataFrame, today: dt.date, cap: int = 400) -> DataFrame:
-    """Consecutive days with a completion up to today or yesterday, at most ``cap``."""
-    days = by_day.where(F.col("day") <= F.lit(today)).select("owner", "day").distinct()
-    island = F.date_sub("day", F.row_number().over(Window.partitionBy("owner").orderBy("day")))
-    runs = days.withColumn("island", island).groupBy("owner", "island").agg(F.max("day").alias("last"), F.count("*").alias("n"))
-    live = runs.where(F.col("last") >= F.date_sub(F.lit(today), 1)).groupBy("owner").agg(F.max("n").alias("n"))
-    return by_day.select("owner").distinct().join(live, "owner", "left").select("owner", F.least(F.coalesce("n", F.lit(0)), F.lit(cap)).cast("int").alias("streak_days"))
-
-
-def owner_stats(by_day: DataFrame, today: dt.date) -> DataFrame:
-    week = week_histogram(by_day, today).groupBy("owner").agg(F.sum("n_done").alias("done_last_7"))
-    return week.join(streaks(by_day, today), "owner")
+def streaks(by_day: DataFrame, today: dt.date, cap: int = 400, days_back: int = 401, completions: int = 2000) -> DataFrame:
+    """Consecutive days with a completion up to today or yesterday, at most ``cap``.
+
+    Only the newest ``completions`` completions of an owner within ``days_back`` days are looked at.
+    """
+    return owner_stats(by_day, today, cap=cap, days_back=days_back, completions=completions).select("owner", "streak_days")
+
+
+def owner_stats(by_day: DataFrame, today: dt.date, totals: DataFrame | None = None, cap: int = 400, days_back: int = 401, completions: int = 2000) -> DataFrame:
+    """One row per owner: completions of the last 7 days and the streak, and the open and completed counts of ``totals`` where given.
+
+    The daily counts are read once: islands of days are numbered by a window over the owner, and one
+    aggregation makes both figures.
+    """
+    day, newest = F.col("day"), Window.partitionBy("owner").orderBy(F.desc("day"))
+    seen = by_day.where(day <= F.lit(today)).withColumns({"newer": F.sum("n_done").over(newest) - F.col("n_done"), "back": F.row_number().over(newest)})
+    # A day of the streak is as many days before the newest day as there are rows before it; the newest is today or yesterday.
+    first = F.max("day").over(Window.partitionBy("owner"))
+    run = (F.datediff(first, "day") == F.col("back") - 1) & (first >= F.date_sub(F.lit(today), 1)) & (day >= F.date_sub(F.lit(today), days_back - 1)) & (F.col("newer") < completions)
+    stats = seen.withColumn("run", run).groupBy("owner").agg(F.coalesce(F.sum(F.when(day >= F.date_sub(F.lit(today), 6), F.col("n_done"))), F.lit(0)).alias("done_last_7"), F.least(F.count_if("run"), F.lit(cap)).cast("int").alias("streak_days"))
+    everyone = by_day.groupBy("owner").agg(F.count("*").alias("days")).select("owner") if totals is None else totals
+    joined = everyone.join(stats, "owner", "left")
+    return joined.select(*everyone.columns, F.coalesce("done_last_7", F.lit(0)).alias("done_last_7"), F.coalesce("streak_days", F.lit(0)).alias("streak_days"))
+
+
+def nearest_rank(value: str, *shares: float) -> list[Column]:
+    """Nearest-rank percentiles p50, p95, ... of a column; 0 where there is no value."""
+    return [F.coalesce(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})"), F.lit(0)).alias(f"p{round(p * 100)}") for p in shares]

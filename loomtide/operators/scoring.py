@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import title_similarity
+from ..functions.text import title_similarity, word_edits
 
 
 def score_notes(notes: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -42,3 +42,18 @@ def scorecard(scored: DataFrame, *keys: str) -> DataFrame:
         F.count("*").alias("notes"), rate("matched", "n_expected").alias("recall"), rate("matched", "n_actual").alias("precision"),
         rate("dates_right", "dates_checked").alias("date_accuracy"), rate("times_right", "times_checked").alias("time_accuracy"), F.avg(F.col("exact").cast("int")).alias("exact_rate"),
     )
+
+
+def error_summary(clips: DataFrame, *keys: str) -> DataFrame:
+    """Word errors of transcripts by ``keys`` and over all (null keys), from ``reference`` and ``heard`` arrays of words.
+
+    ``mean_wer`` averages clips (an empty reference counts 0 or 1), ``pooled_wer`` is all edits by all words,
+    ``lost`` and ``gained`` count clips with fewer and with more words than were said.
+    """
+    n, m = F.size("reference"), F.size("heard")
+    edits = clips.select(*keys, n.alias("n"), m.alias("m"), word_edits(F.col("reference"), F.col("heard")).alias("edits"))
+    rate = F.when(F.col("n") == 0, F.when(F.col("m") == 0, 0.0).otherwise(1.0)).otherwise(F.col("edits") / F.when(F.col("n") == 0, 1).otherwise(F.col("n")))
+    return edits.rollup(*keys).agg(
+        F.count("*").alias("clips"), F.avg(rate).alias("mean_wer"), (F.sum("edits") / F.when(F.sum("n") == 0, 1).otherwise(F.sum("n"))).alias("pooled_wer"),
+        F.count_if(F.col("m") < F.col("n")).alias("lost"), F.count_if(F.col("m") > F.col("n")).alias("gained"),
+    )

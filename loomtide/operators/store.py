@@ -69,18 +69,43 @@ def append_tasks(tasks: DataFrame, new: DataFrame) -> DataFrame:
     return tasks.unionByName(new)
 
 
-def update_tasks(tasks: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """The snapshot with the non-null columns of ``changes`` put in by key; unknown keys change nothing."""
-    columns = [c for c in changes.columns if c != key]
-    renamed = changes.select(key, *(F.col(c).alias(f"new_{c}") for c in columns))
-    joined = tasks.join(renamed, key, "left")
-    return joined.select(*(F.coalesce(f"new_{c}", c).alias(c) if c in columns else F.col(c) for c in tasks.columns))
+def write_snapshot(tasks: DataFrame, path: str) -> None:
+    """Write a snapshot to a folder of its own and commit it by name last; readers see the old one or the new one whole.
+
+    Spark's committer moves the files of a job together, so a failed job leaves no row; an empty table is written as such.
+    """
+    tasks.write.mode("overwrite").parquet(path)
+
+
+def append_rows(tasks: DataFrame, path: str) -> None:
+    """Add rows to a table in one job: all or none; no rows change nothing."""
+    tasks.write.mode("append").parquet(path)
+
+
+def update_tasks(tasks: DataFrame, changes: DataFrame, key: str = "id", order_by: str | None = None) -> DataFrame:
+    """The snapshot with the columns of ``changes`` put in by key; null is a value like any other.
+
+    Of several changes of one key the last by ``order_by`` counts (without it, the largest row), so no key
+    multiplies; unknown keys change nothing, and null keys meet no row.
+    """
+    columns = [c for c in changes.columns if c not in (key, order_by)]
+    row = F.struct(*([F.col(order_by)] if order_by else []), *(F.col(c).alias(f"new_{c}") for c in columns))
+    last = changes.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(row).alias("change"))
+    joined = tasks.join(last, key, "left")
+    return joined.select(*(F.when(F.col("change").isNotNull(), F.col(f"change.new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in tasks.columns))
+
+
+def delete_all(tasks: DataFrame) -> DataFrame:
+    """No task; the settings that hold the slot counter are another table and stay."""
+    return tasks.limit(0)
 
 
-def set_completed(tasks: DataFrame, ids: list[str], done: bool, now: dt.datetime) -> DataFrame:
-    hit = F.col("id").isin(ids)
+def set_completed(tasks: DataFrame, ids: DataFrame, done: bool, now: dt.datetime) -> DataFrame:
+    """Set or clear the completion of the tasks in ``ids`` (a column ``id``, of any size; repeats count once) and mark them as updated in the same write."""
+    tasks = tasks.join(ids.select("id").distinct().withColumn("__hit", F.lit(True)), "id", "left")
+    hit = F.coalesce("__hit", F.lit(False))
     at = F.lit(now if done else None).cast("timestamp")
-    return tasks.withColumns({"completed": F.when(hit, done).otherwise(F.col("completed")), "completed_at": F.when(hit, at).otherwise(F.col("completed_at")), "updated_at": F.when(hit, F.lit(now)).otherwise(F.col("updated_at"))})
+    return tasks.withColumns({"completed": F.when(hit, done).otherwise(F.col("completed")), "completed_at": F.when(hit, at).otherwise(F.col("completed_at")), "updated_at": F.when(hit, F.lit(now)).otherwise(F.col("updated_at"))}).drop("__hit")
 
 
 def delete_tasks(tasks: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
@@ -119,11 +144,12 @@ def settings_map(settings: DataFrame) -> DataFrame:
 def assign_slots(tasks: DataFrame, counter: int, wrap: int = 0x7FFFFFFF) -> DataFrame:
     """Consecutive slots after ``counter`` in order of id; past ``wrap`` they begin at 1 again.
 
-    Numbers come from counts per range partition, so no task sees all rows.
+    The number of a row is the size of the ranges before its own plus its place there, so no task sees all rows.
+    Range bounds are drawn by sampling; the ranged rows feed both sides through one shuffle.
     """
     parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = tasks.repartitionByRange(parts, "id").withColumn("part", F.spark_partition_id()).persist()
-    sizes = ranged.groupBy("part").count()
-    before = sizes.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))
-    nth = F.row_number().over(Window.partitionBy("part").orderBy("id")) + F.col("before")
-    return ranged.join(F.broadcast(before), "part").withColumn("notification_id", ((F.lit(counter - 1) + nth) % wrap + 1).cast("int")).drop("part", "before")
+    ranged = tasks.repartitionByRange(parts, "id").sortWithinPartitions("id").withColumn("__at", F.monotonically_increasing_id())
+    marked = ranged.withColumns({"__part": F.shiftright("__at", 33), "__nth": F.col("__at").bitwiseAND((1 << 33) - 1)})
+    sizes = marked.groupBy("__part").agg(F.count("*").alias("n"))  # one row a range
+    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("before"))
+    return marked.join(before, "__part").withColumn("notification_id", ((F.lit(counter - 1) + F.col("__nth") + 1 + F.col("before")) % wrap + 1).cast("int")).drop("__part", "__at", "__nth", "before")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import civil, text
-from ..operators import extract, groups, reminders, scoring, store
+from ..operators import entities, extract, groups, reminders, scoring, store
 from . import language
 from .views import BY_DAY_SQL, EVENTS_TODAY, LABEL_SQL, NOW, ORDER_SQL, TASKS_SQL, TODAY, completions, table, tasks, usage
 
@@ -156,9 +156,10 @@ _WORDS = f"list_distinct(list_transform(list_filter(list_transform(regexp_extrac
 @register(f"""WITH p AS (SELECT a.conv_id, a.turn, {_WORDS.format('a.text')} AS x, {_WORDS.format('b.text')} AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
     SELECT conv_id, turn, CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 9) END AS similarity FROM p""")
 def turn_similarity(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations")
-    following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
-    return turns.join(following, ["conv_id", "turn"]).select("conv_id", "turn", F.round(text.title_similarity(F.col("text"), F.col("reply")), 9).alias("similarity"))
+    # Each turn's words are found once; short arrays are joined, not texts.
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.array(text.content_words(F.col("text")))).alias("words"))
+    following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("words").alias("reply"))
+    return turns.join(following, ["conv_id", "turn"]).select("conv_id", "turn", F.round(text.set_similarity(F.col("words"), F.col("reply")), 9).alias("similarity"))
 
 
 @register("""WITH n AS (SELECT o_orderkey AS id, o_orderkey % 900 + 1 AS customer, CAST(o_orderdate AS DATE) AS d, CAST(8 + o_orderkey % 12 AS INTEGER) AS h FROM orders)
@@ -188,16 +189,17 @@ def label_scorecard(spark, sf_dir):
 @register("""SELECT l_returnflag, quantile_disc(l_quantity, 0.5) AS p50, quantile_disc(l_quantity, 0.95) AS p95 FROM lineitem GROUP BY l_returnflag""")
 def latency_percentiles(spark, sf_dir):
     """Nearest-rank percentiles."""
-    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY l_quantity)")
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(rank(0.5).alias("p50"), rank(0.95).alias("p95"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*groups.nearest_rank("l_quantity", 0.5, 0.95))
 
 
-@register(f"WITH {TASKS_SQL} SELECT id, CASE WHEN id % 10 = 0 THEN TRUE ELSE completed END AS completed FROM tasks_v WHERE id % 13 <> 0")
+@register(f"WITH {TASKS_SQL} SELECT id, CASE WHEN id % 10 = 0 THEN TRUE ELSE completed END AS completed, CASE WHEN id % 10 = 0 THEN NULL ELSE due_date END AS due_date FROM tasks_v WHERE id % 13 <> 0")
 def snapshot_update(spark, sf_dir):
-    """A keyed update and a keyed delete of the snapshot."""
-    all_tasks = tasks(spark, sf_dir).select("id", "completed")
-    changes = all_tasks.where("id % 10 = 0").select("id", F.lit(True).alias("completed"))
-    return store.delete_tasks(store.update_tasks(all_tasks, changes), all_tasks.where("id % 13 = 0"))
+    """Keyed updates, two for a key and the last with a null, and a keyed delete of the snapshot."""
+    all_tasks = tasks(spark, sf_dir).select("id", "completed", "due_date")
+    hit = all_tasks.where("id % 10 = 0")
+    first = hit.select("id", F.lit(1).alias("turn"), F.lit(False).alias("completed"), F.col("due_date"))
+    last = hit.select("id", F.lit(2).alias("turn"), F.lit(True).alias("completed"), F.lit(None).cast("date").alias("due_date"))
+    return store.delete_tasks(store.update_tasks(all_tasks, first.union(last), order_by="turn"), all_tasks.where("id % 13 = 0"))
 
 
 @register("""WITH d(key, value) AS (VALUES ('next_notification_id', '7'), ('theme', '"dark"'), ('limit', '3')) SELECT key, value FROM d""")
@@ -210,10 +212,132 @@ def settings_reset(spark, sf_dir):
     return store.upsert_settings(store.reset_settings(now, defaults), make([("theme", '"dark"', t[2])])).select("key", "value")
 
 
-@register("""SELECT l_orderkey % 1000 AS id, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1""")
+@register("SELECT conv_id, CAST(turn AS INTEGER) AS sort_order, sha256(CAST(conv_id AS VARCHAR)) AS capture_id FROM conversations")
 def capture_batches(spark, sf_dir):
-    """Rows of one capture share its id."""
-    return table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 1000).alias("id")).agg(F.count("*").alias("n"))
+    """Turns of one conversation as drafts of one capture."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).alias("position"))
+    return entities.capture_batch(turns, F.col("conv_id")).select("conv_id", "sort_order", "capture_id")
+
+
+_DUE_SQL = "CAST(due_date AS TIMESTAMP) + to_minutes(coalesce(due_minute_of_day, 540))"
+
+
+@register(f"WITH {TASKS_SQL} SELECT id, title, title_folded, due_date, CASE WHEN due_date IS NOT NULL THEN due_minute_of_day END AS due_minute_of_day, reminder_enabled, 15 AS reminder_lead_minutes, reminder_at_local, notification_id FROM tasks_v")
+def entity_round_trip(spark, sf_dir):
+    """Rows to entities and back; the folded title is made anew."""
+    rows = tasks(spark, sf_dir).withColumn("reminder_lead_minutes", F.lit(15))
+    back = entities.to_row(entities.to_entity(rows))
+    return back.select("id", "title", "title_folded", "due_date", "due_minute_of_day", "reminder_enabled", "reminder_lead_minutes", "reminder_at_local", "notification_id")
+
+
+@register(f"""WITH {TASKS_SQL} SELECT id, title, due_date, CASE WHEN due_date IS NOT NULL THEN due_minute_of_day END AS due_minute_of_day, reminder_enabled AND due_date IS NOT NULL AS reminder_enabled,
+    CASE WHEN reminder_enabled AND due_date IS NOT NULL THEN CASE WHEN due_minute_of_day IS NULL AND due_date = DATE '1998-08-02' AND {_DUE_SQL} <= TIMESTAMP '1998-08-02 10:07:00' THEN TIMESTAMP '1998-08-02 10:15:00' ELSE {_DUE_SQL} END END AS reminder_at_local FROM tasks_v""")
+def draft_tasks(spark, sf_dir):
+    """Drafts as tasks: a reminder needs the wish and a date."""
+    drafts = tasks(spark, sf_dir).select("id", "title", F.col("due_date").alias("date"), F.col("due_minute_of_day").alias("minute"), F.col("reminder_enabled").alias("has_reminder"))
+    return entities.drafts_to_tasks(drafts, F.lit(NOW).cast("timestamp_ntz")).select("id", "title", "due_date", "due_minute_of_day", "reminder_enabled", "reminder_at_local")
+
+
+@register(f"""WITH {TASKS_SQL} SELECT id, NOT completed AND coalesce(due_date < DATE '1998-08-02', FALSE) AS is_overdue, coalesce(due_date = DATE '1998-08-02', FALSE) AS is_due_on, due_date IS NOT NULL AND due_minute_of_day IS NULL AS is_all_day,
+    due_date IS NOT NULL AS has_date, NOT completed AND reminder_enabled AND reminder_at_local IS NOT NULL AS is_schedulable FROM tasks_v""")
+def task_flags(spark, sf_dir):
+    return tasks(spark, sf_dir).select("id", *(c.alias(n) for n, c in entities.flags(F.lit(TODAY)).items()))
+
+
+_DAY_SQL = """CASE WHEN due_date = DATE '1998-08-02' THEN 'Today' WHEN due_date = DATE '1998-08-03' THEN 'Tomorrow' WHEN due_date = DATE '1998-08-01' THEN 'Yesterday' WHEN due_date BETWEEN DATE '1998-08-04' AND DATE '1998-08-08' THEN dayname(due_date)
+    WHEN year(due_date) = 1998 THEN strftime(due_date, '%b %-d') ELSE strftime(due_date, '%b %-d, %Y') END"""
+
+
+@register(f"""WITH {TASKS_SQL} SELECT id, {_DAY_SQL} AS day, {_DAY_SQL} || CASE WHEN due_minute_of_day IS NULL THEN '' ELSE ', ' || strftime(TIMESTAMP '2000-01-01' + to_minutes(due_minute_of_day), '%-I:%M %p') END AS meta,
+    CASE WHEN due_minute_of_day < 720 THEN 'Good morning' WHEN due_minute_of_day < 1080 THEN 'Good afternoon' ELSE 'Good evening' END AS greeting FROM tasks_v WHERE due_date IS NOT NULL""")
+def task_labels(spark, sf_dir):
+    today, due, minute = F.lit(TODAY), F.col("due_date"), F.col("due_minute_of_day")
+    return tasks(spark, sf_dir).where("due_date IS NOT NULL").select("id", entities.day_label(due, today).alias("day"), entities.task_meta(due, minute, today).alias("meta"), entities.greeting(minute).alias("greeting"))
+
+
+_SETTING_ROWS = """s AS (SELECT CASE o_orderkey % 6 WHEN 0 THEN 'theme' WHEN 1 THEN 'reminders_enabled' WHEN 2 THEN 'all_day_minute' WHEN 3 THEN 'haptics' WHEN 4 THEN 'unknown' ELSE 'next_notification_id' END AS key,
+    CASE o_orderkey % 5 WHEN 0 THEN '"dark"' WHEN 1 THEN 'false' WHEN 2 THEN '615' WHEN 3 THEN '9999' ELSE 'true' END AS value, o_orderdate AS moment FROM orders), w AS (SELECT key, last(value ORDER BY moment, value) AS value FROM s GROUP BY key)"""
+
+
+@register(f"""WITH {_SETTING_ROWS} SELECT coalesce(max(CASE WHEN key = 'theme' AND value = '"dark"' THEN 'dark' END), 'system') AS theme, coalesce(bool_or(value = 'true') FILTER (key = 'reminders_enabled' AND value IN ('true', 'false')), TRUE) AS reminders_enabled,
+    coalesce(max(CASE WHEN key = 'all_day_minute' AND value = '615' THEN 615 END), 540) AS all_day_minute, coalesce(bool_or(value = 'true') FILTER (key = 'haptics' AND value IN ('true', 'false')), TRUE) AS haptics, FALSE AS onboarded FROM w""")
+def settings_values(spark, sf_dir):
+    """The last write of each key over many writes, decoded with defaults for what does not fit."""
+    k = F.col("o_orderkey")
+    key = F.element_at(F.array(*(F.lit(x) for x in ("theme", "reminders_enabled", "all_day_minute", "haptics", "unknown", "next_notification_id"))), (k % 6 + 1).cast("int"))
+    value = F.element_at(F.array(*(F.lit(x) for x in ('"dark"', "false", "615", "9999", "true"))), (k % 5 + 1).cast("int"))
+    writes = table(spark, sf_dir, "orders").select(key.alias("key"), value.alias("value"), F.col("o_orderdate").cast("timestamp").alias("updated_at"))
+    return entities.read_settings(store.upsert_settings(writes.limit(0), writes))
+
+
+@register("SELECT c_custkey AS id, c_mktsegment IN ('BUILDING', 'MACHINERY') AS is_pro FROM customer")
+def pro_owners(spark, sf_dir):
+    state = F.when(F.col("c_mktsegment") == "BUILDING", "proActive").when(F.col("c_mktsegment") == "MACHINERY", "proGrace").when(F.col("c_mktsegment") == "FURNITURE", "free")
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), entities.is_pro(state).alias("is_pro"))
+
+
+@register(f"WITH {TASKS_SQL} SELECT id, title, due_date FROM tasks_v WHERE id = 7")
+def task_lookup(spark, sf_dir):
+    return entities.find_task(tasks(spark, sf_dir), 7).select("id", "title", "due_date")
+
+
+@register("""SELECT d AS day, CAST(count(event_id) AS BIGINT) AS capture_count, CAST(coalesce(sum(event_id % 3), 0) AS BIGINT) AS task_count FROM (VALUES (DATE '2024-01-30'), (DATE '2031-01-01')) AS t(d) LEFT JOIN events ON CAST(ts AS DATE) = d GROUP BY d""")
+def usage_day_rows(spark, sf_dir):
+    """A day with captures and one without."""
+    deltas = usage(spark, sf_dir)
+    return entities.usage_day(deltas, EVENTS_TODAY).union(entities.usage_day(deltas, dt.date(2031, 1, 1)))
+
+
+@register(f"WITH {TASKS_SQL} SELECT id, CASE WHEN id % 7 = 0 THEN TRUE ELSE completed END AS completed, CASE WHEN id % 7 = 0 THEN TIMESTAMP '1998-08-02 10:07:00' ELSE completed_at END AS completed_at, CASE WHEN id % 7 = 0 THEN TIMESTAMP '1998-08-02 10:07:00' ELSE updated_at END AS updated_at FROM tasks_v")
+def completion_toggle(spark, sf_dir):
+    all_tasks = tasks(spark, sf_dir)
+    out = store.set_completed(all_tasks, all_tasks.where("id % 7 = 0").select("id"), True, NOW)
+    return out.select("id", "completed", F.col("completed_at").cast("timestamp_ntz").alias("completed_at"), F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+
+
+@register(f"WITH {TASKS_SQL} SELECT due_date, id, CAST(row_number() OVER (PARTITION BY due_date ORDER BY due_minute_of_day ASC NULLS FIRST, sort_order, id) AS INTEGER) AS place FROM tasks_v WHERE due_date IS NOT NULL")
+def due_groups(spark, sf_dir):
+    return entities.group_by_date(tasks(spark, sf_dir)).select("due_date", "id", "place")
+
+
+@register("""WITH t AS (SELECT o_orderkey AS id, o_orderkey % 997 AS capture_id, o_orderpriority AS title, CASE WHEN o_orderkey % 3 > 0 THEN CAST(date_trunc('year', o_orderdate) AS DATE) END AS due_date FROM orders),
+    m AS (SELECT *, row_number() OVER (PARTITION BY capture_id, lower(title), due_date ORDER BY id) AS copy, bool_or(due_date IS NOT NULL) OVER (PARTITION BY capture_id, lower(title)) AS any_date FROM t)
+    SELECT id, capture_id, title, due_date FROM m WHERE copy = 1 AND (due_date IS NOT NULL OR NOT any_date)""")
+def unique_captures(spark, sf_dir):
+    """Repeats within a capture count once, and an undated task gives way to a dated one of its title."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(k.alias("id"), (k % 997).alias("capture_id"), F.col("o_orderpriority").alias("title"), F.when(k % 3 > 0, F.trunc("o_orderdate", "year")).alias("due_date"), F.lit(None).cast("int").alias("due_minute_of_day"), F.lit(0).alias("sort_order"))
+    return entities.unique_captures(rows).select("id", "capture_id", "title", "due_date")
+
+
+@register(f"""WITH {TASKS_SQL}, fit AS (SELECT * FROM tasks_v WHERE reminder_at_local IS NOT NULL AND reminder_enabled AND NOT completed), held AS (SELECT notification_id FROM tasks_v WHERE id % 5 = 0),
+    wanted AS (SELECT notification_id FROM fit WHERE reminder_at_local > TIMESTAMP '1998-08-02 10:07:00' ORDER BY reminder_at_local, id LIMIT 60),
+    safe AS (SELECT notification_id FROM wanted UNION SELECT notification_id FROM fit WHERE reminder_at_local <= TIMESTAMP '1998-08-02 10:07:00' AND reminder_at_local > TIMESTAMP '1998-08-02 09:07:00')
+    SELECT (SELECT count(*) FROM wanted) AS scheduled, (SELECT count(*) FROM held WHERE notification_id NOT IN (SELECT notification_id FROM safe)) AS cancelled, 'done' AS outcome
+    UNION ALL SELECT 0, (SELECT count(*) FROM held), 'disabled' UNION ALL SELECT 0, (SELECT count(*) FROM held), 'permission'""")
+def sweep_outcomes(spark, sf_dir):
+    """A sweep that runs, one with the switch off, and one without permission."""
+    all_tasks = tasks(spark, sf_dir)
+    held = all_tasks.where("id % 5 = 0").select("notification_id")
+    out = lambda **k: reminders.sweep_outcome(reminders.reminder_plan(all_tasks, held, NOW, **k), **k)
+    return out().union(out(enabled=False)).union(out(permitted=False))
+
+
+@register("SELECT o_orderkey AS id, CAST((2147483646 - 100 + row_number() OVER (ORDER BY o_orderkey)) % 2147483647 + 1 AS INTEGER) AS notification_id FROM orders")
+def alarm_slots(spark, sf_dir):
+    """Consecutive slots that pass the largest one and begin again."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    return store.assign_slots(rows, 0x7FFFFFFF - 100).select("id", "notification_id")
+
+
+@register(r"""WITH w AS (SELECT role, len(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9'':\s]+', ' ', 'g'), '\s+'), lambda x: x <> '')) AS n FROM conversations), e AS (SELECT role, n, least(n, 2) AS edits FROM w)
+    SELECT role, count(*) AS clips, round(avg(CASE WHEN n = 0 THEN 0.0 ELSE edits / n END), 9) AS mean_wer, round(sum(edits) / CASE WHEN sum(n) = 0 THEN 1 ELSE sum(n) END, 9) AS pooled_wer, count(*) FILTER (n > 0) AS lost, 0 AS gained FROM e GROUP BY ROLLUP (role)""")
+def transcript_errors(spark, sf_dir):
+    """Turns heard with the first word wrong and the last one lost, by role and over all."""
+    said = table(spark, sf_dir, "conversations").select("role", F.explode(F.array(text.wer_tokens(F.col("text")))).alias("reference"))
+    heard = F.when(F.size("reference") > 1, F.concat(F.array(F.lit("zzzz")), F.slice("reference", 2, F.greatest(F.lit(0), F.size("reference") - 2)))).otherwise(F.array().cast("array<string>"))
+    card = scoring.error_summary(said.withColumn("heard", heard), "role")
+    return card.select("role", "clips", F.round("mean_wer", 9).alias("mean_wer"), F.round("pooled_wer", 9).alias("pooled_wer"), "lost", F.col("gained").cast("int").alias("gained"))
 
 
 QUERIES |= language.QUERIES
