@@ -1,0 +1,100 @@
+"""The order of all suffixes of a table of texts, by the distributed difference-cover algorithm.
+
+Positions are numbered over all texts; every text ends with a symbol that no other text has.  The
+suffixes at positions 1 and 2 modulo 3 are sorted by triples of symbols and named by rank; while
+names repeat, the string of names is sorted the same way.  A suffix at 0 modulo 3 is its symbol and the rank of the one after it;
+the rest are merged by the known rule on one or two symbols and a rank.
+
+Sorts, names and merges are range repartitions and joins on positions, so no task sees the whole text; the
+cost is a few shuffles of all positions at each of the levels, which ``suffix_dedup`` avoids (README has the figures).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .scratch import discard, stored
+
+
+def _global_rank(rows: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """``rows`` with ``rank``, 1 and up in order of ``keys``, equal for equal keys, without a window over all rows."""
+    ranged = stored(rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()), "ranged")
+    marked = ranged.withColumns({"part": F.shiftright("at", 33), "nth": F.col("at").bitwiseAND((1 << 33) - 1)})
+    # Ranges never split equal keys, so names begin anew in each part and are shifted by those before it.
+    new = F.dense_rank().over(Window.partitionBy("part").orderBy(*keys))
+    named = stored(marked.withColumn("own", new).drop("at", "nth"), "named")
+    discard(ranged)
+    sizes = named.groupBy("part").agg(F.max("own").alias("n"))
+    before = sizes.select("part", (F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before"))
+    return named.join(before, "part").withColumn("rank", (F.col("own") + F.col("before")).cast("long")).drop("part", "own", "before")
+
+
+def _shifted(symbols: DataFrame, by: int, name: str) -> DataFrame:
+    return symbols.select((F.col("pos") - by).alias("pos"), F.col("sym").alias(name))
+
+
+def suffix_ranks(symbols: DataFrame, parts: int, depth: int = 0, levels: int = 40) -> DataFrame:
+    """Rows (pos, rank) of the suffixes of a string given as rows (pos, sym), positions from 0 without gaps, symbols from 1."""
+    if depth > levels:
+        raise RuntimeError("the suffixes are not settled")
+    n = symbols.count()
+    if n == 0:
+        return symbols.select("pos", F.lit(1).cast("long").alias("rank"))
+    triples = symbols.select("pos", F.col("sym").alias("a")).join(_shifted(symbols, 1, "b"), "pos", "left").join(_shifted(symbols, 2, "c"), "pos", "left").na.fill(0, ["b", "c"])
+    sampled = triples.where("pos % 3 <> 0")
+    named = stored(_global_rank(sampled, ["a", "b", "c"], parts).select("pos", "rank"), "names")
+    count, names = named.agg(F.count("*"), F.max("rank")).first()
+    if names is not None and names < count:
+        # The names at 1 modulo 3 and then those at 2 modulo 3 are a string of two thirds of the length, with a 0 between.
+        half = (n + 1) // 3 + 1
+        place = F.when(F.col("pos") % 3 == 1, F.floor(F.col("pos") / 3)).otherwise(F.floor(F.col("pos") / 3) + half).cast("long")
+        inner = named.select(place.alias("pos"), (F.col("rank") + 1).alias("sym"))
+        gaps = symbols.sparkSession.range(0, half + n // 3 + 1).select(F.col("id").alias("pos")).join(inner, "pos", "left_anti").where(F.col("pos") < half).select("pos", F.lit(1).cast("long").alias("sym"))
+        below = suffix_ranks(stored(inner.union(gaps), "inner"), parts, depth + 1, levels)
+        back = F.when(F.col("pos") < half, F.col("pos") * 3 + 1).otherwise((F.col("pos") - half) * 3 + 2)
+        named = stored(below.select(back.cast("long").alias("pos"), "rank").join(named.select("pos"), "pos"), "sample")
+    # Every suffix by what decides it against others: its symbols and the rank of the first sampled suffix behind them.
+    ranks = lambda by, name: named.select((F.col("pos") - by).alias("pos"), F.col("rank").alias(name))
+    rest = triples.where("pos % 3 = 0").join(ranks(1, "r1"), "pos", "left").na.fill(0, ["r1"])
+    zeros = stored(_global_rank(rest.select("pos", "a", "r1"), ["a", "r1"], parts).select("pos", F.col("rank").alias("zero")), "zeros")
+    # Sampled suffixes have their own order; a suffix at 0 goes before the sampled ones that are greater.  The place among sampled
+    # ones at 1 modulo 3 needs (symbol, rank after it), among those at 2 modulo 3 (two symbols, rank after them).
+    sample = triples.where("pos % 3 <> 0").join(ranks(0, "r0"), "pos").join(ranks(1, "r1"), "pos", "left").join(ranks(2, "r2"), "pos", "left").na.fill(0, ["r1", "r2"])
+    whole = triples.where("pos % 3 = 0").join(ranks(1, "r1"), "pos", "left").join(ranks(2, "r2"), "pos", "left").join(zeros, "pos").na.fill(0, ["r1", "r2"])
+    first = sample.where("pos % 3 = 1").select("pos", "r0", "a", F.lit(0).cast("long").alias("b"), F.col("r1").alias("r"), F.lit(1).alias("sampled"))
+    second = sample.where("pos % 3 = 2").select("pos", "r0", "a", "b", F.col("r2").alias("r"), F.lit(1).alias("sampled"))
+
+    def less(side: DataFrame, zeros_by: DataFrame) -> DataFrame:
+        """For each suffix at 0 modulo 3 the number of sampled ones of ``side`` before it."""
+        both = side.unionByName(zeros_by)
+        ranged = stored(both.repartitionByRange(parts, "a", "b", "r", "sampled").sortWithinPartitions("a", "b", "r", "sampled").withColumn("at", F.monotonically_increasing_id()), "merge")
+        marked = ranged.withColumns({"part": F.shiftright("at", 33)})
+        running = marked.withColumn("own", F.sum("sampled").over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+        sizes = marked.groupBy("part").agg(F.sum("sampled").alias("n"))
+        before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+        return running.where("sampled = 0").join(before, "part").select("pos", (F.col("own") + F.col("before")).alias("n_before"))
+
+    none = F.lit(None).cast("long")
+    by_one = less(first, whole.select("pos", none.alias("r0"), "a", F.lit(0).cast("long").alias("b"), F.col("r1").alias("r"), F.lit(0).alias("sampled")))
+    by_two = less(second, whole.select("pos", none.alias("r0"), "a", "b", F.col("r2").alias("r"), F.lit(0).alias("sampled")))
+    below = by_one.join(by_two.withColumnRenamed("n_before", "m_before"), "pos").join(zeros, "pos").select("pos", (F.col("n_before") + F.col("m_before")).alias("sampled_before"), "zero")
+    order = named.select("pos", F.col("rank").alias("k"), F.lit(1).alias("turn"), F.lit(0).cast("long").alias("zero")).union(below.select("pos", F.col("sampled_before").alias("k"), F.lit(2).alias("turn"), "zero"))
+    # Sampled ranks are 1..m and a suffix at 0 follows the sampled ones before it.
+    return stored(_global_rank(order, ["k", "turn", "zero"], parts).select("pos", "rank"), "suffixes")
+
+
+def suffix_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, place, rank): the suffixes of the UTF-8 bytes of every text in their order over all texts.
+
+    Null and empty texts have only the suffix of their end mark (place 0); ids must be different from each other, and null ids are left out.
+    """
+    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("raw"))
+    numbered = _global_rank(rows.select("id", "raw"), ["id"], parts).withColumn("size", F.octet_length("raw").cast("long") + 1)
+    total = numbered.count()
+    starts = stored(numbered.select("id", "raw", "rank", "size", (F.sum("size").over(Window.orderBy("rank")) - F.col("size")).alias("start")), "starts")
+    digits = F.transform(F.regexp_extract_all(F.hex("raw"), F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("long") + F.lit(total + 1))
+    symbols = starts.select("id", "start", F.posexplode(F.concat(digits, F.array(F.col("rank")))).alias("place", "sym")).select("id", "place", (F.col("start") + F.col("place")).alias("pos"), "sym")
+    symbols = stored(symbols, "symbols")
+    return symbols.select("id", "place", "pos").join(suffix_ranks(symbols.select("pos", "sym"), parts), "pos").select("id", "place", "rank")

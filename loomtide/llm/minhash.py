@@ -32,6 +32,8 @@ MAX_BIT_DISTANCE = 32
 #: Sets below this size are not screened by bits: their slots depend on each other.
 SCREENED_SIZE = 24
 
+#: Buckets of the table that counts shingles of crowds (2 MB).
+COUNT_BUCKETS = 1 << 18
 #: Open buckets up to this size are compared pair by pair; the members of larger ones by their rarest shingles.
 SMALL_BUCKET = 32
 
@@ -111,11 +113,36 @@ def _set_batches(width: int):
     return run
 
 
-def _shingle_rows(batches):
+def _bucket_counts(batches):
+    """(bucket, n) of the shingles of sets, added up over a batch."""
     for batch in batches:
-        for k in range(batch.num_rows):
-            found = np.frombuffer(batch.column(1)[k].as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), batch.column(0)[k].as_py())), pa.array(found)], names=["rep", "h"])
+        found = [np.frombuffer(x.as_buffer(), np.uint64) & np.uint64(COUNT_BUCKETS - 1) for x in batch.column(0)]
+        bucket, n = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(n.astype(np.int64))], names=["bucket", "n"])
+
+
+def _prefix_batches(counts: np.ndarray, percent: int):
+    """Rows (rep, component, away, n, shingles) to the shingles that come first, from the rarest, with their places.
+
+    ``short`` marks those that count where this is the smaller set of a pair.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for i, blob in enumerate(batch.column(4)):
+                h = np.frombuffer(blob.as_buffer(), np.uint64)
+                held = counts[(h & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64)]
+                n = len(h)
+                first = np.lexsort([h, held])[: n + (-n * percent // 100) + 1]
+                short = n + (-n * 2 * percent // (100 + percent)) + 1
+                at = np.flatnonzero(held[first] > 1)  # what one set alone holds meets nothing
+                out.append((np.full(len(at), i), at + 1, at < short, h[first[at]]))
+            row, pos, short, h = (np.concatenate([x[k] for x in out] or [np.zeros(0, np.int64)]) for k in range(4))
+            named = batch.select(["rep", "component", "away", "n"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*named.columns, pa.array(pos.astype(np.int64)), pa.array(short.astype(bool)), pa.array(h.astype(np.uint64).view(np.int64))], names=["rep", "component", "away", "n", "pos", "short", "h"])
+
+    return run
 
 
 def _confirm_batches(percent: int):
@@ -164,16 +191,13 @@ def _across_crowds(crowds: DataFrame, first: DataFrame, sets: DataFrame, percent
     home = first.select(F.col("node").alias("lead"), F.col("component").alias("home"))
     away = F.max(F.col("component") != F.coalesce("home", "lead"))
     members = stored(crowds.join(home, "lead", "left").groupBy("rep", "component", "n").agg(away.alias("away")), "members")
-    rows = stored(sets.mapInArrow(_shingle_rows, "rep long, h long"), "rows")
-    counts = rows.groupBy("h").agg(F.count("*").alias("held")).where("held > 1")
-    common = rows.join(counts, "h").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("held", "h"))).alias("common"))
-    # Shingles of one member come first and meet nothing: only their number counts.
-    ranked = members.join(common, "rep").withColumn("alone", F.col("n") - F.size("common"))
-    long = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("long") + 1
-    short = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)).cast("long") + 1
-    entries = ranked.select("rep", "component", "away", "n", short.alias("short"), "alone", F.posexplode(F.slice("common", 1, F.greatest(F.lit(0), long - F.col("alone")).cast("int"))).alias("k", "x"))
-    entries = stored(entries.select("rep", "component", "away", "n", "short", (F.col("alone") + F.col("k") + 1).alias("pos"), F.col("x.h").alias("h")), "entries")
-    a, b = entries.where("pos <= short").alias("a"), entries.alias("b")
+    # Any order that depends on shingles alone loses no pair; counts by bucket, of a fixed number, put common ones last.
+    counts = np.zeros(COUNT_BUCKETS, np.int64)
+    found = sets.select("shingles").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    whole = members.join(sets, "rep").select("rep", "component", "away", "n", "shingles")
+    entries = stored(whole.mapInArrow(_prefix_batches(counts, percent), "rep long, component long, away boolean, n long, pos long, short boolean, h long"), "entries")
+    a, b = entries.where("short").alias("a"), entries.alias("b")
     ordered = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.rep") < F.col("b.rep")))
     sizes = 100 * F.col("a.n") >= percent * F.col("b.n")
     rest = (100 + percent) * (1 + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))) >= percent * (F.col("a.n") + F.col("b.n"))
