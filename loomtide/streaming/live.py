@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -31,36 +31,75 @@ def watch(changes: DataFrame, snapshot: Callable[[], DataFrame], emit: Callable[
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def final_transcripts(events: DataFrame, timeout_ms: int = 30_000) -> DataFrame:
+def final_transcripts(events: DataFrame, timeout_ms: int = 30_000, keep_ms: int = 600_000) -> DataFrame:
     """One row per session from (session, seq, kind, text): the final text, or the last partial at done or timeout.
 
-    Kinds are "partial", "final" and "done"; events of a session are ordered by
-    ``seq`` whatever their order of arrival.
+    Kinds are "partial", "final" and "done".  Within a batch events are taken in order of ``seq``; a "done" waits until every
+    event of a lower ``seq`` is there, or for the timeout, so a "final" that arrives later than the "done" after it still counts.
+    A session that is over is remembered for ``keep_ms`` and then forgotten; null texts are empty.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seq, text, over = state.get if state.exists else (-1, "", False)
+        seq, text, seen, done, over = state.get if state.exists else (-1, "", 0, -1, False)
+        row = lambda outcome: pd.DataFrame({"session": [key[0]], "text": [text], "outcome": [outcome]})
         if state.hasTimedOut:
-            state.remove()
             if not over:
-                yield pd.DataFrame({"session": [key[0]], "text": [text], "outcome": ["timeout"]})
+                yield row("partial" if done >= 0 else "timeout")
+            state.remove()
             return
         outcome = ""
-        for row in pd.concat(list(frames)).sort_values("seq").itertuples():
+        for event in pd.concat(list(frames)).sort_values("seq").itertuples():
             if over:
                 break
-            if row.kind == "final":
-                text, over, outcome = row.text, True, "final"
-            elif row.kind == "done":
-                over, outcome = True, "partial"
-            elif row.seq > seq:
-                seq, text = row.seq, row.text
-        state.update((int(seq), text, over))
-        state.setTimeoutDuration(timeout_ms)
+            seen += 1
+            if event.kind == "final":
+                text, over, outcome = event.text or "", True, "final"
+            elif event.kind == "done":
+                done = int(event.seq)
+            elif event.seq > seq and (done < 0 or event.seq < done):
+                seq, text = int(event.seq), event.text or ""
+        if not over and 0 <= done < seen:  # events are numbered from 0: all before the done are there
+            over, outcome = True, "partial"
+        state.update((int(seq), text, int(seen), int(done), over))
+        state.setTimeoutDuration(keep_ms if over else timeout_ms)
         if outcome:
-            yield pd.DataFrame({"session": [key[0]], "text": [text], "outcome": [outcome]})
+            yield row(outcome)
+
+    return events.groupBy("session").applyInPandasWithState(step, "session string, text string, outcome string", "seq long, text string, seen long, done long, over boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def committed_windows(pieces: DataFrame, seconds: float = 25.0) -> DataFrame:
+    """(session, window, text) of rows (session, seq, seconds, text): a window's text is committed once it has passed ``seconds``.
+
+    Pieces are taken in order of ``seq``; a piece that comes after a later one was taken is dropped as late.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, window, length, text = state.get if state.exists else (-1, 0, 0.0, "")
+        if state.hasTimedOut:
+            if text:
+                yield pd.DataFrame({"session": [key[0]], "window": [window], "text": [text]})
+            state.remove()
+            return
+        out = []
+        for piece in pd.concat(list(frames)).sort_values("seq").itertuples():
+            if piece.seq <= last:
+                continue
+            last, length, text = int(piece.seq), length + piece.seconds, f"{text} {piece.text or ''}".strip()
+            if length > seconds:
+                out.append((key[0], window, text))
+                window, length, text = window + 1, 0.0, ""
+        state.update((last, window, length, text))
+        state.setTimeoutDuration(60_000)
+        if out:
+            yield pd.DataFrame(out, columns=["session", "window", "text"])
+
+    return pieces.groupBy("session").applyInPandasWithState(step, "session string, window long, text string", "last long, window long, length double, text string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
-    return events.groupBy("session").applyInPandasWithState(step, "session string, text string, outcome string", "seq long, text string, over boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+def recordings(sessions: DataFrame, least: float = 0.9, most: float = 60.0) -> DataFrame:
+    """Sessions (with ``seconds``) that are long enough, and their length as far as it is kept."""
+    return sessions.where(F.col("seconds") >= least).withColumns({"stopped": F.col("seconds") >= most, "seconds": F.least("seconds", F.lit(most))})
 
 
 def gate_frames(levels: np.ndarray, floor: float) -> tuple[np.ndarray, float]:
@@ -72,17 +111,35 @@ def gate_frames(levels: np.ndarray, floor: float) -> tuple[np.ndarray, float]:
     return voiced, float(floor)
 
 
-def voice_gate(chunks: DataFrame) -> DataFrame:
-    """(stream, seq, rms, voiced) of rows (stream, seq, pcm) of 16-bit frames; the floor is kept per stream."""
+def voice_gate(chunks: DataFrame, idle_ms: int = 60_000) -> DataFrame:
+    """(stream, seq, rms, voiced) of rows (stream, seq, pcm) of 16-bit frames; the floor is kept per stream.
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("seq")
-        levels = np.array([np.sqrt(np.mean((np.frombuffer(p[: len(p) // 2 * 2], "<i2") / 32768.0) ** 2)) if len(p) > 1 else 0.0 for p in rows["pcm"]])
-        voiced, floor = gate_frames(levels, state.get[0] if state.exists else FLOOR_CAP)
-        state.update((floor,))
-        yield pd.DataFrame({"stream": key[0], "seq": rows["seq"].to_numpy(), "rms": levels, "voiced": voiced})
+    Frames are taken in order of ``seq``; one that comes after a later one was taken is dropped, so the floor
+    is never moved by late frames.  A stream that is idle for ``idle_ms`` is forgotten.
+    """
 
-    return chunks.groupBy("stream").applyInPandasWithState(step, "stream string, seq long, rms double, voiced boolean", "floor double", "append", GroupStateTimeout.NoTimeout)
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        floor, last = state.get if state.exists else (FLOOR_CAP, -1)
+        rows = pd.concat(list(frames)).sort_values("seq").drop_duplicates("seq")
+        rows = rows[rows["seq"] > last]
+        if len(rows):
+            levels = np.array([np.sqrt(np.mean((np.frombuffer(p[: len(p) // 2 * 2], "<i2") / 32768.0) ** 2)) if p is not None and len(p) > 1 else 0.0 for p in rows["pcm"]])
+            voiced, floor = gate_frames(levels, floor)
+            last = int(rows["seq"].max())
+            yield pd.DataFrame({"stream": key[0], "seq": rows["seq"].to_numpy(), "rms": levels, "voiced": voiced})
+        state.update((float(floor), int(last)))
+        state.setTimeoutDuration(idle_ms)
+
+    return chunks.groupBy("stream").applyInPandasWithState(step, "stream string, seq long, rms double, voiced boolean", "floor double, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def level_ring(levels: DataFrame, bars: int = 32) -> DataFrame:
+    """The newest ``bars`` levels of each stream as bar heights, oldest first."""
+    newest = Window.partitionBy("stream").orderBy(F.desc("seq"))
+    return levels.withColumn("back", F.row_number().over(newest)).where(F.col("back") <= bars).select("stream", (F.lit(bars) - F.col("back")).alias("bar"), level_bar(F.col("rms")).alias("height"))
 
 
 def level_bar(rms):
