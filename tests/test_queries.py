@@ -6,7 +6,7 @@ import pytest
 from loomtide.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
-TABLES = "orders lineitem events part conversations".split()
+TABLES = "customer orders lineitem events part conversations".split()
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
