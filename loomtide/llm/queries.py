@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, line_dedup, minhash, quality_rules, rule_classifier, sharding, spm_dropout, suffix_dedup, warc
+from . import decontam, exact_dedup, html_extract, lexical_search, line_dedup, minhash, quality_rules, rule_classifier, sharding, spm_dropout, suffix_dedup, warc
 from .scratch import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,14 @@ def op10_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm_dropout.round_trips(table(spark, sf_dir, "documents"), dropout=0.1, seed=1)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -76,6 +84,8 @@ QUERIES: dict[str, Query] = {
         op8_suffix_dedup,
         op9_rule_ensemble_quality,
         op10_sentencepiece_dropout,
+        op11_exact_dedup,
+        op13_lexical_search,
     )
 }
 
@@ -126,9 +136,24 @@ def oracle_sql() -> dict[str, str]:
             SELECT page_id, payload_bytes, payload_digest, CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN revisit THEN first END AS refers_to
             FROM (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first, strlen(h) >= 100 AND page_id > min(page_id) OVER (PARTITION BY h) AS revisit
                   FROM (SELECT page_id, coalesce(html, '') AS h FROM pages))""",
+        "op11_exact_dedup": """
+            WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[ \\x09-\\x0D]+', ' ', 'g')) AS h FROM documents),
+            g AS (SELECT doc_id, h, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size FROM d)
+            SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM g""",
+        "op13_lexical_search": f"""
+            WITH d AS (SELECT doc_id, unnest(regexp_extract_all({ascii_lower.replace("x,", "text,")}, '{TERM_SQL}')) AS t FROM documents),
+            i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({ascii_lower.replace("x,", "text,")}, '{TERM_SQL}')) AS t FROM benchmark),
+            p AS (SELECT doc_id, t, count(*) AS tf, CAST(sum(count(*)) OVER (PARTITION BY doc_id) AS BIGINT) AS n FROM d GROUP BY doc_id, t),
+            z AS (SELECT count(DISTINCT doc_id) AS docs, count(*) AS terms FROM d),
+            w AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, z GROUP BY t, docs),
+            s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)))) AS BIGINT) AS score FROM i JOIN p USING (t) JOIN w USING (t), z GROUP BY item_id, doc_id)
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+            QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50""",
     }
 
 
+#: A term of the lexical search.
+TERM_SQL = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: CRC-32 of a text, byte by byte with a table that a recursive query builds.
 CRC32_SQL = """xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: CAST('0x' || b AS BIGINT))),
                 lambda c, b: xor(c >> 8, crc_list[1 + (xor(c, b) & 255)])), 4294967295)"""
