@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, html_extract, lexical_search, line_dedup, minhash, quality_rules, rule_classifier, sharding, spm_dropout, suffix_dedup, warc
+from . import decontam, exact_dedup, html_extract, lexical_search, line_dedup, minhash, quality_rules, rule_classifier, sharding, spm_dropout, suffix_dedup, tandem_runs, warc
 from .scratch import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +68,29 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def periodic_tail(doc_id: int | None, text: str) -> list[bytes]:
+    """The words of a text; in one of ten documents, chosen by id, all from some word on repeat with one period."""
+    words = tandem_runs.words_of(text)
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    first = g % n
+    period = 1 + (n - first) // (3 + g % 8)
+    return words[:first] + [words[first + k % period] for k in range(n - first)]
+
+
+def op12_tandem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tandem_runs.find_runs(table(spark, sf_dir, "documents"), words=periodic_tail)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("first"), (-r["period"]).alias("short"))))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.first")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.short")).alias("period"), F.expr("1000 * best.length div -best.short").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
@@ -85,6 +109,7 @@ QUERIES: dict[str, Query] = {
         op9_rule_ensemble_quality,
         op10_sentencepiece_dropout,
         op11_exact_dedup,
+        op12_tandem_runs,
         op13_lexical_search,
     )
 }

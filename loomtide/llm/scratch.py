@@ -66,6 +66,10 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def arrow_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keep Arrow batches of whole texts small, so that workers' memory stays bounded."""
+def arrow_batches(spark: SparkSession, rows: int = 512, size: str = "32m") -> None:
+    """Bound Arrow batches of whole texts by rows and by bytes, so that workers' memory stays bounded; one longer text is a batch of its own.
+
+    Spark reads the two options when a plan is run, so they stay set in the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
