@@ -7,28 +7,15 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lexicon import EVENTS, FIRST_VERBS, IRREGULAR, PASTS, VERBS, any_of
+from .repair import repair
 from .text import strip_non_speech
-from .when import MONTHS, WEEKDAYS
-
-# Verbs that begin a task.  Nouns that double as verbs are left out: "the build and the release notes" is one thing.
-VERBS = (
-    "add apply arrange ask assemble attend bake bathe book borrow bring buy call cancel change charge clean collect come compare complete confirm congratulate contact cook copy create cut defrost deliver deposit discuss do download draft drive drop dust email "
-    "enroll feed fill find finish fix fly follow get give go grab hang help hire install invite iron join learn leave make measure meet message mop move order organize pack paint pay photograph pick practice prepare "
-    "prune print pull put read rehearse remind remove renew repair replace reply reschedule reserve return review revise run schedule see sell send serve set show sign start study submit sweep take talk teach tell test text tidy "
-    "transfer translate travel try unpack update upload vacuum visit wake walk wash watch water withdraw work wrap write"
-).split()
-# Verbs that begin a task only as its first word.
-FIRST_VERBS = "sort empty ring look wish check turn let stop exchange play top answer be lock brush".split()
-# What people schedule without a verb.
-EVENTS = "appointment birthday breakfast checkup class conference dentist dinner exam interview lesson lunch meeting party presentation rehearsal training wedding workshop brunch call concert".split()
-#: Past tenses that a note may use for an order.
-PASTS = {"called": "call", "texted": "text", "emailed": "email", "messaged": "message", "packed": "pack", "picked": "pick", "fixed": "fix", "cleaned": "clean", "cancelled": "cancel", "booked": "book", "ordered": "order", "washed": "wash", "printed": "print", "sent": "send"}
-IRREGULAR = "paid bought went took got made brought gave wrote told met left found sold did drove ate sent built".split()
+from .when import MONTHS, WEEKDAYS, let, tokens, words
 
 SOUNDS = "um+|uh+|uhm|er|erm|hm+|eh+|ehm|ugh|oo+h|ahum|ahem"
-_VERB = "|".join(VERBS + FIRST_VERBS)
-_EVENT = "|".join(EVENTS)
-_DAYS = "|".join(WEEKDAYS)
+_VERB = any_of(VERBS + FIRST_VERBS)
+_EVENT = any_of(EVENTS)
+_DAYS = any_of(WEEKDAYS)
 _SMALL = "one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve"
 #: What may stand between the beginning of a clause and its verb.
 LEAD = (
@@ -41,7 +28,6 @@ WHEN = (
     rf"(?:(?:on|at|by|before|until|till|in|after|next|this|around)\s+(?:the\s+|this\s+|next\s+|about\s+|coming\s+)*(?:{_DAYS}|\d[\w:.]*|{_SMALL}|first|second|third|noon|midnight|morning|afternoon|evening|half|an?\s+(?:hour|quarter|half|few|couple)|twenty|thirty|forty|fifteen|week|month|weekend|night|{'|'.join(MONTHS)})"
     rf"|tomorrow|tonight|today|later\s+today|(?:the\s+)?day\s+after\s+tomorrow|{_DAYS}|whenever|when\s+i\s+(?:have|get|find)|at\s+some\s+point|some\s?day|eventually|one\s+day|sometime)\b"
 )
-VAGUE = r"\b(?:at\s+some\s+point|(?:later|sometime)\s+this\s+(?:week|month|year)|sometime(?:\s+(?:soon|later))?|when(?:ever)?\s+(?:i|we)\s+(?:have|get|find)\s+(?:the\s+|some\s+)?time|whenever\s+(?:i|we)\s+can|one\s+of\s+these\s+days|eventually|some\s?day|sooner\s+or\s+later|one\s+day|no\s+rush|no\s+hurry)\b"
 BREAK = "\x01"
 
 
@@ -50,13 +36,6 @@ def _chain(text: Column, rules: list[tuple[str, str]]) -> Column:
     return F.get(F.transform(F.array(text), lambda x: reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), rules, x)), F.lit(0))
 
 
-def _correction(words: str) -> str:
-    return rf"(?:{SOUNDS})?,?\s*(?:{words}),?\s+"
-
-
-_SORRY = r"no,?\s+wait,?\s+no|no,?\s+wait|wait,?\s+no|no,?\s+no|no,?\s+sorry|sorry|i\s+mean|i\s+meant|actually|scratch\s+that|make\s+(?:it|that)|or\s+rather|no"
-
-
 def normalise(text: Column) -> Column:
     """A transcript without quotes, brackets, hesitations and slips of the recogniser."""
     plain = strip_non_speech(F.translate(text, "“”„«»\"‘’", "\0\0\0\0\0\0''"))
@@ -82,28 +61,25 @@ def normalise(text: Column) -> Column:
 
 def corrected(text: Column) -> Column:
     """Without stutters and what the speaker took back."""
-    rules = [
+    before = [
         (r"(?i)\b(\w+(?:'\w+)?)(?:,?\s+\1\b){1,150}", "$1"),
         (rf"(?i)\b((?:i|we)\s+(?:need|have|want)\s+to)\s+(?:{_VERB}),\s+(?=\1\s)", ""),
         (r"(?i)\bby\s+the\s+way,?\s+", ""),
-        # "at 4, no wait, at 4.30": of two phrases that begin alike, the second counts.
-        (rf"(?i)\b(at|on|by|in|until|before)\s+(?:(?!\b(?:at|on|by|in|until|before)\b)[\w:'.]+\s+){{0,3}}(?:(?!\b(?:at|on|by|in|until|before)\b)[\w:']+(?:\.\d+)?)[,.]?\s+{_correction(_SORRY)}(?=\1\s)", ""),
-        (rf"(?i)\b((?:on\s+)?)(?:{_DAYS}|tomorrow|today|tonight)[,.]?\s+{_correction(_SORRY)}(?=(?:on\s+)?(?:{_DAYS}|tomorrow|today|tonight)\b)", "$1"),
-        (rf"(?i)\bat\s+(?:\d[\d:.]*|{_SMALL})(?:\s+[ap]m)?[,.]?\s+{_correction(_SORRY)}(?=(?:\d[\d:.]*|{_SMALL})\b)", "at "),
         # "the lagman. No, not lagman, the manti": the word that is denied is replaced where it stood.
         (r"(?i)\b(?:the\s+)?(\w{3,})\b([^.!?]{0,80})[.,!?]\s*(?:no,?\s+)?not\s+(?:the\s+)?\1,?\s+(?:but\s+)?((?:the\s+)?\w+)", "$3$2"),
-        (rf"(?i)(?:^|(?<=[.!?]\s))[^.!?]*[.!?]\s*(?:no,?\s+)?(?:scratch|forget)\s+that[.!,]?\s*", ""),
-        (r"(?i)[,\s]+(?:and|so|but|then|also|or)\W*$", ""),
-    ]
-    return F.trim(_chain(text, rules))
+        (r"(?i)(?:^|(?<=[.!?]\s))[^.!?]*[.!?]\s*(?:no,?\s+)?(?:scratch|forget)\s+that[.!,]?\s*", ""),
+    ]
+    return F.trim(_chain(repair(_chain(text, before)), [(r"(?i)[,\s]+(?:and|so|but|then|also|or)\W*$", "")]))
 
 
 def broken(text: Column) -> Column:
     """The text with a mark and the joint (".", "and", "then", ...) and a bar before each clause but the first."""
     opens = rf"(?:{LEAD}){{0,12}}(?:{_VERB})\b"
     starts = rf"(?:{opens}|(?:{LEAD}){{0,12}}{WHEN}|(?:{LEAD}){{1,3}}|(?:an?\s+|the\s+|my\s+)?(?:\w+\s+)?(?:{_EVENT})\b)"
-    trip = r"(?<!\b(?:go|come|drive|head|walk|run|back)\s(?:to|at|by|over)\s[^,.;]{1,40})"
+    trip = r"(?<!\b(?:go|come|drive|head|walk|run|back)\s(?:to|at|by|over)\s[^,.;\x01]{1,40})"
     rules = [
+        # A date in the middle that a verb follows begins a task.
+        (rf"(?i)(?<=\w)(?<!\bweek)\s+(?=on\s+(?:the\s+)?(?:(?:{'|'.join(MONTHS)})\s+\d\w*|{_DAYS}|\d+(?:st|nd|rd|th))\s+(?:{_VERB})\s+(?:the|my|a|an|to|some|for)\b)", f"{BREAK}.|"),
         (r"(?<=[.!?])\s+(?=(?i:(?:and|then),?\s))", f"{BREAK}..|"),
         (r"(?<=[.!?;])\s+(?=\S)", f"{BREAK}.|"), (r":\s+(?=\D)", f"{BREAK}.|"),
         (rf"(?i)\s*,?\s+(?:oh,?\s+)?(?:and|but)\s+(?:also,?\s+|oh,?\s+)?(?:then|after\s+that|before\s+that)\s*,?\s+", f"{BREAK}then|"),
@@ -113,10 +89,8 @@ def broken(text: Column) -> Column:
         (rf"(?i)(?:,\s*|\s+)(?:also|plus)\s*,?\s+(?={starts})", f"{BREAK}also|"),
         (rf"(?i),\s+(?:so|but)\s+(?={starts})", f"{BREAK}so|"), (rf"(?i)\s+but\s+(?=(?:{LEAD}){{0,12}}{WHEN})", f"{BREAK}so|"),
         (rf"(?i),\s+and\s+(?={starts})", f"{BREAK}and|"),
-        (rf"(?i){trip}\s+and\s+(?=(?:{LEAD}){{0,12}}(?:(?:{_VERB})\s+(?!and\b)\w|{WHEN})|(?:{LEAD}){{1,3}})", f"{BREAK}and|"),
+        (rf"(?i){trip}\s+and\s+(?!(?:{_VERB})\s+(?:it|them)\s*(?:$|[.,;!?\x01]))(?=(?:{LEAD}){{0,12}}(?:(?:{_VERB})\s+(?!and\b)\w|{WHEN})|(?:{LEAD}){{1,3}})", f"{BREAK}and|"),
         (rf"(?i),\s+(?=(?:{LEAD}){{0,12}}(?:(?:{_VERB})\s+\w|{WHEN})|it's\s+due|because\s|now\s+\w|(?:both|all\s+of\s+them)\s|(?:it|he|she|that)'s\s|(?:my|the|his|her|our|he|she|it)\s*(?:\w+\s+)?(?:is|are)\s)", f"{BREAK},|"),
-        # A date in the middle that a verb follows begins a task.
-        (rf"(?i)(?<=\w)\s+(?=on\s+(?:the\s+)?(?:(?:{'|'.join(MONTHS)})\s+\d\w*|{_DAYS}|\d+(?:st|nd|rd|th))\s+(?:{_VERB})\s+(?:the|my|a|an|to|some|for)\b)", f"{BREAK}.|"),
     ]
     return _chain(text, rules)
 
@@ -130,6 +104,40 @@ def clauses(text: Column) -> Column:
     return F.transform(parts, lambda p, i: F.struct(F.when(i == 0, "").otherwise(F.split_part(p, F.lit("|"), F.lit(1))).alias("joint"), F.trim(F.when(i == 0, p).otherwise(F.regexp_replace(p, r"^[^|]*\|", ""))).alias("text")))
 
 
+def filled_topics(parts: Column) -> Column:
+    """Clauses whose "it" or "them" names a topic said right before: "The car, I need to wash it" is one clause about the car.
+
+    A topic is one to three words without a verb or a day.  "it" takes any determined topic and a bare singular, "them" a bare plural or a determined topic that ends in s.
+    """
+    seen = F.transform(parts, lambda p: let(F.regexp_replace(F.lower(p["text"]), r"[,.!?:;]+$", ""), lambda t: _topic_facts(p, t)))
+
+    def fill(q: Column) -> Column:
+        def said(p: Column, i: Column) -> Column:
+            before, here = F.get(q, i - 1), (i > 0) & F.coalesce(_names(F.get(q, i - 1), p), F.lit(False))
+            name = F.regexp_replace(before["text"], r"[,.!?:;]+$", "")
+            filled = F.regexp_replace(p["text"], r"(?i)\b(?:it|them)\b", F.concat(F.lower(F.substring(name, 1, 1)), F.substring(name, F.lit(2), F.length(name))))
+            gone = F.coalesce(_names(p, F.get(q, i + 1)), F.lit(False))
+            return F.struct(F.when(here, before["joint"]).otherwise(p["joint"]).alias("joint"), F.when(here, filled).otherwise(p["text"]).alias("text"), gone.alias("gone"))
+
+        return F.transform(F.filter(F.transform(q, said), lambda p: ~p["gone"]), lambda p: F.struct(p["joint"].alias("joint"), p["text"].alias("text")))
+
+    return let(seen, lambda q: F.when(F.exists(q, lambda p: p["topic"]), fill(q)).otherwise(parts))
+
+
+def _topic_facts(p: Column, bare: Column) -> Column:
+    determined = r"(?:the|my|our|his|her|their|this|that|these|those)\s+"
+    topic = bare.rlike(rf"^(?:{determined})?[a-z][a-z'-]*(?:\s+[a-z][a-z'-]*)?$")
+    # Few clauses are so short; only those are looked at closely.
+    plain = F.when(topic, ~bare.rlike(rf"\b(?:{_VERB}|{_EVENT}|{_DAYS}|today|tomorrow|tonight|at|on|in|by|morning|evening|night|noon)\b|^(?:okay|ok|so|and|then|yes|no|hello|hi|hey|thanks|please|also|well|oh|um|i|we)\b")).otherwise(False)
+    object_ = lambda word: F.when(F.lower(p["text"]).rlike(rf"\b{word}\b"), F.lower(p["text"]).rlike(rf"^(?:{LEAD}){{0,12}}(?:{_VERB})\s+(?:\w+\s+){{0,2}}{word}\b")).otherwise(False)
+    return F.struct(p["joint"].alias("joint"), p["text"].alias("text"), plain.alias("topic"), bare.rlike(r"(?<!s)s$").alias("many"), bare.rlike(f"^{determined}").alias("fixed"), object_("it").alias("it"), object_("them").alias("them"))
+
+
+def _names(p: Column, q: Column) -> Column:
+    """A topic, and a clause that speaks of it in the right number."""
+    return p["topic"] & q["joint"].isin(",", "so", ".") & ((q["it"] & (~p["many"] | p["fixed"])) | (q["them"] & p["many"]))
+
+
 def opens_with_verb(text: Column) -> Column:
     return F.lower(text).rlike(rf"^(?:{LEAD}){{0,12}}(?:{_VERB})\b")
 
@@ -143,18 +151,13 @@ def first_verb(text: Column) -> Column:
 
 _OPENING = r"^\W*(?:(?:so|and|but|well|anyway|because|okay|ok|oh|ah|yeah|honestly|actually|now)\W+){0,8}"
 SMALL_TALK = (
-    r"^\W*(?:(?:also|plus|then|just|quickly|first|so|and|oh|okay|ok|well|um|yeah|ah|wow|anyway|no|wait|nothing|sorry|bye|hello|hi|hey|thanks|please|right|yes|man|honestly|you\s+know|work\s+stuff|let's\s+(?:go|see)|thank\s+you(?:\s+(?:so|very)\s+much)?|that's\s+(?:it|all)(?:\s+for\s+\w+)?"
+    r"^\W*(?:(?:also|plus|then|just|quickly|first|so|and|oh|okay|ok|well|um|yeah|ah|wow|anyway|no|wait|nothing|sorry|bye|hello|hi|hey|thanks|please|right|yes|man|honestly|you\s+know|let's\s+(?:go|see)|thank\s+you(?:\s+(?:so|very)\s+much)?|that's\s+(?:it|all)(?:\s+for\s+\w+)?"
     r"|how\s+are\s+you|what\s+(?:else|a\s+day|was\s+it)|let\s+me\s+(?:think|see)|i\s+(?:almost\s+)?forgot(?:\s+what\s+i\s+wanted\s+to\s+say)?|i\s+think|no\s+rush|no\s+hurry|ah\s+yes|oh\s+no|oh\s+man)\W*){0,80}$"
 )
 PREAMBLE = rf"^\W*(?:(?:so|okay|ok|and|well|here)\W+){{0,8}}(?:(?:i|we)\s+have|i've\s+got|there\s+are|here\s+are|these\s+are|my|i\s+need\s+to\s+do|i\s+have\s+to\s+do)?\s*(?:an?\s+)?(?:some|a\s+few|few|several|many|a\s+lot\s+of|(?:{_SMALL})|\d+|my|the)?\s*(?:\w+\s+)?(?:tasks?|things?|plans?|errands|to-?dos?|stuff|todo\s+list)(?:\s+to\s+do)?(?:\s+for)?\W*$"
 QUESTION = r"^\W*(?:(?:so|and|but|um)\W+){0,8}(?:is|are|was|were|does|did|what|who|whose|where|why|how|which|am\s+i)\b.*\?\s*$"
-NARRATION = (
-    _OPENING + r"(?!.*\basked\s+me\s+to\b)(?:(?:it|this|that|there|everything|everybody|everyone|he|she|they|you)(?:'s|'re|\s+(?:is|was|are|were|has|have|had|said|came|will|opens|looks))\b|my\s+(?:phone|head|back|day|battery)\s+(?:is|was|hurts)|(?:today|yesterday)\s+(?:is|was)\b"
-    r"|(?:my\s+)?\w+(?:\s+\w+)?\s+(?:called|said|told|asked|says|wrote)\b|(?:i'm|i\s+am|i\s+was|we\s+were|we're|we\s+are)\s+(?:so|very|just|tired|here|now|trying|not|jumping)\b|the\s+(?:internet|boss|weather|traffic|sale)\b.*\b(?:is|was|opens)\b|the\s+\w+(?:\s+\w+)?\s+(?:is|are)\s+(?:inside|outside|ready|here|there|open|closed|full|empty|late)\b|because\b)"
-)
-STATE = _OPENING + r"(?:i'm|i\s+am|we're|we\s+are)\s+(?:free|set|busy|off|home|at|in|close|near|on|out|done|ready|available)\b"
-ABOUT_OTHERS = _OPENING + rf"(?!(?:{_VERB})\b)(?:the|my|our|his|her|[a-z]+)(?:\s+[a-z]+){{0,5}}\s+(?:is|are|'s)\s+(?:coming|arriving|visiting|flying|landing|going\s+to\s+(?:come|visit)|moving)\b"
-ELABORATION = rf"^\W*(?:and\W+)?(?!the\s+(?:\w+\s+)?(?:{_EVENT})\b)(?:do\s+it|it's|it\s+is|it\s+(?:starts|begins|opens|leaves)|that's|the\s+\w+(?:\s+\w+)?\s+(?:is|starts|begins|leaves|opens)|they\s+(?:start|open)|he\s+is|she\s+is)\s+(?:due\s+|scheduled\s+|moved\s+)?(?:at|on|by|in|from|tomorrow|today|tonight|for)\b"
+THING = r"^\W*(?:(?:so|and|oh)\W+)?(?:the|its|his|her|my|our|their)\s"
+ELABORATION = rf"^\W*(?:and\W+)?(?:do\s+it|it's|it\s+is|it\s+(?:starts|begins|opens|leaves)|that's|the\s+\w+(?:\s+\w+)?\s+(?:is|starts|begins|leaves|opens)|they\s+(?:start|open)|he\s+is|she\s+is)\s+(?:due\s+|scheduled\s+|moved\s+)?(?:at|on|by|in|from|tomorrow|today|tonight|for)\b"
 DONE_BEFORE = rf"^\W*(?:{'|'.join(PASTS)}|{'|'.join(IRREGULAR)})\b"
 DONE = rf"^\W*(?:(?:so|and)\W+){{0,8}}(?:i|we)\s+(?:already\s+|just\s+)?(?:{'|'.join(IRREGULAR)}|\w+ed)\b"
 ALREADY = r"\balready\b"
@@ -177,7 +180,7 @@ _TITLE = [
     (rf"(?i)^have\s+(?=(?:\w+\s+){{0,2}}(?:{_EVENT})\b)", ""),
     (r"(?i)^(?:an?|the)\s+(?=(?:\w+\s+){0,2}(?:" + _EVENT + r")\b)", ""),
     (r"(?i)^(?:go\s+to\s+|go\s+)(?=travel\b)", ""), (r"(?i)\bcall(ed)?\s+to\s+(?=\w)", "call "), (r"(?i)^need\s+(?=\w)", ""), (r"(?i)^to\s+(?=\w)", ""), (r"(?i)^(?:remind|tell)\s+me\b\s*(?:about\s+|to\s+|that\s+)?", ""), (r"(?i)^(?:go\s+)?(?:i|we)\s+go\s+", "go "),
-    (r"(?i)\b(?:every|each)\s+(?:day|week|month|year|morning|afternoon|evening|night)\b", ""), (VAGUE.replace(r"\b(?:", r"(?i)\b(?:", 1), ""),
+    (r"(?i)\b(?:every|each)\s+(?:day|week|month|year|morning|afternoon|evening|night)\b", ""), 
     (r"(?i)[\s,]+(?:on|at|by|for|in|and|or|until|till|before|after|from|is|are|was|to\s+do\s+it|you\s+know|please|due|so|then|too|as\s+well|actually|honestly)\W*$", ""),
     (r"[\s,.;:!?…-]+$", ""), (r"\s*,\s*,\s*", ", "), (r"\s{2,}", " "), (r"\s+([,.;:!?])", "$1"),
 ]
@@ -188,4 +191,4 @@ def clean_title(text: Column, rounds: int = 2) -> Column:
     out = text
     for _i in range(rounds):
         out = F.trim(_chain(out, _TITLE))
-    return F.when(out.rlike(r"[\p{L}\p{N}]"), F.concat(F.upper(F.substring(out, 1, 1)), F.substring(out, F.lit(2), F.lit(10_000)))).otherwise("")
+    return F.when(out.rlike(r"[\p{L}\p{N}]"), F.concat(F.upper(F.substring(out, 1, 1)), F.substring(out, F.lit(2), F.length(out)))).otherwise("")

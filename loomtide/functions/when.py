@@ -8,7 +8,9 @@ Everything is a column expression, and ``now`` is an argument.
 
 from __future__ import annotations
 
+import functools
 import re
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +29,8 @@ ORDINALS = "first second third fourth fifth sixth seventh eighth ninth tenth ele
 DOUBTFUL_MONTHS = {"march", "may", "august"}
 #: Nouns that make an ordinal, or a part of the day before them, no date.
 COUNTED = "edition floor place row try attempt version chapter section page item anniversary person lesson lessons class period lecture grade round stage level street avenue lane entrance gate door block building house shift term semester course episode season part step draft question task".split()
+#: Verbs that move a thing from one day to another.
+MOVES = "move moving moved reschedule rescheduling rescheduled change changing changed shift shifting push pushing postpone postponing postponed".split()
 #: Things people do in the evening.
 EVENING_EVENTS = "dinner concert drinks party movie cinema theatre theater opera gig show supper date nightclub bar pub"
 
@@ -78,6 +82,7 @@ def _lexicon() -> dict[str, str]:
         "~": "ok okay well oh please also anyway yeah yes then", ",": ",", ".": ". ; : ! ?",
     }.items():
         put(letter, words)
+    put("v", MOVES)
     put("a", "am a.m a.m.", 0)
     put("a", "pm p.m p.m.", 720)
     return out
@@ -98,9 +103,22 @@ def words(found: Column) -> Column:
     return F.transform(found, lambda t: fold_temporal_case(F.trim(t)))
 
 
+SHELVES = 64
+
+
+def _shelves(known: dict[str, str]) -> Column:
+    """A map that is dealt over an array by a hash of its keys, since Spark looks through a map key by key."""
+    rows: list[list[str]] = [[] for _ in range(SHELVES)]
+    quoted = lambda x: "'" + x.replace("'", "\\'") + "'"
+    for word, value in known.items():
+        rows[zlib.crc32(word.encode()) % SHELVES] += [quoted(word), quoted(value)]
+    # One expression in text: a call for each of a thousand literals would take seconds.
+    return F.expr("array(" + ", ".join(f"map({', '.join(row or [quoted(''), quoted('')])})" for row in rows) + ")")
+
+
 def codes(found: Column) -> Column:
     """Class letter and number of each word."""
-    known = F.create_map(*(F.lit(x) for kv in _lexicon().items() for x in kv))
+    shelves = _shelves(_lexicon())
     part = lambda w, k: F.split_part(w, F.lit(":"), F.lit(k)).try_cast("int")
     point = lambda w, k: F.rpad(F.split_part(w, F.lit("."), F.lit(k)), k, "0").try_cast("int")
 
@@ -113,7 +131,7 @@ def codes(found: Column) -> Column:
             .when(w.rlike(r"^\d{1,2}(?:st|nd|rd|th)$"), F.concat(F.lit("o"), F.regexp_extract(w, r"^(\d+)", 1)))
             .when(w.rlike(r"^\d{4}-"), F.lit("i")).when(w.contains("/"), F.lit("x")).otherwise(F.lit("n"))
         )
-        return F.coalesce(F.try_element_at(known, w), F.when(w.rlike(r"^\d"), number).otherwise(F.lit("_")))
+        return F.coalesce(F.try_element_at(F.get(shelves, (F.crc32(w) % SHELVES).cast("int")), w), F.when(w.rlike(r"^\d"), number).otherwise(F.lit("_")))
 
     return F.transform(found, code)
 
@@ -167,15 +185,14 @@ def _date_atoms(x: Match) -> dict[str, Column]:
     }
 
 
-def _date_values(m: Column, today: Column) -> dict[str, Column]:
-    """Dates that the atoms name, whichever rule fits."""
-    c = F.col
+def _date_values(m: Column, today: Column, c) -> dict[str, Column]:
+    """Dates that the atoms name, whichever rule fits; ``c`` gives an atom by its name."""
     first = F.trunc(today, "month")
     # A weekday and a day of the month: the month, this one or the next, in which they agree.
     of_month = lambda k: F.date_add(F.add_months(first, k), c("dom") - 1)
     agreed = lambda k: F.when((c("dom") <= F.day(F.last_day(F.add_months(first, k)))) & (civil.iso_weekday(of_month(k)) == c("target")), of_month(k))
-    slash = lambda k: F.split_part("slash", F.lit("/"), F.lit(k)).try_cast("int")
-    month, dom, year = F.coalesce("month", slash(1)), F.coalesce("dom", slash(2)), F.coalesce("year", slash(3))
+    slash = lambda k: F.split_part(c("slash"), F.lit("/"), F.lit(k)).try_cast("int")
+    month, dom, year = F.coalesce(c("month"), slash(1)), F.coalesce(c("dom"), slash(2)), F.coalesce(c("year"), slash(3))
     return {
         "named": F.when(month.isNull(), None).when(year.isNull(), civil.yearless_date(today, month, dom)).otherwise(civil.exact_date(civil.full_year(year), month, dom)),
         "nth": civil.day_of_month_on_or_after(today, c("dom")),
@@ -186,12 +203,11 @@ def _date_values(m: Column, today: Column) -> dict[str, Column]:
     }
 
 
-def date_rules(m: Column, today: Column, minute_now: Column) -> list[tuple[str, str, Column, Column | None, bool]]:
+def date_rules(m: Column, today: Column, minute_now: Column, c=F.col) -> list[tuple[str, str, Column, Column | None, Column | bool]]:
     """(name, pattern, date, implied minute, low confidence) of each rule; what is longer at one place comes first.
 
-    Values are made of the columns of ``_date_atoms`` and ``_date_values``.
+    Values are made of ``_date_atoms`` and ``_date_values``, which ``c`` gives by name.
     """
-    c = F.col
     day = lambda n: F.date_add(today, n)
     part, first = c("part"), F.trunc(today, "month")
     next_week = lambda target: civil.next_week_weekday(today, target)
@@ -201,7 +217,7 @@ def date_rules(m: Column, today: Column, minute_now: Column) -> list[tuple[str,
     return [
         ("weekday_month_day", f"{_LEAD}{_WHICH}[Ww]{_PART},?[JE]*[Mm]E?{_DAY}(?:,?q)?", c("named"), part, False),
         ("weekday_day_month", f"{_LEAD}{_WHICH}[Ww]{_PART},?[JE]*{_DAY}F?[Mm](?:,?q)?", c("named"), part, False),
-        ("weekday_nth", f"{_LEAD}{_WHICH}W,?J?E?(?:o|5?O{_ENDS}){_NO_COUNT}", F.coalesce("fits", "nth"), None, False),
+        ("weekday_nth", f"{_LEAD}{_WHICH}W,?J?E?(?:o|5?O{_ENDS}){_NO_COUNT}", F.coalesce(c("fits"), c("nth")), None, c("fits").isNull()),
         ("next_week_weekday", f"{_LEAD}(?:Xu,?[JI]?W{_PART}|W{_PART}F?Xu)", next_week(c("target")), part, False),
         ("weekday", f"(?:{_LEAD}{_WHICH}W|(?:[JBjIAgV]{_WHICH}|SC|[SCXLp])w){_PART}", c("weekday"), part, False),
         ("after_tomorrow", "[JBj]?E?yZR", day(2), None, False),
@@ -219,8 +235,8 @@ def date_rules(m: Column, today: Column, minute_now: Column) -> list[tuple[str,
         ("half_hour", f"{_IN}(?:HeU|eHU)", soon, at, False),
         ("hour_and_half", f"{_IN}(?:eUceH|[Nd]ceHU)T?", soon, at, False),
         ("decimal_hours", f"{_IN}fU", soon, at, False),
-        ("in_amount", f"{_IN}{_AMOUNT}[Uyur]T?(?:ls)?", F.when(c("amount").between(1, 999), F.coalesce("days", soon)), F.when(c("days").isNull(), at), False),
-        ("iso", "[JBj]?i", F.try_to_date("iso", "yyyy-M-d"), None, False),
+        ("in_amount", f"{_IN}{_AMOUNT}[Uyur]T?(?:ls)?", F.when(c("amount").between(1, 999), F.coalesce(c("days"), soon)), F.when(c("days").isNull(), at), False),
+        ("iso", "[JBj]?i", F.try_to_date(c("iso"), "yyyy-M-d"), None, False),
         ("slash", "[JBj]?x", c("named"), None, False),
         ("month_day", f"{_LEAD}[Mm]E?{_DAY}(?:,?q)?", c("named"), None, False),
         ("day_month", f"{_LEAD}E?{_DAY}F?[Mm](?:,?q)?", c("named"), None, False),
@@ -250,10 +266,9 @@ def _clock_atoms(x: Match) -> dict[str, Column]:
     }
 
 
-def _clock_values(m: Column) -> dict[str, Column]:
+def _clock_values(m: Column, c) -> dict[str, Column]:
     """The hour that a clock means: ``hour`` of the clock words, or of the last number in "quarter past three"."""
-    c = F.col
-    part = F.coalesce("own_part", "said")
+    part = F.coalesce(c("own_part"), c("said"))
     name = F.when(part == 540, "morning").when(part == 840, "afternoon").when(part == 1080, "evening").when(part == 1200, "night")
     far = m.rlike("[p6ZB][dN](?:a|IE[P8]|A8)?$") & m.rlike("[QHdN5U][p6ZB]")
     written = F.when(far, c("last")).otherwise(F.floor(c("total") / 60)).cast("int")
@@ -262,9 +277,8 @@ def _clock_values(m: Column) -> dict[str, Column]:
     return {"written": written, "meant": meant.cast("int")}
 
 
-def time_rules(m: Column) -> list[tuple[str, str, Column]]:
-    """(name, pattern, minute of day) of each rule, of which the first that fits counts; values are made of the columns of ``_clock_atoms`` and ``_clock_values``."""
-    c = F.col
+def time_rules(m: Column, c=F.col) -> list[tuple[str, str, Column]]:
+    """(name, pattern, minute of day) of each rule, of which the first that fits counts; values are made of ``_clock_atoms`` and ``_clock_values``."""
     clock = F.when(c("written") < 24, c("meant") * 60 + c("total") % 60)
     half_day = F.when(c("written") <= 12, clock)
     # "between 11 and 1 pm" begins in the morning.
@@ -308,46 +322,210 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.explode(F.transform(F.array(F.lit(0)), lambda _: packed)).alias("__x")).select("*", *(F.col(f"__x.{n}").alias(n) for n in columns)).drop("__x")
 
 
-def _locate(df: DataFrame, line: Column, rules: list) -> DataFrame:
-    """``df`` with ``start``, ``m``, ``v``, ``w``: the first stretch of ``line`` that any rule fits, its classes, numbers and words."""
-    any_ = F.lit("|".join(f"(?:{r[1]})" for r in rules))
-    df = _once(df, start=F.regexp_instr(line, any_), m=F.coalesce(F.regexp_substr(line, any_), F.lit("")))
-    cut = lambda a: F.slice(a, F.greatest("start", F.lit(1)), F.length("m"))
-    return _once(df, v=cut(F.col("numbers")), w=cut(F.col("words")))
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def let_all(values: dict[str, Column], body) -> Column:
+    """``body`` of a function that gives the named values, each computed once."""
+    return let(F.struct(*(v.alias(n) for n, v in values.items())), lambda x: body(_fields(x)))
+
+
+def _fields(x: Column):
+    """The fields of a struct by name, each named to Spark once."""
+    return functools.cache(x.getField)
+
+
+SPAN = "struct<start: int, m: string>"
+DATE = "struct<start: int, size: int, rule: string, date: date, part: int, low: boolean, exact: boolean>"
+TIME = "struct<start: int, size: int, rule: string, minute: int, part: int>"
+
+
+def spans_of(line: Column, rules: list) -> Column:
+    """All stretches of a class string that any rule fits, left to right, none over another: start (from 1) and classes."""
+    any_ = "|".join(f"(?:{r[1]})" for r in rules)
+    pieces = F.split(F.regexp_replace(line, f"({any_})", "\x01$1\x02"), "[\x01\x02]")
+    blank = F.struct(F.lit(1).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"), F.lit(False).alias("inside"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        span = F.struct(acc["at"].alias("start"), piece.alias("m"))
+        return F.struct((acc["at"] + F.length(piece)).alias("at"), F.when(acc["inside"] & (piece != ""), F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"), (~acc["inside"]).alias("inside"))
+
+    return F.aggregate(pieces, blank, step, lambda acc: acc["found"])
+
+
+def _dates(line: Column, numbers_: Column, words_: Column, today: Column, minute_now: Column) -> Column:
+    """All dates of a text with their places; stretches that name no day of the calendar are left out."""
+
+    def value(span: Column) -> Column:
+        m = span["m"]
+        cut = lambda a: F.slice(a, span["start"], F.length(m))
+
+        def rule(atom) -> Column:
+            return let_all(_date_values(m, today, atom), lambda val: decide(lambda n: atom(n) if n in _ATOMS else val(n)))
+
+        def decide(c) -> Column:
+            rules = date_rules(m, today, minute_now, c)
+            one = lambda r: F.struct(F.lit(r[0]).alias("rule"), r[2].cast("date").alias("date"), (r[3] if r[3] is not None else F.lit(None)).cast("int").alias("part"), F.coalesce(r[4] if isinstance(r[4], Column) else F.lit(r[4]), F.lit(False)).alias("low"))
+            return let(_first_rule(m, rules, one), lambda d: F.struct(
+                span["start"].cast("int").alias("start"), F.length(m).cast("int").alias("size"), d["rule"].alias("rule"), d["date"].alias("date"), d["part"].alias("part"), d["low"].alias("low"),
+                F.coalesce(d["rule"].isin("half_hour", "hour_and_half", "decimal_hours", "in_amount") & d["part"].isNotNull(), F.lit(False)).alias("exact")))
+
+        return let(F.struct(cut(numbers_).alias("v"), cut(words_).alias("w")), lambda x: let_all(_date_atoms(Match(m, x["v"], x["w"])), rule))
+
+    rules = date_rules(F.lit(""), today, minute_now, lambda n: F.lit(None))
+    return F.filter(F.transform(spans_of(line, rules), value), lambda d: d["date"].isNotNull())
+
+
+_ATOMS = {"target", "part", "month", "dom", "year", "unit", "amount", "hours", "point", "slash", "iso"}
+_CLOCK_ATOMS = {"total", "zero", "meridiem", "own_part", "named", "number", "last", "shift", "said", "evening"}
+
+
+def _hidden(line: Column, spans: Column) -> Column:
+    """The class string with the tokens of all spans as "#"."""
+    return F.aggregate(spans, line, lambda out, d: F.overlay(out, F.repeat(F.lit("#"), d["size"]), d["start"], d["size"]))
+
+
+def _times(line: Column, numbers_: Column, words_: Column, dates: Column, evening) -> Column:
+    """All times outside the dates.  A clock is read in the part of the day that is said with the date next to it, or with the first date."""
+
+    def value(span: Column) -> Column:
+        m, start = span["m"], span["start"]
+        cut = lambda a: F.slice(a, start, F.length(m))
+        beside = F.filter(dates, lambda d: ~d["exact"] & ((d["start"] + d["size"] == start) | (start + F.length(m) == d["start"])))
+        said = F.coalesce(F.get(F.transform(F.filter(beside, lambda d: d["part"].isNotNull()), lambda d: d["part"]), F.lit(0)), F.get(F.transform(F.slice(dates, 1, 1), lambda d: F.when(~d["exact"], d["part"])), F.lit(0)))
 
+        def rule(atom) -> Column:
+            return let_all(_clock_values(m, atom), lambda val: decide(lambda n: atom(n) if n in _CLOCK_ATOMS else val(n)))
 
-def read_when(df: DataFrame, text_col: str, now_col: str) -> DataFrame:
-    """``df`` with the tokens, first date and first time of a text.
+        def decide(c) -> Column:
+            one = lambda r: F.struct(F.lit(r[0]).alias("rule"), r[2].cast("int").alias("minute"))
+            return let(_first_rule(m, time_rules(m, c), one), lambda t: F.struct(start.cast("int").alias("start"), F.length(m).cast("int").alias("size"), t["rule"].alias("rule"), t["minute"].alias("minute"), F.when(t["rule"] == "part", c("own_part")).cast("int").alias("part")))
 
-    Adds ``tokens``, ``line`` (classes), ``date_start``, ``date_size``, ``date_rule``, ``date``, ``date_part`` (minute that the date implies),
-    ``low`` (low confidence), ``exact`` (counted in minutes or hours), ``time_start``, ``time_size``, ``time_rule``, ``time_minute``.
-    The time is looked for outside the date.
+        return let(F.struct(cut(numbers_).alias("v"), cut(words_).alias("w")), lambda x: let_all(_clock_atoms(Match(m, x["v"], x["w"])) | {"said": said, "evening": evening(start, F.length(m))}, rule))
+
+    rules = time_rules(F.lit(""), lambda n: F.lit(None))
+    return F.filter(F.transform(spans_of(_hidden(line, dates), rules), value), lambda t: t["minute"].isNotNull())
+
+
+def _moved_until(line: Column, dates: Column) -> Column:
+    """The last token of "move it from Friday to Monday" and of a time right after it; 0 without.  Both days belong to the thing that is moved."""
+    marked = _hidden(line, dates)
+    found = F.regexp_extract(marked, "^(.*?v[^.,]{0,20}(?:g#|#)#*6#+)", 1)
+    return F.when(found.rlike("g#+6#+$") | found.rlike("v[^.,#]*#+6#+$"), F.length(found)).otherwise(0)
+
+
+def scan_when(text: Column, today: Column, minute_now: Column) -> Column:
+    """All that a text says of days and times: struct of ``tokens``, ``line`` (their classes), ``dates`` and ``times``, each with its place.
+
+    Dates and times of a thing that is moved from one day to another are left out.
     """
-    kept = df.columns
-    today, minute_now = F.to_date(now_col), F.hour(now_col) * 60 + F.minute(now_col)
-    df = _once(df, tokens=tokens(F.col(text_col)))
-    df = _once(df, words=words(F.col("tokens")))
-    df = _once(df, coded=codes(F.col("words")))
-    df = _once(df, line=classes(F.col("coded")), numbers=numbers(F.col("coded"))).drop("coded")
-    m = F.col("m")
-    rules = date_rules(m, today, minute_now)
-    df = _locate(df, F.col("line"), rules)
-    df = _once(df, **_date_atoms(Match(m, F.col("v"), F.col("w"))))
-    df = _once(df, **_date_values(m, today))
-    value = lambda r: F.struct(F.lit(r[0]).alias("rule"), r[2].cast("date").alias("date"), (r[3] if r[3] is not None else F.lit(None)).cast("int").alias("part"), F.lit(r[4]).alias("low"))
-    df = _once(df, d=F.when(m != "", _first_rule(m, rules, value)))
-    known = F.col("d.date").isNotNull()
-    exact = known & F.col("d.rule").isin("half_hour", "hour_and_half", "decimal_hours", "in_amount") & F.col("d.part").isNotNull()
-    found = {"date_start": F.when(known, F.col("start")), "date_size": F.when(known, F.length("m")), "date_rule": F.when(known, F.col("d.rule")), "date": F.col("d.date"), "date_part": F.when(known, F.col("d.part")), "low": F.coalesce(known & F.col("d.low"), F.lit(False)), "exact": F.coalesce(exact, F.lit(False))}
-    df = df.select(*kept, "tokens", "line", "words", "numbers", *(c.alias(n) for n, c in found.items()))
-    hidden = F.when(F.col("date_start").isNull(), F.col("line")).otherwise(F.concat(F.substring(F.col("line"), F.lit(1), F.col("date_start") - 1), F.repeat(F.lit("#"), F.col("date_size")), F.substring(F.col("line"), F.col("date_start") + F.col("date_size"), F.lit(10_000))))
-    rules = time_rules(m)
-    df = _locate(df, hidden, rules)
-    df = _once(df, **_clock_atoms(Match(m, F.col("v"), F.col("w"))), said=F.when(~F.col("exact"), F.col("date_part")), evening=F.lower(text_col).rlike(rf"\b(?:{'|'.join(EVENING_EVENTS.split())})\b"))
-    df = _once(df, **_clock_values(m))
-    df = _once(df, t=F.when(m != "", _first_rule(m, rules, lambda r: F.struct(F.lit(r[0]).alias("rule"), r[2].cast("int").alias("minute")))))
-    known = F.col("t.minute").isNotNull() & ~F.col("exact")
-    return df.select(*kept, "tokens", "line", *found, *(F.when(known, c).alias(n) for n, c in (("time_start", F.col("start")), ("time_size", F.length("m")), ("time_rule", F.col("t.rule")), ("time_minute", F.col("t.minute")))))
+    lower = F.lower(text)
+    events = rf"\b(?:{'|'.join(EVENING_EVENTS.split())})\b"
+
+    def evening(found: Column):
+        # An evening event within sixty characters of the time.
+        def near(start: Column, size: Column) -> Column:
+            before = F.right(F.array_join(F.slice(found, 1, F.greatest(start - 1, F.lit(0)).cast("int")), ""), F.lit(60))
+            after = F.left(F.array_join(F.slice(found, (start + size).cast("int"), F.size(found) + 1), ""), F.lit(60))
+            return F.lower(before).rlike(events) | F.lower(after).rlike(events)
+
+        return lambda start, size: F.when(lower.rlike(events), near(start, size)).otherwise(False)
+
+    def classed(found: Column) -> Column:
+        return let(F.struct(words(found).alias("w")), lambda x: let(F.struct(codes(x["w"]).alias("c"), x["w"].alias("w")), lambda y: let(F.struct(classes(y["c"]).alias("line"), numbers(y["c"]).alias("v"), y["w"].alias("w")), lambda z: dated(found, z))))
+
+    def dated(found: Column, z: Column) -> Column:
+        return let(_dates(z["line"], z["v"], z["w"], today, minute_now), lambda d: let(F.when(F.size(d) >= 2, _moved_until(z["line"], d)).otherwise(0), lambda end: timed(found, z, d, end)))
+
+    def timed(found: Column, z: Column, d: Column, end: Column) -> Column:
+        times = _times(z["line"], z["v"], z["w"], d, evening(found))
+        own = lambda x: x["start"] > end + F.when(end > 0, 1).otherwise(0)
+        return F.struct(found.alias("tokens"), z["line"].alias("line"), F.filter(d, own).alias("dates"), F.filter(times, own).alias("times"))
+
+    return let(tokens(text), classed)
+
+
+def read_when(text: Column, today: Column, minute_now: Column) -> Column:
+    """What a text means: struct of ``tokens``, ``line``, ``date`` and ``minute`` (as said; null for none), ``said_date``, ``low``, ``exact``, ``spans`` and the two rules.
+
+    The first date and the first time outside it count.  A time that is said together with another day is that day's: it is
+    left out, unless the other day is the same.  A part of the day and a clock that are said apart are one time, unless a
+    preposition ties the part to a thing.  Spans that touch are one.
+    """
+    return let(scan_when(text, today, minute_now), _resolved)
+
+
+def _beside(line: Column, a: Column, b: Column) -> Column:
+    """Only commas stand between two places, or nothing."""
+    first = F.when(a["start"] <= b["start"], a["start"] + a["size"]).otherwise(b["start"] + b["size"])
+    last = F.greatest(a["start"], b["start"])
+    return F.substring(line, first, last - first).rlike("^,*$")
+
+
+def _resolved(x: Column) -> Column:
+    line, dates, times = x["line"], x["dates"], x["times"]
+    day = F.get(dates, F.lit(0))
+    parts = F.filter(times, lambda t: t["part"].isNotNull())
+    clocks = F.filter(times, lambda t: t["part"].isNull())
+    part = F.when(F.size(parts) == 1, F.get(parts, F.lit(0)))
+    clock = F.get(clocks, F.lit(0))
+
+    def chosen(c) -> Column:
+        part, clock, day = c("part"), c("clock"), c("day")
+        # "at 9 buy flowers for the party in the evening": the part is the party's.
+        between = F.substring(line, clock["start"] + clock["size"], part["start"] - clock["start"] - clock["size"])
+        things = (part["start"] > clock["start"]) & (F.length(between) > 0) & F.array_join(F.transform(F.slice(x["tokens"], clock["start"] + clock["size"], F.greatest(part["start"] - clock["start"] - clock["size"], F.lit(0)).cast("int")), F.trim), " ").rlike(r"(?i)\b(?:for|about|to|at|in|with|from|of|before|after|on|into|until|till|by|during)\b")
+        paired = F.coalesce(part.isNotNull() & clock.isNotNull() & ~things, F.lit(False))
+        name = F.when(part["part"] == 540, "morning").when(part["part"] == 840, "afternoon").when(part["part"] == 1080, "evening").when(part["part"] == 1200, "night")
+        first = F.when(paired | F.coalesce(things, F.lit(False)), clock).otherwise(F.get(times, F.lit(0)))
+        return let_all({"time": first, "paired": paired, "name": name, "part": part, "day": day}, owned)
+
+    def owned(c) -> Column:
+        time, day = c("time"), c("day")
+        others = F.filter(F.slice(dates, F.lit(2), F.size(dates) + 1), lambda d: _beside(line, d, time))
+        other = F.when(day.isNotNull() & time.isNotNull() & ~c("paired") & ~_beside(line, day, time), F.get(others, F.lit(0)))
+        return let_all({"time": time, "paired": c("paired"), "name": c("name"), "part": c("part"), "day": day, "other": other}, decided)
+
+    def decided(c) -> Column:
+        day, other = c("day"), c("other")
+        same = F.coalesce(other.isNotNull() & ~day["exact"] & (other["date"] == day["date"]), F.lit(False))
+        time = F.when(other.isNull() | same, c("time"))
+        time = F.when(F.coalesce(day["exact"], F.lit(False)), None).otherwise(time)
+        return let_all({"time": time, "paired": c("paired"), "name": c("name"), "part": c("part"), "day": day, "same": F.when(same, other)}, told)
+
+    def told(c) -> Column:
+        time, day, same = c("time"), c("day"), c("same")
+        hour = F.floor(time["minute"] / 60).cast("int")
+        bare = F.when(hour > 12, hour - 12).otherwise(hour)
+        minute = F.when(c("paired") & ~time["rule"].isin("meridiem", "compact", "noon", "number_noon"), civil.hour_in_part(bare, c("name")) * 60 + time["minute"] % 60).otherwise(time["minute"])
+        found = F.filter(F.array(day_span(day), day_span(same), day_span(time), F.when(c("paired"), day_span(c("part")))), lambda s: s.isNotNull())
+        said = F.coalesce(same["part"], day["part"])
+        return F.struct(
+            x["tokens"].alias("tokens"), line.alias("line"), day["date"].alias("date"), F.coalesce(minute.cast("int"), day["part"]).alias("minute"), F.when(time.isNotNull(), said).alias("said_part"),
+            day.isNotNull().alias("said_date"), F.coalesce(day["low"], F.lit(False)).alias("low"), F.coalesce(day["exact"], F.lit(False)).alias("exact"), joined_spans(found).alias("spans"), day["rule"].alias("date_rule"), time["rule"].alias("time_rule"), day["part"].alias("day_part"),
+        )
+
+    return let_all({"part": part, "clock": clock, "day": day}, chosen)
+
+
+def day_span(x: Column) -> Column:
+    return F.when(x.isNotNull(), F.struct(x["start"].cast("int").alias("start"), x["size"].cast("int").alias("size")))
+
+
+def joined_spans(spans: Column) -> Column:
+    """Spans by start; those that touch or overlap are one."""
+    kind = "array<struct<start: int, size: int>>"
+
+    def step(out: Column, s: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        end = F.greatest(last["start"] + last["size"], s["start"] + s["size"])
+        both = F.struct(last["start"].alias("start"), (end - last["start"]).cast("int").alias("size"))
+        touch = (F.size(out) > 0) & (s["start"] <= last["start"] + last["size"])
+        return F.when(touch, F.array_append(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), both)).otherwise(F.array_append(out, s))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(kind), step)
 
 
 def small_hours(date: Column, minute: Column, said: Column) -> Column:
@@ -365,16 +543,9 @@ def is_over(date: Column, minute: Column, today: Column, minute_now: Column) ->
     return (date < today) | ((date == today) & F.coalesce(minute < minute_now, F.lit(False)))
 
 
-def cut_spans(found: Column, *spans: tuple[Column, Column]) -> Column:
-    """The text of the tokens outside the spans (first token from 1, and length; null for none)."""
-
-    def keep(_: Column, i: Column) -> Column:
-        out = F.lit(True)
-        for start, size in spans:
-            out = out & ~F.coalesce((i + 1 >= start) & (i + 1 < start + size), F.lit(False))
-        return out
-
-    return F.array_join(F.filter(found, keep), "")
+def cut_spans(found: Column, spans: Column) -> Column:
+    """The text of the tokens outside the spans (first token from 1, and length)."""
+    return F.array_join(F.filter(found, lambda _, i: ~F.exists(spans, lambda s: (i + 1 >= s["start"]) & (i + 1 < s["start"] + s["size"]))), "")
 
 
 def parse_when(df: DataFrame, text_col: str = "text", now_col: str = "now") -> DataFrame:
@@ -384,9 +555,8 @@ def parse_when(df: DataFrame, text_col: str = "text", now_col: str = "now") -> D
     said with the date, small hours of a night belong to the next day, and a bare time that is over rolls to tomorrow.
     """
     today, minute_now = F.to_date(now_col), F.hour(now_col) * 60 + F.minute(now_col)
-    out = read_when(df, text_col, now_col)
-    minute = F.coalesce("time_minute", "date_part")
-    said = F.when(F.col("time_minute").isNotNull(), F.col("date_part"))
-    out = out.withColumns({"minute": minute, "date": rolled(small_hours(F.col("date"), minute, said), minute, today, minute_now)})
-    rest = cut_spans(F.col("tokens"), (F.col("date_start"), F.col("date_size")), (F.col("time_start"), F.col("time_size")))
-    return out.withColumns({"rest": F.trim(rest), "confidence": F.when(F.col("low"), "low").otherwise("high")}).drop("tokens", "line", "date_start", "date_size", "date_part", "low", "exact", "time_start", "time_size", "time_minute")
+    out = _once(df, __w=read_when(F.col(text_col), today, minute_now))
+    w = F.col("__w")
+    date = rolled(small_hours(w["date"], w["minute"], w["said_part"]), w["minute"], today, minute_now)
+    shown = {"date_rule": w["date_rule"], "time_rule": w["time_rule"], "minute": w["minute"], "date": date, "rest": F.trim(cut_spans(w["tokens"], w["spans"])), "confidence": F.when(w["low"], "low").otherwise("high")}
+    return out.withColumns(shown).drop("__w")

@@ -1,149 +1,318 @@
-"""Notes to dated tasks: clauses as rows, dates by word classes, and what clauses take from each other by windows."""
+"""Notes to dated tasks: every clause as a struct of facts, and one ordered fold over the clauses of a note.
+
+Everything is column expressions over one row; nothing is shuffled, and a note is worked on whole.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import gram, when
 from ..functions import notes as spoken
-from ..functions import when
 from ..functions.text import normalise_title
+from ..functions.when import let, let_all
 
 MAX_TASKS = 20
-MAX_NOTE = 20_000
 RESULT = ["position", "title", "date", "minute", "has_reminder", "confidence"]
+TASK = "struct<title: string, date: date, minute: int, reminder: boolean, low: boolean, todo: boolean, due: boolean>"
 
 
 def note_clauses(notes: DataFrame, note_col: str = "note") -> DataFrame:
-    """One row per clause of a note: the note's columns, ``note_row``, ``position``, ``joint``, ``clause`` and ``sentence``.
+    """One row per clause of a note: the note's columns, ``position``, ``joint`` and ``clause``.
+
+    A null or empty note has no clause.
+    """
+    kept = [c for c in notes.columns if c.lower() not in ("position", "joint", "clause")]
+    parts = when._once(notes.where(F.length(F.trim(note_col)) > 0), __clauses=clauses_of(F.col(note_col).cast("string")))
+    return parts.select(*kept, F.posexplode("__clauses").alias("position", "part")).select(*kept, "position", "part.joint", F.col("part.text").alias("clause"))
+
+
+def clauses_of(note: Column) -> Column:
+    """The clauses of a note in spoken order, topics filled in: structs of ``joint`` and ``text``."""
+    return let(spoken.clauses(spoken.corrected(spoken.normalise(note))), spoken.filled_topics)
+
+
+# ── Facts of a clause ────────────────────────────────────────────────────────────────────────────
+
+_MERIDIEM = r"(?i)\d\s*[ap]\.?\s?m\b|\b[ap]\.m\b"
+_EARLIER = r"\b(?:(?:the|a|one)\s+(?:day|evening|night|week)|(?:\d|two|three|four|five|six|seven)\s+(?:days|weeks))\s+(?:before|earlier|in\s+advance|ahead)\b(?!\s+(?:the|a|an|my|our|his|her|their|this|that)\b)"
+_COUNTS = {"two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7}
+#: A task waits for this, on a day that nobody said: somebody acts, a thing is done, the pay comes.
+_AWAITS = (
+    r"(?<!\b(?:ask|check|know|see|remember|decide|wonder)\s)\b(?:once|as\s+soon\s+as|when|whenever|after|until|till)\s+(?!(?:i|we|you|that|this|then)\b)(?:(?:the|my|his|her|our|their)\s+)?[a-z']+\s*"
+    r"(?:\s(?:comes?|arrives?|sends?|calls?|replie?s|reply|pays?|returns?|approves?|confirms?|delivers?|brings?|signs?|lands?|writes?)|(?:'s|'re|\s(?:is|are|gets?))\s+(?:fixed|ready|done|back|repaired|delivered|finished|paid|approved|signed|sent|here|free))\b"
+    r"|\b(?:after|once|when|until|before)\s+(?:(?:the|my|next)\s+)?(?:payday|pay\s+day|salary|paycheck|pension|bonus)\b"
+)
+
+
+def clause_facts(part: Column, today: Column, minute_now: Column) -> Column:
+    """What one clause says: its kind, its own day and minute as said, its title without them, and how it passes on a day."""
+
+    def read(w: Column) -> Column:
+        found = F.transform(w["tokens"], lambda t: F.lower(F.trim(t)))
+        return let_all({"w": w, "words": found, "off": gram.vague_span(found)}, cut)
+
+    def cut(c) -> Column:
+        w, off = c("w"), c("off")
+        spans = F.when(off.isNull(), w["spans"]).otherwise(when.joined_spans(F.array_append(w["spans"], F.struct(off["start"].cast("int").alias("start"), off["size"].cast("int").alias("size")))))
+        first = F.get(w["spans"], F.lit(0))["start"]
+        last = F.element_at(F.when(F.size(w["spans"]) > 0, w["spans"]).otherwise(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("size")))), -1)
+        date = when.small_hours(w["date"], w["minute"], w["said_part"])
+        letters = gram.grammar(c("words"))
+        text = F.lower(part["text"])
+        earlier = F.regexp_substr(text, F.lit(_EARLIER))
+        return let_all(
+            {
+                "w": w, "rest": F.trim(when.cut_spans(w["tokens"], w["spans"])), "title_text": when.cut_spans(w["tokens"], spans), "date": date, "first": first, "last": last["start"] + last["size"], "letters": letters, "text": text,
+                "vague": off.isNotNull(), "earlier": earlier, "words": c("words"), "joint": part["joint"],
+            },
+            judged,
+        )
+
+    def judged(c) -> Column:
+        w, text, first = c("w"), c("text"), c("first")
+        dated = w["said_date"] | w["minute"].isNotNull()
+        over = F.coalesce(when.is_over(c("date"), w["minute"], today, minute_now), F.lit(False))
+        lead = F.substring(w["line"], F.lit(1), first - 1)
+        fronted = F.coalesce(first.isNotNull() & lead.rlike("^[~cls,.O3j]*$"), F.lit(False))
+        opening = F.lower(F.trim(F.get(w["tokens"], first - 1)))
+        before = F.get(c("words"), first - 2)
+        deadline = F.coalesce(opening.isin("by", "before", "until", "till", "due") | before.isin("by", "before", "until", "till", "due"), F.lit(False))
+        asked = F.exists(c("words"), lambda x: x.isin("remind", "reminder", "alarm", "alert", "nudge")) | text.rlike(r"\bdon't\s+(?:let\s+me\s+)?forget\b")
+        told, to = F.array_position(c("words"), "remind"), F.array_position(c("words"), "to")
+        days = F.when(c("earlier").isNotNull(), F.when(c("earlier").contains("week"), 7).otherwise(1) * F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in _COUNTS.items() for x in kv)), F.split_part(c("earlier"), F.lit(" "), F.lit(1))), F.split_part(c("earlier"), F.lit(" "), F.lit(1)).try_cast("int"), F.lit(1)))
+        # "the day before at 9" tells of a reminder; its words are no title.
+        title_text = F.when(c("earlier").isNotNull() & asked, F.regexp_replace(c("title_text"), f"(?i){_EARLIER}", "")).otherwise(c("title_text"))
+        return let_all({"kind": kind_of(text, c("rest"), c("letters"), dated, over, c("earlier"), asked), "title": normalise_title(spoken.clean_title(title_text))}, lambda k: F.struct(
+            c("joint").alias("joint"), k("kind").alias("kind"), k("title").alias("title"), F.when(k("title") == "", normalise_title(spoken.clean_title(part["text"]))).alias("whole"), c("date").alias("date"), w["minute"].alias("minute"), w["said_date"].alias("said_date"), w["low"].alias("low"),
+            (w["exact"] | F.coalesce(w["date_rule"] == "in_amount", F.lit(False))).alias("counted"), c("vague").alias("vague"), asked.alias("asked"), fronted.alias("fronted"), deadline.alias("deadline"), text.rlike(r"[.!?]\s*$").alias("ends"),
+            text.rlike(_AWAITS).alias("awaits"), (text.rlike(_MERIDIEM)).alias("meridiem"), text.rlike(r"\b(?:tonight|evening|night)\b").alias("evening"), c("letters").rlike("^[cf,.]*P").alias("statement"), text.rlike(r"^\W*(?:and\W+)?oh\b").alias("afterthought"),
+            c("letters").rlike("^[cf,.]*tV").alias("infinitive"), F.coalesce((told > 0) & (first > told) & (to >= c("last")), F.lit(False)).alias("shares"), days.cast("int").alias("days"), spoken.first_verb(c("rest")).alias("verb"),
+            (~spoken.opens_with_verb(c("rest")) & fronted & c("rest").rlike(r"^[\s,]*(?:the|my|our|his|her)\s") & ~F.lower(c("rest")).rlike(rf"\b(?:{'|'.join(spoken.EVENTS)})\b")).alias("gapped"),
+            (text.rlike(r"\b(?:due|deadline)\b")).alias("due"), text.rlike(spoken.THING).alias("thing"), text.rlike(r"\b(?:both(?:\s+of\s+them)?|(?:all|each)\s+of\s+(?:them|these)),?\s+(?:on|by|at|in|for|this|next|tomorrow|today|tonight)\b").alias("shared_day")))
+
+    return let(when.read_when(part["text"], today, minute_now), read)
+
+
+def kind_of(text: Column, rest: Column, letters: Column, dated: Column, over: Column, earlier: Column, asked: Column) -> Column:
+    """What a clause is, by the first test that holds; its dates are cut from ``rest``."""
+    bare = F.lower(rest)
+    alone = bare.rlike(r"^\W*(?:(?:and|so|then|or|on|at|by|in|the|of|it's|for|from)\b\W*){0,12}$")
+    past, asked_me = text.rlike(spoken.DONE_BEFORE), text.rlike(r"\basked\s+me\s+to\b")
+    return (
+        F.when(past & over, "done")
+        .when(text.rlike(spoken.DONE) & (over | ~dated | text.rlike(spoken.ALREADY)), "done")
+        .when(text.rlike(spoken.QUESTION) & ~dated, "question")
+        .when(alone & dated, "when")
+        .when(bare.rlike(spoken.PREAMBLE), "preamble")
+        .when(bare.rlike(spoken.SMALL_TALK), "small talk")
+        .when(earlier.isNotNull() & asked, "earlier")
+        .when(bare.rlike(spoken.REMIND_ONLY), "remind")
+        .when(bare.rlike(spoken.BOTH) & dated, "both")
+        .when(text.rlike(spoken.ELABORATION) & dated, "elaboration")
+        .when(letters.rlike(gram.OTHERS), "others")
+        .when(letters.rlike(gram.STATE), "state")
+        .when(text.rlike(r"^\W*because\b"), "narration")
+        .when(text.rlike(r"^\W*(?:(?:so|okay|ok|um|ooh|well|and)\W+){0,4}(?:today|yesterday)\s+(?:is|was)\b") | (letters.rlike(gram.SCENE) & text.rlike(r"\btoday\b")), "narration")
+        .when(letters.rlike(gram.REPORT) & ~asked_me, "narration")
+        .when(letters.rlike(gram.NARRATION) & (~dated | over) & ~asked_me, "narration")
+        .otherwise("task")
+    )
+
 
-    A null or empty note has no clause.  ``note_row`` tells rows apart, so repeated notes stay apart.
+# ── The fold ─────────────────────────────────────────────────────────────────────────────────────
+
+#: What is carried from clause to clause.  Of ``header_*``: a heading's day, and its time for the one task after it; ``spoken``: the day
+#: that is talked about; ``run_*``: a day that led its clause, and the time of somebody's plan; ``first_day``: the day of the sentence's first
+#: task; ``pm_*``: the last time after noon; ``shared_*``: a "remind me at 7 to ... and to ..."; ``sent``: tasks before this sentence.
+STATE = {
+    "tasks": f"array<{TASK}>", "sent": "int", "header_date": "date", "header_minute": "int", "header_day": "date", "header_asked": "boolean", "evening": "boolean", "spoken": "date", "run_date": "date", "run_minute": "int",
+    "first_day": "date", "pm_minute": "int", "pm_date": "date", "shared": "boolean", "shared_date": "date", "shared_minute": "int", "verb": "string", "ended": "boolean",
+}
+
+
+def _state(values: dict[str, Column]) -> Column:
+    return F.struct(*(values[n].cast(t).alias(n) for n, t in STATE.items()))
+
+
+def fold_tasks(facts: Column, today: Column, minute_now: Column, max_tasks: int) -> Column:
+    """The tasks of a note from the facts of its clauses in spoken order: an array of structs.
+
+    A clause without a day of its own takes, by the first that applies: the shared "remind me at 7 to A and to B", the time of the heading right
+    before it, nothing if it is vague, only a heading's day if it waits for something, the day of the sentence's first task if it follows it, and the day that led its
+    sentence or else the heading's.  A time without a day takes the day that is talked about, a heading's, or that of the last time after noon, unless that is over.
+    A sentence's end clears what its own clauses carried; an undated sentence ends the day that is talked about.
     """
-    text = spoken.corrected(spoken.normalise(F.col(note_col).cast("string")))
-    rows = notes.withColumn("note_row", F.monotonically_increasing_id()).where(F.length(F.trim(note_col)) > 0)
-    rows = rows.select("*", F.explode(F.array(spoken.clauses(text))).alias("parts")).select(*rows.columns, F.posexplode("parts").alias("position", "part")).select(*rows.columns, "position", "part.joint", F.col("part.text").alias("clause"))
-    order = Window.partitionBy("note_row").orderBy("position")
-    return rows.withColumn("sentence", F.sum(F.when(F.col("joint") == ".", 1).otherwise(0)).over(order))
-
-
-def clause_kind(clause: Column, rest: Column, dated: Column, over: Column) -> Column:
-    """What a clause is, by the first test that holds; its dates are cut from ``rest``, ``dated`` says that it has any, and ``over`` that they have passed."""
-    def test(x: Column) -> Column:
-        text, bare, dated, over = F.lower(x["clause"]), F.lower(x["rest"]), x["dated"], x["over"]
-        alone = bare.rlike(r"^\W*(?:(?:and|so|then|or|on|at|by|in|the|of|it's)\b\W*){0,12}$")
+    blank = _state({n: F.array() if n == "tasks" else F.lit(0) if n == "sent" else F.lit(False) if t == "boolean" else F.lit("") if n == "verb" else F.lit(None) for n, t in STATE.items()})
+    null, no, yes = F.lit(None), F.lit(False), F.lit(True)
+    over = lambda d, m: F.coalesce(when.is_over(d, m, today, minute_now), no)
+
+    def with_last(tasks: Column, **changes: Column) -> Column:
+        last = F.get(tasks, F.size(tasks) - 1)
+        new = F.struct(*(changes.get(f.split(":")[0].strip(), last[f.split(":")[0].strip()]).cast(f.split(":")[1].strip()).alias(f.split(":")[0].strip()) for f in TASK[7:-1].split(",")))
+        return F.when(F.size(tasks) > 0, F.array_append(F.slice(tasks, F.lit(1), F.greatest(F.size(tasks) - 1, F.lit(0))), new)).otherwise(tasks)
+
+    def step(old: Column, at: Column) -> Column:
+        c, after, n = F.get(facts, at), F.get(facts, at + 1), F.size(facts)
+        fresh = old["ended"]
+        follows = c["joint"].isin("and", "then", "..") & ~c["afterthought"]
+        begin = {k: old[k] for k in STATE}
+        begin |= {k: F.when(~fresh, old[k]) for k in ("run_date", "run_minute")}
+        begin |= {"shared": old["shared"] & ~fresh, "sent": F.when(fresh, F.size(old["tasks"])).otherwise(old["sent"]), "first_day": F.when(follows, old["first_day"]), "verb": F.when(fresh, "").otherwise(old["verb"]), "ended": c["ends"]}
+        return let_all({"s": _state(begin), "c": c, "after": after, "last": at == n - 1, "follows": follows}, lambda x: F.when(F.size(x("s")["tasks"]) >= max_tasks, x("s")).otherwise(decided(x)))
+
+    def decided(x) -> Column:
+        s, c, after = x("s"), x("c"), x("after")
+        keep = {k: s[k] for k in STATE}
+        put = lambda **k: _state(keep | k)
+        tasks, begun = s["tasks"], F.size(s["tasks"]) > s["sent"]
+        last = F.get(tasks, F.size(tasks) - 1)
+        open_time = c["minute"].isNotNull() & last["date"].isNotNull() & last["minute"].isNull() & ~c["said_date"] & ~over(last["date"], c["minute"])
+        timed = F.when(F.coalesce(open_time, no), with_last(tasks, minute=c["minute"], reminder=yes)).otherwise(tasks)
+        own_day_next = F.coalesce(after["said_date"] & (after["date"] != c["date"]), no)
+        passes = ~x("last") & ~c["ends"]
+        frames = passes & ~(c["minute"].isNotNull() & own_day_next)
+        # A reminder or a detail of time for the task before it fills what that lacks.
+        none = last["date"].isNull() & last["minute"].isNull()
+        rolled = when.rolled(c["date"], c["minute"], today, minute_now)
+        filled = with_last(
+            tasks, date=F.when(none & (c["said_date"] | c["minute"].isNotNull()), rolled).otherwise(last["date"]), low=F.when(none, c["low"]).otherwise(last["low"]),
+            minute=F.when(last["minute"].isNull() & c["minute"].isNotNull() & (none | ~c["said_date"] | (c["date"] == last["date"])), c["minute"]).otherwise(last["minute"]), reminder=last["reminder"] | c["asked"] | c["minute"].isNotNull(),
+        )
+        day = F.date_sub(last["date"], c["days"])
+        to_do = F.coalesce(last["todo"] & ~last["due"] & last["date"].isNotNull() & last["minute"].isNull() & ~over(day, F.coalesce(c["minute"], F.lit(540))), no)
+        sooner = with_last(tasks, reminder=yes, date=F.when(to_do, day).otherwise(last["date"]), minute=F.when(to_do, c["minute"]).otherwise(last["minute"]))
+        both = F.transform(tasks, lambda t, i: F.when((i >= s["sent"]) & t["date"].isNull() & t["minute"].isNull(), F.struct(t["title"].alias("title"), c["date"].alias("date"), c["minute"].alias("minute"), (t["reminder"] | c["minute"].isNotNull()).alias("reminder"), t["low"].alias("low"), t["todo"].alias("todo"), t["due"].alias("due"))).otherwise(t))
+        heading = put(header_date=F.when(c["said_date"], c["date"]).otherwise(s["header_date"]), header_minute=c["minute"], header_day=rolled, header_asked=c["asked"], evening=c["evening"])
+        lead = put(spoken=F.when(c["said_date"], c["date"]).otherwise(s["spoken"]), run_date=F.when(c["said_date"], c["date"]).otherwise(s["run_date"]), run_minute=c["minute"])
+        kind = c["kind"]
+        # "the flight is at 6" tells of a trip, a meeting or an event, not of the shirt to iron before it.
+        title = F.lower(last["title"])
+        attends = F.coalesce(title.rlike(r"^(?:(?:go|fly|drive|travel|ride|head|come|walk|attend|visit|meet)\b|(?:take|bring)\b.*\bto\b)") | (~last["todo"] & title.rlike(rf"^(?:[\w']+\s+){{0,2}}(?:{'|'.join(spoken.EVENTS)})\b")), no)
+        no_tasks = F.size(tasks) == 0
         return (
-            F.when(alone & dated, "when")
-            .when(bare.rlike(spoken.PREAMBLE), "preamble")
-            .when(bare.rlike(spoken.SMALL_TALK), "small talk")
-            .when(text.rlike(spoken.DAY_BEFORE), "day before")
-            .when(bare.rlike(spoken.REMIND_ONLY), "remind")
-            .when(bare.rlike(spoken.BOTH) & dated, "both")
-            .when(text.rlike(spoken.DONE) & (over | ~dated | text.rlike(spoken.ALREADY)), "done")
-            .when(text.rlike(spoken.DONE_BEFORE) & over, "done")
-            .when(text.rlike(spoken.QUESTION) & ~dated, "question")
-            .when(text.rlike(spoken.ELABORATION) & dated, "elaboration")
-            .when(text.rlike(spoken.ABOUT_OTHERS), "others")
-            .when(text.rlike(spoken.STATE), "state")
-            .when(text.rlike(spoken.NARRATION), "narration")
-            .otherwise("task")
+            F.when(kind.isin("done", "question", "narration", "small talk"), s)
+            .when(kind == "preamble", F.when(c["said_date"], put(header_date=c["date"], evening=c["evening"])).otherwise(s))
+            .when((kind == "others") & ~c["said_date"] & c["minute"].isNull(), s)
+            .when((kind == "others") & begun, put(tasks=timed))
+            .when((kind == "others") & frames, lead)
+            .when(kind == "state", F.when(c["said_date"] & ~c["low"] & passes & ~own_day_next, put(spoken=c["date"], run_date=c["date"])).otherwise(s))
+            .when((kind == "elaboration") & begun & (~c["thing"] | c["due"] | attends), put(tasks=filled))
+            .when((kind == "remind") & ~no_tasks, put(tasks=filled))
+            .when((kind == "earlier") & no_tasks & (c["title"] == ""), s)
+            .when((kind == "earlier") & (c["title"] == ""), put(tasks=sooner))
+            .when((kind == "when") & ~x("last") & (after["kind"].isin("task", "when", "earlier", "state") | (after["kind"].isin("others", "elaboration") & (after["said_date"] | after["minute"].isNotNull()))), heading)
+            .when((kind == "when") & ~no_tasks, put(tasks=filled))
+            .when((kind == "both") & begun, put(tasks=both))
+            .when(kind == "remind", heading)
+            .otherwise(added(x, keep))
         )
 
-    return F.get(F.transform(F.array(F.struct(clause.alias("clause"), rest.alias("rest"), dated.alias("dated"), over.alias("over"))), test), F.lit(0))
+    def added(x, keep: dict) -> Column:
+        s, c = x("s"), x("c")
+        tasks = s["tasks"]
+        begun = F.size(tasks) > s["sent"]
+        last = F.get(tasks, F.size(tasks) - 1)
+        nothing = ~c["said_date"] & c["minute"].isNull()
+        earlier = (c["kind"] == "earlier") & last["date"].isNotNull() & ~c["said_date"]
+        context = F.coalesce(s["spoken"], s["header_date"], s["pm_date"])
+        late = F.coalesce((s["pm_minute"].isNotNull() & (c["minute"] + 720 > s["pm_minute"])) | s["evening"], no)
+        clock = F.when((c["minute"] < 720) & late & ~c["meridiem"], c["minute"] + 720).otherwise(c["minute"])
+        in_context = F.coalesce(~c["said_date"] & c["minute"].isNotNull() & context.isNotNull() & ~over(context, clock), no)
+        from_shared = nothing & s["shared"] & c["infinitive"]
+        from_header = nothing & ~from_shared & s["header_minute"].isNotNull()
+        quiet = nothing & ~from_shared & ~from_header
+        from_first = quiet & ~c["vague"] & ~c["awaits"] & s["first_day"].isNotNull() & x("follows") & ((c["joint"] != "and") | ~c["statement"])
+        from_run = quiet & ~c["vague"] & ~c["awaits"] & ~from_first
+        date = (
+            F.when(earlier, F.greatest(F.date_sub(last["date"], c["days"]), today))
+            .when(c["said_date"], c["date"]).when(in_context, context).when(~nothing, when.rolled(c["date"], c["minute"], today, minute_now)).when(from_shared, s["shared_date"])
+            .when(from_header, F.coalesce(s["header_date"], s["header_day"])).when(c["vague"], null).when(c["awaits"], F.when(s["run_date"].isNull(), s["header_date"])).when(from_first, s["first_day"]).otherwise(F.coalesce(s["run_date"], s["header_date"]))
+        )
+        minute = F.when(in_context, clock).when(~nothing, c["minute"]).when(from_shared, s["shared_minute"]).when(from_header, s["header_minute"]).when(from_run, s["run_minute"])
+        return let_all({"date": date, "minute": minute, "answers": F.coalesce(s["run_minute"].isNotNull() & (date == s["run_date"]), no), "given": from_shared | from_header | earlier}, lambda y: settled(x, y, keep, nothing, begun, last))
+
+    def settled(x, y, keep: dict, nothing: Column, begun: Column, last: Column) -> Column:
+        s, c = x("s"), x("c")
+        minute = F.coalesce(y("minute"), F.when(y("answers"), s["run_minute"]))
+        # A day already gone names the thing; its clock counts the next time it comes round.
+        gone = F.coalesce(y("date") < today, no)
+        date = F.when(gone, F.when(minute.isNotNull(), F.date_add(today, F.when(minute < minute_now, 1).otherwise(0)))).otherwise(y("date"))
+        gap = c["gapped"] & (s["verb"] != "") & c["joint"].isin(",", "and", "then")
+        title = F.when(gap, F.concat(F.initcap(s["verb"]), F.lit(" "), F.lower(F.substring(c["title"], 1, 1)), F.substring(c["title"], F.lit(2), F.length(c["title"])))).when(c["title"] == "", c["whole"]).otherwise(c["title"])
+        return let_all({"title": title, "date": date, "minute": minute, "reminder": c["minute"].isNotNull() | c["asked"] | y("given") | minute.isNotNull() | (s["header_asked"] & s["header_minute"].isNotNull())}, lambda t: appended(x, t, keep, nothing, begun, last))
+
+    def appended(x, t, keep: dict, nothing: Column, begun: Column, last: Column) -> Column:
+        s, c = x("s"), x("c")
+        tasks = s["tasks"]
+        lower = F.lower(t("title"))
+        todo = c["verb"] != ""
+        new = F.struct(t("title").alias("title"), t("date").cast("date").alias("date"), t("minute").cast("int").alias("minute"), F.coalesce(t("reminder"), no).alias("reminder"), (c["low"] & c["said_date"]).alias("low"), todo.alias("todo"), c["due"].alias("due"))
+        known = F.exists(tasks, lambda k: (F.lower(k["title"]) == lower) & k["date"].eqNullSafe(t("date")) & k["minute"].eqNullSafe(t("minute")))
+        again = F.coalesce(begun & (F.lower(last["title"]) == lower), no)
+        plain = t("date").isNull() & t("minute").isNull()
+        replaces = again & last["date"].isNull() & last["minute"].isNull()
+        skip = (F.length(t("title")) <= 1) | known | (again & ~replaces & plain)
+        base = F.when(replaces, F.slice(tasks, F.lit(1), F.greatest(F.size(tasks) - 1, F.lit(0)))).otherwise(tasks)
+        spread = F.transform(base, lambda k, i: F.when(c["shared_day"] & c["said_date"] & (i >= s["sent"]) & k["date"].isNull() & k["minute"].isNull(), F.struct(k["title"].alias("title"), t("date").cast("date").alias("date"), t("minute").cast("int").alias("minute"), k["reminder"].alias("reminder"), k["low"].alias("low"), k["todo"].alias("todo"), k["due"].alias("due"))).otherwise(k))
+        steady = c["said_date"] & ~c["low"] & ~c["deadline"] & ~c["counted"]
+        first_task = F.size(tasks) == s["sent"]
+        pm = t("minute") >= 720
+        spoken_day = F.when(c["said_date"], F.when(~c["deadline"] & ~c["low"], c["date"])).when(plain & c["ends"], null).otherwise(s["spoken"])
+        used = nothing & s["header_minute"].isNotNull()
+        return F.when(skip, _state(keep | {"spoken": spoken_day})).otherwise(
+            _state(keep | {
+                "tasks": F.array_append(spread, new), "spoken": spoken_day, "header_minute": F.when(~used, s["header_minute"]), "header_asked": s["header_asked"] & ~used, "run_minute": null,
+                "pm_minute": F.when(t("minute").isNull(), s["pm_minute"]).when(pm, t("minute")), "pm_date": F.when(t("minute").isNull(), s["pm_date"]).when(pm, t("date")),
+                "first_day": F.when(first_task & steady, t("date")).when(nothing & ~c["vague"], s["first_day"]),
+                "run_date": F.when(c["vague"], null).when(c["said_date"], F.when(c["fronted"] & steady, c["date"])).otherwise(s["run_date"]),
+                "shared": F.when(c["asked"], c["shares"]).otherwise(s["shared"]), "shared_date": F.when(c["asked"], t("date")).otherwise(s["shared_date"]), "shared_minute": F.when(c["asked"], t("minute")).otherwise(s["shared_minute"]),
+                "verb": F.when(todo, c["verb"]).otherwise(s["verb"]),
+            })
+        )
+
+    return F.aggregate(F.when(F.size(facts) > 0, F.sequence(F.lit(0), F.size(facts) - 1)).otherwise(F.array().cast("array<int>")), blank, step, lambda s: s["tasks"])
+
+
+def _folded(notes: DataFrame, now_col: str, note_col: str, max_tasks: int) -> DataFrame:
+    """``notes`` with ``__tasks``, each stage computed once."""
+    today, minute_now = F.to_date(F.col("__now")), F.hour("__now") * 60 + F.minute("__now")
+    rows = notes.withColumn("__now", F.col(now_col).cast("timestamp_ntz"))
+    said = F.coalesce(F.col(note_col).cast("string"), F.lit(""))
+    rows = when._once(rows, __clauses=clauses_of(said))
+    rows = when._once(rows, __facts=F.transform("__clauses", lambda part: clause_facts(part, today, minute_now)))
+    return when._once(rows, __tasks=fold_tasks(F.col("__facts"), today, minute_now, max_tasks)).drop("__clauses", "__facts", "__now")
+
+
+def _shown(rows: DataFrame, keep: list[str]) -> DataFrame:
+    t = F.col("__t")
+    return rows.select(*keep, (F.col("__nth") + 1).cast("int").alias("position"), t["title"].alias("title"), t["date"].alias("date"), t["minute"].alias("minute"), t["reminder"].alias("has_reminder"), F.when(t["low"], "low").otherwise("high").alias("confidence"))
 
 
 def extract_tasks(notes: DataFrame, now_col: str = "now", note_col: str = "note", max_tasks: int = MAX_TASKS) -> DataFrame:
     """Rows of the input's columns with ``position``, ``title``, ``date``, ``minute``, ``has_reminder``, ``confidence``.
 
-    ``now`` is a TIMESTAMP_NTZ column.  A note is repaired and cut into clauses; each task clause gives a title without its date and time.
-    What it does not say itself comes from the clauses before it in this order: a phrase of time that stands alone
-    before it, what somebody else's plan says, the day that leads its sentence, the day that a preamble names.  A vague time takes
-    nothing.  Reminders and details of time without a task of their own fill what the task before them lacks.  A bare time already over
-    moves to tomorrow; a task of a past day is dropped.
+    ``now`` is a TIMESTAMP_NTZ column.  A note is repaired and cut into clauses; each task clause gives a title without its date and time,
+    and what it does not say itself comes from the clauses before it (``fold_tasks``).
 
     Null, empty and small-talk notes give no row; at most ``max_tasks`` tasks come from a note, in spoken order, and a task
-    said twice counts once.  Columns of the input that are named as results give way to them.
-    Everything runs as joins-free column expressions and windows over the clauses of one note.
+    said twice counts once.  Notes of any length are read whole.  Rows that repeat stay apart.  Columns of the input that are named as results give way to them.
     """
     keep = [c for c in notes.columns if c.lower() not in RESULT]
-    base = notes.select(F.struct(*keep).alias("source"), F.col(now_col).cast("timestamp_ntz").alias("now"), F.substring(F.col(note_col).cast("string"), 1, MAX_NOTE).alias("note"))
-    rows = note_clauses(base, "note")
-    rows = when.read_when(rows, "clause", "now")
-    today, minute_now = F.to_date("now"), F.hour("now") * 60 + F.minute("now")
-    minute = F.coalesce("time_minute", "date_part")
-    said = F.when(F.col("time_minute").isNotNull() & ~F.col("exact"), F.col("date_part"))
-    rest = when.cut_spans(F.col("tokens"), (F.col("date_start"), F.col("date_size")), (F.col("time_start"), F.col("time_size")))
-    first = F.least(F.coalesce("date_start", "time_start"), F.coalesce("time_start", "date_start"))
-    leads = first.isNotNull() & F.substring(F.col("line"), F.lit(1), first - 1).rlike(r"^[~cls,.O3]*$")
-    rows = when._once(rows, own_minute=minute, own_date=when.small_hours(F.col("date"), minute, said), rest=rest, leads=F.coalesce(leads, F.lit(False)))
-    dated = F.col("own_date").isNotNull() | F.col("own_minute").isNotNull()
-    over = F.coalesce(when.is_over(F.col("own_date"), F.col("own_minute"), today, minute_now), F.lit(False))
-    rows = when._once(rows, kind=clause_kind(F.col("clause"), F.trim("rest"), dated, over), vague=F.lower("clause").rlike(spoken.VAGUE), asked=F.lower("clause").rlike(r"\bremind\b|\bdon't\s+(?:let\s+me\s+)?forget\b"), raw=spoken.clean_title(F.col("rest")), verb=spoken.first_verb(F.trim("rest")), gap=~spoken.opens_with_verb(F.trim("rest")) & F.col("leads"))
-    order = Window.partitionBy("note_row").orderBy("position")
-    run = Window.partitionBy("note_row", "sentence").orderBy("position")
-    before, after = run.rowsBetween(Window.unboundedPreceding, -1), run.rowsBetween(1, Window.unboundedFollowing)
-    # A time that no task follows belongs to the task before it.
-    follows = F.lead("kind").over(order)
-    rows = rows.withColumn("kind", F.when((F.col("kind") == "when") & ~F.coalesce(follows, F.lit("")).isin("task", "when"), "elaboration").otherwise(F.col("kind")))
-    kind, task = F.col("kind"), F.col("kind") == "task"
-    # A date that leads its clause holds for the clauses after it; a counted one ("in 20 minutes") does not.
-    spreads = (task & F.col("leads") & ~F.col("exact") & F.col("own_date").isNotNull()) | (kind.isin("when", "others", "state") & F.col("own_date").isNotNull())
-    anchor = F.when(spreads, F.col("own_date")).when(kind == "day before", None)
-    pair = F.struct("own_date", "own_minute")
-    stated = F.coalesce(F.lag(F.when(kind == "when", pair)).over(order), F.lag(F.when(kind.isin("others", "state"), pair)).over(run))
-    rows = rows.select(
-        "*",
-        F.last(anchor, ignorenulls=True).over(before).alias("run_date"),
-        F.last(F.when(kind == "preamble", F.col("own_date")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("header_date"),
-        stated.alias("stated"),
-        F.first(F.when(kind == "both", F.col("own_date")), ignorenulls=True).over(after).alias("both_date"),
-        # A clause that gives its date or a reminder to the task right before it.
-        F.lead(F.when(kind.isin("remind", "elaboration", "day before"), F.struct("kind", "own_date", "own_minute"))).over(order).alias("added"),
-        F.last(F.when(task & (F.col("verb") != ""), F.col("verb")), ignorenulls=True).over(before).alias("run_verb"),
-    )
-    time_only = F.col("own_date").isNull() & F.col("own_minute").isNotNull()
-    nothing = F.col("own_date").isNull() & F.col("own_minute").isNull()
-    said_date = F.coalesce("run_date", "header_date")
-    fits = F.coalesce(when.is_over(said_date, F.col("own_minute"), today, minute_now), F.lit(False))
-    carried = F.col("joint").isin("and", "then", ",", "..", "so")
-    date = (
-        F.when(F.col("own_date").isNotNull(), F.col("own_date"))
-        .when(F.col("vague"), None)
-        .when(nothing & F.col("stated").isNotNull(), F.coalesce("stated.own_date", when.rolled(F.lit(None).cast("date"), F.col("stated.own_minute"), today, minute_now)))
-        .when(time_only & F.col("stated.own_date").isNotNull(), F.col("stated.own_date"))
-        .when(time_only & ~fits, said_date)
-        .when(nothing & carried & F.col("run_date").isNotNull(), F.col("run_date"))
-        .when(nothing, F.coalesce("both_date", "header_date"))
-    )
-    minute = F.coalesce("own_minute", F.when(nothing & ~F.col("vague"), F.col("stated.own_minute")))
-    rows = when._once(rows, t_date=date, t_minute=minute)
-    fill_date = F.coalesce("t_date", F.when(F.col("added.kind") != "day before", F.col("added.own_date")))
-    fill_minute = F.coalesce("t_minute", F.when((F.col("added.kind") != "day before") & (F.col("t_date").isNull() | F.col("added.own_date").isNull() | (F.col("t_date") == F.col("added.own_date"))), F.col("added.own_minute")))
-    # The day before counts where it is not over yet.
-    earlier = F.coalesce(F.col("added.kind").eqNullSafe("day before") & (F.col("t_date") > today), F.lit(False))
-    final_date = F.when(earlier, F.date_sub("t_date", 1)).otherwise(when.rolled(fill_date, fill_minute, today, minute_now))
-    final_minute = F.when(earlier, F.coalesce("added.own_minute", "t_minute")).otherwise(fill_minute)
-    # "on the 1st pay the rent, on the 2nd the gas bill": the verb is said once.
-    gapped = F.col("gap") & F.col("run_verb").isNotNull() & F.col("joint").isin(",", "and", "then") & F.col("rest").rlike(r"^[\s,]*(?:the|my|our|his|her)\s") & ~F.lower("rest").rlike(rf"\b(?:{'|'.join(spoken.EVENTS)})\b")
-    title = F.when(gapped, F.concat(F.upper(F.substring("run_verb", 1, 1)), F.substring(F.col("run_verb"), F.lit(2), F.lit(99)), F.lit(" "), F.lower(F.substring("raw", 1, 1)), F.substring(F.col("raw"), F.lit(2), F.lit(10_000)))).otherwise(F.col("raw"))
-    out = when._once(rows.where(task), title=normalise_title(title), d=final_date, m=final_minute)
-    # A past day: dropped, unless it is the clock that is over today.
-    out = out.where((F.length("title") > 1) & (F.col("d").isNull() | (F.col("d") >= today)))
-    same = Window.partitionBy("note_row", F.lower("title"), "d", "m").orderBy("position")
-    out = out.withColumn("copy", F.row_number().over(same)).where("copy = 1").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max_tasks)
-    reminder = F.col("m").isNotNull() | F.col("asked") | F.col("added.kind").isin("remind", "day before")
-    return out.select("source.*", F.col("nth").cast("int").alias("position"), "title", F.col("d").alias("date"), F.col("m").cast("int").alias("minute"), F.coalesce(reminder, F.lit(False)).alias("has_reminder"), F.when(F.col("low") & F.col("own_date").isNotNull(), "low").otherwise("high").alias("confidence"))
+    rows = _folded(notes, now_col, note_col, max_tasks)
+    return _shown(rows.select(*keep, F.posexplode("__tasks").alias("__nth", "__t")), keep)
 
 
 def drafts(notes: DataFrame, now_col: str = "now", note_col: str = "note") -> DataFrame:
     """``extract_tasks``, and one row that holds the whole note for each note without a task; notes without text give none.
 
-    ``low_confidence_date`` marks dates that are a guess.
+    ``low_confidence_date`` marks dates that are a guess.  A note and its tasks are one row until the end, so none can be lost or doubled.
     """
     keep = [c for c in notes.columns if c.lower() not in RESULT]
-    marked = notes.select(*keep, F.monotonically_increasing_id().alias("draft_row"))
-    found = extract_tasks(marked, now_col, note_col)
-    whole = normalise_title(F.col(note_col).cast("string"))
-    empty = marked.join(found.select("draft_row").distinct(), "draft_row", "left_anti").where(F.length(whole) > 0)
-    kept = empty.select(*keep, F.lit(1).alias("position"), whole.alias("title"), F.lit(None).cast("date").alias("date"), F.lit(None).cast("int").alias("minute"), F.lit(False).alias("has_reminder"), F.lit("high").alias("confidence"))
-    both = found.select(*keep, *RESULT).unionByName(kept)
-    return both.withColumn("low_confidence_date", (F.col("confidence") == "low") & F.col("date").isNotNull())
+    whole = normalise_title(F.coalesce(F.col(note_col).cast("string"), F.lit("")))
+    alone = F.struct(whole.alias("title"), F.lit(None).cast("date").alias("date"), F.lit(None).cast("int").alias("minute"), F.lit(False).alias("reminder"), F.lit(False).alias("low"), F.lit(False).alias("todo"), F.lit(False).alias("due"))
+    rows = _folded(notes, now_col, note_col, MAX_TASKS)
+    all_ = F.when(F.size("__tasks") > 0, F.col("__tasks")).when(F.length(whole) > 0, F.array(alone)).otherwise(F.array().cast(f"array<{TASK}>"))
+    out = _shown(rows.select(*keep, F.posexplode(all_).alias("__nth", "__t")), keep)
+    return out.withColumn("low_confidence_date", (F.col("confidence") == "low") & F.col("date").isNotNull())
