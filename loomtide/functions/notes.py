@@ -86,7 +86,7 @@ def broken(text: Column) -> Column:
         (rf"(?i)(?:,\s*|\s+)(?:then|after\s+that|before\s+that)\s*,?\s+(?={starts}|to\s)", f"{BREAK}then|"),
         (rf"(?i)\s*,?\s+(?:oh,?\s+)?(?:and|but)\s+(?:also|plus|oh),?\s+", f"{BREAK}also|"),
         (rf"(?i),\s+(?:oh,?\s+)(?:and\s+)?", f"{BREAK}also|"),
-        (rf"(?i)(?:,\s*|\s+)(?:also|plus)\s*,?\s+(?={starts})", f"{BREAK}also|"),
+        (rf"(?i)(?<!\bi)(?<!\bwe)(?:,\s*|\s+)(?:also|plus)\s*,?\s+(?={starts})", f"{BREAK}also|"),
         (rf"(?i),\s+(?:so|but)\s+(?={starts})", f"{BREAK}so|"), (rf"(?i)\s+but\s+(?=(?:{LEAD}){{0,12}}{WHEN})", f"{BREAK}so|"),
         (rf"(?i),\s+and\s+(?={starts})", f"{BREAK}and|"),
         (rf"(?i){trip}\s+and\s+(?!(?:{_VERB})\s+(?:it|them)\s*(?:$|[.,;!?\x01]))(?=(?:{LEAD}){{0,12}}(?:(?:{_VERB})\s+(?!and\b)\w|{WHEN})|(?:{LEAD}){{1,3}})", f"{BREAK}and|"),

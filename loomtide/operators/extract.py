@@ -88,7 +88,7 @@ def clause_facts(part: Column, today: Column, minute_now: Column) -> Column:
             c("joint").alias("joint"), k("kind").alias("kind"), k("title").alias("title"), F.when(k("title") == "", normalise_title(spoken.clean_title(part["text"]))).alias("whole"), c("date").alias("date"), w["minute"].alias("minute"), w["said_date"].alias("said_date"), w["low"].alias("low"),
             (w["exact"] | F.coalesce(w["date_rule"] == "in_amount", F.lit(False))).alias("counted"), c("vague").alias("vague"), asked.alias("asked"), fronted.alias("fronted"), deadline.alias("deadline"), text.rlike(r"[.!?]\s*$").alias("ends"),
             text.rlike(_AWAITS).alias("awaits"), (text.rlike(_MERIDIEM)).alias("meridiem"), text.rlike(r"\b(?:tonight|evening|night)\b").alias("evening"), c("letters").rlike("^[cf,.]*P").alias("statement"), text.rlike(r"^\W*(?:and\W+)?oh\b").alias("afterthought"),
-            c("letters").rlike("^[cf,.]*tV").alias("infinitive"), F.coalesce((told > 0) & (first > told) & (to >= c("last")), F.lit(False)).alias("shares"), days.cast("int").alias("days"), spoken.first_verb(c("rest")).alias("verb"),
+            c("letters").rlike("^[cf,.]*t[Vv]").alias("infinitive"), F.coalesce((told > 0) & (first > told) & (to >= c("last")), F.lit(False)).alias("shares"), days.cast("int").alias("days"), spoken.first_verb(c("rest")).alias("verb"),
             (~spoken.opens_with_verb(c("rest")) & fronted & c("rest").rlike(r"^[\s,]*(?:the|my|our|his|her)\s") & ~F.lower(c("rest")).rlike(rf"\b(?:{'|'.join(spoken.EVENTS)})\b")).alias("gapped"),
             (text.rlike(r"\b(?:due|deadline)\b")).alias("due"), text.rlike(spoken.THING).alias("thing"), text.rlike(r"\b(?:both(?:\s+of\s+them)?|(?:all|each)\s+of\s+(?:them|these)),?\s+(?:on|by|at|in|for|this|next|tomorrow|today|tonight)\b").alias("shared_day")))
 
@@ -98,7 +98,7 @@ def clause_facts(part: Column, today: Column, minute_now: Column) -> Column:
 def kind_of(text: Column, rest: Column, letters: Column, dated: Column, over: Column, earlier: Column, asked: Column) -> Column:
     """What a clause is, by the first test that holds; its dates are cut from ``rest``."""
     bare = F.lower(rest)
-    alone = bare.rlike(r"^\W*(?:(?:and|so|then|or|on|at|by|in|the|of|it's|for|from)\b\W*){0,12}$")
+    alone = bare.rlike(r"^\W*(?:(?:and|so|then|or|on|at|by|in|the|of|for|from)\b\W*){0,12}$")
     past, asked_me = text.rlike(spoken.DONE_BEFORE), text.rlike(r"\basked\s+me\s+to\b")
     return (
         F.when(past & over, "done")

@@ -88,9 +88,9 @@ TASK_NOTES = [
     ("X4", "The plumber is coming tomorrow at 3 pm, so buy a new tap", [("Buy a new tap", "d + 1", "900", True)]), ("X4", "It's very cold today. Buy milk", [("Buy milk", "NULL", "NULL", False)]), ("X5", "My phone is almost dead. Buy milk", [("Buy milk", "NULL", "NULL", False)]),
     ("X6", "Okay, so please remind me to call to my brother tomorrow.", [("Call my brother", "d + 1", "NULL", True)]), ("X7", "I want to learn English every day at 8 am", [("Learn English", "d + 1", "480", True)]), ("X8", "On Tuesday call the bank and buy milk", [("Call the bank", _next(2), "NULL", False), ("Buy milk", _next(2), "NULL", False)]),
     ("X8", "Call the bank on Tuesday, also buy milk", [("Call the bank", _next(2), "NULL", False), ("Buy milk", "NULL", "NULL", False)]), ("X8", "Tomorrow call the bank, and whenever I have time fix the door", [("Call the bank", "d + 1", "NULL", False), ("Fix the door", "NULL", "NULL", False)]),
-    ("X9", "Remind me to water the plants", [("Water the plants", "NULL", "NULL", True)]), ("X10", "Pay the rent on the 25th. Remind me the day before", [("Pay the rent", f"{_nth(25)} - CASE WHEN day(d) = 25 THEN 0 ELSE 1 END", "NULL", True)]), ("X11", "Send the invoice by Friday and remind me on Thursday evening", [("Send the invoice", _next(5), "NULL", True)]),
+    ("X9", "Remind me to water the plants", [("Water the plants", "NULL", "NULL", True)]), ("X10", "Pay the rent on the 25th. Remind me the day before", [("Pay the rent", f"{_nth(25)} - CASE WHEN day(d) IN (24, 25) THEN 0 ELSE 1 END", "NULL", True)]), ("X11", "Send the invoice by Friday and remind me on Thursday evening", [("Send the invoice", _next(5), "NULL", True)]),
     ("X12", "Pay the internet bill, it's due on the 25th", [("Pay the internet bill", _nth(25), "NULL", False)]), ("X13", "I called mom yesterday. Buy milk", [("Buy milk", "NULL", "NULL", False)]), ("X14", "Call the vet and book a table, both on Friday", [("Call the vet", _next(5), "NULL", False), ("Book a table", _next(5), "NULL", False)]),
-    ("X15", "Clean the house last Friday. Buy milk", [("Buy milk", "NULL", "NULL", False)]), ("J7", "Buy milk. Buy milk. Buy milk tomorrow", [("Buy milk", "NULL", "NULL", False), ("Buy milk", "d + 1", "NULL", False)]), ("C2", "Call the bank at 3 pm, no wait, at 4 pm", [("Call the bank", "d", "960", True)]),
+    ("X15", "Clean the house last Friday. Buy milk", [("Clean the house", "NULL", "NULL", False), ("Buy milk", "NULL", "NULL", False)]), ("J7", "Buy milk. Buy milk. Buy milk tomorrow", [("Buy milk", "NULL", "NULL", False), ("Buy milk", "d + 1", "NULL", False)]), ("C2", "Call the bank at 3 pm, no wait, at 4 pm", [("Call the bank", "d", "960", True)]),
     ("C6", "Tomorrow at 9 am. Call the bank", [("Call the bank", "d + 1", "540", True)]), ("C9", "On the 1st pay the rent, on the 2nd the gas bill", [("Pay the rent", _nth(1), "NULL", False), ("Pay the gas bill", _nth(2), "NULL", False)]), ("D7", "On Tuesday at 3 pm call the bank", [("Call the bank", _next(2), "900", True)]),
 ]
 

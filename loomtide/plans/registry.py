@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import civil, text
 from ..operators import entities, extract, groups, reminders, scoring, store
-from . import language
+from . import language, spoken
 from .views import BY_DAY_SQL, EVENTS_TODAY, LABEL_SQL, NOW, ORDER_SQL, TASKS_SQL, TODAY, completions, table, tasks, usage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -340,5 +340,5 @@ def transcript_errors(spark, sf_dir):
     return card.select("role", "clips", F.round("mean_wer", 9).alias("mean_wer"), F.round("pooled_wer", 9).alias("pooled_wer"), "lost", F.col("gained").cast("int").alias("gained"))
 
 
-QUERIES |= language.QUERIES
-SQL |= language.SQL
+QUERIES |= language.QUERIES | spoken.QUERIES
+SQL |= language.SQL | spoken.SQL
