@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import commits
+
 
 def reminder_plan(tasks: DataFrame, held: DataFrame, now: dt.datetime, enabled: bool = True, permitted: bool = True, limit: int = 60, grace_minutes: int = 60) -> DataFrame:
     """Rows ``(action, notification_id, id, at)``.
@@ -39,6 +41,10 @@ def sweep_outcome(plan: DataFrame, enabled: bool = True, permitted: bool = True)
     return plan.agg(F.count_if(F.col("action") == "schedule").alias("scheduled"), F.count_if(F.col("action") == "cancel").alias("cancelled")).withColumn("outcome", F.lit(why))
 
 
-def emit_actions(plan: DataFrame, path: str) -> None:
-    """Write the actions of a sweep as a table, cancels first; the owner of the alarms applies it."""
-    plan.withColumn("turn", F.when(F.col("action") == "cancel", 0).otherwise(1)).orderBy("turn", "at", "notification_id").write.mode("overwrite").parquet(path)
+def emit_actions(plan: DataFrame, path: str, epoch: int) -> bool:
+    """Commit the actions of a sweep for an epoch, once; ``turn`` gives the order in which the owner of the alarms applies them, cancels first.
+
+    An epoch that is there already changes nothing and gives False, so a sweep may be run again after a failure.
+    """
+    order = Window.orderBy(F.col("action") != "cancel", "at", "notification_id")  # a plan is at most the alarms that are held and the limit
+    return commits.commit_once(plan.withColumn("turn", F.row_number().over(order)), path, epoch)

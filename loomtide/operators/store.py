@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_for_search
+from . import commits
+
 
 def task_order() -> list[Column]:
     """Undated last, all-day before timed, then spoken order; the id makes it total."""
@@ -69,17 +71,22 @@ def append_tasks(tasks: DataFrame, new: DataFrame) -> DataFrame:
     return tasks.unionByName(new)
 
 
-def write_snapshot(tasks: DataFrame, path: str) -> None:
-    """Write a snapshot to a folder of its own and commit it by name last; readers see the old one or the new one whole.
+def write_snapshot(tasks: DataFrame, path: str) -> int:
+    """Write a snapshot as the next version of a table; readers see the old one or the new one whole, also when the job fails.
 
-    Spark's committer moves the files of a job together, so a failed job leaves no row; an empty table is written as such.
+    ``tasks`` may be read from the table itself.  Raises ``commits.CommitConflict`` when another writer was first.
     """
-    tasks.write.mode("overwrite").parquet(path)
+    return commits.commit(tasks, path, note="snapshot")
+
+
+def append_rows(tasks: DataFrame, path: str) -> int:
+    """Add rows to a table in one job: all or none."""
+    return commits.commit(tasks, path, append=True, note="append")
 
 
-def append_rows(tasks: DataFrame, path: str) -> None:
-    """Add rows to a table in one job: all or none; no rows change nothing."""
-    tasks.write.mode("append").parquet(path)
+def update_in_place(spark: SparkSession, path: str, changes: DataFrame, key: str = "id", order_by: str | None = None) -> int:
+    """``update_tasks`` on the last version of a table; made again when another writer was first."""
+    return commits.change(spark, path, lambda rows: update_tasks(rows, changes, key, order_by), note="update")
 
 
 def update_tasks(tasks: DataFrame, changes: DataFrame, key: str = "id", order_by: str | None = None) -> DataFrame:

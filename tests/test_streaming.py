@@ -1,4 +1,4 @@
-"""Recordings, sources, and writes of snapshots."""
+"""Recordings, sources, updates and words."""
 
 import datetime as dt
 import json
@@ -32,14 +32,8 @@ def test_sources(spark, tmp_path):
     assert sorted(tuple(r) for r in readers.read_lcov(spark, f"file://{tmp_path}/x.info").collect()) == [("a.dart", 2, 2), ("b.dart", 1, 0)]
 
 
-def test_snapshot_writes(spark, tmp_path):
-    path = f"file://{tmp_path}/snapshot"
-    rows = spark.createDataFrame([(1, "a"), (2, None)], "id int, title string")
-    store.write_snapshot(rows, path)
-    store.append_rows(rows.limit(0), path)
-    store.append_rows(spark.createDataFrame([(3, "c")], "id int, title string"), path)
-    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2, 3]
-    now = spark.read.parquet(path)
+def test_updates_and_slots(spark):
+    now = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "id int, title string")
     changes = spark.createDataFrame([(1, 1, "x"), (1, 2, None), (9, 1, "y"), (None, 1, "z")], "id int, turn int, title string")
     assert sorted((r.id, r.title) for r in store.update_tasks(now, changes, order_by="turn").collect()) == [(1, None), (2, None), (3, "c")]
     assert store.delete_all(now).count() == 0 and store.delete_all(now).columns == now.columns
