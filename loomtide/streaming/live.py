@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.store import change_ticker
 
@@ -31,70 +32,161 @@ def watch(changes: DataFrame, snapshot: Callable[[], DataFrame], emit: Callable[
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def final_transcripts(events: DataFrame, timeout_ms: int = 30_000, keep_ms: int = 600_000) -> DataFrame:
-    """One row per session from (session, seq, kind, text): the final text, or the last partial at done or timeout.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    Kinds are "partial", "final" and "done".  Within a batch events are taken in order of ``seq``; a "done" waits until every
-    event of a lower ``seq`` is there, or for the timeout, so a "final" that arrives later than the "done" after it still counts.
-    A session that is over is remembered for ``keep_ms`` and then forgotten; null texts are empty.
-    """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seq, text, seen, done, over = state.get if state.exists else (-1, "", 0, -1, False)
-        row = lambda outcome: pd.DataFrame({"session": [key[0]], "text": [text], "outcome": [outcome]})
-        if state.hasTimedOut:
+def _with_state(events: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
+    """Stateful rows on event time; the state is kept in RocksDB, which timers need."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return events.groupBy(key).transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+def _millis(times: pd.Series) -> int:
+    return int(pd.Timestamp(times.max()).value // 1_000_000)
+
+
+class _Session(StatefulProcessor):
+    """What a session has said: its events by number, and after its end only that it is over."""
+
+    def __init__(self, timeout_ms: int, keep_ms: int):
+        self.timeout_ms, self.keep_ms = timeout_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.events = handle.getMapState("events", "seq long", "kind string, text string")
+        self.mark = handle.getValueState("mark", "due long, over boolean")
+
+    def _due(self, at: int, over: bool) -> None:
+        """One timer a session: it ends a session that is open, and forgets one that is over."""
+        if self.mark.exists():
+            self.handle.deleteTimer(self.mark.get()[0])
+        self.mark.update((at, over))
+        self.handle.registerTimer(at)
+
+    @staticmethod
+    def _last_partial(events: dict[int, tuple[str, str]], before: int | None) -> str:
+        said = [n for n, (kind, _) in events.items() if kind == "partial" and (before is None or n < before)]
+        return events[max(said)][1] if said else ""
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last = 0
+        over = self.mark.exists() and self.mark.get()[1]
+        for frame in rows:
+            last = max(last, _millis(frame["at"]))
             if not over:
-                yield row("partial" if done >= 0 else "timeout")
-            state.remove()
+                for e in frame.itertuples():
+                    if not self.events.containsKey((e.seq,)):
+                        self.events.updateValue((e.seq,), (e.kind, e.text or ""))
+        if over:
+            return
+        events = {n[0]: tuple(v) for n, v in self.events.iterator()}
+        finals = sorted(n for n, (kind, _) in events.items() if kind == "final")
+        done = min((n for n, (kind, _) in events.items() if kind == "done"), default=None)
+        # A final counts once all before it that could be final are there; a done, once every event before it is.
+        text = outcome = None
+        if finals and all(n in events for n in range(finals[0])):
+            text, outcome = events[finals[0]][1], "final"
+        elif done is not None and not finals and all(n in events for n in range(done)):
+            text, outcome = self._last_partial(events, done), "partial"
+        if outcome is None:
+            self._due(last + self.timeout_ms, False)
             return
-        outcome = ""
-        for event in pd.concat(list(frames)).sort_values("seq").itertuples():
-            if over:
-                break
-            seen += 1
-            if event.kind == "final":
-                text, over, outcome = event.text or "", True, "final"
-            elif event.kind == "done":
-                done = int(event.seq)
-            elif event.seq > seq and (done < 0 or event.seq < done):
-                seq, text = int(event.seq), event.text or ""
-        if not over and 0 <= done < seen:  # events are numbered from 0: all before the done are there
-            over, outcome = True, "partial"
-        state.update((int(seq), text, int(seen), int(done), over))
-        state.setTimeoutDuration(keep_ms if over else timeout_ms)
-        if outcome:
-            yield row(outcome)
-
-    return events.groupBy("session").applyInPandasWithState(step, "session string, text string, outcome string", "seq long, text string, seen long, done long, over boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def committed_windows(pieces: DataFrame, seconds: float = 25.0) -> DataFrame:
-    """(session, window, text) of rows (session, seq, seconds, text): a window's text is committed once it has passed ``seconds``.
-
-    Pieces are taken in order of ``seq``; a piece that comes after a later one was taken is dropped as late.
+        self.events.clear()
+        self._due(last + self.keep_ms, True)
+        yield pd.DataFrame({"session": [key[0]], "text": [text], "outcome": [outcome]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.mark.get()[1]:
+            events = {n[0]: tuple(v) for n, v in self.events.iterator()}
+            finals = sorted(n for n, (kind, _) in events.items() if kind == "final")
+            done = min((n for n, (kind, _) in events.items() if kind == "done"), default=None)
+            text = events[finals[0]][1] if finals else self._last_partial(events, done)
+            yield pd.DataFrame({"session": [key[0]], "text": [text], "outcome": ["final" if finals else "partial" if done is not None else "timeout"]})
+        self.events.clear()
+        self.mark.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def final_transcripts(events: DataFrame, timeout_ms: int = 30_000, keep_ms: int = 600_000) -> DataFrame:
+    """One row per session from (session, seq, kind, text, at): the first final text, or the last partial at done or timeout.
+
+    ``at`` is the event time, under a watermark.  Kinds are "partial", "final" and "done"; events are numbered from 0 in each session.  A final
+    counts once every event before it is there, and a done likewise, so what arrives late but in time changes nothing about the result.  A session
+    without new events for ``timeout_ms`` of event time ends with what it has.  A session that is over is remembered for ``keep_ms``
+    and then forgotten; repeated events count once; null texts are empty.
     """
+    return _with_state(events, "session", _Session(timeout_ms, keep_ms), "session string, text string, outcome string")
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, window, length, text = state.get if state.exists else (-1, 0, 0.0, "")
-        if state.hasTimedOut:
-            if text:
-                yield pd.DataFrame({"session": [key[0]], "window": [window], "text": [text]})
-            state.remove()
-            return
+
+class _Windows(StatefulProcessor):
+    """Pieces that wait for those before them, and the window that is open."""
+
+    def __init__(self, seconds: float, idle_ms: int):
+        self.seconds, self.idle_ms = seconds, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "seq long", "seconds double, text string")
+        self.open = handle.getValueState("open", "next long, window long, length double, text string, due long")
+
+    def _add(self, key, pieces, state):
+        n, window, length, text, _ = state
         out = []
-        for piece in pd.concat(list(frames)).sort_values("seq").itertuples():
-            if piece.seq <= last:
-                continue
-            last, length, text = int(piece.seq), length + piece.seconds, f"{text} {piece.text or ''}".strip()
-            if length > seconds:
+        while n in pieces:
+            seconds, said = pieces.pop(n)
+            self.waiting.removeKey((n,))
+            n, length, text = n + 1, length + seconds, f"{text} {said}".strip()
+            if length > self.seconds:
                 out.append((key[0], window, text))
                 window, length, text = window + 1, 0.0, ""
-        state.update((last, window, length, text))
-        state.setTimeoutDuration(60_000)
+        return out, (n, window, length, text)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state = tuple(self.open.get()) if self.open.exists() else (0, 0, 0.0, "", -1)
+        last = 0
+        for frame in rows:
+            last = max(last, _millis(frame["at"]))
+            for p in frame.itertuples():
+                if p.seq >= state[0] and not self.waiting.containsKey((p.seq,)):
+                    self.waiting.updateValue((p.seq,), (float(p.seconds), p.text or ""))
+        out, now = self._add(key, {n[0]: tuple(v) for n, v in self.waiting.iterator()}, state)
+        if state[4] >= 0:
+            self.handle.deleteTimer(state[4])
+        due = max(last + self.idle_ms, state[4])
+        self.open.update((*now, due))
+        self.handle.registerTimer(due)
         if out:
             yield pd.DataFrame(out, columns=["session", "window", "text"])
 
-    return pieces.groupBy("session").applyInPandasWithState(step, "session string, window long, text string", "last long, window long, length double, text string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        n, window, length, text, _ = tuple(self.open.get())
+        # Pieces whose forerunners never came are taken in their order.
+        pieces, out = dict(sorted((k[0], tuple(v)) for k, v in self.waiting.iterator())), []
+        for seconds, said in pieces.values():
+            length, text = length + seconds, f"{text} {said}".strip()
+            if length > self.seconds:
+                out.append((key[0], window, text))
+                window, length, text = window + 1, 0.0, ""
+        if text:
+            out.append((key[0], window, text))
+        self.waiting.clear()
+        self.open.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["session", "window", "text"])
+
+    def close(self) -> None:
+        pass
+
+
+def committed_windows(pieces: DataFrame, seconds: float = 25.0, idle_ms: int = 60_000) -> DataFrame:
+    """(session, window, text) of rows (session, seq, seconds, text, at): a window's text is committed once it has passed ``seconds``.
+
+    ``at`` is the event time, under a watermark.  Pieces are numbered from 0 and taken in that order, whenever they arrive; repeated ones count
+    once.  After ``idle_ms`` of event time without a piece what is left is committed and the session forgotten.
+    """
+    return _with_state(pieces, "session", _Windows(seconds, idle_ms), "session string, window long, text string")
 
 
 def recordings(sessions: DataFrame, least: float = 0.9, most: float = 60.0) -> DataFrame:
