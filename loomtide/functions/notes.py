@@ -159,7 +159,7 @@ QUESTION = r"^\W*(?:(?:so|and|but|um)\W+){0,8}(?:is|are|was|were|does|did|what|w
 THING = r"^\W*(?:(?:so|and|oh)\W+)?(?:the|its|his|her|my|our|their)\s"
 ELABORATION = rf"^\W*(?:and\W+)?(?:do\s+it|it's|it\s+is|it\s+(?:starts|begins|opens|leaves)|that's|the\s+\w+(?:\s+\w+)?\s+(?:is|starts|begins|leaves|opens)|they\s+(?:start|open)|he\s+is|she\s+is)\s+(?:due\s+|scheduled\s+|moved\s+)?(?:at|on|by|in|from|tomorrow|today|tonight|for)\b"
 DONE_BEFORE = rf"^\W*(?:{'|'.join(PASTS)}|{'|'.join(IRREGULAR)})\b"
-DONE = rf"^\W*(?:(?:so|and)\W+){{0,8}}(?:i|we)\s+(?:already\s+|just\s+)?(?:{'|'.join(IRREGULAR)}|\w+ed)\b"
+DONE = rf"^\W*(?:(?:so|and)\W+){{0,8}}(?:i|we)\s+(?:already\s+|just\s+)?(?:{'|'.join(IRREGULAR)}|(?!need\b)\w+ed)\b"
 ALREADY = r"\balready\b"
 REMIND_ONLY = r"^\W*(?:and\W+)?(?:please\s+)?(?:remind|alert|notify)\s+me(?:\s+(?:about\s+(?:it|that|this)|again))?\W*$"
 DAY_BEFORE = r"\bremind\s+me\s+(?:about\s+(?:it|that)\s+)?(?:the\s+day\s+before|a\s+day\s+(?:before|earlier|ahead))\b"

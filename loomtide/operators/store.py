@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -128,20 +129,20 @@ def prune_usage(usage: DataFrame, today: dt.date, days: int = 90) -> DataFrame:
     return usage.where(F.col("day") >= F.date_sub(F.lit(today), days))
 
 
-def upsert_settings(settings: DataFrame, changes: DataFrame) -> DataFrame:
-    """The last write of each key wins; changes win ties."""
+def upsert_settings(settings: DataFrame, changes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The last write of each key wins; changes win ties.  ``by`` names columns that tell owners of settings apart."""
     both = settings.withColumn("turn", F.lit(0)).unionByName(changes.withColumn("turn", F.lit(1)))
     newest = F.max(F.struct("updated_at", "turn", "value"))
-    return both.groupBy("key").agg(newest.alias("x")).select("key", "x.value", "x.updated_at")
+    return both.groupBy(*by, "key").agg(newest.alias("x")).select(*by, "key", "x.value", "x.updated_at")
 
 
-def seed_settings(settings: DataFrame, defaults: DataFrame) -> DataFrame:
+def seed_settings(settings: DataFrame, defaults: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Defaults for keys that are not there."""
-    return settings.unionByName(defaults.join(settings, "key", "left_anti"))
+    return settings.unionByName(defaults.join(settings, [*by, "key"], "left_anti").select(*settings.columns))
 
 
-def reset_settings(settings: DataFrame, defaults: DataFrame, keep: str = "next_notification_id") -> DataFrame:
-    return seed_settings(settings.where(F.col("key") == keep), defaults)
+def reset_settings(settings: DataFrame, defaults: DataFrame, keep: str = "next_notification_id", by: Sequence[str] = ()) -> DataFrame:
+    return seed_settings(settings.where(F.col("key") == keep), defaults, by)
 
 
 def settings_map(settings: DataFrame) -> DataFrame:

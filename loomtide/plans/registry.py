@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import civil, text
@@ -156,16 +156,17 @@ _WORDS = f"list_distinct(list_transform(list_filter(list_transform(regexp_extrac
 @register(f"""WITH p AS (SELECT a.conv_id, a.turn, {_WORDS.format('a.text')} AS x, {_WORDS.format('b.text')} AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
     SELECT conv_id, turn, CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 9) END AS similarity FROM p""")
 def turn_similarity(spark, sf_dir):
-    # Each turn's words are found once; short arrays are joined, not texts.
+    # Each turn's words are found once, and each turn meets the next by one window over its conversation.
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.array(text.content_words(F.col("text")))).alias("words"))
-    following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("words").alias("reply"))
-    return turns.join(following, ["conv_id", "turn"]).select("conv_id", "turn", F.round(text.set_similarity(F.col("words"), F.col("reply")), 9).alias("similarity"))
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    paired = turns.withColumns({"reply": F.lead("words").over(order), "at": F.lead("turn").over(order)}).where(F.col("at") == F.col("turn") + 1)
+    return paired.select("conv_id", "turn", F.round(text.set_similarity(F.col("words"), F.col("reply")), 9).alias("similarity"))
 
 
-@register("""WITH n AS (SELECT o_orderkey AS id, o_orderkey % 900 + 1 AS customer, CAST(o_orderdate AS DATE) AS d, CAST(8 + o_orderkey % 12 AS INTEGER) AS h FROM orders)
-    SELECT id, 'Call customer ' || customer AS title, CAST(CASE WHEN id % 4 = 0 THEN DATE '1998-08-03' WHEN id % 4 = 1 THEN DATE '1998-08-07' WHEN id % 4 = 2 THEN DATE '1998-08-05' ELSE d END AS DATE) AS date, h * 60 AS minute FROM n WHERE id % 4 < 3 OR d >= DATE '1998-08-02'""")
+@register(f"""WITH n AS (SELECT o_orderkey AS id, o_orderkey % 900 + 1 AS customer, CAST(o_orderdate AS DATE) AS d, CAST(8 + o_orderkey % 12 AS INTEGER) AS h FROM orders)
+    SELECT id, 'Call customer ' || customer AS title, CAST(CASE WHEN id % 4 = 0 THEN DATE '1998-08-03' WHEN id % 4 = 1 THEN DATE '1998-08-07' WHEN id % 4 = 2 THEN DATE '1998-08-05' WHEN d >= DATE '1998-08-02' THEN d WHEN h * 60 < {NOW.hour * 60 + NOW.minute} THEN DATE '1998-08-03' ELSE DATE '1998-08-02' END AS DATE) AS date, h * 60 AS minute FROM n""")
 def extraction_round_trip(spark, sf_dir):
-    """Notes built by templates, extracted again; tasks of past days are dropped."""
+    """Notes built by templates, extracted again; of a day that is gone only the clock counts, the next time it comes round."""
     k, d = F.col("o_orderkey"), F.to_date("o_orderdate")
     h = (k % 12 + 8).cast("int")
     clock = F.concat(((h + 11) % 12 + 1).cast("string"), F.when(h < 12, " am").otherwise(" pm"))
@@ -202,14 +203,20 @@ def snapshot_update(spark, sf_dir):
     return store.delete_tasks(store.update_tasks(all_tasks, first.union(last), order_by="turn"), all_tasks.where("id % 13 = 0"))
 
 
-@register("""WITH d(key, value) AS (VALUES ('next_notification_id', '7'), ('theme', '"dark"'), ('limit', '3')) SELECT key, value FROM d""")
+@register("""WITH c AS (SELECT c_custkey AS owner, c_nationkey AS n, c_custkey % 3 AS k FROM customer)
+    SELECT owner, 'next_notification_id' AS key, CAST(n + 7 AS VARCHAR) AS value FROM c UNION ALL SELECT owner, 'theme', CASE WHEN k = 0 THEN '"dark"' ELSE '"system"' END FROM c UNION ALL SELECT owner, 'limit', CASE WHEN k = 1 THEN '9' ELSE '3' END FROM c""")
 def settings_reset(spark, sf_dir):
-    """Reset keeps the counter and seeds the rest; an upsert follows."""
-    make = lambda rows: spark.createDataFrame(rows, "key string, value string, updated_at timestamp")
-    t = [dt.datetime(2024, 1, d) for d in (1, 2, 3)]
-    now = make([("next_notification_id", "7", t[0]), ("theme", '"light"', t[0]), ("old", "1", t[0])])
-    defaults = make([("next_notification_id", "1", t[1]), ("theme", '"system"', t[1]), ("limit", "3", t[1])])
-    return store.upsert_settings(store.reset_settings(now, defaults), make([("theme", '"dark"', t[2])])).select("key", "value")
+    """Every customer's settings are reset: the counter stays, old keys go, defaults are seeded; then some customers change one of them."""
+    at = lambda day: F.lit(dt.datetime(2024, 1, day)).cast("timestamp")
+    owners = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("owner"), F.col("c_nationkey").alias("n"))
+    row = lambda key, value, day: F.struct(F.lit(key).alias("key"), value.alias("value"), at(day).alias("updated_at"))
+    kept = lambda df, *rows: df.select("owner", F.explode(F.array(*rows)).alias("r")).select("owner", "r.*")
+    now = kept(owners, row("next_notification_id", (F.col("n") + 7).cast("string"), 1), row("theme", F.lit('"light"'), 1), row("old", F.lit("1"), 1))
+    defaults = kept(owners, row("next_notification_id", F.lit("1"), 2), row("theme", F.lit('"system"'), 2), row("limit", F.lit("3"), 2))
+    dark = kept(owners.where("owner % 3 = 0"), row("theme", F.lit('"dark"'), 3))
+    more = kept(owners.where("owner % 3 = 1"), row("limit", F.lit("9"), 3))
+    reset = store.reset_settings(now, defaults, by=["owner"])
+    return store.upsert_settings(reset, dark.union(more), by=["owner"]).select("owner", "key", "value")
 
 
 @register("SELECT conv_id, CAST(turn AS INTEGER) AS sort_order, sha256(CAST(conv_id AS VARCHAR)) AS capture_id FROM conversations")
