@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.store import change_ticker
@@ -203,29 +202,67 @@ def gate_frames(levels: np.ndarray, floor: float) -> tuple[np.ndarray, float]:
     return voiced, float(floor)
 
 
+def _level(pcm: bytes | None) -> float:
+    samples = np.frombuffer(pcm[: len(pcm) // 2 * 2], "<i2") / 32768.0 if pcm else np.zeros(0)
+    return float(np.sqrt(np.mean(samples**2))) if len(samples) else 0.0
+
+
+class _Gate(StatefulProcessor):
+    """The noise floor of a stream, the frame it has come to, and the levels of frames that wait for those before them."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "seq long", "rms double")
+        self.floor = handle.getValueState("floor", "next long, floor double, due long")
+
+    def _judged(self, key, taken: dict[int, float], floor: float) -> tuple[list[pd.DataFrame], float]:
+        if not taken:
+            return [], floor
+        voiced, floor = gate_frames(np.array(list(taken.values())), floor)
+        return [pd.DataFrame({"stream": key[0], "seq": list(taken), "rms": list(taken.values()), "voiced": voiced})], floor
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n, floor, due = tuple(self.floor.get()) if self.floor.exists() else (0, FLOOR_CAP, -1)
+        last = 0
+        for frame in rows:
+            last = max(last, _millis(frame["at"]))
+            for f in frame.itertuples():
+                if f.seq >= n and not self.waiting.containsKey((f.seq,)):
+                    self.waiting.updateValue((f.seq,), (_level(f.pcm),))
+        held, taken = {k[0]: v[0] for k, v in self.waiting.iterator()}, {}
+        while n in held:
+            taken[n] = held[n]
+            self.waiting.removeKey((n,))
+            n += 1
+        out, floor = self._judged(key, taken, floor)
+        if due >= 0:
+            self.handle.deleteTimer(due)
+        due = max(due, last + self.idle_ms)
+        self.floor.update((n, floor, due))
+        self.handle.registerTimer(due)
+        yield from out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = dict(sorted((k[0], v[0]) for k, v in self.waiting.iterator()))
+        out, _ = self._judged(key, held, self.floor.get()[1])
+        self.waiting.clear()
+        self.floor.clear()
+        yield from out
+
+    def close(self) -> None:
+        pass
+
+
 def voice_gate(chunks: DataFrame, idle_ms: int = 60_000) -> DataFrame:
-    """(stream, seq, rms, voiced) of rows (stream, seq, pcm) of 16-bit frames; the floor is kept per stream.
+    """(stream, seq, rms, voiced) of rows (stream, seq, pcm, at) of 16-bit frames; the noise floor is kept per stream.
 
-    Frames are taken in order of ``seq``; one that comes after a later one was taken is dropped, so the floor
-    is never moved by late frames.  A stream that is idle for ``idle_ms`` is forgotten.
+    ``at`` is the event time, under a watermark.  Frames are numbered from 0 and judged in that order, whenever they arrive; repeated ones count once, and a null
+    or empty frame is silence.  A stream without a frame for ``idle_ms`` of event time is forgotten, and frames whose forerunners never came are judged then.
     """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        floor, last = state.get if state.exists else (FLOOR_CAP, -1)
-        rows = pd.concat(list(frames)).sort_values("seq").drop_duplicates("seq")
-        rows = rows[rows["seq"] > last]
-        if len(rows):
-            levels = np.array([np.sqrt(np.mean((np.frombuffer(p[: len(p) // 2 * 2], "<i2") / 32768.0) ** 2)) if p is not None and len(p) > 1 else 0.0 for p in rows["pcm"]])
-            voiced, floor = gate_frames(levels, floor)
-            last = int(rows["seq"].max())
-            yield pd.DataFrame({"stream": key[0], "seq": rows["seq"].to_numpy(), "rms": levels, "voiced": voiced})
-        state.update((float(floor), int(last)))
-        state.setTimeoutDuration(idle_ms)
-
-    return chunks.groupBy("stream").applyInPandasWithState(step, "stream string, seq long, rms double, voiced boolean", "floor double, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return _with_state(chunks, "stream", _Gate(idle_ms), "stream string, seq long, rms double, voiced boolean")
 
 
 def level_ring(levels: DataFrame, bars: int = 32) -> DataFrame:
