@@ -39,7 +39,7 @@ def _chain(text: Column, rules: list[tuple[str, str]]) -> Column:
 def normalise(text: Column) -> Column:
     """A transcript without quotes, brackets, hesitations and slips of the recogniser."""
     plain = strip_non_speech(F.translate(text, "“”„«»\"‘’", "\0\0\0\0\0\0''"))
-    past = [(rf"(?i)(^|[.!?]\s+|,\s+(?:and\s+)?(?:then\s+)?){a}\s+(?=(?:my|the|our|his|her|an?|[\p{{L}}]+)\b[^.!?,]*\b(?:tomorrow|tonight|next\s|at\s+\d|on\s+(?:{_DAYS})))", f"$1{b} ") for a, b in PASTS.items()]
+    past = [(rf"(?i)(^|[.!?]\s+|,\s+(?:and\s+)?(?:then\s+)?){a}\s+(?![^.!?]*\b(?:yesterday|ago|already|last\s+\w+|earlier)\b)(?=(?:my|the|our|his|her|an?|[\p{{L}}]+)\b[^.!?,]*\b(?:tomorrow|tonight|next\s|at\s+\d|on\s+(?:{_DAYS})))", f"$1{b} ") for a, b in PASTS.items()]
     rules = [
         ("\0", ""), (r"\s+", " "), (r"\s+([,.;:!?])", "$1"),
         (r"\b([apAP])\.\s?[mM]\.(?=\s+(?!I\b)[A-Z]|\s*$)", "$1m."), (r"\b([apAP])\.\s?[mM]\.", "$1m"),
@@ -56,7 +56,7 @@ def normalise(text: Column) -> Column:
         # A missing stop before a verb that is written as the first word of a sentence.
         (rf"(?<=[a-z0-9])\s+(?=(?:{'|'.join(v.capitalize() for v in VERBS)})\s+(?:the|my|a|an|some|for|to|[A-Z])\b)", ". "),
     ]
-    return F.trim(_chain(plain, rules))
+    return F.trim(with_list_commas(_chain(plain, rules)))
 
 
 def corrected(text: Column) -> Column:
@@ -186,9 +186,36 @@ _TITLE = [
 ]
 
 
-def clean_title(text: Column, rounds: int = 2) -> Column:
-    """A clause as a title (X6): leads, fillers, subjects and loose ends go, round after round; first letter in upper case, at most 200 units; empty without a letter or digit."""
-    out = text
-    for _i in range(rounds):
-        out = F.trim(_chain(out, _TITLE))
-    return F.when(out.rlike(r"[\p{L}\p{N}]"), F.concat(F.upper(F.substring(out, 1, 1)), F.substring(out, F.lit(2), F.length(out)))).otherwise("")
+def clean_title(text: Column) -> Column:
+    """A clause as a title (X6): leads, fillers, subjects and loose ends go, again and again until nothing changes.
+
+    A round that changes a text makes it shorter, or puts one form for another that no rule fits, so there are at most as many rounds as characters.
+    First letter in upper case; empty without a letter or digit.  A title is its own title.
+    """
+    start = F.struct(F.trim(text).alias("now"), F.lit(False).alias("still"))
+    step = lambda acc, _: F.when(acc["still"], acc).otherwise(let(F.trim(_chain(acc["now"], _TITLE)), lambda new: F.struct(new.alias("now"), (new == acc["now"]).alias("still"))))
+    settled = F.aggregate(F.sequence(F.lit(0), F.length(text)), start, step, lambda acc: acc["now"])
+    return let(settled, lambda out: F.when(out.rlike(r"[\p{L}\p{N}]"), F.concat(F.upper(F.substring(out, 1, 1)), F.substring(out, F.lit(2), F.length(out)))).otherwise(""))
+
+
+_ASKS = "ask|tell|remind|get|let|help|teach|invite"
+_MODAL = "have|has|had|need|needs|want|wants|going|got|ought|used|able|how|order|as|me|us"
+
+
+def with_list_commas(text: Column) -> Column:
+    """Sentences "to A to B and to C" with the commas that were not spoken.
+
+    Three verbs at least follow a "to", the last after "and", with no comma between the first and the last.  The middle one of three gets its comma only with
+    a day or a time of its own, since it may be the purpose of the first; of four or more all do.  What somebody is asked to do is no item, nor is what follows "need" or "going".
+    """
+    to = rf"\bto\s+(?:{_VERB})\b"
+    plain = r"(?:(?!\bto\b)[^,.;!?])*?"
+    timed = rf"(?=(?:(?!\bto\b)[^,.;!?])*?\b(?:at\s+\d|at\s+(?:{_SMALL})|tomorrow|today|tonight|(?:on|by|next)\s+(?:{_DAYS})|noon)\b)"
+    # The item before must not be one that asks somebody, and no modal may stand before the "to".
+    gap = rf"(?<!\b(?:{_MODAL}|and))\s+"
+    four = rf"(?i)({to}(?<!\b(?:{_ASKS})){plain}){gap}(?=to\s+(?:{_VERB})\b{plain}\s(?:and\s+)?to\s+(?:{_VERB})\b{plain}(?:\sto\s+(?:{_VERB})\b{plain})*?\sand\s+to\s+(?:{_VERB})\b)"
+    five = rf"(?i)(,\s+{to}(?<!\b(?:{_ASKS})){plain}){gap}(?=to\s+(?:{_VERB})\b{plain}\sand\s+to\s+(?:{_VERB})\b)"
+    three = rf"(?i)(^[^,.;!?]*?{to}(?<!\b(?:{_ASKS})){plain}){gap}(?=to\s+(?:{_VERB})\b{timed}{plain}\sand\s+to\s+(?:{_VERB})\b)"
+    sentences = F.regexp_extract_all(text, F.lit(r"([^.!?]+[.!?]*\s*|[.!?]+\s*)"), F.lit(1))
+    listed = lambda s: F.when(s.rlike(rf"(?i)({to}).*({to}).*\band\s+({to})"), _chain(s, [(four, "$1, "), (five, "$1, "), (three, "$1, ")])).otherwise(s)
+    return F.when(F.size(sentences) > 0, F.array_join(F.transform(sentences, listed), "")).otherwise(text)

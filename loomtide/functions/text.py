@@ -87,18 +87,6 @@ def word_error_rate(reference: Column, hypothesis: Column) -> Column:
     return F.when(n == 0, F.when(F.size(hypothesis) == 0, 0.0).otherwise(1.0)).otherwise(word_edits(reference, hypothesis) / F.when(n == 0, 1).otherwise(n))
 
 
-# Number words that a transcript may write as digits.
-NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve".split()
-
-
-def wer_tokens(text: Column) -> Column:
-    """Words for counting errors: lower case without punctuation, numbers as digits, full hours without minutes, and "p.m." as "pm"."""
-    out = F.lower(F.translate(text, "‘’", "''"))
-    for pattern, to in ((r"\b([ap])\.?\s?m\b\.?", "$1m"), (r"(\d)(?=[ap]m\b)", "$1 "), (r"\b(\d{1,2}):00\b", "$1"), *((rf"\b{w}\b", str(i)) for i, w in enumerate(NUMBER_WORDS)), (r"[^a-z0-9':\s]+", " ")):
-        out = F.regexp_replace(out, pattern, to)
-    return F.filter(F.split(out, r"\s+"), lambda w: w != "")
-
-
 def word_before(text: Column, at: Column) -> Column:
     """The word that ends before an offset (from 0), or empty."""
     return F.regexp_extract(F.substring(text, F.lit(1), at), r"([A-Za-z0-9'\x{80}-\x{10FFFF}]+)[^A-Za-z0-9'\x{80}-\x{10FFFF}]*$", 1)

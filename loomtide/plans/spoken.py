@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import notes as spoken
-from ..functions import when
+from ..functions import numerals, when
 from ..functions.when import MONTHS, WEEKDAYS
 from ..operators import extract
 from .language import _MINUTE_NOW, _quoted
@@ -157,6 +157,65 @@ def clause_kinds(spark, sf_dir):
     return facts.select("id", "rule", F.col("f.kind").alias("kind"))
 
 
+#: (guard, said, normalised)
+GUARDS = [
+    ("N5 four", "I need to call Anna to buy {k} eggs to wash the car and to pay the rent", "I need to call Anna, to buy {k} eggs, to wash the car and to pay the rent"), ("N5 middle timed", "Remember to call Anna to buy milk on {w} and to pay the rent", "Remember to call Anna, to buy milk on {w} and to pay the rent"),
+    ("N5 purpose", "I want to call Anna to ask about {k} tickets and to buy a gift", "I want to call Anna to ask about {k} tickets and to buy a gift"), ("N5 two", "I need to call Anna and to buy {k} eggs", "I need to call Anna and to buy {k} eggs"),
+    ("N5 commas", "to go to the bank to pay the bill, to call Anna and to buy {k} eggs", "to go to the bank to pay the bill, to call Anna and to buy {k} eggs"), ("N5 asked", "Remind me to ask Timur to call me at {h} and to send the photos", "Remind me to ask Timur to call me at {h} and to send the photos"),
+    ("N4 order", "Called Anna tomorrow at {h}", "call Anna tomorrow at {h}"), ("N4 done", "Called Anna yesterday at {h}", "Called Anna yesterday at {h}"), ("N4 no object", "Called, then left at {h}", "Called, then left at {h}"), ("N4 buy", "By the {k} cakes", "buy the {k} cakes"), ("N4 by the end", "By the end of the week pay {k} bills", "By the end of the week pay {k} bills"),
+]
+
+#: Leads that a title loses, however many stand before it.
+LEADS = ["so", "okay", "please", "and", "then", "also", "I need to", "remind me to", "don't forget to", "we have to", "I also want to", "maybe"]
+#: (form, number in words as SQL text of n) is made of these parts in both engines.
+_ONES = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen"]
+_TENS = ["", "", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
+
+
+def guarded_notes(spark, sf_dir):
+    """Rewrites of transcripts, each with a phrase that passes and one that is refused."""
+    return _noted(spark, sf_dir, GUARDS).select("id", "rule", spoken.normalise(F.col("note")).alias("text"))
+
+
+def title_fixed_point(spark, sf_dir):
+    """One to twelve leads before a title go in as many rounds as it takes, and a title is its own title."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    leads = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("id") % 12).cast("int")), lambda k: F.element_at(F.array(*(F.lit(x) for x in LEADS)), ((F.col("id") + k * 5) % 12 + 1).cast("int"))), " ")
+    said = F.concat(leads, F.lit(" call customer "), (F.col("id") % 900 + 1).cast("string"), F.lit(" , please"))
+    titled = when._once(rows.repartition(spark.sparkContext.defaultParallelism), title=spoken.clean_title(said))
+    return titled.select("id", "title", (spoken.clean_title(F.col("title")) == F.col("title")).alias("same"))
+
+
+def _below_hundred(n: Column) -> Column:
+    pick = lambda values, k: F.element_at(F.array(*(F.lit(x) for x in values)), k.cast("int"))
+    ten = pick(_TENS, F.floor(n / 10) + 1)
+    return F.when(n == 0, None).when(n < 20, pick(_ONES, F.greatest(n, F.lit(1)))).when(n % 10 == 0, ten).otherwise(F.concat(ten, F.when(n % 2 == 0, "-").otherwise(" "), pick(_ONES, F.greatest(n % 10, F.lit(1)))))
+
+
+def spelt_numbers(spark, sf_dir):
+    """numbers to 9,999 in words, with and without "and" and hyphens, as digits."""
+    n = (F.col("id") % 9999 + 1).cast("int")
+    rest = _below_hundred(n % 100)
+    high = F.concat_ws(" ", F.when(n >= 1000, F.concat(_below_hundred(F.floor(n / 1000)), F.lit(" thousand"))), F.when(F.floor(n / 100) % 10 > 0, F.concat(_below_hundred(F.floor(n / 100) % 10), F.lit(" hundred"))))
+    joint = F.when((high != "") & rest.isNotNull() & (F.col("id") % 3 == 0), "and")
+    said = F.concat_ws(" ", F.lit("Order"), F.when(high != "", high), joint, rest, F.lit("of them"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).repartition(spark.sparkContext.defaultParallelism)
+    return rows.select("id", F.array_join(numerals.wer_tokens(said), " ").alias("text"))
+
+
+def spelt_clocks(spark, sf_dir):
+    """every minute of the day in six spellings, in one form."""
+    m, style = (F.col("id") % 1440).cast("int"), (F.floor(F.col("id") / 7) % 6).cast("int")
+    hour, minute = (F.floor(m / 60) + 11) % 12 + 1, m % 60
+    half, dotted = F.when(m < 720, "am").otherwise("pm"), F.when(m < 720, "a.m.").otherwise("p.m.")
+    digits = lambda mark: F.concat(hour.cast("string"), F.lit(mark), F.lpad(minute.cast("string"), 2, "0"))
+    spoken_minute = F.when(minute == 0, F.when(style == 4, "o'clock")).when(minute < 10, F.concat(F.lit("oh "), _below_hundred(minute))).otherwise(_below_hundred(minute))
+    words = F.concat_ws(" ", _below_hundred(hour), spoken_minute, half)
+    said = F.when(style == 0, F.concat(digits(":"), F.lit(" "), half)).when(style == 2, F.concat(digits("."), half)).when(style == 3, F.concat(digits(""), F.lit(" "), F.upper(half))).when(style == 5, F.concat(digits(":"), F.lit(" "), dotted)).otherwise(words)
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).repartition(spark.sparkContext.defaultParallelism)
+    return rows.select("id", F.array_join(numerals.wer_tokens(F.concat(F.lit("Call at "), said)), " ").alias("text"))
+
+
 def _rows_sql(rows: list[tuple], columns: str, shape) -> str:
     parts = [f"SELECT id, {_quoted(rule)} AS rule, CAST({k} AS INTEGER) AS position, {shape(task)} FROM o WHERE kind = {i}" for i, (rule, _, tasks) in enumerate(rows) for k, task in enumerate(tasks, 1)]
     return f"WITH o AS {_FOUND.format(n=len(rows))} SELECT {columns} FROM ({' UNION ALL '.join(parts)})"
@@ -166,11 +225,15 @@ def _rule(rows: list[tuple]) -> str:
     return _cases([_quoted(r[0]) for r in rows])
 
 
-QUERIES = {f.__name__: f for f in (corrected_notes, when_spans, carried_days, topic_notes, clause_kinds)}
+QUERIES = {f.__name__: f for f in (corrected_notes, when_spans, carried_days, topic_notes, clause_kinds, guarded_notes, title_fixed_point, spelt_numbers, spelt_clocks)}
 SQL = {
     "corrected_notes": f"SELECT id, {_rule(CORRECTIONS)} AS rule, {_cases([_sql_text(r[2]) for r in CORRECTIONS])} AS text FROM {_FOUND.format(n=len(CORRECTIONS))}",
     "when_spans": f"SELECT id, {_rule(SEVERAL)} AS rule, CAST({_cases([r[2] for r in SEVERAL])} AS DATE) AS date, CAST({_cases([r[3] for r in SEVERAL])} AS INTEGER) AS minute, {_cases([_sql_text(r[4]) for r in SEVERAL])} AS rest, CAST({_cases([str(r[5]) for r in SEVERAL])} AS INTEGER) AS spans FROM {_FOUND.format(n=len(SEVERAL))}",
     "carried_days": _rows_sql(CARRIED, "*", lambda t: f"{_quoted(t[0])} AS title, CAST({t[1]} AS DATE) AS date, CAST({t[2]} AS INTEGER) AS minute, {t[3]} AS has_reminder"),
     "topic_notes": _rows_sql(TOPICS, "*", lambda t: f"{_quoted(t[0])} AS title, CAST({t[1]} AS DATE) AS date"),
     "clause_kinds": f"SELECT id, {_rule(KINDS)} AS rule, {_cases([_quoted(r[2]) for r in KINDS])} AS kind FROM {_FOUND.format(n=len(KINDS))}",
+    "guarded_notes": f"SELECT id, {_rule(GUARDS)} AS rule, {_cases([_sql_text(r[2]) for r in GUARDS])} AS text FROM {_FOUND.format(n=len(GUARDS))}",
+    "title_fixed_point": "SELECT o_orderkey AS id, 'Call customer ' || (o_orderkey % 900 + 1) AS title, TRUE AS same FROM orders",
+    "spelt_numbers": "SELECT o_orderkey AS id, 'order ' || (o_orderkey % 9999 + 1) || ' of them' AS text FROM orders",
+    "spelt_clocks": "SELECT id, concat_ws(' ', 'call at', CAST((m // 60 + 11) % 12 + 1 AS VARCHAR), CASE WHEN m % 60 > 0 THEN CAST(m % 60 AS VARCHAR) END, CASE WHEN m < 720 THEN 'am' ELSE 'pm' END) AS text FROM (SELECT o_orderkey AS id, o_orderkey % 1440 AS m FROM orders)",
 }

@@ -7,7 +7,7 @@ import struct
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomtide.functions import text
+from loomtide.functions import numerals, text
 from loomtide.operators import entities, store
 from loomtide.sources import readers
 from loomtide.streaming import live
@@ -42,5 +42,5 @@ def test_updates_and_slots(spark):
 
 
 def test_words_and_tokens(spark):
-    row = spark.range(1).select(text.wer_tokens(F.lit("Call at 3 p.m., three PM; at 3:00.")).alias("t"), text.word_before(F.lit("buy the 3rd, edition"), F.lit(12)).alias("b"), text.word_after(F.lit("buy the 3rd, edition"), F.lit(11)).alias("a")).first()
+    row = spark.range(1).select(numerals.wer_tokens(F.lit("Call at 3 p.m., three PM; at 3:00.")).alias("t"), text.word_before(F.lit("buy the 3rd, edition"), F.lit(12)).alias("b"), text.word_after(F.lit("buy the 3rd, edition"), F.lit(11)).alias("a")).first()
     assert row.t == ["call", "at", "3", "pm", "3", "pm", "at", "3"] and (row.b, row.a) == ("3rd", "edition")
