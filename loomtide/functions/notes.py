@@ -46,7 +46,7 @@ def normalise(text: Column) -> Column:
         # A sentence that opens with "I'm" as a hesitation, and words that the recogniser makes of others.
         (r"(?i)(^|[.!?]\s+)I'm,?\s+(?=(?:okay|ok|alright)(?:,|\s+so\b|$)|(?:i|we)\s|(?:what|um+|uh+)\b|so,|(?:today|tomorrow|tonight)(?:,|\s+(?:i|we)\b))", "$1"),
         (r"(?i)(^|[.!?]\s+)on\s+(?=ok(?:ay)?\b)", "$1"), (r"(?i)\bunremind\b", "remind"),
-        (rf"(?i)(^|[^\d\s]\s*)\b(?:{SOUNDS})\b(?!'),?(?=\s|$|[.!?])\s*", "$1"), (r"^\s*[,.]\s*", ""), (r"([.!?])\s*[,.]+", "$1"), (r"(?i)\b(to|so|the|a|my),\s+(?=\w)", "$1 "),
+        (rf"(?i)(?<!\d\s?)\b(?:{SOUNDS})\b(?!'),?(?=\s|$|[.!?])\s*", ""), (r"^\s*[,.]\s*", ""), (r"([.!?])\s*[,.]+", "$1"), (r"(?i)\b(to|so|the|a|my),\s+(?=\w)", "$1 "),
         # Clock forms.
         (rf"(?i)\ba\s+(\d{{1,2}})\s+(?=(?:{_EVENT})\b)", "at $1 "), (r"(?i)(?<=^|\bat\s|\bby\s|,\s|\band\s)(\d{1,2})([0-5]\d)(?=\s+(?:in\s+the\s+(?:morning|afternoon|evening)|at\s+night)\b)", "$1:$2"), (r"(?i)\bat\s+(\d{1,2})\.0\b(?!\d)", "at $1"), (r"\b(\d{1,2})\s+0\s+0\b", "$1:00"),
         (r"\b(Dr|Mr|Mrs|Ms|St|No|vs|etc)\.\s", "$1 "),
