@@ -79,6 +79,18 @@ def task_meta(day: Column, minute: Column, today: Column) -> Column:
     return F.concat_ws(", ", day_label(day, today), F.when(day.isNotNull() & minute.isNotNull(), clock_label(minute)))
 
 
+def tile_time(day: Column, minute: Column, today: Column) -> Column:
+    """What stands beside a task in a group: its clock, or its day where it is late."""
+    return F.when(day < today, task_meta(day, minute, today)).when(minute.isNotNull(), clock_label(minute)).otherwise("")
+
+
+def group_header(label: Column, first_date: Column, today: Column) -> Column:
+    """The title of a group of ``groups.group_headers``: Today, Tomorrow, a weekday, Next week, Later."""
+    return (
+        F.when(label == "today", "Today").when(label == "tomorrow", "Tomorrow").when(label == "weekday", F.date_format(first_date, WEEKDAY_NAMES)).when(label == "nextWeek", "Next week").when(label == "later", "Later")
+    )
+
+
 def greeting(minute: Column) -> Column:
     """Before noon, before 18:00, later."""
     return F.when(minute < 720, "Good morning").when(minute < 1080, "Good afternoon").otherwise("Good evening")
@@ -100,10 +112,15 @@ def is_pro(state: Column) -> Column:
 
 
 def find_task(tasks: DataFrame, task_id) -> DataFrame:
-    """The row of an id, or none; on a stream of snapshots the same filter keeps following it."""
+    """The row of an id, or none (S3)."""
     return tasks.where(F.col("id") == F.lit(task_id))
 
 
+def follow_task(changes: DataFrame, task_id) -> DataFrame:
+    """What a stream of changes (``streaming.views.CHANGE``) makes of one task: its new state after each change, null once it is gone."""
+    return changes.where(F.col("id") == F.lit(str(task_id))).select("id", "new")
+
+
 def usage_day(usage: DataFrame, day: dt.date) -> DataFrame:
     """The usage row of a day; zeros where there is none."""
     one = usage.where(F.col("day") == F.lit(day)).agg(F.coalesce(F.sum("capture_count"), F.lit(0)).cast("long").alias("capture_count"), F.coalesce(F.sum("task_count"), F.lit(0)).cast("long").alias("task_count"))
@@ -113,10 +130,15 @@ def usage_day(usage: DataFrame, day: dt.date) -> DataFrame:
 def group_by_date(tasks: DataFrame) -> DataFrame:
     """Members of each due day in list order, as positions in the group; undated tasks have no group.
 
-    A day may hold any number of tasks, so members stay rows and are numbered, not gathered in one array.
+    A day may hold any number of tasks, so members stay rows.  The place of a row is the number of its day's rows with an earlier minute or spoken
+    place, from counts by (day, minute, spoken place), and its place among those that share all three; so no task numbers a whole day.
     """
-    order = Window.partitionBy("due_date").orderBy(F.col("due_minute_of_day").asc_nulls_first(), "sort_order", "id")
-    return tasks.where(F.col("due_date").isNotNull()).withColumn("place", F.row_number().over(order))
+    dated = tasks.where(F.col("due_date").isNotNull()).withColumn("__minute", F.coalesce("due_minute_of_day", F.lit(-1)))
+    keys = ["due_date", "__minute", "sort_order"]
+    sizes = dated.groupBy(*keys).agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.partitionBy("due_date").orderBy("__minute", "sort_order")) - F.col("__n")).drop("__n")
+    within = F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
+    return dated.join(before, keys).withColumn("place", (F.col("__before") + within).cast("int")).select(*tasks.columns, "place")
 
 
 def unique_captures(tasks: DataFrame) -> DataFrame:

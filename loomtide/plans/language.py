@@ -38,6 +38,10 @@ def _md(month: int, day: int) -> str:
 
 _LAST_FRIDAY = "d - CAST(CASE WHEN (isodow(d) - 5 + 7) % 7 = 0 THEN 7 ELSE (isodow(d) - 5 + 7) % 7 END AS INTEGER)"
 
+_FIFTH = lambda k: f"(CAST(date_trunc('month', d) + INTERVAL {k} MONTH AS DATE) + 4)"
+#: The 5th of this month or the next that is a Tuesday, else the next 5th.
+_AGREED = f"CASE WHEN isodow({_FIFTH(0)}) = 2 AND {_FIFTH(0)} >= d THEN {_FIFTH(0)} WHEN isodow({_FIFTH(1)}) = 2 THEN {_FIFTH(1)} ELSE {_nth(5)} END"
+
 #: (rule, phrase, date in SQL of the day d, minute or NULL)
 DATE_PHRASES = [
     ("DT1", "the day after tomorrow", "d + 2", "NULL"), ("DT2", "the day before yesterday", "d - 2", "NULL"), ("DT3", "tomorrow", "d + 1", "NULL"), ("DT3", "tomorrow morning", "d + 1", "540"),
@@ -50,14 +54,14 @@ DATE_PHRASES = [
     ("DT19", "2031-04-05", "DATE '2031-04-05'", "NULL"), ("DT20", "on 10/5", _md(10, 5), "NULL"), ("DT20", "on 10/5/31", "DATE '2031-10-05'", "NULL"), ("DT21", "October 5th", _md(10, 5), "NULL"), ("DT21", "on October 5, 2031", "DATE '2031-10-05'", "NULL"),
     ("DT22", "on the 5th of October", _md(10, 5), "NULL"), ("DT22", "5 October 2031", "DATE '2031-10-05'", "NULL"), ("DT23", "the first of October", _md(10, 1), "NULL"), ("DT23", "the fifth of October, 2031", "DATE '2031-10-05'", "NULL"),
     ("DT24", "on October twenty first", _md(10, 21), "NULL"), ("DT25", "Thursday, October fifteenth", _md(10, 15), "NULL"), ("DT26", "on the 25th", _nth(25), "NULL"), ("DT26", "the 31st", _nth(31), "NULL"), ("DT27", "by 12th", _nth(12), "NULL"),
-    ("DT29", "on the fifth", _nth(5), "NULL"), ("DT29", "by the thirtieth", _nth(30), "NULL"), ("DT30", "in October", "CASE WHEN month(d) = 10 THEN d WHEN month(d) < 10 THEN make_date(year(d), 10, 1) ELSE make_date(year(d) + 1, 10, 1) END", "NULL"),
+    ("DT28", "on Tuesday the 5th", _AGREED, "NULL"), ("DT29", "on the fifth", _nth(5), "NULL"), ("DT29", "by the thirtieth", _nth(30), "NULL"), ("DT30", "in October", "CASE WHEN month(d) = 10 THEN d WHEN month(d) < 10 THEN make_date(year(d), 10, 1) ELSE make_date(year(d) + 1, 10, 1) END", "NULL"),
 ]
 
 #: (rule, phrase, minute)
 TIME_PHRASES = [
     ("TM1", "between 3 and 5 pm", 900), ("TM1", "between 9 and 11 in the morning", 540), ("TM1", "between 11 and 1 pm", 660), ("TM2", "in the evening at 7", 1140), ("TM2", "at night around nine thirty", 1290), ("TM3", "at 7:30 in the morning", 450), ("TM3", "at 11 at night", 1380),
     ("TM4", "at 3 pm", 900), ("TM4", "3:30 p.m.", 930), ("TM4", "at 12 am", 0), ("TM5", "at 330pm", 930), ("TM6", "at a quarter past three", 915), ("TM6", "at half past nine", 570), ("TM6", "at ten to three", 890), ("TM7", "at 15:30", 930), ("TM7", "at 5:45", 1065), ("TM7", "at 05:45", 345),
-    ("TM8", "at 4.30", 990), ("TM9", "at 1530", 930), ("TM10", "5 o'clock", 1020), ("TM11", "at 12 noon", 720), ("TM11", "at twelve midnight", 0), ("TM12", "at 5", 1020), ("TM12", "at 11", 660), ("TM14", "at five thirty", 1050), ("TM14", "at eight forty five", 525), ("TM15", "at noon", 720), ("TM16", "in the afternoon", 840), ("TM16", "at night", 1200),
+    ("TM8", "at 4.30", 990), ("TM9", "at 1530", 930), ("TM10", "5 o'clock", 1020), ("TM11", "at 12 noon", 720), ("TM11", "at twelve midnight", 0), ("TM12", "at 5", 1020), ("TM12", "at 11", 660), ("TM13", "by 5", 1020), ("TM14", "at five thirty", 1050), ("TM14", "at eight forty five", 525), ("TM15", "at noon", 720), ("TM16", "in the afternoon", 840), ("TM16", "at night", 1200),
 ]
 
 #: (rule, phrase, date in SQL, minute, rest)

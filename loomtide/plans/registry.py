@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import civil, numerals, text
 from ..operators import entities, extract, groups, reminders, scoring, store
+from ..streaming import views
 from . import language, spoken
 from .views import BY_DAY_SQL, EVENTS_TODAY, LABEL_SQL, NOW, ORDER_SQL, TASKS_SQL, TODAY, completions, table, tasks, usage
 
@@ -307,6 +308,27 @@ def due_groups(spark, sf_dir):
     return entities.group_by_date(tasks(spark, sf_dir)).select("due_date", "id", "place")
 
 
+@register(f"""WITH {TASKS_SQL}, h AS (SELECT {LABEL_SQL} AS label, min(due_date) AS first_date, count(*) AS n_tasks FROM tasks_v WHERE NOT completed AND due_date > DATE '1998-08-02' GROUP BY 1, CASE WHEN {LABEL_SQL} IN ('today', 'nextWeek', 'later') THEN NULL ELSE due_date END)
+    SELECT CASE label WHEN 'today' THEN 'Today' WHEN 'tomorrow' THEN 'Tomorrow' WHEN 'weekday' THEN dayname(first_date) WHEN 'nextWeek' THEN 'Next week' ELSE 'Later' END AS header, n_tasks FROM h""")
+def header_titles(spark, sf_dir):
+    """The headers of all upcoming tasks as the app shows them."""
+    found = groups.group_headers(tasks(spark, sf_dir).where(~F.col("completed") & (F.col("due_date") > F.lit(TODAY))), TODAY)
+    return found.select(entities.group_header(F.col("label"), F.col("first_date"), F.lit(TODAY)).alias("header"), "n_tasks")
+
+
+@register(f"""WITH {TASKS_SQL}, n AS (SELECT id, completed, due_date, CASE WHEN id % 5 = 0 THEN NOT completed ELSE completed END AS now_done, CASE WHEN id % 7 = 0 THEN due_date + 1 ELSE due_date END AS now_due FROM tasks_v WHERE id % 11 <> 0)
+    SELECT count(*) FILTER (NOT now_done) AS open_count, count(*) FILTER (now_done) AS completed_count, count(DISTINCT now_due) FILTER (NOT now_done) AS due_days FROM n""")
+def maintained_totals(spark, sf_dir):
+    """Counts of the views after two batches of changes (the table, then updates and deletes), kept by deltas."""
+    at = lambda df: df.withColumn("completed_at", F.lit(None).cast("timestamp"))
+    first = at(tasks(spark, sf_dir).select("id", "completed", "due_date"))
+    then = first.where("id % 11 <> 0").withColumns({"completed": F.when(F.col("id") % 5 == 0, ~F.col("completed")).otherwise(F.col("completed")), "due_date": F.when(F.col("id") % 7 == 0, F.date_add("due_date", 1)).otherwise(F.col("due_date"))})
+    deltas = views.view_deltas(views.changes_between(first.limit(0), first)).unionAll(views.view_deltas(views.changes_between(first, then)))
+    counts = deltas.groupBy("view", "day").agg(F.sum("n").alias("n")).where("n <> 0")
+    some = lambda view: F.coalesce(F.sum(F.when(F.col("view") == view, F.col("n"))), F.lit(0)).cast("long")
+    return counts.agg(some("open").alias("open_count"), some("done").alias("completed_count"), F.count_if(F.col("view") == "due").alias("due_days"))
+
+
 @register("""WITH t AS (SELECT o_orderkey AS id, o_orderkey % 997 AS capture_id, o_orderpriority AS title, CASE WHEN o_orderkey % 3 > 0 THEN CAST(date_trunc('year', o_orderdate) AS DATE) END AS due_date FROM orders),
     m AS (SELECT *, row_number() OVER (PARTITION BY capture_id, lower(title), due_date ORDER BY id) AS copy, bool_or(due_date IS NOT NULL) OVER (PARTITION BY capture_id, lower(title)) AS any_date FROM t)
     SELECT id, capture_id, title, due_date FROM m WHERE copy = 1 AND (due_date IS NOT NULL OR NOT any_date)""")
