@@ -152,12 +152,16 @@ def settings_map(settings: DataFrame) -> DataFrame:
 def assign_slots(tasks: DataFrame, counter: int, wrap: int = 0x7FFFFFFF) -> DataFrame:
     """Consecutive slots after ``counter`` in order of id; past ``wrap`` they begin at 1 again.
 
-    The number of a row is the size of the ranges before its own plus its place there, so no task sees all rows.
-    Range bounds are drawn by sampling; the ranged rows feed both sides through one shuffle.
+    Ids are cut into ranges at the quantiles of a sample of fixed size, the ids of least hash, so the ranges are the same whenever they are computed again.  The number
+    of a row is the size of the ranges before its own plus its place there, so no task sees all rows.
     """
     parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = tasks.repartitionByRange(parts, "id").sortWithinPartitions("id").withColumn("__at", F.monotonically_increasing_id())
-    marked = ranged.withColumns({"__part": F.shiftright("__at", 33), "__nth": F.col("__at").bitwiseAND((1 << 33) - 1)})
+    sample = sorted(r.id for r in tasks.select("id").where("id IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(parts * 64).collect())
+    bounds = sample[64::64]
+    kind = tasks.schema["id"].dataType
+    cuts = F.array(*(F.lit(b).cast(kind) for b in bounds)) if bounds else F.array().cast(f"array<{kind.simpleString()}>")
+    marked = tasks.withColumn("__part", F.size(F.filter(cuts, lambda b: b <= F.col("id"))))
     sizes = marked.groupBy("__part").agg(F.count("*").alias("n"))  # one row a range
     before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("before"))
-    return marked.join(before, "__part").withColumn("notification_id", ((F.lit(counter - 1) + F.col("__nth") + 1 + F.col("before")) % wrap + 1).cast("int")).drop("__part", "__at", "__nth", "before")
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy("id"))
+    return marked.withColumn("__nth", nth).join(before, "__part").withColumn("notification_id", ((F.lit(counter - 1).cast("long") + F.col("__nth") + F.col("before")) % wrap + 1).cast("int")).drop("__part", "__nth", "before")
