@@ -369,5 +369,37 @@ def transcript_errors(spark, sf_dir):
     return card.select("role", "clips", F.round("mean_wer", 9).alias("mean_wer"), F.round("pooled_wer", 9).alias("pooled_wer"), "lost", F.col("gained").cast("int").alias("gained"))
 
 
+@register("""WITH c AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer), s AS (SELECT k, n, CASE WHEN k % 11 = 0 THEN 0 WHEN k % 7 = 0 THEN 450 ELSE k % 449 + 1 END AS days, CASE WHEN k % 7 = 0 THEN 999 ELSE k % 60 + 5 END AS gap, CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS late FROM c)
+    SELECT k AS owner, n AS open_count, CAST(days AS INTEGER) AS completed_count, CASE WHEN days = 0 THEN 0 ELSE least(greatest(7 - late, 0), days) - CASE WHEN gap + late < 7 AND gap < days THEN 1 ELSE 0 END END AS done_last_7,
+        CAST(CASE WHEN days = 0 THEN 0 ELSE least(400, gap, days) END AS INTEGER) AS streak_days FROM s""")
+def streak_cases(spark, sf_dir):
+    """Streaks that meet their cap, a gap, their first day, or nothing, ending today or yesterday, with the totals of every owner."""
+    k = F.col("c_custkey")
+    days = F.when(k % 11 == 0, 0).when(k % 7 == 0, 450).otherwise(k % 449 + 1).cast("int")
+    owners = table(spark, sf_dir, "customer").select(k.alias("owner"), F.col("c_nationkey").alias("open_count"), days.alias("completed_count"), F.when(k % 7 == 0, 999).otherwise(k % 60 + 5).alias("gap"), F.when(k % 5 == 0, 1).otherwise(0).alias("late"))
+    back = owners.where("completed_count > 0").withColumn("back", F.explode(F.sequence(F.lit(0), F.col("completed_count") - 1))).where("back <> gap")
+    by_day = back.select("owner", F.date_sub(F.lit(TODAY), (F.col("back") + F.col("late")).cast("int")).alias("day"), F.lit(1).alias("n_done"))
+    return groups.owner_stats(by_day, TODAY, totals=owners.select("owner", "open_count", "completed_count"))
+
+
+@register("""SELECT o_orderkey AS id, '{"taskId":"' || o_orderkey || '-' || o_orderpriority || '"}' AS payload, o_orderkey || '-' || o_orderpriority AS task_id,
+    CAST(greatest(1, list_reduce(list_prepend(CAST(18652613 AS BIGINT), list_transform(string_split(o_orderkey || '-' || o_orderpriority, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda a, b: (xor(a, b) * 16777619) & 2147483647)) AS INTEGER) AS slot FROM orders""")
+def payload_slots(spark, sf_dir):
+    """Payloads of notifications, read again, and the slots that task ids hash to."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat_ws("-", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("task"))
+    payload = text.encode_payload(F.col("task"))
+    return rows.select("id", payload.alias("payload"), text.decode_payload(payload).alias("task_id"), text.slot_hash(F.col("task")).alias("slot"))
+
+
+@register("""WITH t AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN '  ' || repeat(' ', CAST(o_orderkey % 5 AS INTEGER)) WHEN 1 THEN 'a' || repeat('  b', CAST(o_orderkey % 120 AS INTEGER)) WHEN 2 THEN chr(160) || chr(9) ELSE o_orderpriority END AS x FROM orders)
+    SELECT id, length(y) > 0 AS valid, CAST(length(rtrim(substr(y, 1, 200))) AS INTEGER) AS size FROM (SELECT id, trim(regexp_replace(x, '[\\s\\x{A0}]+', ' ', 'g')) AS y FROM t)""")
+def valid_titles(spark, sf_dir):
+    """Blank titles are none, blanks collapse, and long ones are cut to 200 units."""
+    k = F.col("o_orderkey")
+    title = F.when(k % 4 == 0, F.concat(F.lit("  "), F.repeat(F.lit(" "), (k % 5).cast("int")))).when(k % 4 == 1, F.concat(F.lit("a"), F.repeat(F.lit("  b"), (k % 120).cast("int")))).when(k % 4 == 2, "\xa0\t").otherwise(F.col("o_orderpriority"))
+    rows = table(spark, sf_dir, "orders").select(k.alias("id"), title.alias("x"))
+    return rows.select("id", text.is_valid_title(F.col("x")).alias("valid"), F.length(text.normalise_title(F.col("x"))).alias("size"))
+
+
 QUERIES |= language.QUERIES | spoken.QUERIES
 SQL |= language.SQL | spoken.SQL
