@@ -31,9 +31,18 @@ WHEN = (
 BREAK = "\x01"
 
 
-def _chain(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """Replacements one after another; inside a lambda, so that the chain does not blow up generated code."""
-    return F.get(F.transform(F.array(text), lambda x: reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), rules, x)), F.lit(0))
+def _chain(text: Column, rules: list[tuple[str, ...]]) -> Column:
+    """Replacements one after another; inside a lambda, so that the chain does not blow up generated code.
+
+    A rule with a third part is tried only where that short pattern is found, which every text that the rule fits holds.
+    """
+
+    def apply(t: Column, rule: tuple[str, ...]) -> Column:
+        if len(rule) == 2:
+            return F.regexp_replace(t, rule[0], rule[1])
+        return let(t, lambda x: F.when(x.rlike(rule[2]), F.regexp_replace(x, rule[0], rule[1])).otherwise(x))
+
+    return let(text, lambda x: reduce(apply, rules, x))
 
 
 def normalise(text: Column) -> Column:
@@ -79,18 +88,18 @@ def broken(text: Column) -> Column:
     trip = r"(?<!\b(?:go|come|drive|head|walk|run|back)\s(?:to|at|by|over)\s[^,.;\x01]{1,40})"
     rules = [
         # A date in the middle that a verb follows begins a task.
-        (rf"(?i)(?<=\w)(?<!\bweek)\s+(?=on\s+(?:the\s+)?(?:(?:{'|'.join(MONTHS)})\s+\d\w*|{_DAYS}|\d+(?:st|nd|rd|th))\s+(?:{_VERB})\s+(?:the|my|a|an|to|some|for)\b)", f"{BREAK}.|"),
-        (r"(?<=[.!?])\s+(?=(?i:(?:and|then),?\s))", f"{BREAK}..|"),
-        (r"(?<=[.!?;])\s+(?=\S)", f"{BREAK}.|"), (r":\s+(?=\D)", f"{BREAK}.|"),
-        (rf"(?i)\s*,?\s+(?:oh,?\s+)?(?:and|but)\s+(?:also,?\s+|oh,?\s+)?(?:then|after\s+that|before\s+that)\s*,?\s+", f"{BREAK}then|"),
-        (rf"(?i)(?:,\s*|\s+)(?:then|after\s+that|before\s+that)\s*,?\s+(?={starts}|to\s)", f"{BREAK}then|"),
-        (rf"(?i)\s*,?\s+(?:oh,?\s+)?(?:and|but)\s+(?:also|plus|oh),?\s+", f"{BREAK}also|"),
-        (rf"(?i),\s+(?:oh,?\s+)(?:and\s+)?", f"{BREAK}also|"),
-        (rf"(?i)(?<!\bi)(?<!\bwe)(?:,\s*|\s+)(?:also|plus)\s*,?\s+(?={starts})", f"{BREAK}also|"),
-        (rf"(?i),\s+(?:so|but)\s+(?={starts})", f"{BREAK}so|"), (rf"(?i)\s+but\s+(?=(?:{LEAD}){{0,12}}{WHEN})", f"{BREAK}so|"),
-        (rf"(?i),\s+and\s+(?={starts})", f"{BREAK}and|"),
-        (rf"(?i){trip}\s+and\s+(?!(?:{_VERB})\s+(?:it|them)\s*(?:$|[.,;!?\x01]))(?=(?:{LEAD}){{0,12}}(?:(?:{_VERB})\s+(?!and\b)\w|{WHEN})|(?:{LEAD}){{1,3}})", f"{BREAK}and|"),
-        (rf"(?i),\s+(?=(?:{LEAD}){{0,12}}(?:(?:{_VERB})\s+\w|{WHEN})|it's\s+due|because\s|now\s+\w|(?:both|all\s+of\s+them)\s|(?:it|he|she|that)'s\s|(?:my|the|his|her|our|he|she|it)\s*(?:\w+\s+)?(?:is|are)\s)", f"{BREAK},|"),
+        (rf"(?i)(?<=\w)(?<!\bweek)\s+(?=on\s+(?:the\s+)?(?:(?:{'|'.join(MONTHS)})\s+\d\w*|{_DAYS}|\d+(?:st|nd|rd|th))\s+(?:{_VERB})\s+(?:the|my|a|an|to|some|for)\b)", f"{BREAK}.|", r"(?i)\son\s"),
+        (r"(?<=[.!?])\s+(?=(?i:(?:and|then),?\s))", f"{BREAK}..|", r"[.!?]\s"),
+        (r"(?<=[.!?;])\s+(?=\S)", f"{BREAK}.|", r"[.!?;]\s"), (r":\s+(?=\D)", f"{BREAK}.|", r":\s"),
+        (rf"(?i)\s*,?\s+(?:oh,?\s+)?(?:and|but)\s+(?:also,?\s+|oh,?\s+)?(?:then|after\s+that|before\s+that)\s*,?\s+", f"{BREAK}then|", r"(?i)then|that"),
+        (rf"(?i)(?:,\s*|\s+)(?:then|after\s+that|before\s+that)\s*,?\s+(?={starts}|to\s)", f"{BREAK}then|", r"(?i)then|that"),
+        (rf"(?i)\s*,?\s+(?:oh,?\s+)?(?:and|but)\s+(?:also|plus|oh),?\s+", f"{BREAK}also|", r"(?i)also|plus|oh"),
+        (rf"(?i),\s+(?:oh,?\s+)(?:and\s+)?", f"{BREAK}also|", r"(?i),\s+oh"),
+        (rf"(?i)(?<!\bi)(?<!\bwe)(?:,\s*|\s+)(?:also|plus)\s*,?\s+(?={starts})", f"{BREAK}also|", r"(?i)also|plus"),
+        (rf"(?i),\s+(?:so|but)\s+(?={starts})", f"{BREAK}so|", r"(?i),\s+(?:so|but)\s"), (rf"(?i)\s+but\s+(?=(?:{LEAD}){{0,12}}{WHEN})", f"{BREAK}so|", r"(?i)\sbut\s"),
+        (rf"(?i),\s+and\s+(?={starts})", f"{BREAK}and|", r"(?i),\s+and\s"),
+        (rf"(?i){trip}\s+and\s+(?!(?:{_VERB})\s+(?:it|them)\s*(?:$|[.,;!?\x01]))(?=(?:{LEAD}){{0,12}}(?:(?:{_VERB})\s+(?!and\b)\w|{WHEN})|(?:{LEAD}){{1,3}})", f"{BREAK}and|", r"(?i)\sand\s"),
+        (rf"(?i),\s+(?=(?:{LEAD}){{0,12}}(?:(?:{_VERB})\s+\w|{WHEN})|it's\s+due|because\s|now\s+\w|(?:both|all\s+of\s+them)\s|(?:it|he|she|that)'s\s|(?:my|the|his|her|our|he|she|it)\s*(?:\w+\s+)?(?:is|are)\s)", f"{BREAK},|", r","),
     ]
     return _chain(text, rules)
 
