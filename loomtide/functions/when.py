@@ -29,6 +29,8 @@ ORDINALS = "first second third fourth fifth sixth seventh eighth ninth tenth ele
 DOUBTFUL_MONTHS = {"march", "may", "august"}
 #: Nouns that make an ordinal, or a part of the day before them, no date.
 COUNTED = "edition floor place row try attempt version chapter section page item anniversary person lesson lessons class period lecture grade round stage level street avenue lane entrance gate door block building house shift term semester course episode season part step draft question task".split()
+# Prepositions that tie a part of the day to a thing.
+PREPOSITIONS = "about after at before by during for from in into of on till to until with".split()
 #: Verbs that move a thing from one day to another.
 MOVES = "move moving moved reschedule rescheduling rescheduled change changing changed shift shifting push pushing postpone postponing postponed".split()
 #: Things people do in the evening.
@@ -476,7 +478,7 @@ def _resolved(x: Column) -> Column:
         part, clock, day = c("part"), c("clock"), c("day")
         # "at 9 buy flowers for the party in the evening": the part is the party's.
         between = F.substring(line, clock["start"] + clock["size"], part["start"] - clock["start"] - clock["size"])
-        things = (part["start"] > clock["start"]) & (F.length(between) > 0) & F.array_join(F.transform(F.slice(x["tokens"], clock["start"] + clock["size"], F.greatest(part["start"] - clock["start"] - clock["size"], F.lit(0)).cast("int")), F.trim), " ").rlike(r"(?i)\b(?:for|about|to|at|in|with|from|of|before|after|on|into|until|till|by|during)\b")
+        things = (part["start"] > clock["start"]) & (F.length(between) > 0) & F.array_join(F.transform(F.slice(x["tokens"], clock["start"] + clock["size"], F.greatest(part["start"] - clock["start"] - clock["size"], F.lit(0)).cast("int")), F.trim), " ").rlike(rf"(?i)\b(?:{'|'.join(PREPOSITIONS)})\b")
         paired = F.coalesce(part.isNotNull() & clock.isNotNull() & ~things, F.lit(False))
         name = F.when(part["part"] == 540, "morning").when(part["part"] == 840, "afternoon").when(part["part"] == 1080, "evening").when(part["part"] == 1200, "night")
         first = F.when(paired | F.coalesce(things, F.lit(False)), clock).otherwise(F.get(times, F.lit(0)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import gram, when
 from ..functions import notes as spoken
+from ..functions.lexicon import any_of
 from ..functions.text import normalise_title
 from ..functions.when import let, let_all
 
@@ -36,13 +37,18 @@ def clauses_of(note: Column) -> Column:
 # ── Facts of a clause ────────────────────────────────────────────────────────────────────────────
 
 _MERIDIEM = r"(?i)\d\s*[ap]\.?\s?m\b|\b[ap]\.m\b"
-_EARLIER = r"\b(?:(?:the|a|one)\s+(?:day|evening|night|week)|(?:\d|two|three|four|five|six|seven)\s+(?:days|weeks))\s+(?:before|earlier|in\s+advance|ahead)\b(?!\s+(?:the|a|an|my|our|his|her|their|this|that)\b)"
 _COUNTS = {"two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7}
+_UNITS = ["day", "days", "evening", "night", "week", "weeks"]
+_EARLIER = rf"\b(?:{any_of(['the', 'a', 'one', *_COUNTS])}|\d)\s+{any_of(_UNITS)}\s+(?:{any_of(['ahead', 'before', 'earlier'])}|in\s+advance)\b(?!\s+{any_of(spoken.DETERMINERS)}\b)"
+# Going somewhere or being at something.
+TRIPS = "attend come drive fly go head meet ride travel visit walk".split()
 #: A task waits for this, on a day that nobody said: somebody acts, a thing is done, the pay comes.
+_ACTS = "approve approves arrive arrives bring brings call calls come comes confirm confirms deliver delivers land lands pay pays reply replies return returns send sends sign signs write writes".split()
+_ENDS = "approved back delivered done finished fixed free here paid ready repaired sent signed".split()
+_PAY = ["bonus", "pay day", "paycheck", "payday", "pension", "salary"]
 _AWAITS = (
-    r"(?<!\b(?:ask|check|know|see|remember|decide|wonder)\s)\b(?:once|as\s+soon\s+as|when|whenever|after|until|till)\s+(?!(?:i|we|you|that|this|then)\b)(?:(?:the|my|his|her|our|their)\s+)?[a-z']+\s*"
-    r"(?:\s(?:comes?|arrives?|sends?|calls?|replie?s|reply|pays?|returns?|approves?|confirms?|delivers?|brings?|signs?|lands?|writes?)|(?:'s|'re|\s(?:is|are|gets?))\s+(?:fixed|ready|done|back|repaired|delivered|finished|paid|approved|signed|sent|here|free))\b"
-    r"|\b(?:after|once|when|until|before)\s+(?:(?:the|my|next)\s+)?(?:payday|pay\s+day|salary|paycheck|pension|bonus)\b"
+    rf"(?<!\b{any_of('ask check decide know remember see wonder'.split())}\s)\b(?:{any_of('after once till until when whenever'.split())}|as\s+soon\s+as)\s+(?!{any_of('i we you that this then'.split())}\b)(?:{any_of(spoken.DETERMINERS)}\s+)?[a-z']+\s*"
+    rf"(?:\s{any_of(_ACTS)}|(?:'s|'re|\s(?:is|are|gets?))\s+{any_of(_ENDS)})\b|\b{any_of('after before once until when'.split())}\s+(?:(?:the|my|next)\s+)?{any_of(_PAY)}\b"
 )
 
 
@@ -90,7 +96,7 @@ def clause_facts(part: Column, today: Column, minute_now: Column) -> Column:
             text.rlike(_AWAITS).alias("awaits"), (text.rlike(_MERIDIEM)).alias("meridiem"), text.rlike(r"\b(?:tonight|evening|night)\b").alias("evening"), c("letters").rlike("^[cf,.]*P").alias("statement"), text.rlike(r"^\W*(?:and\W+)?oh\b").alias("afterthought"),
             c("letters").rlike("^[cf,.]*t[Vv]").alias("infinitive"), F.coalesce((told > 0) & (first > told) & (to >= c("last")), F.lit(False)).alias("shares"), days.cast("int").alias("days"), spoken.first_verb(c("rest")).alias("verb"),
             (~spoken.opens_with_verb(c("rest")) & fronted & c("rest").rlike(r"^[\s,]*(?:the|my|our|his|her)\s") & ~F.lower(c("rest")).rlike(rf"\b(?:{'|'.join(spoken.EVENTS)})\b")).alias("gapped"),
-            (text.rlike(r"\b(?:due|deadline)\b")).alias("due"), text.rlike(spoken.THING).alias("thing"), text.rlike(r"\b(?:both(?:\s+of\s+them)?|(?:all|each)\s+of\s+(?:them|these)),?\s+(?:on|by|at|in|for|this|next|tomorrow|today|tonight)\b").alias("shared_day")))
+            (text.rlike(r"\b(?:due|deadline)\b")).alias("due"), text.rlike(spoken.THING).alias("thing"), text.rlike(rf"\b(?:both|(?:both|all|each)\s+of\s+th\w+),?\s+{spoken.WHEN}").alias("shared_day")))
 
     return let(when.read_when(part["text"], today, minute_now), read)
 
@@ -189,7 +195,7 @@ def fold_tasks(facts: Column, today: Column, minute_now: Column, max_tasks: int)
         kind = c["kind"]
         # "the flight is at 6" tells of a trip, a meeting or an event, not of the shirt to iron before it.
         title = F.lower(last["title"])
-        attends = F.coalesce(title.rlike(r"^(?:(?:go|fly|drive|travel|ride|head|come|walk|attend|visit|meet)\b|(?:take|bring)\b.*\bto\b)") | (~last["todo"] & title.rlike(rf"^(?:[\w']+\s+){{0,2}}(?:{'|'.join(spoken.EVENTS)})\b")), no)
+        attends = F.coalesce(title.rlike(rf"^(?:{any_of(TRIPS)}\b|{any_of(['bring', 'take'])}\b.*\bto\b)") | (~last["todo"] & title.rlike(rf"^(?:[\w']+\s+){{0,2}}(?:{'|'.join(spoken.EVENTS)})\b")), no)
         no_tasks = F.size(tasks) == 0
         return (
             F.when(kind.isin("done", "question", "narration", "small talk"), s)
