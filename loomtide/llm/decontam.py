@@ -1,21 +1,26 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-For every item of n words, the windows of n words of a document are compared with it by 64-bit
-SimHash of their weighted 5-word shingles.  Item fingerprints form a multi-index: a table keyed by
-the item's size and each of eight 8-bit blocks, with one row for every value within 2 bits of the
-block.  Two fingerprints within ``RADIUS`` (23) have a block within 2 bits, as 8 * 3 > 23, so a join of the
-windows' blocks with that table finds every item within the radius and names the candidates.  They are
+For every item of n words, the windows of n words of a document are compared with it by ``PRINTS`` (3) 64-bit
+SimHashes of their weighted 5-word shingles, each with hash values of its own.  Item fingerprints form a multi-index: a table keyed by
+the item's size and each of the four 16-bit blocks of each fingerprint, with one row for every value within 2 bits of the
+block (1,644 rows an item).  Two fingerprints within ``RADIUS`` (11) have a block within 2 bits, as 4 * 3 > 11, so a join of the
+windows' blocks with that table finds every item within the radius of any fingerprint and names the candidates.  They are
 then verified by the exact weighted Jaccard similarity of the shingle multisets.
 
+The index selects: a random pair of one size shares a block within 2 bits with probability 0.8 % for one fingerprint and 2.5 % for three.
+
 A window can only reach the threshold if enough of its shingles occur in some item, whichever; windows
 that fail this count get no fingerprint.  The count reads a bit table of all item shingles
 whose size is bounded; a false positive of it costs time and changes nothing.
 
-At a similarity of 0.8, fingerprints lie 9.7 bits apart on average (sigma 2.9), so the radius is 4.6 sigma away.
+At a similarity of 0.8, fingerprints lie 9.7 bits apart on average (sigma 2.9).  All four blocks of one differ by 3 bits or more
+in 4 of 100 such pairs, and of all three fingerprints in 1 of 10,000; more similar pairs are missed less often.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,8 +30,14 @@ from .scratch import arrow_batches, stored
 from .textkit import LOWER, blocks, mix, runs, span_hashes, utf8, window_hashes
 
 SHINGLE = 5
-RADIUS = 23
-BLOCK_BITS = 8
+#: Fingerprints of an item or window.
+PRINTS = 3
+SEEDS = mix(np.arange(PRINTS, dtype=np.uint64))
+#: Distance within which each fingerprint finds all others.
+RADIUS = 11
+#: Candidates further apart (4.6 sigma at a similarity of 0.8) in the fingerprint by which they met are not verified.
+FAR = 23
+BLOCK_BITS = 16
 #: Bits in which a block of the multi-index may differ.
 BLOCK_RADIUS = RADIUS // (64 // BLOCK_BITS)
 #: Bits of the largest table of item shingles (32 MB); what one bit table can't tell apart only costs time.
@@ -34,7 +45,7 @@ MAX_TABLE_BITS = 1 << 28
 #: Windows whose votes are summed at a time.
 STRETCH = 8192
 
-REGIONS = "id long, doc_row long, first long, shingles binary, windows array<struct<size:int,words:int,start:long,print:long>>"
+REGIONS = "id long, doc_row long, first long, shingles binary, windows array<struct<size:int,words:int,start:long,prints:array<long>>>"
 
 
 def _word_table() -> np.ndarray:
@@ -58,31 +69,33 @@ def item_shingles(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def fingerprints(shingles: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
-    """SimHash of the ``span`` shingles from each of the ascending ``starts``; memory is bounded by ``STRETCH`` and the span."""
-    out = np.zeros(len(starts), np.uint64)
+    """SimHashes, one column each, of the ``span`` shingles from each of the ascending ``starts``; memory is bounded by ``STRETCH`` and the span."""
+    out = np.zeros((len(starts), PRINTS), np.uint64)
     bits = np.arange(64, dtype=np.uint64)
     at = 0
     while at < len(starts):
         end = max(at + 1, int(np.searchsorted(starts, starts[at] + STRETCH)))
         lo, hi = int(starts[at]), int(starts[end - 1]) + span
-        sums = np.zeros((hi - lo + 1, 64), np.int32)
-        for k in range(lo, hi, STRETCH):
-            part = shingles[k : min(k + STRETCH, hi)]
-            sums[k - lo + 1 : k - lo + 1 + len(part)] = ((mix(part)[:, None] >> bits) & np.uint64(1)).astype(np.int32) * 2 - 1
-        np.cumsum(sums, axis=0, out=sums)
         rows = starts[at:end] - lo
-        out[at:end] = ((sums[rows + span] > sums[rows]).astype(np.uint64) << bits).sum(axis=1, dtype=np.uint64)
+        sums = np.zeros((hi - lo + 1, 64), np.int32)
+        for seed in range(PRINTS):
+            sums[0] = 0
+            for k in range(lo, hi, STRETCH):
+                part = mix(shingles[k : min(k + STRETCH, hi)] ^ SEEDS[seed])
+                sums[k - lo + 1 : k - lo + 1 + len(part)] = ((part[:, None] >> bits) & np.uint64(1)).astype(np.int32) * 2 - 1
+            np.cumsum(sums, axis=0, out=sums)
+            out[at:end, seed] = ((sums[rows + span] > sums[rows]).astype(np.uint64) << bits).sum(axis=1, dtype=np.uint64)
         at = end
     return out
 
 
-def least_common(size: int, span: int, threshold: float) -> int:
-    """Shingles that an item of ``size`` shingles and a window of ``span`` must share."""
-    return int(np.ceil(threshold * (size + span) / (1 + threshold) - 1e-6))
+def least_common(size: np.ndarray, span: np.ndarray, threshold: float) -> np.ndarray:
+    """Shingles that items of ``size`` shingles and windows of ``span`` must share."""
+    return np.ceil(threshold * (size + span) / (1 + threshold) - 1e-6).astype(np.int64)
 
 
 def _item_batches(batches):
-    names = ["item_id", "size", "print", "total", "keys", "counts"]
+    names = ["item_id", "size", "prints", "total", "keys", "counts"]
     for batch in batches:
         data, offsets = utf8(batch.column(1))
         out = []
@@ -94,9 +107,9 @@ def _item_batches(batches):
                     found = item_shingles(own, min(SHINGLE, len(own)))
                     mark = fingerprints(found, np.zeros(1, np.int64), len(found))
                     keys, counts = np.unique(found, return_counts=True)
-                    out.append((batch.column(0)[first + k].as_py(), len(own), int(mark.view(np.int64)[0]), len(found), keys.tobytes(), counts.astype(np.int32).tobytes()))
+                    out.append((batch.column(0)[first + k].as_py(), len(own), mark.view(np.int64)[0].tolist(), len(found), keys.tobytes(), counts.astype(np.int32).tobytes()))
         columns = list(zip(*out, strict=True)) or [()] * 6
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
@@ -138,18 +151,18 @@ def _known(table: np.ndarray, size: int):
 
 def windows_of(words: np.ndarray, hits: dict[int, np.ndarray], sizes: np.ndarray, threshold: float):
     """(width, item size, window words, starts) of the windows of one text that hold enough known shingles; hits are running counts."""
-    for size in sizes.tolist():
-        width, n = min(SHINGLE, size), min(size, len(words))
-        span = n - width + 1
-        if span <= 0:
-            continue
-        need = least_common(size - width + 1, span, threshold)
-        total = hits[width]
-        if span < need or total[-1] < need:
-            continue
-        starts = np.flatnonzero(total[span:] - total[: len(total) - span] >= need)
+    width, n = np.minimum(SHINGLE, sizes), np.minimum(sizes, len(words))
+    span = n - width + 1
+    need = least_common(sizes - width + 1, span, threshold)
+    most = np.zeros(SHINGLE + 1, np.int64)
+    for w, total in hits.items():
+        most[w] = total[-1]
+    # Only sizes for which the text holds enough known shingles at all are tried.
+    for k in np.flatnonzero((span > 0) & (span >= need) & (most[width] >= need)):
+        total = hits[int(width[k])]
+        starts = np.flatnonzero(total[span[k] :] - total[: len(total) - span[k]] >= need[k])
         if len(starts):
-            yield width, size, n, starts
+            yield int(width[k]), int(sizes[k]), int(n[k]), starts
 
 
 def _region_batches(table: np.ndarray, table_size: int, sizes: np.ndarray, threshold: float):
@@ -189,9 +202,9 @@ def _region_batches(table: np.ndarray, table_size: int, sizes: np.ndarray, thres
                             windows += [(size, n, s, m) for s, m in zip(starts.tolist(), marks.tolist(), strict=True)]
                         out.append((batch.column(0)[lo + k].as_py(), batch.column(1)[lo + k].as_py(), first, shingles.tobytes(), windows))
                 if out:
-                    kind = pa.list_(pa.struct([("size", pa.int32()), ("words", pa.int32()), ("start", pa.int64()), ("print", pa.int64())]))
+                    kind = pa.list_(pa.struct([("size", pa.int32()), ("words", pa.int32()), ("start", pa.int64()), ("prints", pa.list_(pa.int64()))]))
                     columns = list(zip(*out, strict=True))
-                    lists = pa.array([[dict(zip(("size", "words", "start", "print"), w, strict=True)) for w in ws] for ws in columns[4]], kind)
+                    lists = pa.array([[dict(zip(("size", "words", "start", "prints"), w, strict=True)) for w in ws] for ws in columns[4]], kind)
                     yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=False)), lists], names=names)
 
     return run
@@ -211,16 +224,25 @@ def _verify_batches(batches):
         yield pa.RecordBatch.from_arrays([pa.array(value) if n == "similarity" else columns[n] for n in names], names=names)
 
 
-def _block_value():
-    """The bits of ``print`` in the block ``block``."""
-    return F.expr(f"shiftright(print, block * {BLOCK_BITS}) & {(1 << BLOCK_BITS) - 1}")
+def blocks_of(rows: DataFrame) -> DataFrame:
+    """One row for each block of each of the ``prints`` of a row, with its number, the fingerprint (``print``) and its bits (``value``)."""
+    n = 64 // BLOCK_BITS
+    each = rows.select("*", F.posexplode("prints").alias("seed", "print")).select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"))
+    value = F.expr(f"shiftright(print, part * {BLOCK_BITS}) & {(1 << BLOCK_BITS) - 1}")
+    return each.select("*", (F.col("seed") * n + F.col("part")).alias("block"), value.alias("value")).drop("prints", "seed", "part")
 
 
 def multi_index(items: DataFrame) -> DataFrame:
-    """Rows (size, block, value, item_id, print): every value within ``BLOCK_RADIUS`` bits of every block of every item."""
-    near = [v for v in range(1 << BLOCK_BITS) if bin(v).count("1") <= BLOCK_RADIUS]
-    each = items.select("size", "item_id", "print", F.explode(F.sequence(F.lit(0), F.lit(64 // BLOCK_BITS - 1))).alias("block"))
-    return each.withColumn("apart", F.explode(F.array(*(F.lit(v) for v in near)))).select("size", "block", _block_value().bitwiseXOR(F.col("apart")).alias("value"), "item_id", F.col("print").alias("item_print"))
+    """Rows (size, block, value, item_row, item_print): every value within ``BLOCK_RADIUS`` bits of every block of every item."""
+    near = [0] + [sum(1 << b for b in bits) for k in range(1, BLOCK_RADIUS + 1) for bits in combinations(range(BLOCK_BITS), k)]
+    each = blocks_of(items.select("size", "prints", "item_row")).withColumn("apart", F.explode(F.lit(near)))
+    return each.select("size", "block", F.col("value").bitwiseXOR(F.col("apart")).alias("value"), "item_row", F.col("print").alias("item_print"))
+
+
+def met(windows: DataFrame, index: DataFrame) -> DataFrame:
+    """Pairs of a window (with ``size`` and ``prints``) and an item that share a block within ``BLOCK_RADIUS`` bits, a row for each block, with the ``distance`` of the fingerprints it is from."""
+    pairs = blocks_of(windows).join(index, ["size", "block", "value"])
+    return pairs.withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).drop("block", "value", "print", "item_print")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -228,7 +250,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
     Returns the id (as ``doc_id`` where its own name is that of another result column), ``item_id`` (long), ``similarity`` (weighted Jaccard of the 5-word
     shingles, at least ``threshold``), ``word_start`` and ``n_window_words`` (the first of the best windows),
-    and the SimHash ``distance``; one row per row of ``docs`` and item row.  Words are runs of
+    and the SimHash ``distance`` (the least of the fingerprints by which both met); one row per row of ``docs`` and item row.  Words are runs of
     letters, digits and non-ASCII characters, A-Z lower-cased.  Items of fewer than
     five words match as one shingle; a document shorter than the item is one
     window.  Null or empty texts and items, and items without an id, match nothing; extra columns are ignored; empty tables give no rows.
@@ -239,18 +261,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     arrow_batches(spark)
     named = items.where(F.col(item_id_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
-    known = stored(named.mapInArrow(_item_batches, "item_id long, size int, print long, total int, keys binary, counts binary").withColumn("item_row", F.monotonically_increasing_id()), "items")
+    known = stored(named.mapInArrow(_item_batches, "item_id long, size int, prints array<long>, total int, keys binary, counts binary").withColumn("item_row", F.monotonically_increasing_id()), "items")
     sizes = np.array(sorted(r[0] for r in known.select("size").distinct().collect()), np.int64)
     table, table_size = shingle_table(known)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("doc_row"), F.col(text_col).cast("string").alias("text"))
     regions = stored(plain.mapInArrow(_region_batches(table, table_size, sizes, threshold), REGIONS).withColumn("region", F.monotonically_increasing_id()), "regions")
-    probes = regions.select("region", F.explode("windows").alias("w")).select("region", "w.*")
-    probes = probes.select("*", F.explode(F.sequence(F.lit(0), F.lit(64 // BLOCK_BITS - 1))).alias("block"))
-    probes = probes.withColumn("value", _block_value())
-    index = stored(multi_index(known.select("size", "print", F.col("item_row").alias("item_id"))), "index")
-    distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    met = probes.join(index, ["size", "block", "value"]).withColumn("distance", distance).where(F.col("distance") <= RADIUS)
-    candidates = stored(met.select("region", "size", "words", "start", F.col("item_id").alias("item_row"), "distance").distinct(), "candidates")
+    windows = regions.select("region", F.explode("windows").alias("w")).select("region", "w.*")
+    index = stored(multi_index(known), "index")
+    near = met(windows, index).where(F.col("distance") <= FAR)
+    candidates = stored(near.groupBy("region", "size", "words", "start", "item_row").agg(F.min("distance").alias("distance")), "candidates")
     span = F.col("words") - F.least(F.lit(SHINGLE), F.col("size")) + 1
     window = F.substring(F.col("shingles"), ((F.col("start") - F.col("first")) * 8 + 1).cast("int"), (span * 8).cast("int"))
     cut = candidates.join(regions.select("region", "id", "doc_row", "first", "shingles"), "region").select("id", "doc_row", F.col("start").alias("word_start"), F.col("words").alias("n_window_words"), "distance", "item_row", window.alias("window"))

@@ -89,8 +89,35 @@ def test_odd_tables(spark):
 
 
 def test_no_fingerprint_in_the_radius_is_lost():
-    near = [v for v in range(256) if bin(v).count("1") <= decontam.BLOCK_RADIUS]
     rng = np.random.default_rng(1)
     for _ in range(2000):
         apart = sum(1 << int(b) for b in rng.choice(64, decontam.RADIUS, replace=False))
-        assert any(apart >> 8 * k & 255 in near for k in range(8))
+        assert any((apart >> 16 * k & 65535).bit_count() <= decontam.BLOCK_RADIUS for k in range(4))
+
+
+def test_the_index_selects(spark):
+    """Random pairs of one size seldom meet; a pair at the threshold, or within the radius by one fingerprint, meets."""
+    rng = np.random.default_rng(2)
+    prints = lambda n: rng.integers(-(1 << 63), 1 << 63, (n, decontam.PRINTS)).tolist()
+    items = [(k, 9, p) for k, p in enumerate(prints(200))]
+    windows = [(k, 9, p) for k, p in enumerate(prints(500))]
+    for k in range(100):  # near an item by one fingerprint alone
+        p = prints(1)[0]
+        p[k % 3] = items[k][2][k % 3] ^ sum(1 << int(b) for b in rng.choice(63, decontam.RADIUS, replace=False))
+        windows.append((1000 + k, 9, p))
+    index = decontam.multi_index(spark.createDataFrame(items, "item_row long, size int, prints array<long>"))
+    assert index.count() == 200 * 1644
+    pairs = {(r.w, r.item_row) for r in decontam.met(spark.createDataFrame(windows, "w long, size int, prints array<long>"), index).select("w", "item_row").distinct().collect()}
+    assert {(1000 + k, k) for k in range(100)} <= pairs
+    assert 0.015 < sum(w < 1000 for w, _ in pairs) / (200 * 500) < 0.05
+
+
+def test_recall_at_the_threshold():
+    rng = np.random.default_rng(3)
+    missed = 0
+    for _ in range(5000):
+        pool = rng.integers(0, 1 << 63, 100).astype(np.uint64)
+        one, two = (decontam.fingerprints(np.ascontiguousarray(x), np.zeros(1, np.int64), 90)[0].tolist() for x in (pool[:90], pool[10:]))  # 80 of 100
+        apart = [a ^ b for a, b in zip(one, two, strict=True)]
+        missed += not any(x.bit_count() <= decontam.FAR and any((x >> 16 * k & 65535).bit_count() <= decontam.BLOCK_RADIUS for k in range(4)) for x in apart)
+    assert missed <= 5
