@@ -1,6 +1,7 @@
 """Main text of pages: a plain twin of the line blocks, and pages that were once lost."""
 
 import time
+from html.parser import HTMLParser
 
 import duckdb
 import pytest
@@ -32,6 +33,33 @@ def twin(lines):
     return out
 
 
+class Reader(HTMLParser):
+    """Text of the article element of plainly marked pages, by a parser of the standard library; knows nothing of line blocks."""
+
+    INLINE = ("a", "b", "br", "meta")
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.out = [], [""]
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.out[-1] += " "
+        elif tag not in self.INLINE:
+            self.out.append("")
+            self.open.append((tag, ("class", "ad") in attrs))
+
+    def handle_endtag(self, tag):
+        if tag not in self.INLINE:
+            self.out.append("")
+            while self.open and self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if any(t == "article" for t, _ in self.open) and not any(ad or t in ("nav", "footer", "script", "style") for t, ad in self.open):
+            self.out[-1] += data
+
+
 @pytest.mark.parametrize(
     "page",
     [
@@ -51,6 +79,44 @@ def test_pages_once_lost(page):
     assert html_extract.main_text(page) == TEXT
 
 
+ENDING = '<ul><li><a href="/1">First source</a></li><li><a href="/2">Second source</a></li></ul>'
+LINKS = "".join(f"<div><a href='/{k}'>See part {k}</a></div>" for k in range(4))
+
+
+@pytest.mark.parametrize(
+    ("inside", "added"),
+    [
+        ('<section class="related-work">Others did this before.</section>', "Others did this before."),
+        ('<section id="social-history">Towns grew.</section>', "Towns grew."),
+        ('<p class="ad-hoc">A rule for one case.</p>', "A rule for one case."),
+        (ENDING, "First source\n\nSecond source"),
+        (LINKS + "<p>Short final words.</p>", "See part 0\n\nSee part 1\n\nSee part 2\n\nSee part 3\n\nShort final words."),
+        ("<p hidden>Not seen.</p>", ""),
+        ("<p style='color:red; display: none'>Not seen.</p>", ""),
+        ('<p title="a hidden b">Seen.</p>', "Seen."),
+        ('<p>Words <span class="ad">Buy <span>now</span> here</span>go on<script>x</script>ward.</p>', "Words go onward."),
+        ("<p>Let <math><mi>x</mi></math> be one.</p>", "Let x be one."),
+        ('<div class="comment-list"><p>First!</p></div><section id="site-footer">Imprint</section>', ""),
+    ],
+)
+@pytest.mark.parametrize("name", ["article", "main"])
+def test_an_article_is_whole(name, inside, added):
+    want = TEXT + ("\n\n" + added if added else "")
+    assert html_extract.main_text(f"<nav><a href=/>Home</a></nav><{name}>{PARAGRAPHS}{inside}</{name}><footer>Imprint</footer>") == want
+
+
+def test_lines_before_links_of_an_article_stay():
+    assert html_extract.main_text(f"<article><h1>Title</h1>{LINKS[:-6]}</div>{PARAGRAPHS}</article>").startswith("Title\n\nSee part 0\n\n")
+
+
+def test_columns_beside_an_article_go():
+    column = f"<div>{'side words ' * 20}</div>"
+    assert html_extract.main_text(f"{column}<article>{PARAGRAPHS}</article>{column}") == TEXT
+    assert html_extract.main_text(f"<main><article>{PARAGRAPHS}</article>{ENDING}</main>{column}") == TEXT
+    teaser = "<article><h2>Next</h2><p>A short teaser.</p></article>"
+    assert html_extract.main_text(f"<div>{PARAGRAPHS}</div><hr>{ENDING * 2}{teaser}") == TEXT
+
+
 def test_link_lines_stay_in_the_text():
     page = PARAGRAPHS.replace("<p>more", "<p><a href=x>One linked line</a></p><p>more")
     assert html_extract.main_text(page) == TEXT.replace("more", "One linked line\n\nmore", 1)
@@ -70,6 +136,18 @@ def test_twin_on_the_tables(spark):
     assert all(want.values())
 
 
+def test_a_plain_reader_on_the_tables(spark):
+    for sf in ("sf0.01", "sf0.1"):
+        path = f"/root/testdata/{sf}/pages.parquet"
+        want = {}
+        for page, text in duckdb.sql(f"SELECT page_id, html FROM '{path}'").fetchall():
+            reader = Reader()
+            reader.feed(text or "")
+            reader.close()
+            want[page] = "\n\n".join(" ".join(x.split()) for x in reader.out if x.split())
+        assert {r.page_id: r.text for r in html_extract.extract_pages(spark.read.parquet(path)).collect()} == want
+
+
 def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, "u", None, "a"), (1, "u", None, "a"), (None, None, PARAGRAPHS, "b"), (3, "v", "", None), (4, "w", f"<p>{'long ' * 300_000}", "c")], "page_id long, url string, html string, text string")
     got = sorted((str(r.page_id), r.url, r.n_chars) for r in html_extract.extract_pages(pages).collect())
