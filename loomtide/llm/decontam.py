@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import arrow_batches, stored
+from .scratch import arrow_batches, stored, stored_with
 from .textkit import LOWER, blocks, mix, runs, span_hashes, utf8, window_hashes
 
 SHINGLE = 5
@@ -42,6 +42,8 @@ BLOCK_BITS = 16
 BLOCK_RADIUS = RADIUS // (64 // BLOCK_BITS)
 #: Bits of the largest table of item shingles (32 MB); what one bit table can't tell apart only costs time.
 MAX_TABLE_BITS = 1 << 28
+#: Rows of the largest index that is sent to all tasks (about 50 MB); a larger one and the windows' blocks are shuffled by block.
+BROADCAST_ROWS = 1 << 19
 #: Windows whose votes are summed at a time.
 STRETCH = 8192
 
@@ -255,8 +257,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     five words match as one shingle; a document shorter than the item is one
     window.  Null or empty texts and items, and items without an id, match nothing; extra columns are ignored; empty tables give no rows.
 
-    Items, windows and candidates are tables; only the bit table of item shingles (at most 32 MB)
-    and the distinct item sizes reach the driver.  Item rows of one id are items of their own.
+    Items, windows and candidates are tables; only the bit table of item shingles (at most 32 MB), an index of at most
+    ``BROADCAST_ROWS`` rows and the distinct item sizes reach the driver.  Item rows of one id are items of their own.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -267,7 +269,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("doc_row"), F.col(text_col).cast("string").alias("text"))
     regions = stored(plain.mapInArrow(_region_batches(table, table_size, sizes, threshold), REGIONS).withColumn("region", F.monotonically_increasing_id()), "regions")
     windows = regions.select("region", F.explode("windows").alias("w")).select("region", "w.*")
-    index = stored(multi_index(known), "index")
+    index, seen = stored_with(multi_index(known), "index", F.count("*").alias("n"))
+    if seen["n"] <= BROADCAST_ROWS:
+        index = F.broadcast(index)
     near = met(windows, index).where(F.col("distance") <= FAR)
     candidates = stored(near.groupBy("region", "size", "words", "start", "item_row").agg(F.min("distance").alias("distance")), "candidates")
     span = F.col("words") - F.least(F.lit(SHINGLE), F.col("size")) + 1

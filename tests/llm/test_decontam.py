@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pytest
 
 from loomtide.llm import decontam
 
@@ -69,7 +70,9 @@ def test_leaks_of_all_similarities(spark):
     assert found(table, spark.createDataFrame(items, "item_id long, text string")) == want
 
 
-def test_leaks_of_the_tables(spark):
+@pytest.mark.parametrize("rows", [0, decontam.BROADCAST_ROWS])
+def test_leaks_of_the_tables(spark, monkeypatch, rows):
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", rows)
     con = duckdb.connect()
     docs, items = (con.sql(f"SELECT * FROM '{SF}/{t}.parquet'").fetchall() for t in ("documents", "benchmark"))
     want = brute([r[:2] for r in docs], items)
