@@ -12,6 +12,7 @@ import functools
 import re
 import zlib
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -324,6 +325,26 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.explode(F.transform(F.array(F.lit(0)), lambda _: packed)).alias("__x")).select("*", *(F.col(f"__x.{n}").alias(n) for n in columns)).drop("__x")
 
 
+def once_each(df: DataFrame, by: list[str], before=None, **columns: Column) -> DataFrame:
+    """The last of ``columns``, worked on once for each different value of the columns ``by``, which it depends on alone, and joined to the rows.
+
+    A column may use the ones before it; ``before`` may add some to the different values in its own way.
+    Spoken notes repeat, and a note costs milliseconds where a join costs microseconds.  Few values are broadcast, and many meet their rows in a
+    sort-merge join, whose skewed partitions are split.  The input is read twice; if it then gives values that it did not give before (a limit without an order), the job fails and no row is lost.
+    """
+    keys, last = [f"__by{i}" for i in range(len(by))], list(columns)[-1]
+    # Few bytes are much work: values are dealt evenly to more tasks than cores.
+    tasks = 4 * max(df.sparkSession.sparkContext.defaultParallelism, 2)
+    done = df.select(*by).distinct().repartition(tasks)
+    done = before(done) if before else done
+    for name, column in columns.items():
+        done = _once(done, **{name: column})
+    done = done.select(*(F.col(name).alias(key) for name, key in zip(by, keys)), F.struct(last).alias("__met"))
+    same = reduce(Column.__and__, (F.col(name).eqNullSafe(F.col(key)) for name, key in zip(by, keys)))
+    met = F.when(F.col("__met").isNotNull(), F.col("__met").getField(last)).otherwise(F.raise_error(F.lit("the input changes when it is read again")))
+    return df.join(done, same, "left").select(*df.columns, met.alias(last))
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -550,15 +571,17 @@ def cut_spans(found: Column, spans: Column) -> Column:
     return F.array_join(F.filter(found, lambda _, i: ~F.exists(spans, lambda s: (i + 1 >= s["start"]) & (i + 1 < s["start"] + s["size"]))), "")
 
 
-def parse_when(df: DataFrame, text_col: str = "text", now_col: str = "now") -> DataFrame:
+def parse_when(df: DataFrame, text_col: str = "text", now_col: str = "now", read_col: str | None = None) -> DataFrame:
     """``df`` with ``date``, ``minute``, ``rest`` (the text without them), ``confidence`` and the rules that fitted.
 
     The first date and the first time outside it are combined: the clock is read in the part of the day that is
     said with the date, small hours of a night belong to the next day, and a bare time that is over rolls to tomorrow.
+    ``read_col`` names a column for all that ``read_when`` gives.
     """
-    today, minute_now = F.to_date(now_col), F.hour(now_col) * 60 + F.minute(now_col)
-    out = _once(df, __w=read_when(F.col(text_col), today, minute_now))
+    today, minute_now = F.col("__today"), F.col("__minute_now")
+    rows = df.withColumns({"__today": F.to_date(now_col), "__minute_now": F.hour(now_col) * 60 + F.minute(now_col)})
+    out = once_each(rows, [text_col, "__today", "__minute_now"], __w=read_when(F.col(text_col), today, minute_now))
     w = F.col("__w")
     date = rolled(small_hours(w["date"], w["minute"], w["said_part"]), w["minute"], today, minute_now)
     shown = {"date_rule": w["date_rule"], "time_rule": w["time_rule"], "minute": w["minute"], "date": date, "rest": F.trim(cut_spans(w["tokens"], w["spans"])), "confidence": F.when(w["low"], "low").otherwise("high")}
-    return out.withColumns(shown).drop("__w")
+    return out.withColumns(shown | ({read_col: w} if read_col else {})).drop("__w", "__today", "__minute_now")

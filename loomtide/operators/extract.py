@@ -25,7 +25,8 @@ def note_clauses(notes: DataFrame, note_col: str = "note") -> DataFrame:
     A null or empty note has no clause.
     """
     kept = [c for c in notes.columns if c.lower() not in ("position", "joint", "clause")]
-    parts = when._once(notes.where(F.length(F.trim(note_col)) > 0), __clauses=clauses_of(F.col(note_col).cast("string")))
+    said = notes.where(F.length(F.trim(note_col)) > 0).withColumn("__said", F.col(note_col).cast("string"))
+    parts = when.once_each(said, ["__said"], __clauses=clauses_of(F.col("__said")))
     return parts.select(*kept, F.posexplode("__clauses").alias("position", "part")).select(*kept, "position", "part.joint", F.col("part.text").alias("clause"))
 
 
@@ -282,13 +283,14 @@ def fold_tasks(facts: Column, today: Column, minute_now: Column, max_tasks: int)
 
 
 def _folded(notes: DataFrame, now_col: str, note_col: str, max_tasks: int) -> DataFrame:
-    """``notes`` with ``__tasks``, each stage computed once."""
-    today, minute_now = F.to_date(F.col("__now")), F.hour("__now") * 60 + F.minute("__now")
-    rows = notes.withColumn("__now", F.col(now_col).cast("timestamp_ntz"))
-    said = F.coalesce(F.col(note_col).cast("string"), F.lit(""))
-    rows = when._once(rows, __clauses=clauses_of(said))
-    rows = when._once(rows, __facts=F.transform("__clauses", lambda part: clause_facts(part, today, minute_now)))
-    return when._once(rows, __tasks=fold_tasks(F.col("__facts"), today, minute_now, max_tasks)).drop("__clauses", "__facts", "__now")
+    """``notes`` with ``__tasks``: clauses are found once for each different note, tasks once for each different note, day and minute."""
+    now = F.col(now_col).cast("timestamp_ntz")
+    rows = notes.withColumns({"__said": F.coalesce(F.col(note_col).cast("string"), F.lit("")), "__today": F.to_date(now), "__minute_now": F.hour(now) * 60 + F.minute(now)})
+    today, minute_now = F.col("__today"), F.col("__minute_now")
+    facts = F.transform("__clauses", lambda part: clause_facts(part, today, minute_now))
+    tasks = fold_tasks(F.col("__facts"), today, minute_now, max_tasks)
+    split = lambda values: when.once_each(values, ["__said"], __clauses=clauses_of(F.col("__said")))
+    return when.once_each(rows, ["__said", "__today", "__minute_now"], split, __facts=facts, __tasks=tasks).drop("__said", "__today", "__minute_now")
 
 
 def _shown(rows: DataFrame, keep: list[str]) -> DataFrame:

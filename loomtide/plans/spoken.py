@@ -6,6 +6,8 @@ same numbers, without the grammar.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,9 +60,10 @@ def _said(spark, sf_dir: str, templates: list[str], rules: list[str]) -> DataFra
     n = len(templates)
     now = F.to_date("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(mins=F.lit(_MINUTE_NOW))
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), now.alias("now")).withColumns({"kind": F.expr(f"id % {n}"), "turn": F.expr(f"(id div {n}) % 4")})
-    pick = lambda values: F.element_at(F.array(*values), (F.col("kind") + 1).cast("int"))
-    filled = rows.select("id", "now", pick([F.lit(r) for r in rules]).alias("rule"), pick([_filled(t) for t in templates]).alias("note"))
-    return filled.repartition(spark.sparkContext.defaultParallelism)
+    rule = F.element_at(F.array(*(F.lit(r) for r in rules)), (F.col("kind") + 1).cast("int"))
+    # A template is filled only for its own rows.
+    note = reduce(lambda out, i: out.when(F.col("kind") == i, _filled(templates[i])), range(1, n), F.when(F.col("kind") == 0, _filled(templates[0])))
+    return rows.select("id", "now", rule.alias("rule"), note.alias("note"))
 
 
 def _cases(values: list[str]) -> str:
@@ -128,15 +131,12 @@ def _noted(spark, sf_dir, rows: list[tuple]) -> DataFrame:
 
 def corrected_notes(spark, sf_dir):
     """Forty corrections, in text."""
-    return _noted(spark, sf_dir, CORRECTIONS).select("id", "rule", spoken.corrected(F.col("note")).alias("text"))
+    return when.once_each(_noted(spark, sf_dir, CORRECTIONS), ["note"], text=spoken.corrected(F.col("note"))).select("id", "rule", "text")
 
 
 def when_spans(spark, sf_dir):
     """Notes with several days and times; the day and time of the note, what is left of it and how many stretches were cut."""
-    notes = _noted(spark, sf_dir, SEVERAL)
-    today, minute_now = F.to_date("now"), F.hour("now") * 60 + F.minute("now")
-    read = when._once(notes, w=when.read_when(F.col("note"), today, minute_now))
-    return when.parse_when(read, "note", "now").select("id", "rule", "date", "minute", "rest", F.size("w.spans").alias("spans"))
+    return when.parse_when(_noted(spark, sf_dir, SEVERAL), "note", "now", "w").select("id", "rule", "date", "minute", "rest", F.size("w.spans").alias("spans"))
 
 
 def carried_days(spark, sf_dir):
@@ -153,7 +153,7 @@ def clause_kinds(spark, sf_dir):
     """What a clause is."""
     notes = _noted(spark, sf_dir, KINDS)
     today, minute_now = F.to_date("now"), F.hour("now") * 60 + F.minute("now")
-    facts = when._once(notes, f=extract.clause_facts(F.struct(F.lit("").alias("joint"), F.col("note").alias("text")), today, minute_now))
+    facts = when.once_each(notes, ["note", "now"], f=extract.clause_facts(F.struct(F.lit("").alias("joint"), F.col("note").alias("text")), today, minute_now))
     return facts.select("id", "rule", F.col("f.kind").alias("kind"))
 
 
@@ -174,7 +174,7 @@ _TENS = ["", "", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eigh
 
 def guarded_notes(spark, sf_dir):
     """Rewrites of transcripts, each with a phrase that passes and one that is refused."""
-    return _noted(spark, sf_dir, GUARDS).select("id", "rule", spoken.normalise(F.col("note")).alias("text"))
+    return when.once_each(_noted(spark, sf_dir, GUARDS), ["note"], text=spoken.normalise(F.col("note"))).select("id", "rule", "text")
 
 
 def title_fixed_point(spark, sf_dir):
