@@ -173,7 +173,6 @@ def extraction_round_trip(spark, sf_dir):
     clock = F.concat(((h + 11) % 12 + 1).cast("string"), F.when(h < 12, " am").otherwise(" pm"))
     day = F.when(k % 4 == 0, "tomorrow").when(k % 4 == 1, "on Friday").when(k % 4 == 2, "in 3 days").otherwise(F.concat(F.lit("on "), F.date_format(d, "MMMM d, yyyy")))
     notes = table(spark, sf_dir, "orders").select(k.alias("id"), F.lit(NOW).cast("timestamp_ntz").alias("now"), F.concat(F.lit("I need to call customer "), (k % 900 + 1).cast("string"), F.lit(" "), day, F.lit(" at "), clock, F.lit(".")).alias("note"))
-    notes = notes.repartition(spark.sparkContext.defaultParallelism)  # a note costs milliseconds and few bytes
     return extract.extract_tasks(notes).select("id", "title", "date", "minute")
 
 
