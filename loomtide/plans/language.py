@@ -103,9 +103,7 @@ def _said(spark, sf_dir: str, phrases: list[str], names: list[str]) -> DataFrame
     """id, now, rule and note of every order: the phrase that its key names."""
     pick = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), (F.col("o_orderkey") % len(values) + 1).cast("int"))
     now = F.to_date("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(mins=F.lit(_MINUTE_NOW))
-    said = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), now.alias("now"), pick(names).alias("rule"), pick(phrases).alias("note"))
-    # A note costs about a millisecond and few bytes: the rows of one small file are dealt to all cores.
-    return said.repartition(spark.sparkContext.defaultParallelism)
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), now.alias("now"), pick(names).alias("rule"), pick(phrases).alias("note"))
 
 
 def _cases(n: int, values: list[str]) -> str:
@@ -142,7 +140,7 @@ def when_phrases(spark, sf_dir):
 def normal_notes(spark, sf_dir):
     """Repairs of transcripts and self-corrections."""
     notes = _said(spark, sf_dir, [p[1] for p in NORMAL_PHRASES], [p[0] for p in NORMAL_PHRASES])
-    return notes.select("id", "rule", spoken.corrected(spoken.normalise(F.col("note"))).alias("text"))
+    return when.once_each(notes, ["note"], text=spoken.corrected(spoken.normalise(F.col("note")))).select("id", "rule", "text")
 
 
 def note_clauses(spark, sf_dir):
