@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import title_similarity, word_edits
+from ..functions.text import content_words, set_similarity, word_edits
+from ..functions.when import _once, let
 
 
 def score_notes(notes: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -14,22 +15,30 @@ def score_notes(notes: DataFrame, threshold: float = 0.5) -> DataFrame:
     Expected tasks take, in their order, the best actual task not yet taken
     (the first of equals) with a similarity of at least ``threshold``; "*" fits any date or time.
     """
-    blank = F.struct(*(F.lit(0).alias(x) for x in ("matched", "dates_checked", "dates_right", "times_checked", "times_right")), F.array().cast("array<int>").alias("used"))
+    # The words of a title are found once, and a task that is taken leaves the ones to compare with.
+    left = "array<struct<o: int, words: array<string>>>"
+    blank = F.struct(*(F.lit(0).alias(x) for x in ("matched", "dates_checked", "dates_right", "times_checked", "times_right")), F.col("__got").cast(left).alias("left"))
 
     def step(acc: Column, want: Column) -> Column:
-        ranked = F.transform(F.col("actual"), lambda got, i: F.struct(F.when(F.array_contains(acc["used"], i), -1.0).otherwise(title_similarity(want["title"], got["title"])).alias("s"), (-i).alias("o")))
-        best = F.array_max(ranked)
+        ranked = F.transform(acc["left"], lambda got: F.struct(set_similarity(want["words"], got["words"]).alias("s"), got["o"].alias("o")))
+        return let(F.array_max(ranked), lambda best: taken(acc, want, best))
+
+    def taken(acc: Column, want: Column, best: Column) -> Column:
         at = -best["o"]
         ok = F.coalesce((best["s"] >= threshold) & (best["s"] > 0), F.lit(False))
         got = F.get(F.col("actual"), F.when(ok, at).otherwise(0))
-        date, time = ok & ~want["date"].eqNullSafe(F.lit("*")), ok & ~want["time"].eqNullSafe(F.lit("*"))
+        date, time = ok & ~want["task"]["date"].eqNullSafe(F.lit("*")), ok & ~want["task"]["time"].eqNullSafe(F.lit("*"))
         add = lambda name, flag: (acc[name] + flag.cast("int")).alias(name)
         return F.struct(
-            add("matched", ok), add("dates_checked", date), add("dates_right", date & want["date"].eqNullSafe(got["date"])), add("times_checked", time), add("times_right", time & want["time"].eqNullSafe(got["time"])),
-            F.when(ok, F.array_append(acc["used"], at)).otherwise(acc["used"]).alias("used"),
+            add("matched", ok), add("dates_checked", date), add("dates_right", date & want["task"]["date"].eqNullSafe(got["date"])), add("times_checked", time), add("times_right", time & want["task"]["time"].eqNullSafe(got["time"])),
+            F.when(ok, F.filter(acc["left"], lambda x: x["o"] != best["o"])).otherwise(acc["left"]).alias("left"),
         )
 
-    scored = notes.withColumn("x", F.aggregate("expected", blank, step))
+    read = _once(
+        notes, __want=F.transform("expected", lambda t: F.struct(t.alias("task"), content_words(t["title"]).alias("words"))),
+        __got=F.transform("actual", lambda t, i: F.struct((-i).alias("o"), content_words(t["title"]).alias("words"))),
+    )
+    scored = _once(read, x=F.aggregate("__want", blank, step, lambda acc: acc.dropFields("left")))
     sizes = [F.size("expected").alias("n_expected"), F.size("actual").alias("n_actual")]
     exact = (F.col("x.matched") == F.size("expected")) & (F.size("actual") == F.size("expected")) & (F.col("x.dates_right") == F.col("x.dates_checked")) & (F.col("x.times_right") == F.col("x.times_checked"))
     return scored.select(*(c for c in notes.columns if c not in ("expected", "actual")), *sizes, "x.matched", "x.dates_checked", "x.dates_right", "x.times_checked", "x.times_right", exact.alias("exact"))
