@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .when import let
+
 # Words of numbers.
 ONES = "one two three four five six seven eight nine".split()
 TEENS = "ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
@@ -68,7 +70,9 @@ def fold_numbers(words: Column) -> Column:
 
         return F.get(F.transform(F.array(F.struct(F.try_element_at(_known(), word).alias("k"))), read), F.lit(0))
 
-    return F.aggregate(words, blank, step, flushed)
+    # Words without any of a number stay as they are: "and" and "oh" mean something only after one.
+    spelt = F.array(*(F.lit(w) for w in ["zero", "hundred", "thousand", *ONES, *TEENS, *TENS, *ORDINAL_ONES, *ORDINAL_TEENS, *ORDINAL_TENS]))
+    return F.when(~F.arrays_overlap(words, spelt), words).otherwise(F.aggregate(words, blank, step, flushed))
 
 
 def wer_tokens(text: Column) -> Column:
@@ -79,4 +83,4 @@ def wer_tokens(text: Column) -> Column:
     out = F.lower(F.coalesce(text, F.lit("")))
     for pattern, to in _SPELT:
         out = F.regexp_replace(out, pattern, to)
-    return fold_numbers(F.filter(F.split(out, r"\s+"), lambda w: w != ""))
+    return let(F.filter(F.split(out, r"\s+"), lambda w: w != ""), fold_numbers)

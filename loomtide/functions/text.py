@@ -73,12 +73,13 @@ def set_similarity(x: Column, y: Column) -> Column:
 
 def word_edits(reference: Column, hypothesis: Column) -> Column:
     """Levenshtein distance of two arrays of words: each different word becomes one character."""
-    known = F.array_union(reference, hypothesis)
 
-    def letters(words: Column) -> Column:
+    def letters(words: Column, known: Column) -> Column:
         return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.hex(F.array_position(known, w) + 0x4E00)), "UTF-16BE")), "")
 
-    return F.levenshtein(letters(reference), letters(hypothesis))
+    # The different words are found once for each pair and not for each word.
+    known = F.array(F.array_union(reference, hypothesis))
+    return F.get(F.transform(known, lambda k: F.levenshtein(letters(reference, k), letters(hypothesis, k))), F.lit(0))
 
 
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:

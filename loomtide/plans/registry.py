@@ -363,7 +363,9 @@ def alarm_slots(spark, sf_dir):
     SELECT role, count(*) AS clips, round(avg(CASE WHEN n = 0 THEN 0.0 ELSE edits / n END), 9) AS mean_wer, round(sum(edits) / CASE WHEN sum(n) = 0 THEN 1 ELSE sum(n) END, 9) AS pooled_wer, count(*) FILTER (n > 0) AS lost, 0 AS gained FROM e GROUP BY ROLLUP (role)""")
 def transcript_errors(spark, sf_dir):
     """Turns heard with the first word wrong and the last one lost, by role and over all."""
-    said = table(spark, sf_dir, "conversations").select("role", F.explode(F.array(numerals.wer_tokens(F.col("text")))).alias("reference"))
+    # A turn costs milliseconds and few bytes: the few row groups of a file are dealt to more tasks than cores.
+    turns = table(spark, sf_dir, "conversations").select("role", "text").repartition(4 * max(spark.sparkContext.defaultParallelism, 2))
+    said = turns.select("role", F.explode(F.array(numerals.wer_tokens(F.col("text")))).alias("reference"))
     heard = F.when(F.size("reference") > 1, F.concat(F.array(F.lit("zzzz")), F.slice("reference", 2, F.greatest(F.lit(0), F.size("reference") - 2)))).otherwise(F.array().cast("array<string>"))
     card = scoring.error_summary(said.withColumn("heard", heard), "role")
     return card.select("role", "clips", F.round("mean_wer", 9).alias("mean_wer"), F.round("pooled_wer", 9).alias("pooled_wer"), "lost", F.col("gained").cast("int").alias("gained"))
